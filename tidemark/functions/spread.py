@@ -10,7 +10,7 @@ are written down once (``settle``) so every use within a plan sees the same boun
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -194,22 +194,29 @@ def last_known(
     )
 
 
-def middle_values(df: DataFrame, keys: Sequence[str], value: str, heavy: bool) -> DataFrame:
-    """Per group: ``n`` non-NULL values and the order statistics from ``floor(n / 2)``.
+def order_statistics(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    heavy: bool,
+    ranks: Mapping[str, Callable[[Column], Column]],
+) -> DataFrame:
+    """Exact order statistics per group: ``keys, n`` and one column per requested rank.
 
-    Returns ``keys, n, low, mid, high`` (see :func:`tidemark.functions.exprs.loo_median`).
-    Only rows of the ranges that hold the middle are ordered in the split form.
+    Each rank is a function of the group's non-NULL count, from 1.  A rank outside the
+    group gives NULL.  In the split form only the ranges holding a wanted rank are ordered.
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull()).select(*keys, value)
+    w = W.partitionBy(*keys)
+    wanted = {name: rank(F.col("n")).cast("long") for name, rank in ranks.items()}
     if not heavy:
-        w = W.partitionBy(*keys)
-        ranked = present.withColumn("_rn", F.row_number().over(w.orderBy(value))).withColumn(
+        ranked = present.withColumn("_to", F.row_number().over(w.orderBy(value))).withColumn(
             "n", F.count(value).over(w)
         )
+        ranked = ranked.withColumn("_copies", F.lit(1))
     else:
         pieced = settle(with_pieces(present, keys, value), "pieces")
-        w = W.partitionBy(*keys)
         ahead = w.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
         ranges = (
             pieced.groupBy(*keys, "_piece")
@@ -217,25 +224,52 @@ def middle_values(df: DataFrame, keys: Sequence[str], value: str, heavy: bool) -
             .withColumn("_ahead", F.coalesce(F.sum("_here").over(ahead), F.lit(0)))
             .withColumn("n", F.sum("_here").over(w))
         )
-        first = F.greatest(F.floor(F.col("n") / 2), F.lit(1))
-        holds = (F.col("_ahead") < first + 2) & (F.col("_ahead") + F.col("_here") >= first)
+        holds = F.lit(False)
+        for rank in wanted.values():
+            holds = holds | ((rank > F.col("_ahead")) & (rank <= F.col("_ahead") + F.col("_here")))
+        # One row per range keeps the group in the result even when no rank falls into it.
         # Copies of one value collapse before ordering, so a repeated value cannot fill a range.
         few = (
-            pieced.join(ranges.where(holds), [*keys, "_piece"])
+            pieced.join(ranges.where(holds | (F.col("_ahead") == 0)), [*keys, "_piece"])
             .groupBy(*keys, "_piece", "_ahead", "n", value)
             .agg(F.count("*").alias("_copies"))
         )
-        upto = (
-            W.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-        )
-        few = few.withColumn("_to", F.col("_ahead") + F.sum("_copies").over(upto))
-        wanted = F.explode(F.sequence(first, first + 2))
-        ranked = (
-            few.withColumn("_rn", wanted)
-            .where((F.col("_rn") <= F.col("_to")) & (F.col("_rn") > F.col("_to") - F.col("_copies")))
-        )
-    start = F.floor(F.col("n") / 2)
-    pick = lambda k: F.max(F.when(F.col("_rn") == start + k, F.col(value)))
+        upto = W.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        ranked = few.withColumn("_to", F.col("_ahead") + F.sum("_copies").over(upto))
+    at = lambda rank: (rank <= F.col("_to")) & (rank > F.col("_to") - F.col("_copies"))
     return ranked.groupBy(*keys).agg(
-        F.max("n").alias("n"), pick(0).alias("low"), pick(1).alias("mid"), pick(2).alias("high")
+        F.max("n").alias("n"),
+        *[F.max(F.when(at(rank), F.col(value))).alias(name) for name, rank in wanted.items()],
     )
+
+
+def middle_values(df: DataFrame, keys: Sequence[str], value: str, heavy: bool) -> DataFrame:
+    """Per group: ``n`` and the order statistics ``low, mid, high`` from ``floor(n / 2)``.
+
+    See :func:`tidemark.functions.exprs.loo_median`.
+    """
+    start = lambda n: F.floor(n / 2)
+    return order_statistics(
+        df, keys, value, heavy,
+        {"low": start, "mid": lambda n: start(n) + 1, "high": lambda n: start(n) + 2},
+    )
+
+
+def quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, heavy: bool, shares: Mapping[str, float]
+) -> DataFrame:
+    """Exact linearly interpolated quantiles per group: ``keys, n`` and one column per share."""
+    keys = list(keys)
+    below = lambda share: (lambda n: F.floor((n - 1) * share) + 1)
+    above = lambda share: (lambda n: F.ceil((n - 1) * share) + 1)
+    ranks = {}
+    for name, share in shares.items():
+        ranks[f"_lo_{name}"] = below(share)
+        ranks[f"_hi_{name}"] = above(share)
+    found = order_statistics(df, keys, value, heavy, ranks)
+    made = []
+    for name, share in shares.items():
+        place = (F.col("n") - 1) * share
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        made.append((lo + (hi - lo) * (place - F.floor(place))).alias(name))
+    return found.select(*keys, "n", *made)

@@ -125,13 +125,6 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ascii_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles whose headline is plain ASCII and not blank once canonical."""
-    return articles(spark, sf_dir).where(
-        ~F.col("headline").rlike(r"[^\x00-\x7F]") & F.col("headline").rlike("[0-9A-Za-z]")
-    )
-
-
 def article_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One label per labelled document, from its id and its two scores."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
