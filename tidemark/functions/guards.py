@@ -52,12 +52,28 @@ def conflicting_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def collapse_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Drop identical repeats; raise when two rows of a key disagree."""
-    refuse(
-        conflicting_keys(df, key), F.lit(True), AmbiguityError,
-        f"rows sharing ({', '.join(key)}) disagree", list(key),
+    """Drop identical repeats; raise when two rows of a key disagree.
+
+    One aggregate answers both questions, and a table without repeats is returned as it is,
+    so nothing downstream pays for a deduplication it does not need.
+    """
+    rest = sorted(c for c in df.columns if c not in key)
+    digest = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)
+    per_key = (
+        df.select(*key, digest.alias("_d"))
+        .groupBy(*key)
+        .agg(F.count("*").alias("_n"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
     )
-    return df.dropDuplicates(list(key))
+    clash = F.col("_lo") != F.col("_hi")
+    found = per_key.agg(
+        F.max("_n").alias("most"), F.count(F.when(clash, 1)).alias("n"),
+        F.min(F.when(clash, F.to_json(F.struct(*key)))).alias("example"),
+    ).first()
+    if found.n:
+        raise AmbiguityError(
+            f"rows sharing ({', '.join(key)}) disagree: {found.n} key(s), for example {found.example}"
+        )
+    return df if (found.most or 0) <= 1 else df.dropDuplicates(list(key))
 
 
 def refuse_repeats(df: DataFrame, key: Sequence[str], error: type[Exception], what: str) -> None:

@@ -65,7 +65,7 @@ def forward_labels(
     rows, part = spread.in_blocks(
         rows, layout.symbol_keys, layout.by_symbol, before=0, after=offset + horizon
     )
-    w = W.partitionBy(*part).orderBy("pos")
+    w = W.partitionBy(*part).orderBy("session")
     held = w.rowsBetween(offset + 1, offset + horizon)
     rows = rows.withColumns(
         {

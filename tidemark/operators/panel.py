@@ -87,7 +87,7 @@ def moves(bars: DataFrame, layout: Layout) -> DataFrame:
     keys = layout.symbol_keys
     placed = spread.numbered(bars, keys, ["session"], layout.by_symbol)
     laid, part = spread.in_blocks(placed, keys, layout.by_symbol, before=1)
-    w = W.partitionBy(*part).orderBy("pos")
+    w = W.partitionBy(*part).orderBy("session")
     o, h, l, c = (ticks(F.col(n)) for n in ("open", "high", "low", "close"))
     prev = F.lag(ticks(F.col("close"))).over(w)
     laid = laid.withColumns(

@@ -67,7 +67,7 @@ def _frames(rows: DataFrame, layout: panel.Layout, config: FeatureConfig) -> Dat
         config.extreme_sessions,
     )
     rows, part = spread.in_blocks(rows, keys, layout.by_symbol, before=reach)
-    w = W.partitionBy(*part).orderBy("pos")
+    w = W.partitionBy(*part).orderBy("session")
     last = lambda n: w.rowsBetween(-(n - 1), 0)
     earlier = lambda n: w.rowsBetween(-n, -1)
     n_sd, n_vol = config.residual_volatility_sessions, config.abnormal_volume_sessions
@@ -189,7 +189,7 @@ def _series_block(
 ) -> DataFrame:
     """Blocks for instants whose visible bars are a prefix of one series per symbol."""
     layout = panel.Layout.measure(bars)
-    rows = panel.residuals(panel.moves(bars, layout), sectors, layout)
+    rows = settle(panel.residuals(panel.moves(bars, layout), sectors, layout), "panel")
     framed = _frames(rows, layout, config)
     values = [n for n in framed.columns if n not in ("symbol", "first_seen_time")]
     point = framed.select(
@@ -237,7 +237,7 @@ def _snapshot_block(
         "as_of", F.explode(F.filter(listed, lambda t: t >= F.col("first_seen_time")))
     )
     layout = panel.Layout.measure(visible, ["as_of"])
-    rows = panel.residuals(panel.moves(visible, layout), sectors, layout)
+    rows = settle(panel.residuals(panel.moves(visible, layout), sectors, layout), "panel")
     framed = _frames(rows, layout, config)
     values = [n for n in framed.columns if n not in ("symbol", "as_of", "first_seen_time")]
     newest = framed.groupBy("symbol", "as_of").agg(

@@ -58,7 +58,7 @@ def screen_plans(
         (c("limit_price") > c("entry_limit_bound"), "entry_limit_bound_exceeded"),
         (c("quantity") > c("approved_quantity"), "quantity_exceeds_approved_cap"),
         (ratio("buy") != ratio("sell"), "unbalanced_legs"),
-        (c("open_position_count") >= config.maximum_concurrent_positions, "concurrent_position_limit"),
+        (c("open_position_count") >= config.maximum_concurrent_positions, "concurrent_position_limit_reached"),
         (c("frozen_config_hash") != config_hash, "config_hash_mismatch"),
         (c("snapshot_time") > now, "snapshot_in_future"),
         (age > config.max_snapshot_age_seconds * 1_000_000, "snapshot_stale"),

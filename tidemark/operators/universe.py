@@ -56,7 +56,7 @@ def median_dollar_volume(bars: DataFrame, sessions: int = 20) -> DataFrame:
     placed = spread.numbered(bars, ["symbol"], ["session"], heavy)
     laid, part = spread.in_blocks(placed, ["symbol"], heavy, before=sessions)
     traded = (F.col("close") * F.col("volume").cast("decimal(18,0)")).cast("decimal(36,4)")
-    frame = W.partitionBy(*part).orderBy("pos").rowsBetween(-(sessions - 1), 0)
+    frame = W.partitionBy(*part).orderBy("session").rowsBetween(-(sessions - 1), 0)
     laid = laid.withColumn("_all", F.sort_array(F.collect_list(traded).over(frame))).where("_core")
     low, high = (sessions + 1) // 2, sessions // 2 + 1
     middle = (F.element_at("_all", low) + F.element_at("_all", high)) / F.lit(2).cast("decimal(1,0)")

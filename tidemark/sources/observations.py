@@ -42,6 +42,7 @@ def judged_observations(raw: DataFrame, policies: DataFrame) -> DataFrame:
     small = policies.limit(max_broadcast_rows(raw.sparkSession) + 1).count()
     if small <= max_broadcast_rows(raw.sparkSession):
         policies = F.broadcast(policies)
+    # Works on a stream as well: one static join and column expressions.
     rows = raw.withColumnRenamed("first_seen_time", "_given").join(policies, "feed", "left")
     c = F.col
     proves = c("proves_delivery_time")
