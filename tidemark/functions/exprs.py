@@ -12,6 +12,11 @@ MONEY_SCALE = 4
 TICKS = 10_000
 
 
+def blank(col: Column) -> Column:
+    """True for NULL and for text without any visible character."""
+    return F.coalesce(~col.rlike(r"\S"), F.lit(True))
+
+
 def money(col: Column, precision: int = 18) -> Column:
     """Exact decimal at four places, rounded half to even; unparsable text is NULL."""
     return F.bround(col.try_cast(f"decimal(38,10)"), MONEY_SCALE).try_cast(

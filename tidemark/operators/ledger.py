@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import fixed, guards, spread
-from tidemark.functions.exprs import all_failures, canonical_json, iso_utc, sorted_map
+from tidemark.functions.exprs import blank, all_failures, canonical_json, iso_utc, sorted_map
 
 ATTEMPT, STATE = "submission_attempt", "order_state"
 
@@ -31,13 +31,12 @@ def entry_id() -> Column:
 def judged_decisions(raw: DataFrame) -> DataFrame:
     """Raw decisions with their address and every reason they cannot be recorded."""
     c = F.col
-    blank = lambda n: F.coalesce(F.trim(n) == "", F.lit(True))
     checks = [
-        (blank("subject_id"), "subject_id"),
-        (blank("kind"), "kind"),
+        (blank(c("subject_id")), "subject_id"),
+        (blank(c("kind")), "kind"),
         (c("kind").isin(ATTEMPT, STATE), "kind_reserved"),
         (F.coalesce(F.size("payload") <= 0, F.lit(True)), "payload_empty"),
-        (F.exists(F.map_keys("payload"), lambda k: F.trim(k) == ""), "payload_key_blank"),
+        (F.exists(F.map_keys("payload"), blank), "payload_key_blank"),
         (F.exists(F.map_values("payload"), lambda v: v.isNull()), "payload_value_missing"),
         (c("recorded_at").isNull(), "recorded_at"),
     ]
@@ -129,7 +128,7 @@ def trial_id() -> Column:
 def new_trials(stored: DataFrame, raw: DataFrame) -> DataFrame:
     """Trials to append, each (configuration, purpose, instant) once."""
     guards.refuse(
-        raw, F.coalesce(F.trim("purpose") == "", F.lit(True)), guards.IntegrityError,
+        raw, blank(F.col("purpose")), guards.IntegrityError,
         "a trial must state its purpose", ["registered_at"],
     )
     made = raw.withColumn("trial_id", trial_id()).dropDuplicates(["trial_id"])

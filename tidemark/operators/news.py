@@ -9,7 +9,7 @@ from types import MappingProxyType
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import fixed, guards
-from tidemark.functions.exprs import all_failures, config_version, flag_list
+from tidemark.functions.exprs import blank, all_failures, config_version, flag_list
 from tidemark.functions.headline import canonical_headline
 from tidemark.settings import settle
 
@@ -65,10 +65,10 @@ def scored_by(table: Mapping[str, float], col: Column) -> Column:
 
 def article_problems() -> list[tuple[Column, str]]:
     """An empty summary is ordinary; an untagged or wordless article is not usable."""
-    tagged = F.coalesce((F.size("symbols") > 0) & ~F.exists("symbols", lambda s: F.trim(s) == ""), F.lit(False))
+    tagged = F.coalesce((F.size("symbols") > 0) & ~F.exists("symbols", blank), F.lit(False))
     return [
         (~tagged, "symbols"),
-        (F.coalesce(F.trim("headline") == "", F.lit(True)), "headline_blank"),
+        (blank(F.col("headline")), "headline_blank"),
         (F.coalesce(canonical_headline(F.col("headline")) == "", F.lit(True)), "headline_wordless"),
     ]
 

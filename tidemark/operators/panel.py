@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import guards, spread
-from tidemark.functions.exprs import all_failures, first_failure, loo_median, ticks
+from tidemark.functions.exprs import blank, all_failures, first_failure, loo_median, ticks
 
 BAR_COLUMNS = (
     "symbol", "feed", "session", "first_seen_time", "open", "high", "low", "close", "volume",
@@ -22,10 +22,9 @@ BAR_COLUMNS = (
 def bar_problems() -> list[tuple[Column, str]]:
     """What makes a bar malformed, in the order it is reported."""
     c = F.col
-    blank = lambda name: F.coalesce(F.trim(name) == "", F.lit(True))
     return [
-        (blank("symbol"), "symbol"),
-        (blank("feed"), "feed"),
+        (blank(c("symbol")), "symbol"),
+        (blank(c("feed")), "feed"),
         (c("session").isNull(), "session"),
         (c("first_seen_time").isNull(), "first_seen_time"),
         (c("volume").isNull() | (c("volume") < 0), "volume"),

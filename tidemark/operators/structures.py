@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import guards, spread
-from tidemark.functions.exprs import first_failure, ticks
+from tidemark.functions.exprs import blank, first_failure, ticks
 
 CALL_SPREAD = "bull_call_debit_vertical"
 PUT_SPREAD = "bear_put_debit_vertical"
@@ -220,7 +220,7 @@ def priced_legs(plans: DataFrame, quotes: DataFrame, max_quote_age_seconds: int)
     age = F.unix_micros("as_of") - F.unix_micros("quote_time")
     problem = first_failure(
         [
-            (F.coalesce(F.trim("symbol") == "", F.lit(True)), "leg_symbol"),
+            (blank(F.col("symbol")), "leg_symbol"),
             (c("bid").isNull(), "quote_missing"),
             (F.coalesce(c("ratio_qty") <= 0, F.lit(True)), "leg_ratio"),
             (~F.coalesce(c("side").isin("buy", "sell"), F.lit(False)), "leg_side"),

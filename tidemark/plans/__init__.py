@@ -1,6 +1,6 @@
 """The registered queries."""
 
 from tidemark.plans.registry import ORACLES, QUERIES
-from tidemark.plans import price  # noqa: F401
+from tidemark.plans import price, text  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

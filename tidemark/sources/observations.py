@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions import guards
-from tidemark.functions.exprs import canonical_json, first_failure, iso_utc, plus_seconds, sorted_map
+from tidemark.functions.exprs import blank, canonical_json, first_failure, iso_utc, plus_seconds, sorted_map
 from tidemark.settings import max_broadcast_rows
 
 STAMPS = ("event_time", "first_seen_time", "source_time", "received_time", "as_of")
@@ -23,7 +23,7 @@ def checked_policies(policies: DataFrame) -> DataFrame:
         raise guards.IntegrityError("a recorder needs at least one feed policy")
     proves, lag = c("proves_delivery_time"), c("lag_seconds")
     wrong = (
-        F.coalesce(F.trim("feed") == "", F.lit(True))
+        blank(F.col("feed"))
         | (lag < 0)
         | (proves & (lag != 0))
         | (~proves & (lag == 0))
@@ -53,9 +53,9 @@ def judged_observations(raw: DataFrame, policies: DataFrame) -> DataFrame:
     seen = c("first_seen_time")
     reject = first_failure(
         [
-            (F.coalesce(F.trim("feed") == "", F.lit(True)), "feed"),
+            (blank(F.col("feed")), "feed"),
             (proves.isNull(), "feed"),
-            (F.coalesce(F.trim("subject_id") == "", F.lit(True)), "subject_id"),
+            (blank(F.col("subject_id")), "subject_id"),
             *[(c(n).isNull(), n) for n in ("event_time", "source_time", "received_time", "as_of")],
             (F.coalesce(F.size("payload") <= 0, F.lit(True)), "payload"),
             (F.exists(F.map_values("payload"), lambda v: v.isNull()), "payload"),
