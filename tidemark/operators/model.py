@@ -304,3 +304,32 @@ def predict(models: DataFrame, candidates: DataFrame, config: ModelConfig) -> Da
         F.array(F.lit("eligibility_not_yet_evaluated")).alias("rejection_reasons"),
         "model_version",
     )
+
+
+def arm_predictions(
+    train: DataFrame, test: DataFrame, arms: Mapping[str, Sequence[str]], alpha: float, seed: str
+) -> DataFrame:
+    """Predict the test labels once per arm: fold, label_id, arm, prediction, outcome.
+
+    An arm is a feature subset; every arm sees the same folds and labels.  The ``shuffled``
+    arm sees the combined features with outcomes permuted within each date.
+    ``train`` and ``test`` are design rows that also carry ``date``.
+    """
+    from tidemark.operators.metrics import shuffled_within_date
+
+    out = None
+    for arm, names in arms.items():
+        rows = train
+        if arm == "shuffled":
+            keyed = train.withColumn("label_id", F.concat_ws("|", F.col("fold").cast("string"), "label_id"))
+            keyed = keyed.withColumn("_date", F.concat_ws("|", F.col("fold").cast("string"), F.col("date").cast("string")))
+            mixed = shuffled_within_date(keyed.select("label_id", "_date", "y"), "_date", "y", seed)
+            rows = keyed.drop("y").join(mixed.select("label_id", F.col("shuffled_y").alias("y")), "label_id")
+        fitted = ridge(rows, list(names), alpha).select("fold", "intercept", "coef")
+        part = test.join(F.broadcast(fitted), "fold").select(
+            "fold", "label_id", "date", F.lit(arm).alias("arm"),
+            (F.col("intercept") + dot("coef", list(names))).alias("prediction"),
+            F.col("y").alias("outcome"), F.col("w").alias("uniqueness"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
