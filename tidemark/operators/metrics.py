@@ -232,10 +232,11 @@ def option_surface(chain: DataFrame, stock: DataFrame, required_feed: str = "opr
     realized_vol, volume.  Any other feed leaves every feature NULL and says so.
     """
     c = F.col
+    usable = c("delta").isNotNull() & c("implied_vol").isNotNull()
     closest = lambda kind, target, expiry: F.min_by(
-        F.when((c("option_type") == kind) & expiry, c("implied_vol")),
+        c("implied_vol"),
         F.when(
-            (c("option_type") == kind) & expiry,
+            usable & (c("option_type") == kind) & expiry,
             F.struct(F.abs(F.abs("delta") - F.lit(target).cast("decimal(3,2)")), c("symbol")),
         ),
     )
