@@ -92,7 +92,8 @@ def activities(raw: DataFrame, column: str = "raw") -> DataFrame:
         (r.missing("price") | r.not_number("price", fixed.DECIMAL_PATTERN), "price"),
         (r.missing("transaction_time") | r.not_time("transaction_time"), "transaction_time"),
     ]
-    signed = F.when(side == "sell", -qty.try_cast("bigint")).otherwise(qty.try_cast("bigint"))
+    whole = qty.try_cast("bigint")
+    signed = F.when(side == "buy", whole).when(side == "sell", -whole)
     return raw.withColumn("reject_field", first_failure(checks)).withColumns(
         {
             "broker_id": r.text("id"),

@@ -107,19 +107,21 @@ def rejected(judged: DataFrame) -> DataFrame:
     return judged.where("reject_field is not null")
 
 
-def record(judged: DataFrame, path: str) -> DataFrame:
+def record(judged: DataFrame, path: str) -> None:
     """Append what the store does not hold yet; recording again changes nothing.
 
     The store is Parquet by feed and day of first sight, so a point-in-time read prunes
-    whole folders.  Returns the rows that were new.
+    whole folders.
     """
     spark = judged.sparkSession
     fresh = accepted(judged).withColumn("seen_on", F.to_date("first_seen_time"))
     held = stored(spark, path)
     if held is not None:
         fresh = fresh.join(held.select("observation_id"), "observation_id", "left_anti")
-    fresh.write.mode("append").partitionBy("feed", "seen_on").parquet(path)
-    return fresh
+    # Rebalancing gathers a folder's rows into few files and still splits a folder that is
+    # too large for one task.
+    laid = fresh.hint("rebalance", "feed", "seen_on")
+    laid.write.mode("append").partitionBy("feed", "seen_on").parquet(path)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
