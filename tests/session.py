@@ -5,7 +5,7 @@ def make_session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]")
         .appName("tidemark-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")

@@ -62,7 +62,7 @@ def daily_ic(scored: DataFrame, date: str = "date") -> DataFrame:
     ranked = average_ranks(ranked, date, "outcome", heavy, "_o")
     per = ranked.groupBy(date).agg(
         F.count("*").alias("n"), F.sum("uniqueness").alias("effective_size"),
-        F.corr("_p", "_o").alias("_ic"),
+        F.try_divide(F.covar_pop("_p", "_o"), F.stddev_pop("_p") * F.stddev_pop("_o")).alias("_ic"),
         (F.min("_p") == F.max("_p")).alias("_flat_p"), (F.min("_o") == F.max("_o")).alias("_flat_o"),
     )
     reason = (
@@ -185,10 +185,9 @@ def forecast_quality(judged: DataFrame, by: Sequence[str] = ("fold",)) -> DataFr
 
 def calibration_curve(judged: DataFrame, bins: int = 10) -> DataFrame:
     """Mean probability and observed frequency per equal-width bin and fold."""
-    placed = F.lit(0)
-    for i in range(1, bins):
-        placed = placed + (F.col("p_up") >= i / bins).cast("int")
-    return judged.groupBy("fold", placed.alias("bin")).agg(
+    from tidemark.operators.model import probability_bin
+
+    return judged.groupBy("fold", probability_bin(bins).alias("bin")).agg(
         F.avg("p_up").alias("mean_probability"),
         F.avg((F.col("y") > 0).cast("double")).alias("observed_frequency"), F.count("*").alias("n"),
     )

@@ -202,17 +202,21 @@ def scored(rows: DataFrame, fitted: DataFrame, names: Sequence[str]) -> DataFram
     )
 
 
-def calibration_error(judged: DataFrame, bins: int) -> DataFrame:
-    """Expected calibration error per fold from columns p_up and y, weighing rows equally.
+def probability_bin(bins: int) -> Column:
+    """Equal-width bin of p_up: how many interior edges are not above it.
 
-    A bin is the number of interior edges not above the probability, so a probability on
-    an edge falls into the upper bin whatever its binary form.
+    The edges are the doubles of an even division of [0, 1], compared as they are; a
+    product such as ``p * bins`` would place some edge values differently.
     """
-    edges = [float(e) for e in np.linspace(0.0, 1.0, bins + 1)[1:-1]]
     placed = F.lit(0)
-    for edge in edges:
-        placed = placed + (F.col("p_up") >= edge).cast("int")
-    per_bin = judged.groupBy("fold", placed.alias("bin")).agg(
+    for edge in np.linspace(0.0, 1.0, bins + 1)[1:-1]:
+        placed = placed + (F.col("p_up") >= float(edge)).cast("int")
+    return placed
+
+
+def calibration_error(judged: DataFrame, bins: int) -> DataFrame:
+    """Expected calibration error per fold from columns p_up and y, weighing rows equally."""
+    per_bin = judged.groupBy("fold", probability_bin(bins).alias("bin")).agg(
         F.count("*").alias("n"), F.avg("p_up").alias("p"),
         F.avg((F.col("y") > 0).cast("double")).alias("hit"),
     )

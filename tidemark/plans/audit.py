@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import fixed
 from tidemark.functions.exprs import r6
 from tidemark.operators import ledger, lifecycle, metrics, reconcile, risk
 from tidemark.plans.registry import at, joined, r6_sql, registered, stamp
-from tidemark.settings import settle, shared_folder
+from tidemark.settings import settle, work_path
 from tidemark.sources import broker, jsonl, observations, tables
 from tidemark.streaming import jobs
 
@@ -62,7 +60,7 @@ def judged_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def recorded_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recording everything twice stores everything once."""
-    path = f"{shared_folder(spark)}/tidemark-store-{uuid.uuid4().hex}"
+    path = work_path(spark, "store")
     judged = judged_observations(spark, sf_dir)
     observations.record(judged, path)
     observations.record(judged, path)
@@ -86,7 +84,7 @@ def observation_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE feed = 'purchase' AND seen <= TIMESTAMP '2024-01-15 12:00:00'""",
 )
 def observations_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/tidemark-store-{uuid.uuid4().hex}"
+    path = work_path(spark, "store")
     observations.record(judged_observations(spark, sf_dir), path)
     out = observations.read_as_of(
         observations.stored(spark, path), F.lit("2024-01-15 12:00:00").cast("timestamp"), feed="purchase"
@@ -107,7 +105,7 @@ def jsonl_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 31 == 4, F.lit("  ")).when(i % 29 == 5, F.substring(text, 1, 9))
         .when(i % 23 == 6, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
     )
-    path = f"{shared_folder(spark)}/tidemark-lines-{uuid.uuid4().hex}"
+    path = work_path(spark, "lines")
     tables.table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
     return jsonl.bad_lines(spark.read.text(path)).groupBy("problem").agg(F.count("*").alias("n"))
 
@@ -117,7 +115,7 @@ def jsonl_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT event_id, event_type, round(value, 2) AS value FROM events",
 )
 def jsonl_strict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/tidemark-lines-{uuid.uuid4().hex}"
+    path = work_path(spark, "lines")
     rows = tables.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
     return jsonl.read_strict(spark, path, rows.schema).withColumn("value", F.round("value", 2))
@@ -542,13 +540,13 @@ def new_submission_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, df: DataFrame) -> DataFrame:
     """A table as a file stream in the shared folder."""
-    path = f"{shared_folder(spark)}/tidemark-stream-{uuid.uuid4().hex}"
+    path = work_path(spark, "stream")
     df.write.parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    return work_path(spark, name)
 
 
 @registered("stream_recorded_observations", f"WITH {OBSERVED} SELECT DISTINCT observation_id, feed FROM addressed")

@@ -181,7 +181,8 @@ def judged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_BIN = "CAST(" + " + ".join(f"CAST(p >= {i / 10!r}::DOUBLE AS INT)" for i in range(1, 10)) + " AS INT)"
+_EDGES = "0.1 0.2 0.30000000000000004 0.4 0.5 0.6000000000000001 0.7000000000000001 0.8 0.9".split()
+_BIN = "CAST(" + " + ".join(f"CAST(p >= '{e}'::DOUBLE AS INT)" for e in _EDGES) + " AS INT)"
 
 
 @registered(

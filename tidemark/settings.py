@@ -43,6 +43,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below this application's part of the shared folder.
+
+    Everything an application settles lies under one folder named after it, so it can be
+    removed as a whole once the application is done.
+    """
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/tidemark-{app}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -50,6 +60,6 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     Values that must not change between two uses in one plan go through here too.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
