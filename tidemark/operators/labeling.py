@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import fixed, guards, spread
 from tidemark.functions.exprs import first_failure, iso_utc
+from tidemark.functions.fields import JsonFields
 
 PRIOR_CONTEXT = 5
 
@@ -109,19 +110,14 @@ def judged_replies(requests: DataFrame) -> DataFrame:
     ``requests``: article_id, ticker, headline, summary and the raw ``reply`` text.  The first
     failing check is the reason.  Values are compared as they came, never coerced or fixed.
     """
-    reply = F.try_parse_json("reply")
-    at = lambda name: F.try_variant_get(reply, f"$.{name}", "variant")
-    kind = lambda name: F.schema_of_variant(at(name))
-    text = lambda name: F.try_variant_get(reply, f"$.{name}", "string")
-    made = requests.withColumns(
-        {f"_{n}": F.when(kind(n) == "STRING", text(n)) for n in _TEXT_FIELDS}
+    fields = JsonFields(requests, "reply", REPLY_FIELDS)
+    lists = lambda n: fields.kind(n).isin("ARRAY<STRING>", "ARRAY<VOID>")
+    made = fields.df.withColumns(
+        {f"_{n}": F.when(fields.kind(n) == "STRING", fields.text(n)) for n in _TEXT_FIELDS}
         | {
-            "_keys": F.json_object_keys("reply"),
-            "_kind": F.schema_of_variant(reply),
-            "_spans_ok": kind("evidence_spans").isin("ARRAY<STRING>", "ARRAY<VOID>")
-            & kind("limitations").isin("ARRAY<STRING>", "ARRAY<VOID>"),
-            "evidence_spans": F.try_variant_get(reply, "$.evidence_spans", "array<string>"),
-            "limitations": F.try_variant_get(reply, "$.limitations", "array<string>"),
+            "_spans_ok": lists("evidence_spans") & lists("limitations"),
+            "evidence_spans": F.try_variant_get("_whole", "$.evidence_spans", "array<string>"),
+            "limitations": F.try_variant_get("_whole", "$.limitations", "array<string>"),
         }
     )
     c = F.col

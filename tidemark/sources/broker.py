@@ -6,49 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import fixed
 from tidemark.functions.exprs import first_failure
+from tidemark.functions.fields import JsonFields
 
 _ORDER_TIMES = ("created_at", "updated_at", "submitted_at", "filled_at")
 
 
-class _Reply:
-    """Field access to one JSON text column without any coercion."""
-
-    def __init__(self, raw: str) -> None:
-        self.whole = F.try_parse_json(raw)
-        self.keys = F.json_object_keys(raw)
-
-    def kind(self, name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(self.whole, f"$.{name}", "variant"))
-
-    def text(self, name: str) -> Column:
-        return F.try_variant_get(self.whole, f"$.{name}", "string")
-
-    def missing(self, name: str) -> Column:
-        return ~F.coalesce(F.array_contains(self.keys, name), F.lit(False))
-
-    def not_text(self, name: str) -> Column:
-        return ~F.coalesce((self.kind(name) == "STRING") & (self.text(name) != ""), F.lit(False))
-
-    def not_number(self, name: str, pattern: str) -> Column:
-        """Exact numbers arrive as text of the given form or as JSON integers."""
-        whole = self.kind(name) == "BIGINT"
-        written = (self.kind(name) == "STRING") & self.text(name).rlike(pattern)
-        return ~F.coalesce(whole | written, F.lit(False)) | ~F.coalesce(
-            self.text(name).rlike(pattern), F.lit(False)
-        )
-
-    def not_time(self, name: str) -> Column:
-        ok = (
-            (self.kind(name) == "STRING")
-            & self.text(name).rlike(fixed.RFC3339_PATTERN)
-            & self.time(name).isNotNull()
-        )
-        return ~F.coalesce(ok, F.lit(False))
-
-    def time(self, name: str) -> Column:
-        return self.text(name).try_cast("timestamp")
-
-
 def _either(value: Column, allowed: tuple[str, ...]) -> Column:
     return F.when(value.isin(*allowed), value).otherwise(F.lit("unknown"))
 
@@ -58,17 +20,17 @@ def orders(raw: DataFrame, column: str = "raw") -> DataFrame:
 
     Optional times must be present but may be null.
     """
-    r = _Reply(column)
+    r = JsonFields(raw, column, ("status", "id", "client_order_id", "filled_qty", *_ORDER_TIMES))
     need = ("status", "id", "client_order_id")
     checks = [
         *[(r.missing(n) | r.not_text(n), n) for n in need],
         (r.missing("filled_qty") | r.not_number("filled_qty", fixed.NONNEGATIVE_DECIMAL_PATTERN), "filled_qty"),
-        (r.missing("created_at") | r.not_time("created_at"), "created_at"),
+        (r.missing("created_at") | r.not_time("created_at", fixed.RFC3339_PATTERN), "created_at"),
     ]
     for n in _ORDER_TIMES[1:]:
         given = F.coalesce(r.kind(n) != "VOID", F.lit(False))
-        checks.append((r.missing(n) | (given & r.not_time(n)), n))
-    return raw.withColumn("reject_field", first_failure(checks)).withColumns(
+        checks.append((r.missing(n) | (given & r.not_time(n, fixed.RFC3339_PATTERN)), n))
+    return r.df.withColumn("reject_field", first_failure(checks)).withColumns(
         {
             "broker_id": r.text("id"),
             "client_order_id": r.text("client_order_id"),
@@ -76,12 +38,14 @@ def orders(raw: DataFrame, column: str = "raw") -> DataFrame:
             "filled_quantity": r.text("filled_qty").try_cast("decimal(28,8)"),
             **{n: r.time(n) for n in _ORDER_TIMES},
         }
-    )
+    ).drop(*r.helpers)
 
 
 def activities(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Fills with a quantity signed by their side."""
-    r = _Reply(column)
+    r = JsonFields(
+        raw, column, ("type", "side", "qty", "id", "order_id", "symbol", "price", "transaction_time")
+    )
     side, qty = r.text("side"), r.text("qty")
     checks = [
         (r.missing("type") | r.not_text("type"), "type"),
@@ -90,11 +54,11 @@ def activities(raw: DataFrame, column: str = "raw") -> DataFrame:
         (qty.try_cast("decimal(28,0)") < 0, "qty"),
         *[(r.missing(n) | r.not_text(n), n) for n in ("id", "order_id", "symbol")],
         (r.missing("price") | r.not_number("price", fixed.DECIMAL_PATTERN), "price"),
-        (r.missing("transaction_time") | r.not_time("transaction_time"), "transaction_time"),
+        (r.missing("transaction_time") | r.not_time("transaction_time", fixed.RFC3339_PATTERN), "transaction_time"),
     ]
     whole = qty.try_cast("bigint")
     signed = F.when(side == "buy", whole).when(side == "sell", -whole)
-    return raw.withColumn("reject_field", first_failure(checks)).withColumns(
+    return r.df.withColumn("reject_field", first_failure(checks)).withColumns(
         {
             "broker_id": r.text("id"),
             "order_id": r.text("order_id"),
@@ -104,12 +68,12 @@ def activities(raw: DataFrame, column: str = "raw") -> DataFrame:
             "price": r.text("price").try_cast("decimal(28,8)"),
             "transaction_time": r.time("transaction_time"),
         }
-    )
+    ).drop(*r.helpers)
 
 
 def positions(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Signed positions; a sign that contradicts the side is a defect."""
-    r = _Reply(column)
+    r = JsonFields(raw, column, ("side", "qty", "symbol", "avg_entry_price"))
     side, qty = r.text("side"), r.text("qty").try_cast("bigint")
     checks = [
         (r.missing("side") | r.not_text("side"), "side"),
@@ -118,11 +82,11 @@ def positions(raw: DataFrame, column: str = "raw") -> DataFrame:
         (r.missing("symbol") | r.not_text("symbol"), "symbol"),
         (r.missing("avg_entry_price") | r.not_number("avg_entry_price", fixed.DECIMAL_PATTERN), "avg_entry_price"),
     ]
-    return raw.withColumn("reject_field", first_failure(checks)).withColumns(
+    return r.df.withColumn("reject_field", first_failure(checks)).withColumns(
         {
             "symbol": r.text("symbol"),
             "signed_quantity": qty,
             "average_entry_price": r.text("avg_entry_price").try_cast("decimal(28,8)"),
             "side": _either(side, fixed.POSITION_SIDES),
         }
-    )
+    ).drop(*r.helpers)

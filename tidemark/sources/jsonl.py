@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions import guards
+from tidemark.functions.exprs import blank
 
 
 def line_problem(line: Column) -> Column:
     """Why a line cannot be a record: blank, undecodable, or not an object."""
     parsed = F.try_parse_json(line)
     return (
-        F.when(F.trim(line) == "", "blank")
+        F.when(blank(line), "blank")
         .when(parsed.isNull(), "undecodable")
         .when(~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), "not_an_object")
     )
