@@ -39,14 +39,21 @@ def test_split_form_is_the_same(spark, golden, small_groups):
     test_golden_block(spark, golden)
 
 
-def test_one_instant_equals_the_series(spark, golden):
-    spine = ask(*(spark,), *[(s, late(i), session(i - 3)) for s in ALL for i in (4, 30, 79)])
-    mapped = sectors(spark, ALL)
-    series = pf._series_block(spine, golden, mapped, pf.FeatureConfig())
-    micros = [r[0] for r in spine.select(F.unix_micros("as_of")).distinct().collect()]
-    single = pf._snapshot_block(spine, golden, mapped, pf.FeatureConfig(), micros)
+@pytest.mark.parametrize("front", [0, 2, 40, 79])
+def test_rebuilt_instants_equal_the_series(spark, golden, front):
+    """Recomputing from any front on must not change a panel that arrived in order."""
+    spine = ask(spark, *[(s, late(i), session(i - 3)) for s in ALL for i in (4, 30, 79)])
+    mapped, config = sectors(spark, ALL), pf.FeatureConfig()
+    layout = panel.Layout.measure(golden)
+    rows = pf._global_rows(golden, mapped, layout)
+    fronts = spine.select("as_of", F.lit(session(front)).alias("front")).distinct()
+    fronts = fronts.where("front <= as_of")
+    spine = spine.join(fronts, "as_of", "left_semi")
+    series = pf._series_block(spine, golden, rows, mapped, layout, config)
+    single = pf._snapshot_block(spine, fronts, golden, rows, mapped, layout, config)
     key = lambda r: (r["symbol"], r["as_of"])
     a, b = sorted(as_dicts(series), key=key), sorted(as_dicts(single), key=key)
+    assert len(a) == len(b) > 0
     assert [r["quality_flags"] for r in a] == [r["quality_flags"] for r in b]
     for x, y in zip(a, b):
         assert [x[f] for f in pf.FEATURES] == pytest.approx([y[f] for f in pf.FEATURES])
@@ -86,11 +93,10 @@ def test_a_symbol_alone_keeps_its_raw_return_and_says_how_often(spark):
 def test_late_bar_is_invisible_until_it_arrives(spark):
     rows = price_panel()
     held = [r if (r[0], r[2]) != ("PEER1", session(79)) else (*r[:3], session(85), *r[4:]) for r in rows]
-    held = [r if r[0] != "PEER1" else r for r in held]
     panel_rows = bars(spark, held)
     spine = ask(spark, ("TARGET", late(79), None), ("PEER1", late(79), None), ("PEER1", session(90), None))
     waiting = pf.disturbed_instants(spine, panel_rows).collect()
-    assert [r.as_of for r in waiting] == [late(79)]
+    assert [(r.as_of, r.front) for r in waiting] == [(late(79), session(79))]
     got = {(r["symbol"], r["as_of"]): r for r in as_dicts(pf.feature_block(spine, panel_rows, sectors(spark, ALL)))}
     assert got[("TARGET", late(79))]["residual_return_1s"] == pytest.approx(0.02)
     # On its own 79th session TARGET's move shows in PEER1's demeaned return only once PEER1's bar is there.
@@ -125,3 +131,7 @@ def test_configuration_is_checked_and_versioned():
     with pytest.raises(ValueError):
         pf.FeatureConfig(lookback_sessions=10)
     assert pf.FeatureConfig().version != pf.FeatureConfig(atr_sessions=13).version
+
+
+def test_late_bars_in_the_split_form(spark, small_groups):
+    test_late_bar_is_invisible_until_it_arrives(spark)

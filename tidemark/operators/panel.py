@@ -96,20 +96,25 @@ def moves(bars: DataFrame, layout: Layout) -> DataFrame:
             "prev_seen": F.lag("first_seen_time").over(w),
         }
     ).where("_core")
-    p = F.col("prev_t")
     return laid.select(
         *layout.within, "symbol", "session", "first_seen_time", "volume", "pos", "prev_session",
         "high_t", "low_t", "close_t",
-        F.when(p.isNotNull(), F.greatest("first_seen_time", "prev_seen")).alias("move_seen"),
+        F.when(F.col("prev_t").isNotNull(), F.greatest("first_seen_time", "prev_seen")).alias("move_seen"),
+        *move_values(),
+    )
+
+
+def move_values() -> list[Column]:
+    """Return, opening gap and true range of a row against ``prev_t``, all in ticks."""
+    p = F.col("prev_t")
+    reach = F.greatest(
+        F.col("high_t") - F.col("low_t"), F.abs(F.col("high_t") - p), F.abs(F.col("low_t") - p)
+    )
+    return [
         (F.col("close_t") / p - 1.0).alias("ret"),
         (F.col("open_t") / p - 1.0).alias("gap"),
-        F.when(
-            p.isNotNull(),
-            F.greatest(
-                F.col("high_t") - F.col("low_t"), F.abs(F.col("high_t") - p), F.abs(F.col("low_t") - p)
-            ),
-        ).alias("true_range"),
-    )
+        F.when(p.isNotNull(), reach).alias("true_range"),
+    ]
 
 
 def leave_one_out(

@@ -3,7 +3,7 @@
 ``feature_block`` answers every spine row from one plan.  Where all bars arrive in order
 the features are row frames over one series per symbol.  An instant at which some bar of an
 already visible session is still on its way sees a different series; such instants are
-found first and only they are rebuilt from the bars visible at each of them.
+found first, and only what follows their earliest incomplete session is computed again.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tidemark.functions import spread
 from tidemark.functions.exprs import config_version, flag_list
 from tidemark.operators import panel
-from tidemark.settings import max_broadcast_rows, settle
+from tidemark.settings import settle
 
 FEATURES = (
     "residual_return_1s",
@@ -55,25 +55,35 @@ class FeatureConfig:
         return config_version("pv", asdict(self))
 
 
-def _frames(rows: DataFrame, layout: panel.Layout, config: FeatureConfig) -> DataFrame:
-    """Every window feature at every bar, residual ones in both flavours."""
-    keys = layout.symbol_keys
-    rows = spread.running(
-        rows, keys, ["session"], layout.by_symbol,
-        {f"undemeaned_{t}": ("sum", F.coalesce(F.col(f"alone_{t}"), F.lit(0))) for t in ("sec", "mkt")},
-    )
-    reach = max(
+FLAVOURS = ("sec", "mkt")
+
+
+def _global_rows(bars: DataFrame, sectors: DataFrame, layout: panel.Layout) -> DataFrame:
+    """The stored residual panel with running counts of sessions nothing was demeaned against."""
+    rows = panel.residuals(panel.moves(bars, layout), sectors, layout)
+    counts = {f"undemeaned_{t}": ("sum", F.coalesce(F.col(f"alone_{t}"), F.lit(0))) for t in FLAVOURS}
+    return settle(spread.running(rows, ["symbol"], ["session"], layout.by_symbol, counts), "panel")
+
+
+def _reach(config: FeatureConfig) -> int:
+    """Rows before the current one that any feature looks back to."""
+    return max(
         config.lookback_sessions, config.abnormal_volume_sessions, config.atr_sessions,
         config.extreme_sessions,
     )
-    rows, part = spread.in_blocks(rows, keys, layout.by_symbol, before=reach)
+
+
+def _frames(rows: DataFrame, layout: panel.Layout, config: FeatureConfig) -> DataFrame:
+    """Every window feature at every bar, residual ones in both flavours."""
+    keys = layout.symbol_keys
+    rows, part = spread.in_blocks(rows, keys, layout.by_symbol, before=_reach(config))
     w = W.partitionBy(*part).orderBy("session")
     last = lambda n: w.rowsBetween(-(n - 1), 0)
     earlier = lambda n: w.rowsBetween(-n, -1)
     n_sd, n_vol = config.residual_volatility_sessions, config.abnormal_volume_sessions
     n_atr, n_ext = config.atr_sessions, config.extreme_sessions
     made = {}
-    for t in ("sec", "mkt"):
+    for t in FLAVOURS:
         r = F.col(f"ret_{t}")
         made[f"sum5_{t}"] = F.when(F.count(r).over(last(5)) == 5, F.sum(r).over(last(5)))
         made[f"sd_{t}"] = F.when(
@@ -93,7 +103,7 @@ def _frames(rows: DataFrame, layout: panel.Layout, config: FeatureConfig) -> Dat
     )
     return rows.select(
         *keys, "session", "first_seen_time", "pos",
-        *[f"{n}_{t}" for t in ("sec", "mkt") for n in ("ret", "gap", "sum5", "sd", "undemeaned")],
+        *[f"{n}_{t}" for t in FLAVOURS for n in ("ret", "gap", "sum5", "sd", "undemeaned")],
         "volume", centre.alias("volume_centre"),
         (F.col("high_t") - F.col("low_t")).alias("range"), F.col("_atr").alias("atr"),
         (F.col("close_t") - F.col("_low")).alias("above_low"),
@@ -184,12 +194,41 @@ def _assemble(found: DataFrame, config: FeatureConfig) -> DataFrame:
     )
 
 
+def _sector_members(spine: DataFrame, bars: DataFrame, sectors: DataFrame) -> DataFrame:
+    """How many other symbols of each sector have shown a bar by each instant asked about."""
+    firsts = bars.groupBy("symbol").agg(F.min("first_seen_time").alias("as_of")).join(sectors, "symbol")
+    arrivals = firsts.groupBy("sector", "as_of").agg(F.count("*").alias("_new"))
+    instants = spine.join(sectors, "symbol").select("sector", "as_of").distinct()
+    steps = (
+        arrivals.unionByName(instants.withColumn("_new", F.lit(0).cast("bigint")))
+        .groupBy("sector", "as_of").agg(F.sum("_new").alias("_new"))
+    )
+    [heavy] = spread.is_heavy(steps, ["sector"])
+    counted = spread.running(
+        steps, ["sector"], ["as_of"], heavy, {"members": ("sum", F.col("_new"))}
+    )
+    return counted.select("sector", "as_of", (F.col("members") - 1).alias("sector_peers"))
+
+
+def _finish(
+    seen: DataFrame, rows: DataFrame, bars: DataFrame, sectors: DataFrame, config: FeatureConfig,
+    layout: panel.Layout,
+) -> DataFrame:
+    """Join what a spine row sees with its sector's size and its event sum, then assemble."""
+    counts = _sector_members(seen, bars, sectors)
+    seen = seen.join(sectors, "symbol", "left").join(counts, ["sector", "as_of"], "left")
+    events = seen.where(F.col("event_time").isNotNull()).select(
+        "symbol", "as_of", "event_time", F.col("pos").alias("at_pos")
+    )
+    sums = _event_sums(rows, events, layout, config)
+    return _assemble(seen.join(sums, ["symbol", "as_of"], "left"), config)
+
+
 def _series_block(
-    spine: DataFrame, bars: DataFrame, sectors: DataFrame, config: FeatureConfig
+    spine: DataFrame, bars: DataFrame, rows: DataFrame, sectors: DataFrame, layout: panel.Layout,
+    config: FeatureConfig,
 ) -> DataFrame:
     """Blocks for instants whose visible bars are a prefix of one series per symbol."""
-    layout = panel.Layout.measure(bars)
-    rows = settle(panel.residuals(panel.moves(bars, layout), sectors, layout), "panel")
     framed = _frames(rows, layout, config)
     values = [n for n in framed.columns if n not in ("symbol", "first_seen_time")]
     point = framed.select(
@@ -207,78 +246,125 @@ def _series_block(
         both, ["symbol"], ["as_of", "_asked", "_session"], layout.by_symbol, "bar"
     )
     seen = carried.where("_asked = 1").select("symbol", "as_of", "event_time", "bar.*")
-    # How many symbols of each sector have shown a bar by each instant.
-    firsts = bars.groupBy("symbol").agg(F.min("first_seen_time").alias("as_of")).join(sectors, "symbol")
-    arrivals = firsts.groupBy("sector", "as_of").agg(F.count("*").alias("_new"))
-    instants = spine.join(sectors, "symbol").select("sector", "as_of").distinct()
-    steps = arrivals.unionByName(instants.withColumn("_new", F.lit(0).cast("bigint")))
-    [heavy] = spread.is_heavy(steps, ["sector"])
-    counts = (
-        spread.running(
-            steps.groupBy("sector", "as_of").agg(F.sum("_new").alias("_new")),
-            ["sector"], ["as_of"], heavy, {"members": ("sum", F.col("_new"))},
-        )
-        .select("sector", "as_of", (F.col("members") - 1).alias("sector_peers"))
-    )
-    seen = seen.join(sectors, "symbol", "left").join(counts, ["sector", "as_of"], "left")
-    events = seen.where(F.col("event_time").isNotNull()).select(
-        "symbol", "as_of", "event_time", F.col("pos").alias("at_pos")
-    )
-    sums = _event_sums(rows, events, layout, config)
-    return _assemble(seen.join(sums, ["symbol", "as_of"], "left"), config)
+    return _finish(seen, rows, bars, sectors, config, layout)
 
 
 def _snapshot_block(
-    spine: DataFrame, bars: DataFrame, sectors: DataFrame, config: FeatureConfig, instants: list
+    spine: DataFrame, fronts: DataFrame, bars: DataFrame, rows: DataFrame, sectors: DataFrame,
+    layout: panel.Layout, config: FeatureConfig,
 ) -> DataFrame:
-    """Blocks for a bounded list of instants, each over the bars visible at it."""
-    listed = F.array(*[F.timestamp_micros(F.lit(t)) for t in instants])
-    visible = bars.withColumn(
-        "as_of", F.explode(F.filter(listed, lambda t: t >= F.col("first_seen_time")))
+    """Blocks for instants at which some visible session is incomplete.
+
+    Before an instant's front every bar has arrived, so the stored panel holds there.  Only
+    the bars from the front on are demeaned again, among those visible at the instant; each
+    question then reads the few panel rows before the front that its features look back to.
+    """
+    width = fronts.agg(
+        F.max(F.unix_timestamp("as_of") - F.unix_timestamp("front")).alias("s")
+    ).first().s // 8 + 1
+    slot = lambda ts: F.floor(F.unix_timestamp(ts) / width)
+    spans = fronts.withColumn("_slot", F.explode(F.sequence(slot("front"), slot("as_of"))))
+    tails = settle(
+        bars.withColumn("_slot", slot("session")).join(spans, "_slot")
+        .where((F.col("session") >= F.col("front")) & (F.col("first_seen_time") <= F.col("as_of")))
+        .select("as_of", *panel.BAR_COLUMNS),
+        "tails",
     )
-    layout = panel.Layout.measure(visible, ["as_of"])
-    rows = settle(panel.residuals(panel.moves(visible, layout), sectors, layout), "panel")
-    framed = _frames(rows, layout, config)
+    asked = spine.select("symbol", "as_of").distinct()
+    pairs = tails.select("symbol", "as_of").unionByName(asked).distinct().join(fronts, "as_of")
+
+    # The last panel row before each pair's front.
+    held = ("pos", "close_t", "session", *[f"undemeaned_{t}" for t in FLAVOURS])
+    point = rows.select(
+        "symbol", F.col("session").alias("_at"), F.lit(1).alias("_kind"), F.struct(*held).alias("head"),
+        F.lit(None).cast("timestamp").alias("as_of"),
+    )
+    question = pairs.select(
+        "symbol", F.col("front").alias("_at"), F.lit(0).alias("_kind"),
+        F.lit(None).cast(point.schema["head"].dataType).alias("head"), "as_of",
+    )
+    carried = spread.last_known(
+        point.unionByName(question), ["symbol"], ["_at", "_kind"], layout.by_symbol, "head"
+    )
+    heads = settle(carried.where("_kind = 0").select("symbol", "as_of", "head"), "heads")
+
+    # From the front on: moves, cross-sections and counts among the bars visible at the instant.
+    w = W.partitionBy("as_of", "symbol").orderBy("session")
+    tick = {f"{n}_t": panel.ticks(F.col(n)) for n in ("open", "high", "low", "close")}
+    moved = tails.join(heads, ["as_of", "symbol"]).withColumns(tick).withColumns(
+        {
+            "pos": (F.row_number().over(w) + F.coalesce("head.pos", F.lit(0))).cast("int"),
+            "prev_t": F.coalesce(F.lag("close_t").over(w), F.col("head.close_t")),
+            "prev_session": F.coalesce(F.lag("session").over(w), F.col("head.session")),
+        }
+    )
+    plain = ("session", "first_seen_time", "volume", "pos", "prev_session", "high_t", "low_t", "close_t")
+    mapped = moved.select("as_of", "symbol", *plain, "head", *panel.move_values()).join(sectors, "symbol", "left")
+    group = ["as_of", "session"]
+    [heavy] = spread.is_heavy(tails, group)
+    again = panel.leave_one_out(mapped, group, ("ret", "gap"), heavy, "mkt")
+    again = panel.leave_one_out(again, [*group, "sector"], ("ret", "gap"), heavy, "sec")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    again = again.withColumns(
+        {
+            f"undemeaned_{t}": F.sum(F.coalesce(F.col(f"alone_{t}"), F.lit(0))).over(upto)
+            + F.coalesce(F.col(f"head.undemeaned_{t}"), F.lit(0))
+            for t in FLAVOURS
+        }
+    )
+    needed = [*plain, "true_range", *[f"{n}_{t}" for t in FLAVOURS for n in ("ret", "gap", "undemeaned")]]
+    recent = again.join(asked, ["symbol", "as_of"], "left_semi").select("as_of", "symbol", *needed)
+
+    # Before the front: the panel rows a feature can look back to, by position.
+    places = F.sequence(F.greatest(F.col("head.pos") - _reach(config), F.lit(1)), F.col("head.pos"))
+    earlier = (
+        heads.where("head is not null").join(asked, ["symbol", "as_of"], "left_semi")
+        .select("as_of", "symbol", F.explode(places).alias("pos"))
+        .join(rows.select("symbol", *needed), ["symbol", "pos"])
+    )
+    series = settle(recent.unionByName(earlier.select("as_of", "symbol", *needed)), "series")
+    within = panel.Layout(False, False, ("as_of",))
+    framed = _frames(series, within, config)
     values = [n for n in framed.columns if n not in ("symbol", "as_of", "first_seen_time")]
     newest = framed.groupBy("symbol", "as_of").agg(
-        F.max_by(F.struct(*values), F.col("session")).alias("bar")
+        F.max_by(F.struct(*values), F.col("pos")).alias("bar")
     )
     seen = spine.join(newest, ["symbol", "as_of"], "left").select(
         "symbol", "as_of", "event_time", "bar.*"
     )
-    members = (
-        visible.select("symbol", "as_of").distinct().join(sectors, "symbol")
-        .groupBy("sector", "as_of").agg((F.count("*") - 1).alias("sector_peers"))
-    )
-    seen = seen.join(sectors, "symbol", "left").join(members, ["sector", "as_of"], "left")
-    events = seen.where(F.col("event_time").isNotNull()).select(
-        "symbol", "as_of", "event_time", F.col("pos").alias("at_pos")
-    )
-    sums = _event_sums(rows, events, layout, config)
-    return _assemble(seen.join(sums, ["symbol", "as_of"], "left"), config)
+    return _finish(seen, series, bars, sectors, config, within)
 
 
 def disturbed_instants(spine: DataFrame, bars: DataFrame) -> DataFrame:
-    """Spine instants at which a bar of an already visible session has not arrived."""
+    """Spine instants at which a bar of an already visible session has not arrived.
+
+    Returns each with its ``front``: the earliest session that is incomplete then.
+    """
     sessions = bars.groupBy("session").agg(
         F.min("first_seen_time").alias("_from"), F.max("first_seen_time").alias("_until")
     )
-    # The session counts as visible once it or any later one has shown a bar.
+    # A session counts as visible once it or any later one has shown a bar.  The latest
+    # arrival among all sessions up to one never decreases, so the first session whose value
+    # exceeds an instant is found by one ordered lookup.
     sessions = sessions.withColumn("_all", F.lit(0)).withColumn("_back", -F.unix_micros("session"))
     [heavy] = spread.is_heavy(sessions, ["_all"])
-    opened = spread.running(sessions, ["_all"], ["_back"], heavy, {"_open": ("min", F.col("_from"))})
-    waits = opened.where("_until > _open").select(
-        F.col("_open").alias("as_of"), "_until", F.lit(0).alias("_asked")
+    known = spread.running(sessions, ["_all"], ["_back"], heavy, {"_open": ("min", F.col("_from"))})
+    known = spread.running(known, ["_all"], ["session"], heavy, {"_reach": ("max", F.col("_until"))})
+    point = known.select(
+        "_all", (-F.unix_micros("_reach")).alias("_key"), F.lit(1).alias("_kind"), "_back",
+        F.struct("session", "_open").alias("front"), F.lit(None).cast("timestamp").alias("as_of"),
     )
     asked = spine.select("as_of").distinct().select(
-        "as_of", F.lit(None).cast("timestamp").alias("_until"), F.lit(1).alias("_asked")
+        F.lit(0).alias("_all"), (-F.unix_micros("as_of")).alias("_key"), F.lit(0).alias("_kind"),
+        F.lit(0).cast("bigint").alias("_back"),
+        F.lit(None).cast(point.schema["front"].dataType).alias("front"), "as_of",
     )
-    both = waits.unionByName(asked).withColumn("_all", F.lit(0))
+    both = point.unionByName(asked)
     [heavy] = spread.is_heavy(both, ["_all"])
-    reached = spread.running(
-        both, ["_all"], ["as_of", "_asked"], heavy, {"_reach": ("max", F.col("_until"))}
+    found = spread.last_known(both, ["_all"], ["_key", "_kind", "_back"], heavy, "front")
+    return found.where("_kind = 0 and front._open <= as_of").select(
+        "as_of", F.col("front.session").alias("front")
     )
-    return reached.where("_asked = 1 and _reach > as_of").select("as_of")
 
 
 def feature_block(
@@ -292,18 +378,13 @@ def feature_block(
     if "event_time" not in spine.columns:
         spine = spine.withColumn("event_time", F.lit(None).cast("timestamp"))
     spine = spine.select("symbol", "as_of", "event_time")
-    waiting = settle(disturbed_instants(spine, bars), "waiting")
-    n = waiting.count()
-    if n == 0:
-        return _series_block(spine, bars, sectors, config)
-    out = _series_block(spine.join(waiting, "as_of", "left_anti"), bars, sectors, config)
-    step = min(max_broadcast_rows(spine.sparkSession), 2_000)
-    numbered = spread.numbered(
-        waiting.withColumn("_all", F.lit(0)), ["_all"], ["as_of"], n > step * 500
+    layout = panel.Layout.measure(bars)
+    rows = _global_rows(bars, sectors, layout)
+    fronts = settle(disturbed_instants(spine, bars), "fronts")
+    if fronts.isEmpty():
+        return _series_block(spine, bars, rows, sectors, layout, config)
+    regular = spine.join(fronts, "as_of", "left_anti")
+    waiting = spine.join(fronts, "as_of", "left_semi")
+    return _series_block(regular, bars, rows, sectors, layout, config).unionByName(
+        _snapshot_block(waiting, fronts, bars, rows, sectors, layout, config)
     )
-    for start in range(0, n, step):
-        batch = numbered.where((F.col("pos") > start) & (F.col("pos") <= start + step))
-        instants = [r.t for r in batch.select(F.unix_micros("as_of").alias("t")).collect()]
-        part = spine.join(batch.select("as_of"), "as_of", "left_semi")
-        out = out.unionByName(_snapshot_block(part, bars, sectors, config, instants))
-    return out
