@@ -49,8 +49,8 @@ def test_rebuilt_instants_equal_the_series(spark, golden, front):
     fronts = spine.select("as_of", F.lit(session(front)).alias("front")).distinct()
     fronts = fronts.where("front <= as_of")
     spine = spine.join(fronts, "as_of", "left_semi")
-    series = pf._series_block(spine, golden, rows, mapped, layout, config)
-    single = pf._snapshot_block(spine, fronts, golden, rows, mapped, layout, config)
+    series = pf._series_block(spine, golden, rows, mapped, layout, config, pf._Sizes.measure(spine, golden))
+    single = pf._snapshot_block(spine, fronts, golden, rows, mapped, layout, config, pf._Sizes.measure(spine, golden))
     key = lambda r: (r["symbol"], r["as_of"])
     a, b = sorted(as_dicts(series), key=key), sorted(as_dicts(single), key=key)
     assert len(a) == len(b) > 0

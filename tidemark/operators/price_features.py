@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tidemark.functions import spread
 from tidemark.functions.exprs import config_version, flag_list
 from tidemark.operators import panel
-from tidemark.settings import settle
+from tidemark.settings import max_group_rows, settle
 
 FEATURES = (
     "residual_return_1s",
@@ -194,7 +194,28 @@ def _assemble(found: DataFrame, config: FeatureConfig) -> DataFrame:
     )
 
 
-def _sector_members(spine: DataFrame, bars: DataFrame, sectors: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class _Sizes:
+    """Whether the small per-instant tables could outgrow one task, from upper bounds."""
+
+    by_time: bool
+    by_sector: bool
+
+    @staticmethod
+    def measure(spine: DataFrame, bars: DataFrame) -> "_Sizes":
+        count = lambda df, name, tag: df.agg(F.count_distinct(name).alias("n")).select(F.lit(tag).alias("t"), "n")
+        counted = (
+            count(spine, "as_of", "instants").unionByName(count(bars, "session", "sessions"))
+            .unionByName(count(bars, "symbol", "symbols"))
+        )
+        n = {r.t: r.n for r in counted.collect()}
+        limit = max_group_rows(spine.sparkSession)
+        return _Sizes(n["instants"] + n["sessions"] > limit, n["instants"] + n["symbols"] > limit)
+
+
+def _sector_members(
+    spine: DataFrame, bars: DataFrame, sectors: DataFrame, sizes: _Sizes
+) -> DataFrame:
     """How many other symbols of each sector have shown a bar by each instant asked about."""
     firsts = bars.groupBy("symbol").agg(F.min("first_seen_time").alias("as_of")).join(sectors, "symbol")
     arrivals = firsts.groupBy("sector", "as_of").agg(F.count("*").alias("_new"))
@@ -203,19 +224,18 @@ def _sector_members(spine: DataFrame, bars: DataFrame, sectors: DataFrame) -> Da
         arrivals.unionByName(instants.withColumn("_new", F.lit(0).cast("bigint")))
         .groupBy("sector", "as_of").agg(F.sum("_new").alias("_new"))
     )
-    [heavy] = spread.is_heavy(steps, ["sector"])
     counted = spread.running(
-        steps, ["sector"], ["as_of"], heavy, {"members": ("sum", F.col("_new"))}
+        steps, ["sector"], ["as_of"], sizes.by_sector, {"members": ("sum", F.col("_new"))}
     )
     return counted.select("sector", "as_of", (F.col("members") - 1).alias("sector_peers"))
 
 
 def _finish(
     seen: DataFrame, rows: DataFrame, bars: DataFrame, sectors: DataFrame, config: FeatureConfig,
-    layout: panel.Layout,
+    layout: panel.Layout, sizes: _Sizes,
 ) -> DataFrame:
     """Join what a spine row sees with its sector's size and its event sum, then assemble."""
-    counts = _sector_members(seen, bars, sectors)
+    counts = _sector_members(seen, bars, sectors, sizes)
     seen = seen.join(sectors, "symbol", "left").join(counts, ["sector", "as_of"], "left")
     events = seen.where(F.col("event_time").isNotNull()).select(
         "symbol", "as_of", "event_time", F.col("pos").alias("at_pos")
@@ -226,7 +246,7 @@ def _finish(
 
 def _series_block(
     spine: DataFrame, bars: DataFrame, rows: DataFrame, sectors: DataFrame, layout: panel.Layout,
-    config: FeatureConfig,
+    config: FeatureConfig, sizes: _Sizes,
 ) -> DataFrame:
     """Blocks for instants whose visible bars are a prefix of one series per symbol."""
     framed = _frames(rows, layout, config)
@@ -246,12 +266,12 @@ def _series_block(
         both, ["symbol"], ["as_of", "_asked", "_session"], layout.by_symbol, "bar"
     )
     seen = carried.where("_asked = 1").select("symbol", "as_of", "event_time", "bar.*")
-    return _finish(seen, rows, bars, sectors, config, layout)
+    return _finish(seen, rows, bars, sectors, config, layout, sizes)
 
 
 def _snapshot_block(
     spine: DataFrame, fronts: DataFrame, bars: DataFrame, rows: DataFrame, sectors: DataFrame,
-    layout: panel.Layout, config: FeatureConfig,
+    layout: panel.Layout, config: FeatureConfig, sizes: _Sizes,
 ) -> DataFrame:
     """Blocks for instants at which some visible session is incomplete.
 
@@ -332,14 +352,15 @@ def _snapshot_block(
     seen = spine.join(newest, ["symbol", "as_of"], "left").select(
         "symbol", "as_of", "event_time", "bar.*"
     )
-    return _finish(seen, series, bars, sectors, config, within)
+    return _finish(seen, series, bars, sectors, config, within, sizes)
 
 
-def disturbed_instants(spine: DataFrame, bars: DataFrame) -> DataFrame:
+def disturbed_instants(spine: DataFrame, bars: DataFrame, sizes: _Sizes | None = None) -> DataFrame:
     """Spine instants at which a bar of an already visible session has not arrived.
 
     Returns each with its ``front``: the earliest session that is incomplete then.
     """
+    heavy = (sizes or _Sizes.measure(spine, bars)).by_time
     sessions = bars.groupBy("session").agg(
         F.min("first_seen_time").alias("_from"), F.max("first_seen_time").alias("_until")
     )
@@ -347,7 +368,6 @@ def disturbed_instants(spine: DataFrame, bars: DataFrame) -> DataFrame:
     # arrival among all sessions up to one never decreases, so the first session whose value
     # exceeds an instant is found by one ordered lookup.
     sessions = sessions.withColumn("_all", F.lit(0)).withColumn("_back", -F.unix_micros("session"))
-    [heavy] = spread.is_heavy(sessions, ["_all"])
     known = spread.running(sessions, ["_all"], ["_back"], heavy, {"_open": ("min", F.col("_from"))})
     known = spread.running(known, ["_all"], ["session"], heavy, {"_reach": ("max", F.col("_until"))})
     point = known.select(
@@ -360,7 +380,6 @@ def disturbed_instants(spine: DataFrame, bars: DataFrame) -> DataFrame:
         F.lit(None).cast(point.schema["front"].dataType).alias("front"), "as_of",
     )
     both = point.unionByName(asked)
-    [heavy] = spread.is_heavy(both, ["_all"])
     found = spread.last_known(both, ["_all"], ["_key", "_kind", "_back"], heavy, "front")
     return found.where("_kind = 0 and front._open <= as_of").select(
         "as_of", F.col("front.session").alias("front")
@@ -379,12 +398,13 @@ def feature_block(
         spine = spine.withColumn("event_time", F.lit(None).cast("timestamp"))
     spine = spine.select("symbol", "as_of", "event_time")
     layout = panel.Layout.measure(bars)
+    sizes = _Sizes.measure(spine, bars)
     rows = _global_rows(bars, sectors, layout)
-    fronts = settle(disturbed_instants(spine, bars), "fronts")
+    fronts = settle(disturbed_instants(spine, bars, sizes), "fronts")
     if fronts.isEmpty():
-        return _series_block(spine, bars, rows, sectors, layout, config)
+        return _series_block(spine, bars, rows, sectors, layout, config, sizes)
     regular = spine.join(fronts, "as_of", "left_anti")
     waiting = spine.join(fronts, "as_of", "left_semi")
-    return _series_block(regular, bars, rows, sectors, layout, config).unionByName(
-        _snapshot_block(waiting, fronts, bars, rows, sectors, layout, config)
+    return _series_block(regular, bars, rows, sectors, layout, config, sizes).unionByName(
+        _snapshot_block(waiting, fronts, bars, rows, sectors, layout, config, sizes)
     )
