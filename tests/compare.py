@@ -29,7 +29,7 @@ def plain(value):
     if isinstance(value, float):
         if value != value:
             return "NULL"
-        return repr(float(f"{value:.10g}") + 0.0)
+        return repr(value + 0.0)
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(map(plain, value)) + "]"
     return str(value)
