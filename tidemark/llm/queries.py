@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import mixing, quality, warc
+from tidemark.llm import bpe, language, mixing, quality, warc
 from tidemark.llm.registry import ORACLES, QUERIES, documents, registered  # noqa: F401
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -84,3 +85,20 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@registered("op2_bpe")
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded with a public vocabulary and decoded again."""
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@registered("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every text, learned outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    fold = language.held_out(F.col("doc_id"))
+    model = language.train(docs, fold)
+    return language.predict(docs, model).select(
+        "doc_id", fold.alias("held_out"), "lang_pred", "score", "rejected"
+    )
