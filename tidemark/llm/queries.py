@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, language, mixing, quality, warc
+from tidemark.llm import bpe, language, mixing, quality, topk, warc
 from tidemark.llm.registry import ORACLES, QUERIES, documents, registered  # noqa: F401
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -102,3 +102,23 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select(
         "doc_id", fold.alias("held_out"), "lang_pred", "score", "rejected"
     )
+
+
+TOPK_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score
+  FROM whole q JOIN whole x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+@registered("op9_topk", TOPK_SQL)
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for every hundredth vector."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(table, F.col("vec_id") % 100 == 0)
