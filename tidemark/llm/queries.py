@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, language, mixing, quality, topk, warc
+from tidemark.llm import bpe, language, mixing, quality, recompression, suffixes, topk, warc
 from tidemark.llm.registry import ORACLES, QUERIES, documents, registered  # noqa: F401
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -122,3 +122,39 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of all vectors for every hundredth vector."""
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(table, F.col("vec_id") % 100 == 0)
+
+
+def _repeats_sql(size: int) -> str:
+    """Windows as lists of words; a word is removed when a repeated window covers it."""
+    return rf"""
+WITH split AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+places AS (
+  SELECT doc_id, unnest(range(1, len(w) - {size - 2})) AS pos FROM split WHERE len(w) >= {size}),
+windows AS (
+  SELECT p.doc_id, p.pos, sha256(array_to_string(w[p.pos : p.pos + {size - 1}], ' ')) AS h
+  FROM places p JOIN split USING (doc_id)),
+placed AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS nth FROM windows),
+marks AS (
+  SELECT doc_id, list(pos) AS starts FROM placed WHERE nth > 1 GROUP BY doc_id),
+covered AS (
+  SELECT DISTINCT doc_id, s + i AS pos
+  FROM (SELECT doc_id, unnest(starts) AS s FROM marks), range({size}) r(i)),
+gone AS (SELECT doc_id, list(pos) AS gone FROM covered GROUP BY doc_id),
+kept AS (
+  SELECT s.doc_id, s.w, g.gone,
+         list_filter(s.w, lambda x, i: g.gone IS NULL OR NOT list_contains(g.gone, i)) AS kept
+  FROM split s LEFT JOIN gone g USING (doc_id))
+SELECT doc_id, len(w) AS n_words, len(w) - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM kept"""
+
+
+@registered("op3_recompression", _repeats_sql(20))
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word windows that start earlier as well."""
+    return recompression.remove_repeats(documents(spark, sf_dir), 20).drop("tie")
+
+
+@registered("op7_suffix_array", _repeats_sql(50))
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word passages that start earlier as well."""
+    return suffixes.remove_repeats(documents(spark, sf_dir), 50).drop("tie")
