@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, language, mixing, quality, recompression, suffixes, topk, warc
+from tidemark.llm import bpe, jaccard, language, mixing, quality, recompression, suffixes, topk, warc
 from tidemark.llm.registry import ORACLES, QUERIES, documents, registered  # noqa: F401
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -158,3 +158,32 @@ def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 50-word passages that start earlier as well."""
     return suffixes.remove_repeats(documents(spark, sf_dir), 50).drop("tie")
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+meet AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM meet JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id
+  WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION SELECT reach.doc_id, y FROM reach JOIN links ON r = x)
+SELECT d.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN reach ON reach.doc_id = d.doc_id
+GROUP BY d.doc_id"""
+
+
+@registered("op5_jaccard_join", JACCARD_SQL)
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of 5-word shingles are 75 % alike."""
+    return jaccard.linked_components(documents(spark, sf_dir))

@@ -17,7 +17,7 @@ from tidemark.llm import passages
 from tidemark.llm.flat import Sequences, mix
 
 WINDOW = 20
-ROUNDS = 4
+ROUNDS = 3
 RUN = np.uint64(0xA24BAED4963EE407)
 PAIR = np.uint64(0x9FB21C651E98DF25)
 
