@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, jaccard, language, mixing, quality, recompression, suffixes, topk, warc
+from tidemark.llm import bpe, chat, jaccard, language, mixing, quality, recompression, suffixes, topk, warc
 from tidemark.llm.registry import ORACLES, QUERIES, documents, registered  # noqa: F401
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -187,3 +187,41 @@ GROUP BY d.doc_id"""
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose sets of 5-word shingles are 75 % alike."""
     return jaccard.linked_components(documents(spark, sf_dir))
+
+
+CHAT_SQL = rf"""
+WITH said AS (SELECT * FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL),
+calls AS (
+  SELECT conv_id, turn, 'call_' || turn AS call_id, coalesce(text, '') AS text,
+         len({WORDS_SQL}) % 2 = 1 AS odd,
+         CASE WHEN turn % 8 >= 2 THEN 'call_' || (turn - 2) END AS needs
+  FROM (SELECT conv_id, turn, min(text) AS text FROM said WHERE role = 'assistant' GROUP BY ALL)),
+answers AS (
+  SELECT conv_id, 'call_' || (turn - 1) AS call_id, count(*) AS n_results, min(text) AS content
+  FROM said WHERE role <> 'assistant' GROUP BY ALL),
+chains AS (
+  SELECT c.conv_id, c.call_id, c.turn,
+         CASE WHEN b.turn IS NULL THEN 0 WHEN a.turn IS NULL THEN 1 WHEN z.turn IS NULL THEN 2 ELSE 3 END AS depth
+  FROM calls c
+  LEFT JOIN calls b ON b.conv_id = c.conv_id AND b.call_id = c.needs
+  LEFT JOIN calls a ON a.conv_id = b.conv_id AND a.call_id = b.needs
+  LEFT JOIN calls z ON z.conv_id = a.conv_id AND z.call_id = a.needs)
+SELECT c.conv_id, c.turn, c.call_id, CASE WHEN odd THEN 'search' ELSE 'summarise' END AS tool,
+       depth, coalesce(n_results, 0) AS n_results,
+       CASE WHEN n_results IS NULL THEN 'unanswered' WHEN n_results > 1 THEN 'repeated' ELSE 'linked' END AS status,
+       '' AS errors,
+       sha256('{{"after":[' || coalesce('"' || needs || '"', '') || '],"arguments":{{'
+         || CASE WHEN odd THEN '"limit":' || length(text) || ',"query":' || to_json(text)
+            ELSE '"strict":true,"text":' || to_json(text) END
+         || '}},"id":"' || c.call_id || '","name":"' || CASE WHEN odd THEN 'search' ELSE 'summarise' END
+         || '","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}}') AS json_sha256
+FROM calls c JOIN chains USING (conv_id, call_id)
+LEFT JOIN answers a ON a.conv_id = c.conv_id AND a.call_id = c.call_id"""
+
+
+@registered("op10_chat", CHAT_SQL)
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call of every conversation linked, ordered, validated and serialised."""
+    calls, results = chat.calls_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    rows = chat.linked(calls, results, chat.TOOLS)
+    return rows.withColumn("json_sha256", F.sha2("json", 256)).drop("json")
