@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
 
 from tidemark.llm.language import text_bytes
 
@@ -100,3 +102,30 @@ def flat_words(batch: pa.RecordBatch, lower: bool = False) -> tuple[np.ndarray,
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for part in slices(batch):
+            packed = [squeeze.compress(t.encode("utf-8")) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc"), part.column("tie"), pa.array(packed, pa.binary())], names=["doc", "tie", "packed"]
+            )
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc, tie, packed``: the texts compressed for a shuffle, about half the size it gives them."""
+    return docs.select("doc", "tie", "text").mapInArrow(_pack, "doc long, tie long, packed binary")
+
+
+def unpacked(values) -> list[bytes]:
+    open_ = zstandard.ZstdDecompressor()
+    return [open_.decompress(v) for v in values]
+
+
+def with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with ``packed`` opened as ``text``."""
+    text = pa.array(unpacked(batch.column("packed").to_pylist()), pa.large_binary()).cast(pa.large_string())
+    at = batch.schema.get_field_index("packed")
+    return batch.set_column(at, pa.field("text", pa.large_string()), text)

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.flat import WORD_BASES, Sequences, flat_words, signed, slices
+from tidemark.llm.flat import WORD_BASES, Sequences, flat_words, packed, signed, slices, unpacked, with_text
 from tidemark.settings import settle
 
 LAST = 2**63 - 1
@@ -38,7 +38,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     """``doc, tie, text``: a null id comes last, equal ids are told apart by their text."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.coalesce("text", F.lit("")).alias("text"),
+        F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2**31)).alias("tie"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
 
 
@@ -110,11 +111,12 @@ def first_of_equal(spans: DataFrame) -> DataFrame:
 
 
 def _windows_of(size: int):
-    """Hash the single windows of listed spans: rows ``doc, tie, text, at`` (list of start, n)."""
+    """Hash the single windows of listed spans: rows ``doc, tie, packed, at`` (list of start, n)."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for at in range(0, len(batch), 500):
+                part = with_text(batch.slice(at, 500))
                 words, bounds = flat_words(part)
                 runs = [Sequences(words, b) for b in WORD_BASES]
                 lists = part.column("at")
@@ -142,7 +144,7 @@ def repeated_windows(docs: DataFrame, marked: DataFrame, size: int) -> DataFrame
     open_spans = distinct.join(several, "key", "left_semi")
     listed = open_spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("at"))
     windows = settle(
-        docs.join(listed, ["doc", "tie"]).mapInArrow(
+        packed(docs).join(listed, ["doc", "tie"]).mapInArrow(
             _windows_of(size), "a long, b long, doc long, tie long, start long"
         ),
         "windows",
@@ -157,12 +159,12 @@ def repeated_windows(docs: DataFrame, marked: DataFrame, size: int) -> DataFrame
     )
 
 
-def _kept(size: int, with_text: bool):
+def _kept(size: int, as_text: bool):
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, at in zip(batch["text"], batch["at"]):
-                words = text.encode("utf-8").split()
+            for text, at in zip(unpacked(batch["packed"]), batch["at"]):
+                words = text.split()
                 gone = 0
                 if at is not None and len(at):
                     edge = np.zeros(len(words) + 1, dtype=np.int64)
@@ -175,7 +177,7 @@ def _kept(size: int, with_text: bool):
                 else:
                     left = words
                 kept = b" ".join(left)
-                value = kept.decode("utf-8") if with_text else hashlib.sha256(kept).hexdigest()
+                value = kept.decode("utf-8") if as_text else hashlib.sha256(kept).hexdigest()
                 out.append((len(words), gone, value))
             made = pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
             made.insert(0, "doc", batch["doc"].to_numpy())
@@ -185,16 +187,16 @@ def _kept(size: int, with_text: bool):
     return body
 
 
-def without_repeats(docs: DataFrame, runs: DataFrame, size: int, with_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, runs: DataFrame, size: int, as_text: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed`` and the kept words' SHA-256 (or the kept words).
 
     Whatever the input's rows are, every one of them has a row here.
     """
     lists = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("at"))
-    named = "kept_text" if with_text else "kept_sha256"
+    named = "kept_text" if as_text else "kept_sha256"
     return (
-        docs.join(lists, ["doc", "tie"], "left")
-        .mapInPandas(_kept(size, with_text), "doc long, tie long, n_words long, n_removed long, kept string")
+        packed(docs).join(lists, ["doc", "tie"], "left")
+        .mapInPandas(_kept(size, as_text), "doc long, tie long, n_words long, n_removed long, kept string")
         .select(
             F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "tie", "n_words", "n_removed",
             F.col("kept").alias(named),

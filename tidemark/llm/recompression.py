@@ -104,7 +104,7 @@ def high_symbols(size: int, rounds: int = ROUNDS) -> passages.Anchors:
     return find
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = WINDOW, as_text: bool = False) -> DataFrame:
     """Per document ``doc_id, tie, n_words, n_removed`` and the kept words (or their SHA-256).
 
     Removed are the words covered by a window of ``size`` words whose sequence also starts
@@ -117,4 +117,4 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False)
     spans = passages.repeated_spans(keyed, size, high_symbols(size))
     marked = passages.first_of_equal(spans)
     runs = passages.repeated_windows(keyed, marked, size)
-    return passages.without_repeats(keyed, runs, size, with_text)
+    return passages.without_repeats(keyed, runs, size, as_text)

@@ -79,7 +79,7 @@ def marked_neighbours(spans: DataFrame) -> DataFrame:
     return compared.withColumn("again", F.col("again") | (F.col("head") & running_on)).drop("head", "part")
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """Per document ``doc_id, tie, n_words, n_removed`` and the kept words (or their SHA-256).
 
     Removed are the words covered by a window of ``size`` words whose sequence also starts
@@ -92,4 +92,4 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, with_t
     spans = passages.repeated_spans(keyed, size, minimisers(size, gram))
     marked = settle(marked_neighbours(spans), "marked")
     runs = passages.repeated_windows(keyed, marked, size)
-    return passages.without_repeats(keyed, runs, size, with_text)
+    return passages.without_repeats(keyed, runs, size, as_text)
