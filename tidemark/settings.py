@@ -16,6 +16,7 @@ MAX_BROADCAST_ROWS_KEY = "spark.tidemark.maxBroadcastRows"
 MAX_BROADCAST_ROWS_DEFAULT = 200_000
 
 _local_folders: dict[str, str] = {}
+_work_paths: dict[str, list[str]] = {}
 
 
 def max_group_rows(spark: SparkSession) -> int:
@@ -50,7 +51,25 @@ def work_path(spark: SparkSession, name: str) -> str:
     removed as a whole once the application is done.
     """
     app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/tidemark-{app}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidemark-{app}/{name}-{uuid.uuid4().hex}"
+    _work_paths.setdefault(app, []).append(path)
+    return path
+
+
+def work_paths(spark: SparkSession) -> list[str]:
+    """The work paths handed out so far and not released."""
+    return list(_work_paths.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove work paths that no later plan reads."""
+    held = _work_paths.get(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        if path in held:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+            held.remove(path)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
