@@ -26,6 +26,12 @@ PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ONLY_PYTHON_SPLITS = "\x1c\x1d\x1e\x1f"
 
 KEPT_PIECES = 500_000
+
+
+def digest(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+
+
 FAR = np.int64(2**62)
 
 
@@ -175,12 +181,14 @@ def encoded_batches(path: str, kind: str):
                 rows = list(encoder.encode([t if isinstance(t, str) else None for t in part["text"]]))
                 out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": [r[0] for r in rows]})
                 if kind == "digests":
-                    digest = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
                     out["ids_sha256"] = [digest(r[1]) for r in rows]
                     out["decoded_sha256"] = [digest(r[2]) for r in rows]
                 else:
                     out["ids"] = [list(map(int, r[1].split())) for r in rows]
-                    out["decoded"] = [r[2] for r in rows]
+                    if kind == "rows":
+                        out["decoded_sha256"] = [digest(r[2]) for r in rows]
+                    else:
+                        out["decoded"] = [r[2] for r in rows]
                 yield out.astype({"doc_id": "Int64", "n_tokens": "int64"})
 
     return body
@@ -201,6 +209,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     )
 
 
+def training_rows(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256``: like :func:`encode`, the text as a digest."""
+    return _narrow(docs).mapInPandas(
+        encoded_batches(path, "rows"), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string"
+    )
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: like :func:`encode`, as digests."""
     return _narrow(docs).mapInPandas(

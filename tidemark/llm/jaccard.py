@@ -30,7 +30,7 @@ GRAM = 5
 SHARE = 75
 COUNTERS = 1 << 20
 CHUNKS = 64
-SET_ROWS = "doc long, n long, cls long, tokens binary, bits binary, chunk int, part int, counts binary"
+SET_ROWS = "doc long, tie long, n long, cls long, tokens binary, bits binary, chunk int, part int, counts binary"
 
 
 def token_rows(words: np.ndarray, bounds: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,17 +83,17 @@ def _sets(gram: int):
                 sets = [tokens[a:b] for a, b in zip(cut[:-1], cut[1:])]
                 size = len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(n), signed(mix(sums + n.astype(np.uint64))),
+                    [part.column("doc"), part.column("tie"), pa.array(n), signed(mix(sums + n.astype(np.uint64))),
                      pa.array([t.tobytes() for t in sets], pa.binary()), pa.array([parity_bits(t) for t in sets], pa.binary()),
                      empty(size, pa.int32()), empty(size, pa.int32()), empty(size, pa.binary())],
-                    names=["doc", "n", "cls", "tokens", "bits", "chunk", "part", "counts"],
+                    names=["doc", "tie", "n", "cls", "tokens", "bits", "chunk", "part", "counts"],
                 )
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
-            [*(empty(CHUNKS, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())),
+            [*(empty(CHUNKS, k) for k in (*[pa.int64()] * 4, pa.binary(), pa.binary())),
              pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()),
              pa.array([c.tobytes() for c in np.split(counts, CHUNKS)], pa.binary())],
-            names=["doc", "n", "cls", "tokens", "bits", "chunk", "part", "counts"],
+            names=["doc", "tie", "n", "cls", "tokens", "bits", "chunk", "part", "counts"],
         )
 
     return body
@@ -116,6 +116,10 @@ def token_levels(sketch: DataFrame) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts / max(counts.mean(), 1.0), 1.0))).astype(np.uint8)
 
 
+def text_tie() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def prefix_size(n, share: int):
     return n - -(-share * n // 100) + 1
 
@@ -196,18 +200,10 @@ def verified(pairs: DataFrame, sets: DataFrame, sigs: DataFrame, share: int) ->
     )
 
 
-def linked_components(docs: DataFrame, gram: int = GRAM, share: int = SHARE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every document.
-
-    Two documents link when ``100 * intersection >= share * union`` of their sets of distinct
-    shingles of ``gram`` words (A-Z in lower case); a shorter text is one shingle, a text
-    without words has an empty set and links with nothing.  ``component_id`` is the smallest
-    doc_id reachable; a null doc_id never is one, unless nothing else is reachable.  Repeated
-    rows link with each other; an empty table gives an empty result; other columns are
-    ignored.  Sets and classes are told apart by 64-bit hashes.
-    """
+def linked_rows(docs: DataFrame, gram: int, share: int) -> DataFrame:
+    """``doc, tie, n, root``: per document its set's size and the class that names its component."""
     rows = settle(
-        docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+        docs.select(F.col("doc_id").cast("long").alias("doc"), text_tie().alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
         .mapInArrow(_sets(gram), SET_ROWS),
         "sets",
     )
@@ -286,11 +282,42 @@ def linked_components(docs: DataFrame, gram: int = GRAM, share: int = SHARE) ->
     links = links.unionByName(verified(rest, sets, sigs, share))
     roots = components(links)
 
-    placed = (
-        sets.select("doc", "n", "cls").join(roots, F.col("cls") == F.col("node"), "left")
-        .select("doc", "n", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root"))
+    return sets.select("doc", "tie", "n", "cls").join(roots, F.col("cls") == F.col("node"), "left").select(
+        "doc", "tie", "n", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root")
     )
+
+
+def linked_components(docs: DataFrame, gram: int = GRAM, share: int = SHARE) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every document.
+
+    Two documents link when ``100 * intersection >= share * union`` of their sets of distinct
+    shingles of ``gram`` words (A-Z in lower case); a shorter text is one shingle, a text
+    without words has an empty set and links with nothing.  ``component_id`` is the smallest
+    doc_id reachable; a null doc_id never is one, unless nothing else is reachable.  Repeated
+    rows link with each other; an empty table gives an empty result; other columns are
+    ignored.  Sets and classes are told apart by 64-bit hashes.
+    """
+    placed = settle(linked_rows(docs, gram, share), "linked")
     least_ids = placed.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
     return placed.join(least_ids, "root", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id")
     )
+
+
+def representatives(docs: DataFrame, gram: int = GRAM, share: int = SHARE) -> DataFrame:
+    """One document of each component, with its own columns: the smallest doc_id.
+
+    Ties in doc_id go to the least text hash, and one of several repeated rows stays.
+    Documents without words all stay.
+    """
+    place = F.struct(F.coalesce("doc", F.lit(2**63 - 1)).alias("_doc"), F.col("tie").alias("_tie"))
+    kept = settle(
+        linked_rows(docs, gram, share).where("n > 0").groupBy("root").agg(F.min(place).alias("p")).select("p.*"),
+        "representatives",
+    )
+    has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(has_word).withColumns(
+        {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_tie": text_tie()}
+    )
+    one = keyed.join(kept, ["_doc", "_tie"]).dropDuplicates(["_doc", "_tie"]).select(*docs.columns)
+    return one.unionByName(docs.where(~has_word))

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
 UNKNOWN = "und"
@@ -216,6 +217,31 @@ def _scored(model: Model):
     return body
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose language is not rejected, with their own columns.
+
+    A null ``lang`` becomes the predicted one.
+    """
+    score, names = _scored(model), list(docs.columns)
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judged = next(score(iter([batch.select(["_id", "text", "has_letter"]).rename_columns(["doc_id", "text", "has_letter"])])))
+            keep = pa.compute.invert(judged.column("rejected"))
+            columns = [batch.column(f"_c{i}") for i in range(len(names))]
+            if "lang" in names:
+                at = names.index("lang")
+                columns[at] = pa.compute.coalesce(columns[at], judged.column("lang_pred").cast(columns[at].type))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
+
+    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    wide = docs.select(
+        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)],
+        F.col("doc_id").cast("long").alias("_id"), "text", has_letter.alias("has_letter"),
+    )
+    return wide.mapInArrow(body, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` for every whole text.
 

@@ -17,12 +17,13 @@ words are removed.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.flat import WORD_BASES, Sequences, flat_words, packed, signed, slices, unpacked, with_text
 from tidemark.settings import settle
@@ -34,11 +35,15 @@ SPAN = "key long, span long, doc long, tie long, start long, n long"
 Anchors = Callable[[np.ndarray, Sequences, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+def text_tie() -> Column:
+    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2**31))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc, tie, text``: a null id comes last, equal ids are told apart by their text."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
-        F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2**31)).alias("tie"),
+        text_tie().alias("tie"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
 
@@ -159,46 +164,82 @@ def repeated_windows(docs: DataFrame, marked: DataFrame, size: int) -> DataFrame
     )
 
 
-def _kept(size: int, as_text: bool):
+def _kept_words(words: list[bytes], start, n, size: int) -> list[bool]:
+    """Which words no listed run of windows covers."""
+    edge = np.zeros(len(words) + 1, dtype=np.int64)
+    start, n = np.asarray(start, dtype=np.int64), np.asarray(n, dtype=np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n - 1 + size, -1)
+    return (np.cumsum(edge[:-1]) == 0).tolist()
+
+
+def _digests(size: int):
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, at in zip(unpacked(batch["packed"]), batch["at"]):
-                words = text.split()
-                gone = 0
+            for doc, text, at in zip(batch["doc"], unpacked(batch["packed"]), batch["at"]):
+                words = left = text.split()
                 if at is not None and len(at):
-                    edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    start = np.array([x["start"] for x in at])
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + np.array([x["n"] for x in at]) - 1 + size, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    gone = len(words) - int(keep.sum())
-                    left = [w for w, k in zip(words, keep.tolist()) if k]
-                else:
-                    left = words
-                kept = b" ".join(left)
-                value = kept.decode("utf-8") if as_text else hashlib.sha256(kept).hexdigest()
-                out.append((len(words), gone, value))
-            made = pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
-            made.insert(0, "doc", batch["doc"].to_numpy())
-            made.insert(1, "tie", batch["tie"].to_numpy())
-            yield made
+                    keep = _kept_words(words, [x["start"] for x in at], [x["n"] for x in at], size)
+                    left = [w for w, k in zip(words, keep) if k]
+                out.append((doc, len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
+            yield pd.DataFrame(out, columns=["doc", "n_words", "n_removed", "kept_sha256"])
 
     return body
 
 
-def without_repeats(docs: DataFrame, runs: DataFrame, size: int, as_text: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_removed`` and the kept words' SHA-256 (or the kept words).
+def _lists(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("at"))
 
-    Whatever the input's rows are, every one of them has a row here.
-    """
-    lists = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("at"))
-    named = "kept_text" if as_text else "kept_sha256"
+
+def digests(docs: DataFrame, runs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` for every row of :func:`keyed` documents."""
     return (
-        packed(docs).join(lists, ["doc", "tie"], "left")
-        .mapInPandas(_kept(size, as_text), "doc long, tie long, n_words long, n_removed long, kept string")
-        .select(
-            F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "tie", "n_words", "n_removed",
-            F.col("kept").alias(named),
-        )
+        packed(docs).join(_lists(runs), ["doc", "tie"], "left")
+        .mapInPandas(_digests(size), "doc long, n_words long, n_removed long, kept_sha256 string")
+        .select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    )
+
+
+def cleaned(docs: DataFrame, runs: DataFrame, size: int) -> DataFrame:
+    """The documents with the covered words cut out of ``text``, and ``n_chars`` to match.
+
+    Texts without covered words stay as they are, white space included; a document that loses
+    all its words goes.
+    """
+    solid = re.compile(rb"[^\x20\x09-\x0D]+")
+
+    def cut(text: pd.Series, start: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for t, s, m in zip(text, start, n):
+            if t is None or s is None:
+                out.append(None)
+                continue
+            data = t.encode("utf-8")
+            spans = [x.span() for x in solid.finditer(data)]
+            keep = _kept_words(spans, s, m, size)
+            parts, behind = [], 0
+            for (a, b), k in zip(spans, keep):
+                if k:
+                    parts.append(data[behind:b] if parts else data[a:b])
+                behind = b
+            out.append(b"".join(parts).decode("utf-8"))
+        return pd.Series(out, dtype=object)
+
+    cut_udf = F.pandas_udf(cut, "string")
+    own = docs.columns
+    wide = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_tie": text_tie()})
+    lists = _lists(runs).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("at").alias("_at"))
+    joined = wide.join(lists, ["_doc", "_tie"], "left").withColumn(
+        "_cut", cut_udf(F.when(F.col("_at").isNotNull(), F.col("text")), F.col("_at.start"), F.col("_at.n"))
     )
+    some = F.col("_cut").isNotNull()
+    columns = []
+    for c in own:
+        if c == "text":
+            columns.append(F.coalesce("_cut", "text").alias(c))
+        elif c == "n_chars":
+            columns.append(F.when(some, F.length("_cut")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col(c))
+    return joined.where(~some | (F.length("_cut") > 0)).select(*columns)

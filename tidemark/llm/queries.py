@@ -151,13 +151,13 @@ FROM kept"""
 @registered("op3_recompression", _repeats_sql(20))
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 20-word windows that start earlier as well."""
-    return recompression.remove_repeats(documents(spark, sf_dir), 20).drop("tie")
+    return recompression.remove_repeats(documents(spark, sf_dir), 20)
 
 
 @registered("op7_suffix_array", _repeats_sql(50))
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 50-word passages that start earlier as well."""
-    return suffixes.remove_repeats(documents(spark, sf_dir), 50).drop("tie")
+    return suffixes.remove_repeats(documents(spark, sf_dir), 50)
 
 
 JACCARD_SQL = r"""

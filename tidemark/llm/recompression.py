@@ -104,8 +104,15 @@ def high_symbols(size: int, rounds: int = ROUNDS) -> passages.Anchors:
     return find
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, as_text: bool = False) -> DataFrame:
-    """Per document ``doc_id, tie, n_words, n_removed`` and the kept words (or their SHA-256).
+def repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``doc, tie, start, n``: runs of windows that also start earlier."""
+    keyed = passages.keyed(docs)
+    spans = passages.repeated_spans(keyed, size, high_symbols(size))
+    return passages.repeated_windows(keyed, passages.first_of_equal(spans), size)
+
+
+def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Per document ``doc_id, n_words, n_removed`` and the SHA-256 of the kept words.
 
     Removed are the words covered by a window of ``size`` words whose sequence also starts
     earlier (smaller doc_id, or same document, earlier start); windows are judged on the
@@ -113,8 +120,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, as_text: bool = False) -
     text share one result; texts shorter than a window lose nothing; an empty table gives an
     empty result; other columns are ignored.
     """
-    keyed = passages.keyed(docs)
-    spans = passages.repeated_spans(keyed, size, high_symbols(size))
-    marked = passages.first_of_equal(spans)
-    runs = passages.repeated_windows(keyed, marked, size)
-    return passages.without_repeats(keyed, runs, size, as_text)
+    return passages.digests(passages.keyed(docs), repeats(docs, size), size)
+
+
+def clean_documents(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The documents themselves without the words that :func:`remove_repeats` removes."""
+    return passages.cleaned(docs, repeats(docs, size), size)

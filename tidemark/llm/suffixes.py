@@ -79,8 +79,16 @@ def marked_neighbours(spans: DataFrame) -> DataFrame:
     return compared.withColumn("again", F.col("again") | (F.col("head") & running_on)).drop("head", "part")
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, as_text: bool = False) -> DataFrame:
-    """Per document ``doc_id, tie, n_words, n_removed`` and the kept words (or their SHA-256).
+def repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``doc, tie, start, n``: runs of windows that also start earlier."""
+    keyed = passages.keyed(docs)
+    spans = passages.repeated_spans(keyed, size, minimisers(size, gram))
+    marked = settle(marked_neighbours(spans), "marked")
+    return passages.repeated_windows(keyed, marked, size)
+
+
+def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Per document ``doc_id, n_words, n_removed`` and the SHA-256 of the kept words.
 
     Removed are the words covered by a window of ``size`` words whose sequence also starts
     earlier (smaller doc_id, or same document, earlier start); windows are judged on the
@@ -88,8 +96,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, as_tex
     text share one result; texts shorter than a window lose nothing; an empty table gives an
     empty result; other columns are ignored.
     """
-    keyed = passages.keyed(docs)
-    spans = passages.repeated_spans(keyed, size, minimisers(size, gram))
-    marked = settle(marked_neighbours(spans), "marked")
-    runs = passages.repeated_windows(keyed, marked, size)
-    return passages.without_repeats(keyed, runs, size, as_text)
+    return passages.digests(passages.keyed(docs), repeats(docs, size, gram), size)
+
+
+def clean_documents(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The documents themselves without the words that :func:`remove_repeats` removes."""
+    return passages.cleaned(docs, repeats(docs, size, gram), size)
