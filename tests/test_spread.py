@@ -14,6 +14,10 @@ def rows(spark):
     for i in range(600):
         key = "hot" if i % 3 else f"k{i % 7}"
         data.append((key, i, float(rng.choice([1, 2, 3, 5, 8, 13])), rng.choice([None, i])))
+    # A NULL key, NULL order values and NULL values are groups and values like any other.
+    for i in range(600, 640):
+        data.append((None, i, float(i % 3) if i % 4 else None, None))
+    data += [("hot", None, 1.0, 7), (None, None, 2.0, 8)]
     return spark.createDataFrame(data, "k string, seq long, v double, mark long").repartition(5)
 
 
@@ -66,6 +70,31 @@ def test_blocks_give_complete_frames(spark, rows, small_groups):
     assert out[0] == out[1]
 
 
+def test_average_ranks_with_null_keys_and_values(spark, rows, small_groups):
+    from tidemark.operators.metrics import average_ranks
+
+    named = rows.withColumn("label_id", F.coalesce("seq", F.lit(-1)))
+    one = average_ranks(named, "k", "v", False, "r")
+    two = average_ranks(named, "k", "v", True, "r")
+    assert one.count() == rows.count()
+    assert table(one, "k", "seq", "v", "r") == table(two, "k", "seq", "v", "r")
+
+
+def test_one_repeated_value(spark, small_groups):
+    same = spark.range(50).select(F.lit(None).cast("string").alias("k"), F.lit(1.0).alias("v"), "id")
+    for heavy in (False, True):
+        assert spread.middle_values(same, ["k"], "v", heavy).collect()[0][1:] == (50, 1.0, 1.0, 1.0)
+        assert sorted(r.pos for r in spread.numbered(same, ["k"], ["v", "id"], heavy).collect()) == list(range(1, 51))
+
+
+def test_leave_one_out_with_a_null_group(spark, rows, small_groups):
+    from tidemark.operators.panel import leave_one_out
+
+    one = leave_one_out(rows, ["k"], ["v"], False, "x")
+    two = leave_one_out(rows, ["k"], ["v"], True, "x")
+    assert table(one, "k", "seq", "v", "v_x", "alone_x") == table(two, "k", "seq", "v", "v_x", "alone_x")
+
+
 def test_no_column_is_added_to_the_result(spark, rows, small_groups):
     out = spread.last_known(rows, ["k"], ["seq"], True, "mark")
     assert set(out.columns) == set(rows.columns)

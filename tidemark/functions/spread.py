@@ -2,10 +2,13 @@
 
 A window partitioned by a key puts that key's rows into one task.  That is the right
 plan for keys of ordinary size.  For keys above ``spark.tidemark.maxGroupRows`` the
-functions here take a split form with the same result: rows are divided by value ranges
-within the key, small per-range summaries are combined, and each range is finished alone.
-The range boundaries only balance the work; no result depends on where they lie.  They
-are written down once (``settle``) so every use within a plan sees the same boundaries.
+functions here take a split form with the same result: rows are dealt by ranges of the key
+and the whole order, small summaries per range are combined, and each range is finished
+alone.  A key spans as many ranges as its rows need, so the number of ranges follows
+``spark.sql.shuffle.partitions`` and with it the size of the data.  Ranges only balance the
+work; no result depends on where they lie.  They are written down once (``settle``) so every
+use within a plan sees the same ones.  NULL keys are keys like any other and NULL order
+values come first, in both forms.
 """
 
 from __future__ import annotations
@@ -16,22 +19,39 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.settings import max_group_rows, settle
 
-PIECES = 256
+_measured: dict[tuple, int] = {}
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; keeps the left side's key columns."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def largest_group(df: DataFrame, *key_sets: Sequence[str]) -> list[int]:
-    """Rows of the largest group for each key set, in one job."""
+    """Rows of the largest group for each key set, in one job.
+
+    Asked again for the same plan the answer is remembered: it only chooses between two forms
+    with the same result.
+    """
+    app, plan = df.sparkSession.sparkContext.applicationId, df.semanticHash()
+    names = [(app, plan, tuple(keys)) for keys in key_sets]
+    missing = [i for i, name in enumerate(names) if name not in _measured]
     counted = None
-    for index, keys in enumerate(key_sets):
+    for index in missing:
         one = (
-            df.groupBy(*keys)
+            df.groupBy(*key_sets[index])
             .count()
             .agg(F.max("count").alias("n"))
             .select(F.lit(index).alias("i"), F.coalesce("n", F.lit(0)).alias("n"))
         )
         counted = one if counted is None else counted.unionByName(one)
-    found = {row.i: row.n for row in counted.collect()}
-    return [found.get(i, 0) for i in range(len(key_sets))]
+    if counted is not None:
+        _measured.update({names[row.i]: row.n for row in counted.collect()})
+    return [_measured[name] for name in names]
 
 
 def is_heavy(df: DataFrame, *key_sets: Sequence[str]) -> list[bool]:
@@ -39,39 +59,21 @@ def is_heavy(df: DataFrame, *key_sets: Sequence[str]) -> list[bool]:
     return [n > limit for n in largest_group(df, *key_sets)]
 
 
-def with_pieces(df: DataFrame, keys: Sequence[str], value: str, piece: str = "_piece") -> DataFrame:
-    """Add a range number per key, monotone in ``value``; NULL values go last."""
-    shares = [i / PIECES for i in range(1, PIECES)]
-    numeric = F.col(value)
-    kind = df.schema[value].dataType.typeName()
-    if kind == "timestamp":
-        numeric = F.unix_micros(numeric)
-    df = df.withColumn("_cut_value", numeric)
-    cuts = settle(
-        df.groupBy(*keys).agg(
-            F.array_distinct(F.percentile_approx("_cut_value", shares, 10_000)).alias("_cuts")
-        ),
-        "cuts",
-    )
-    same = [df[k].eqNullSafe(cuts[k]) for k in keys]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    joined = df.join(cuts, condition, "left").select(df["*"], cuts["_cuts"])
-    below = F.size(F.filter("_cuts", lambda c: c < F.col("_cut_value")))
-    return joined.withColumn(
-        piece, F.when(F.col("_cut_value").isNull(), F.lit(PIECES + 1)).otherwise(below)
-    ).drop("_cuts", "_cut_value")
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Deal rows by ranges of key and order; ``_piece`` numbers the ranges, written down."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *keys, *order)
+    return settle(dealt.withColumn("_piece", F.spark_partition_id()), "pieces")
 
 
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], heavy: bool, name: str = "pos"
 ) -> DataFrame:
-    """Position within the key from 1, by ``order`` (a total order, first column ranged)."""
+    """Position within the key from 1, by ``order`` (a total order)."""
     keys = list(keys)
     if not heavy:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    pieced = settle(with_pieces(df, keys, order[0]), "pieces")
+    pieced = in_ranges(df, keys, order)
     ahead = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         pieced.groupBy(*keys, "_piece")
@@ -81,8 +83,7 @@ def numbered(
     )
     inside = F.row_number().over(W.partitionBy(*keys, "_piece").orderBy(*order))
     return (
-        pieced.withColumn("_inside", inside)
-        .join(offsets, [*keys, "_piece"])
+        join_same(pieced.withColumn("_inside", inside), offsets, [*keys, "_piece"])
         .withColumn(name, (F.col("_inside") + F.col("_ahead")).cast("long"))
         .drop("_inside", "_ahead", "_piece")
     )
@@ -131,11 +132,8 @@ def running(
     if not heavy:
         frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({n: combine[kind](c).over(frame) for n, (kind, c) in totals.items()})
-    pieced = settle(
-        with_pieces(
-            df.withColumns({f"_in_{n}": c for n, (_, c) in totals.items()}), keys, order[0]
-        ),
-        "pieces",
+    pieced = in_ranges(
+        df.withColumns({f"_in_{n}": c for n, (_, c) in totals.items()}), keys, order
     )
     ahead = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     per_piece = pieced.groupBy(*keys, "_piece").agg(
@@ -150,9 +148,10 @@ def running(
         ],
     )
     frame = W.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    within = pieced.withColumns(
+    summed = pieced.withColumns(
         {n: combine[kind](f"_in_{n}").over(frame) for n, (kind, _) in totals.items()}
-    ).join(carried, [*keys, "_piece"])
+    )
+    within = join_same(summed, carried, [*keys, "_piece"])
     joined = {
         "sum": lambda a, b: F.when(a.isNull() & b.isNull(), None).otherwise(
             F.coalesce(a, b - b) + F.coalesce(b, a - a)
@@ -176,7 +175,7 @@ def last_known(
     if not heavy:
         frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(column, F.last(column, ignorenulls=True).over(frame))
-    pieced = settle(with_pieces(df, keys, order[0]), "pieces")
+    pieced = in_ranges(df, keys, order)
     frame = W.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     held = F.col(column).isNotNull()
     ahead = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
@@ -186,9 +185,9 @@ def last_known(
         .withColumn("_carry", F.last("_end", ignorenulls=True).over(ahead))
         .drop("_end")
     )
+    inside = pieced.withColumn(column, F.last(column, ignorenulls=True).over(frame))
     return (
-        pieced.withColumn(column, F.last(column, ignorenulls=True).over(frame))
-        .join(carried, [*keys, "_piece"])
+        join_same(inside, carried, [*keys, "_piece"])
         .withColumn(column, F.coalesce(F.col(column), F.col("_carry")))
         .drop("_piece", "_carry")
     )
@@ -216,11 +215,13 @@ def order_statistics(
         )
         ranked = ranked.withColumn("_copies", F.lit(1))
     else:
-        pieced = settle(with_pieces(present, keys, value), "pieces")
+        # Copies of one value collapse before they are dealt, so no value fills a range.
+        values = present.groupBy(*keys, value).agg(F.count("*").alias("_copies"))
+        pieced = in_ranges(values, keys, [value])
         ahead = w.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
         ranges = (
             pieced.groupBy(*keys, "_piece")
-            .agg(F.count("*").alias("_here"))
+            .agg(F.sum("_copies").alias("_here"))
             .withColumn("_ahead", F.coalesce(F.sum("_here").over(ahead), F.lit(0)))
             .withColumn("n", F.sum("_here").over(w))
         )
@@ -228,12 +229,7 @@ def order_statistics(
         for rank in wanted.values():
             holds = holds | ((rank > F.col("_ahead")) & (rank <= F.col("_ahead") + F.col("_here")))
         # One row per range keeps the group in the result even when no rank falls into it.
-        # Copies of one value collapse before ordering, so a repeated value cannot fill a range.
-        few = (
-            pieced.join(ranges.where(holds | (F.col("_ahead") == 0)), [*keys, "_piece"])
-            .groupBy(*keys, "_piece", "_ahead", "n", value)
-            .agg(F.count("*").alias("_copies"))
-        )
+        few = join_same(pieced, ranges.where(holds | (F.col("_ahead") == 0)), [*keys, "_piece"])
         upto = W.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
         ranked = few.withColumn("_to", F.col("_ahead") + F.sum("_copies").over(upto))
     at = lambda rank: (rank <= F.col("_to")) & (rank > F.col("_to") - F.col("_copies"))

@@ -36,9 +36,8 @@ def shuffled_within_date(labels: DataFrame, date: str, value: str, seed: str) ->
     [heavy] = spread.is_heavy(rows, [date])
     givers = spread.numbered(rows.select(date, value, "_from", "label_id"), [date], ["_from", "label_id"], heavy)
     takers = spread.numbered(rows.select(date, "_to", "label_id"), [date], ["_to", "label_id"], heavy)
-    return takers.select(date, "pos", "label_id").join(
-        givers.select(date, "pos", F.col(value).alias(f"shuffled_{value}")), [date, "pos"]
-    ).drop("pos")
+    given = givers.select(date, "pos", F.col(value).alias(f"shuffled_{value}"))
+    return spread.join_same(takers.select(date, "pos", "label_id"), given, [date, "pos"]).drop("pos")
 
 
 def average_ranks(df: DataFrame, key: str, value: str, heavy: bool, name: str) -> DataFrame:
@@ -49,7 +48,7 @@ def average_ranks(df: DataFrame, key: str, value: str, heavy: bool, name: str) -
         return df.withColumn(name, F.rank().over(w.orderBy(value)) + (ties - 1) / 2.0)
     placed = spread.numbered(df, [key], [value, "label_id"], True, name="_at")
     shared = placed.groupBy(key, value).agg(F.avg("_at").alias(name))
-    return placed.drop("_at").join(shared, [key, value])
+    return spread.join_same(placed.drop("_at"), shared, [key, value])
 
 
 def daily_ic(scored: DataFrame, date: str = "date") -> DataFrame:
@@ -135,7 +134,7 @@ def deciles(scored: DataFrame, date: str = "date") -> DataFrame:
     [heavy] = spread.is_heavy(scored, [date])
     placed = spread.numbered(scored, [date], ["prediction", "label_id"], heavy)
     sizes = scored.groupBy(date).agg(F.count("*").alias("_n"))
-    return placed.join(sizes, date).withColumn(
+    return spread.join_same(placed, sizes, [date]).withColumn(
         "decile", (F.floor((F.col("pos") - 1) * 10 / F.col("_n")) + 1).cast("int")
     ).drop("pos", "_n")
 

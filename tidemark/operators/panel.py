@@ -144,7 +144,7 @@ def leave_one_out(
             stats = spread.middle_values(df, keys, v, True).toDF(
                 *keys, f"_n_{v}", f"_x0_{v}", f"_x1_{v}", f"_x2_{v}"
             )
-            df = df.join(stats, keys, "left")
+            df = spread.join_same(df, stats, keys, "left")
     made = {}
     for v in values:
         peer = loo_median(F.col(v), *[F.col(f"_{n}_{v}") for n in ("n", "x0", "x1", "x2")])
@@ -179,4 +179,4 @@ def residuals(
         )
     latest = mapped.groupBy(*sector).agg(F.max("move_seen").alias("seen_sec"))
     overall = latest.groupBy(*session).agg(F.max("seen_sec").alias("seen_mkt"))
-    return out.join(latest, sector, "left").join(overall, session, "left")
+    return spread.join_same(spread.join_same(out, latest, sector, "left"), overall, session, "left")
