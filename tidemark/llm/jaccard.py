@@ -30,7 +30,8 @@ GRAM = 5
 SHARE = 75
 COUNTERS = 1 << 20
 CHUNKS = 64
-SET_ROWS = "doc long, tie long, n long, cls long, tokens binary, bits binary, chunk int, part int, counts binary"
+LAST = 2**63 - 1
+SET_ROWS = "doc long, tie long, n long, cls long, bits binary, chunk int, part int, counts binary"
 
 
 def token_rows(words: np.ndarray, bounds: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,42 +64,65 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def token_sets(part: pa.RecordBatch, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of a batch: all tokens, their row numbers, the sets' sizes and classes."""
+    words, bounds = flat_words(part, lower=True)
+    tokens, row = token_rows(words, bounds, gram)
+    cut = np.searchsorted(row, np.arange(len(part) + 1))
+    n, sums = np.diff(cut), np.zeros(len(part), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        sums[full] = np.add.reduceat(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), cut[full])
+    return tokens, row, n, mix(sums + n.astype(np.uint64))
+
+
+def _cuts(n: np.ndarray) -> list[tuple[int, int]]:
+    ends = np.cumsum(n)
+    return list(zip((ends - n).tolist(), ends.tolist()))
+
+
 def _sets(gram: int):
-    """One row per text with its set, then the task's counters of tokens."""
+    """One row per text with the digest of its set, then the task's counters of tokens."""
+    names = ["doc", "tie", "n", "cls", "bits", "chunk", "part", "counts"]
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.uint32)
         empty = lambda n, kind: pa.nulls(n, kind)
         for batch in batches:
             for part in slices(batch):
-                words, bounds = flat_words(part, lower=True)
-                tokens, row = token_rows(words, bounds, gram)
+                tokens, _, n, cls = token_sets(part, gram)
                 counts += np.bincount((tokens >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                cut = np.searchsorted(row, np.arange(len(part) + 1))
-                n = np.diff(cut)
-                sums = np.zeros(len(part), np.uint64)
-                full = np.flatnonzero(n)
-                if len(full):
-                    sums[full] = np.add.reduceat(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), cut[full])
-                sets = [tokens[a:b] for a, b in zip(cut[:-1], cut[1:])]
                 size = len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), part.column("tie"), pa.array(n), signed(mix(sums + n.astype(np.uint64))),
-                     pa.array([t.tobytes() for t in sets], pa.binary()), pa.array([parity_bits(t) for t in sets], pa.binary()),
+                    [part.column("doc"), part.column("tie"), pa.array(n), signed(cls),
+                     pa.array([parity_bits(tokens[a:b]) for a, b in _cuts(n)], pa.binary()),
                      empty(size, pa.int32()), empty(size, pa.int32()), empty(size, pa.binary())],
-                    names=["doc", "tie", "n", "cls", "tokens", "bits", "chunk", "part", "counts"],
+                    names=names,
                 )
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
-            [*(empty(CHUNKS, k) for k in (*[pa.int64()] * 4, pa.binary(), pa.binary())),
+            [*(empty(CHUNKS, k) for k in (*[pa.int64()] * 4, pa.binary())),
              pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()),
              pa.array([c.tobytes() for c in np.split(counts, CHUNKS)], pa.binary())],
-            names=["doc", "tie", "n", "cls", "tokens", "bits", "chunk", "part", "counts"],
+            names=names,
         )
 
     return body
 
 
+def _whole_sets(gram: int):
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                tokens, _, n, _ = token_sets(part, gram)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("cls"), pa.array([tokens[a:b].tobytes() for a, b in _cuts(n)], pa.binary())],
+                    names=["cls", "tokens"],
+                )
+
+    return body
+
+
 def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(COUNTERS // CHUNKS, dtype=np.uint64)
     for c in rows["counts"]:
@@ -124,26 +148,26 @@ def prefix_size(n, share: int):
     return n - -(-share * n // 100) + 1
 
 
-def _prefixes(levels: np.ndarray, share: int):
-    """Per set its group (size and prefix) and the tokens of the prefix in global order."""
+def _prefixes(levels: np.ndarray, gram: int, share: int):
+    """Per text its class, its group (size and prefix) and the prefix's tokens in global order."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                n = part.column("n").to_numpy()
-                flat = np.frombuffer(b"".join(part.column("tokens").to_pylist()), np.uint64)
-                row = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((flat, levels[(flat >> np.uint64(44)).astype(np.int64)], row))
-                place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-                kept = place < prefix_size(n, share)[row]
-                flat, size = flat[order][kept], prefix_size(n, share)
+            for part in slices(batch):
+                tokens, row, n, cls = token_sets(part, gram)
+                order = np.lexsort((tokens, levels[(tokens >> np.uint64(44)).astype(np.int64)], row))
+                place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+                full = n > 0
+                size = prefix_size(n, share)
+                tokens = tokens[order][place < size[row]]
+                n, cls, size = n[full], cls[full], size[full]
+                if not len(n):
+                    continue
                 first = np.cumsum(size) - size
-                group = np.add.reduceat(mix(flat), first) if len(flat) else flat
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(flat)].astype(np.int32)), signed(flat))
+                group = mix(np.add.reduceat(mix(tokens), first) + n.astype(np.uint64))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(tokens)].astype(np.int32)), signed(tokens))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("cls"), part.column("n"), signed(mix(group + n.astype(np.uint64))), lists],
-                    names=["cls", "n", "grp", "prefix"],
+                    [signed(cls), pa.array(n), signed(group), lists], names=["cls", "n", "grp", "prefix"]
                 )
 
     return body
@@ -177,56 +201,67 @@ def sizes_fit(n: Column, m: Column, share: int) -> Column:
     return 100 * F.least(n, m) >= share * F.greatest(n, m)
 
 
-def _listed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows of ``df`` whose key is listed; the list is broadcast only when it is small."""
-    small = keys.count() <= max_broadcast_rows(df.sparkSession)
-    return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
+class Sets:
+    """What is known of the classes: their bitmaps, and one text of each."""
 
+    def __init__(self, keyed: DataFrame, rows: DataFrame, gram: int, share: int):
+        self.keyed, self.gram, self.share = keyed, gram, share
+        self.rows = rows.where("n > 0")
+        self.bits = settle(self.rows.select("cls", "n", "bits").dropDuplicates(["cls"]), "signatures")
 
-def verified(pairs: DataFrame, sets: DataFrame, sigs: DataFrame, share: int) -> DataFrame:
-    """The pairs (x, y) of classes that link."""
-    one = lambda c: sigs.select(F.col("cls").alias(c), F.col("n").alias(f"{c}n"), F.col("bits").alias(f"{c}b"))
-    bounded = (
-        pairs.join(one("x"), "x").join(one("y"), "y")
-        .where(sizes_fit(F.col("xn"), F.col("yn"), share))
-        .mapInPandas(_may_link(share), "x long, y long")
-    )
-    near = settle(bounded.distinct(), "near")
-    needed = settle(near.select(F.col("x").alias("cls")).union(near.select("y")).distinct(), "needed")
-    whole = settle(_listed(sets.select("cls", "tokens"), needed, "cls").dropDuplicates(["cls"]), "whole")
-    side = lambda c: whole.select(F.col("cls").alias(c), F.col("tokens").alias(f"{c}t"))
-    return settle(
-        near.join(side("x"), "x").join(side("y"), "y").mapInPandas(_links(share), "x long, y long"), "verified"
-    )
+    def whole(self, needed: DataFrame) -> DataFrame:
+        """``cls, tokens``: the whole sets of the listed classes."""
+        place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("doc"), "tie")
+        texts = settle(
+            self.rows.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min(place).alias("p")).select("cls", "p.*"),
+            "texts",
+        )
+        small = texts.count() <= max_broadcast_rows(texts.sparkSession)
+        found = self.keyed.withColumn("doc", F.coalesce("doc", F.lit(LAST))).join(
+            F.broadcast(texts) if small else texts, ["doc", "tie"]
+        )
+        made = found.select("cls", "text").mapInArrow(_whole_sets(self.gram), "cls long, tokens binary")
+        return settle(made, "whole")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) of classes that link."""
+        one = lambda c: self.bits.select(F.col("cls").alias(c), F.col("n").alias(f"{c}n"), F.col("bits").alias(f"{c}b"))
+        bounded = (
+            pairs.join(one("x"), "x").join(one("y"), "y")
+            .where(sizes_fit(F.col("xn"), F.col("yn"), self.share))
+            .mapInPandas(_may_link(self.share), "x long, y long")
+        )
+        near = settle(bounded.distinct(), "near")
+        whole = self.whole(near.select(F.col("x").alias("cls")).union(near.select("y")).distinct()).dropDuplicates(["cls"])
+        side = lambda c: whole.select(F.col("cls").alias(c), F.col("tokens").alias(f"{c}t"))
+        both = near.join(side("x"), "x").join(side("y"), "y")
+        return settle(both.mapInPandas(_links(self.share), "x long, y long"), "verified")
 
 
 def linked_rows(docs: DataFrame, gram: int, share: int) -> DataFrame:
     """``doc, tie, n, root``: per document its set's size and the class that names its component."""
-    rows = settle(
-        docs.select(F.col("doc_id").cast("long").alias("doc"), text_tie().alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
-        .mapInArrow(_sets(gram), SET_ROWS),
-        "sets",
+    keyed = docs.select(
+        F.col("doc_id").cast("long").alias("doc"), text_tie().alias("tie"), F.coalesce("text", F.lit("")).alias("text")
     )
+    rows = settle(keyed.mapInArrow(_sets(gram), SET_ROWS), "sets")
     levels = token_levels(rows.where(F.col("chunk").isNotNull()).select("chunk", "part", "counts"))
-    sets = rows.where(F.col("chunk").isNull())
-    full = sets.where("n > 0")
-    sigs = settle(full.select("cls", "n", "bits").dropDuplicates(["cls"]), "signatures")
+    rows = rows.where(F.col("chunk").isNull())
+    sets = Sets(keyed, rows, gram, share)
     prefixed = settle(
-        full.select("cls", "n", "tokens").mapInArrow(_prefixes(levels, share), "cls long, n long, grp long, prefix array<long>"),
-        "prefixes",
+        keyed.mapInArrow(_prefixes(levels, gram, share), "cls long, n long, grp long, prefix array<long>"), "prefixes"
     )
     members = settle(prefixed.select("cls", "grp", "n").distinct(), "members")
     firsts = members.groupBy("grp").agg(F.min("cls").alias("first"), F.max("cls").alias("last"))
-    postings = prefixed.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = (
-        postings.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
-    )
-    post = settle(
-        postings.join(shared, "token").groupBy("token", "grp").agg(
-            F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("lo").alias("lo"), F.first("hi").alias("hi")
-        ),
+    # Copies of a text repeat its tokens here; they fall together once the lone tokens are gone.
+    again = prefixed.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")
+    postings = settle(
+        prefixed.select("grp", F.posexplode("prefix").alias("pos", "token")).join(again, "token")
+        .groupBy("token", "grp").agg(F.min("pos").alias("pos")),
         "postings",
     )
+    shared = postings.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
+    sizes = members.groupBy("grp").agg(F.min("n").alias("n"))
+    post = settle(postings.join(shared, "token").join(sizes, "grp"), "shared")
 
     # Every class with the first of its own group, and with the first of one other group per token.
     within = members.join(firsts, "grp").where("cls <> first").select(F.col("cls").alias("x"), F.col("first").alias("y"))
@@ -236,7 +271,7 @@ def linked_rows(docs: DataFrame, gram: int, share: int) -> DataFrame:
         hubs = firsts.select(F.col("grp").alias("hub"), F.col("first").alias("y"))
         return pairs.join(hubs, "hub").join(members, "grp").select(F.col("cls").alias("x"), "y")
 
-    links = verified(within.unionByName(stars(post, "lo")).distinct(), sets, sigs, share)
+    links = sets.verified(within.unionByName(stars(post, "lo")).distinct())
     roots = components(links)
 
     def open_postings(roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -254,7 +289,7 @@ def linked_rows(docs: DataFrame, gram: int, share: int) -> DataFrame:
         return placed, groups, settle(held.join(mixed, "token", "left_semi"), "open")
 
     _, _, still = open_postings(roots)
-    links = links.unionByName(verified(stars(still, "hi").distinct(), sets, sigs, share))
+    links = links.unionByName(sets.verified(stars(still, "hi").distinct()))
     roots = components(links)
     placed, groups, still = open_postings(roots)
 
@@ -279,10 +314,10 @@ def linked_rows(docs: DataFrame, gram: int, share: int) -> DataFrame:
         group_pairs.unionByName(alike).join(left, "grp").join(right, "h")
         .where("xr <> yr").select("x", "y").distinct()
     )
-    links = links.unionByName(verified(rest, sets, sigs, share))
+    links = links.unionByName(sets.verified(rest))
     roots = components(links)
 
-    return sets.select("doc", "tie", "n", "cls").join(roots, F.col("cls") == F.col("node"), "left").select(
+    return rows.select("doc", "tie", "n", "cls").join(roots, F.col("cls") == F.col("node"), "left").select(
         "doc", "tie", "n", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root")
     )
 
@@ -310,14 +345,14 @@ def representatives(docs: DataFrame, gram: int = GRAM, share: int = SHARE) -> Da
     Ties in doc_id go to the least text hash, and one of several repeated rows stays.
     Documents without words all stay.
     """
-    place = F.struct(F.coalesce("doc", F.lit(2**63 - 1)).alias("_doc"), F.col("tie").alias("_tie"))
+    place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("_doc"), F.col("tie").alias("_tie"))
     kept = settle(
         linked_rows(docs, gram, share).where("n > 0").groupBy("root").agg(F.min(place).alias("p")).select("p.*"),
         "representatives",
     )
     has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     keyed = docs.where(has_word).withColumns(
-        {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_tie": text_tie()}
+        {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_tie": text_tie()}
     )
     one = keyed.join(kept, ["_doc", "_tie"]).dropDuplicates(["_doc", "_tie"]).select(*docs.columns)
     return one.unionByName(docs.where(~has_word))
