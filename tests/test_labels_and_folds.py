@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -88,18 +89,23 @@ DAYS = lambda n: timedelta(days=n)
 SPLIT = folds.SplitConfig(DAYS(5), DAYS(5), DAYS(100), DAYS(20), DAYS(20), 3)
 
 
-def test_fold_windows():
-    held, reasons = folds.fold_windows(ORIGIN, SPLIT, ORIGIN + DAYS(400))
-    day = lambda t: (t - ORIGIN).days
+def test_fold_windows(spark):
+    plan = folds.FoldPlan(ORIGIN, SPLIT, ORIGIN + DAYS(400))
+    day = lambda t: (t.replace(tzinfo=timezone.utc) - ORIGIN).days
+    held = plan.table(spark).orderBy("fold").collect()
     assert [day(t) for t in held[0][1:]] == [0, 100, 105, 125, 130, 150]
-    assert [day(w[2]) for w in held] == [100, 120, 140] and reasons == []
-    held, reasons = folds.fold_windows(ORIGIN, SPLIT, ORIGIN + DAYS(171))
-    assert len(held) == 2 and len(reasons) == 2 and "insufficient span for fold 2" in reasons[0]
+    assert [day(w.train_end) for w in held] == [100, 120, 140] and plan.shortfall(spark).count() == 0
+    plan = folds.FoldPlan(ORIGIN, SPLIT, ORIGIN + DAYS(171))
+    assert plan.count == 2
+    [short] = plan.shortfall(spark).collect()
+    assert (short.fold, short.code, day(short.ends), day(short.available_until)) == (2, "span_too_short", 190, 171)
+    assert folds.FoldPlan(ORIGIN, SPLIT, ORIGIN + DAYS(149)).count == 0
 
 
 def test_assignment_and_purge(spark):
-    held, _ = folds.fold_windows(ORIGIN, SPLIT, ORIGIN + DAYS(150))
+    held = folds.FoldPlan(ORIGIN, SPLIT, ORIGIN + DAYS(150))
     naive = lambda d: (ORIGIN + DAYS(d)).replace(tzinfo=None)
+    assert folds.assign(spark.createDataFrame([("x", naive(1), naive(0))], "label_id string, prediction_time timestamp, outcome_time timestamp"), held).first().reason == "outcome_before_prediction"
     rows = [(f"l{d}", naive(d), naive(d + 5)) for d in (0, 94, 95, 96, 100, 102, 105, 130, 145, 146, 150)]
     df = spark.createDataFrame(rows, "label_id string, prediction_time timestamp, outcome_time timestamp")
     got = {r.label_id: (r.window, r.reason) for r in folds.assign(df, held).collect()}
@@ -112,10 +118,13 @@ def test_assignment_and_purge(spark):
 def test_a_hash_moves_with_any_member(spark):
     schema = "fold int, label_id string, window string, reason string"
     base = [(0, f"l{i}", "train", None) for i in range(50)]
-    address = lambda rows: folds.fold_hash(spark.createDataFrame(rows, schema)).first().digest
+    plan = lambda **change: folds.FoldPlan(ORIGIN, replace(SPLIT, folds=1, **change), ORIGIN + DAYS(150))
+    address = lambda rows, **change: folds.fold_hash(spark.createDataFrame(rows, schema), plan(**change)).first().digest
     assert address(base) == address(list(reversed(base)))
     assert address(base) != address(base[:-1])
     assert address(base) != address([*base[:-1], (0, "l49", None, "in_purge_gap")])
+    assert address(base) != address(base, horizon=DAYS(4))
+    assert address([]) != address([], horizon=DAYS(4))
 
 
 @pytest.mark.parametrize("change", [{"purge": DAYS(4)}, {"test": DAYS(5)}, {"folds": 0}, {"train": DAYS(0)}])

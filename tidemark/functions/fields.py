@@ -43,6 +43,15 @@ class JsonFields:
         exact = self.kind(name).isin("STRING", "BIGINT") & self.text(name).rlike(pattern)
         return ~F.coalesce(exact, F.lit(False))
 
+    def exact(self, name: str) -> Column:
+        """The number with eight decimals, NULL when it does not fit without rounding."""
+        rounded = F.coalesce(self.text(name).rlike(r"\.[0-9]{8}[0-9]*[1-9]"), F.lit(False))
+        return F.when(~rounded, self.text(name).try_cast("decimal(28,8)"))
+
+    def whole(self, name: str) -> Column:
+        """The whole number, NULL when it does not fit 64 bits."""
+        return F.when(self.text(name).rlike(r"^-?[0-9]+$"), self.text(name).try_cast("bigint"))
+
     def time(self, name: str) -> Column:
         return self.text(name).try_cast("timestamp")
 

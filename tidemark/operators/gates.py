@@ -35,15 +35,18 @@ def decide(
     """Settle ``eligible`` and ``rejection_reasons``.
 
     ``families`` names the columns with each family's signed view; zero or NULL is no view.
-    A short is judged on its own confidence; a missing band fails the uncertainty gate.
+    A short is judged on its own confidence; a missing band fails the uncertainty gate.  A
+    missing or NaN probability, return, calibration error or sample size is named.
     """
     c = F.col
-    views = F.array(*[sign(F.coalesce(c(f), F.lit(0.0))) for f in families])
+    views = F.array(*[sign(F.coalesce(F.nanvl(c(f).cast("double"), F.lit(0.0)), F.lit(0.0))) for f in families])
     voters = F.filter(views, lambda v: v != 0)
     enough = F.size(voters) >= config.required_family_count
     confidence = F.when(c("expected_residual_return") >= 0, c("p_up")).otherwise(1.0 - c("p_up"))
     band = F.coalesce(c("q90") - c("q10"), F.lit(float("inf")))
+    needed = ("p_up", "expected_residual_return", "calibration_error", "effective_sample_size")
     checks = [
+        *[(c(n).isNull() | F.isnan(c(n).cast("double")), f"missing_{n}") for n in needed],
         (~enough, "gate_1_single_family_shadow_book"),
         (enough & (F.size(F.array_distinct(voters)) > 1), "gate_1_families_disagree_on_direction"),
         (confidence < config.p_up_floor, "gate_2_below_non_negotiable_floor"),

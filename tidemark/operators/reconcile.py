@@ -35,7 +35,7 @@ def _decided(attempts: DataFrame, orders: DataFrame | None, nothing: Column) ->
     outcome = (
         F.when(c("attempt_id").isNull(), F.struct(F.lit("block").alias("action"), F.lit("submission_attempt_record_required").alias("reason")))
         .when(
-            c("attempt_order_id") != c("client_order_id"),
+            ~c("attempt_order_id").eqNullSafe(c("client_order_id")),
             F.struct(F.lit("block").alias("action"), F.lit("submission_attempt_record_mismatch").alias("reason")),
         )
         .when(c("_found").isNull(), F.struct(F.lit("block").alias("action"), F.lit(UNAVAILABLE).alias("reason")))

@@ -25,11 +25,15 @@ class RiskConfig:
 
 
 def max_approved_quantity(config: RiskConfig, mode: str) -> Column:
-    """Whole contracts the risk budget covers, under the cap of the sizing mode."""
+    """Whole contracts the risk budget covers, under the cap of the sizing mode.
+
+    None when the equity or the loss is missing or not positive.
+    """
     cap = {"standard": config.max_contracts_per_structure, "smoke": config.smoke_test_max_contracts}[mode]
     budget = F.col("equity").cast("decimal(18,4)") * F.lit(config.maximum_loss_fraction_per_new_trade)
-    sized = F.floor(budget / F.col("exact_max_loss").cast("decimal(18,4)"))
-    return F.when(sized <= 0, 0).otherwise(F.least(sized, F.lit(cap))).cast("int")
+    loss = F.col("exact_max_loss").cast("decimal(18,4)")
+    sized = F.floor(F.try_divide(budget, loss))
+    return F.when((loss > 0) & (sized > 0), F.least(sized, F.lit(cap))).otherwise(0).cast("int")
 
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -46,8 +50,11 @@ def screen_plans(
     """Every gate each plan fails against its account's latest snapshot.
 
     ``plans``: plan_id, account, quantity, limit_price, entry_limit_bound, exact_max_loss, legs.
+    A missing or non-positive input is a failed gate of its own, never a pass.
     """
     c = F.col
+    positive = lambda n: F.coalesce(c(n) > 0, F.lit(False))
+    known = c("snapshot_time").isNotNull()
     rows = plans.join(latest_snapshots(snapshots), "account", "left")
     ratio = lambda side: F.aggregate(
         F.filter("legs", lambda l: l.side == side), F.lit(0), lambda a, l: a + l.ratio_qty
@@ -55,6 +62,11 @@ def screen_plans(
     rows = rows.withColumn("approved_quantity", max_approved_quantity(config, mode))
     age = F.unix_micros(now) - F.unix_micros("snapshot_time")
     checks = [
+        *[(~positive(n), f"{n}_not_positive") for n in ("quantity", "limit_price", "entry_limit_bound", "exact_max_loss")],
+        (F.coalesce(F.size("legs"), F.lit(0)) <= 0, "legs_missing"),
+        (known & ~positive("equity"), "equity_not_positive"),
+        (known & c("open_position_count").isNull(), "open_position_count_missing"),
+        (known & c("frozen_config_hash").isNull(), "config_hash_missing"),
         (c("limit_price") > c("entry_limit_bound"), "entry_limit_bound_exceeded"),
         (c("quantity") > c("approved_quantity"), "quantity_exceeds_approved_cap"),
         (ratio("buy") != ratio("sell"), "unbalanced_legs"),
@@ -72,13 +84,17 @@ def screen_plans(
 def equity_stops(readings: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
     """Both stops per reading, inclusive at their exact boundary, by cross-multiplication.
 
-    ``readings``: session_start_equity, peak_equity, current_equity as exact decimals.
+    ``readings``: session_start_equity, peak_equity, current_equity as exact decimals.  A start
+    or peak that is missing or not positive, or a missing current equity, triggers by name.
     """
     c = F.col
     wide = lambda n: c(n).cast("decimal(20,4)")
     loss = wide("session_start_equity") - wide("current_equity")
     fall = wide("peak_equity") - wide("current_equity")
+    bad = lambda n: F.coalesce(wide(n) <= 0, F.lit(True))
     checks = [
+        *[(bad(n), f"{n}_not_positive") for n in ("session_start_equity", "peak_equity")],
+        (c("current_equity").isNull(), "current_equity_missing"),
         (loss >= wide("session_start_equity") * F.lit(config.daily_loss_stop_fraction), "daily_loss_stop"),
         (fall >= wide("peak_equity") * F.lit(config.peak_to_valley_fraction), "peak_to_valley_kill_switch"),
     ]
@@ -125,10 +141,11 @@ def within_portfolio_limits(plans: DataFrame, config: RiskConfig = RiskConfig())
         rows, ["account", "sector"], ["rank"], heavy, {"_in_sector": ("sum", F.col("_risk"))}
     )
     first = rows.groupBy("account", "underlying_symbol").agg(F.min("rank").alias("_first"))
-    rows = rows.join(first, ["account", "underlying_symbol"])
+    rows = spread.join_same(rows, first, ["account", "underlying_symbol"])
     c = F.col
     limit = lambda fraction: c("equity").cast("decimal(20,4)") * F.lit(fraction)
     checks = [
+        (c("_risk").isNull() | c("equity").isNull(), "risk_or_equity_missing"),
         (c("_total") > limit(config.total_open_risk_fraction), "total_open_risk"),
         (c("_in_sector") > limit(config.sector_open_risk_fraction), "sector_open_risk"),
         (c("rank") > c("_first"), "underlying_already_open"),

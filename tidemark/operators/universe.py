@@ -89,25 +89,27 @@ def latest_as_of(spine: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def screened(latest: DataFrame, floors: Floors, fallback: bool = False) -> DataFrame:
-    """Every reason a symbol fails, identity first, then optionability, then the floors."""
+    """Every reason a symbol fails, identity first, then optionability, then the floors.
+
+    A missing flag, price or volume fails the check it belongs to.
+    """
     c = F.col
+    lacks = lambda flag: ~F.coalesce(c(flag), F.lit(False))
+    below = lambda value, floor: F.coalesce(c(value) < F.lit(floor), F.lit(True))
     if fallback:
         options = [(~c("symbol").isin(*STATIC_FALLBACK_SYMBOLS), "options_not_enabled")]
     else:
         options = [
-            (~c("options_enabled"), "options_not_enabled"),
-            (~c("near_money_quotes_7_to_21_dte"), "no_quoted_near_money_expiration"),
+            (lacks("options_enabled"), "options_not_enabled"),
+            (lacks("near_money_quotes_7_to_21_dte"), "no_quoted_near_money_expiration"),
         ]
     checks = [
-        (~c("active"), "inactive"),
-        (~c("tradable"), "not_tradable"),
-        (c("unresolved_corporate_action"), "unresolved_corporate_action"),
+        (lacks("active"), "inactive"),
+        (lacks("tradable"), "not_tradable"),
+        (F.coalesce(c("unresolved_corporate_action"), F.lit(True)), "unresolved_corporate_action"),
         *options,
-        (c("prior_close") < F.lit(floors.min_prior_close), "below_price_floor"),
-        (
-            c("median_dollar_volume") < F.lit(floors.min_median_dollar_volume),
-            "below_dollar_volume_floor",
-        ),
+        (below("prior_close", floors.min_prior_close), "below_price_floor"),
+        (below("median_dollar_volume", floors.min_median_dollar_volume), "below_dollar_volume_floor"),
     ]
     return latest.withColumn("reasons", all_failures(checks))
 

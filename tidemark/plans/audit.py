@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions import fixed
 from tidemark.functions.exprs import r6
 from tidemark.operators import ledger, lifecycle, metrics, reconcile, risk
-from tidemark.plans.registry import at, joined, r6_sql, registered, stamp
+from tidemark.plans.registry import ORACLES, at, joined, r6_sql, registered, stamp
 from tidemark.settings import settle, work_path
 from tidemark.sources import broker, jsonl, observations, tables
 from tidemark.streaming import jobs
@@ -495,16 +495,16 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "recorded_decisions",
     f"""SELECT sha256('{{"kind":"' || event_type || '","payload":{{"a":"1","z":"' || (event_id % 3) || '"}},"recorded_at":"'
         || strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%S') || '+00:00","subject_id":"' || user_id || '"}}') AS entry_id,
-      min(event_id) AS seq FROM events WHERE event_id % 50 <> 7 AND event_id % 60 <> 8 AND event_id >= 100 GROUP BY 1
+      min(event_id) AS seq FROM events WHERE event_id % 50 <> 7 AND event_id % 60 <> 8 GROUP BY 1
     HAVING entry_id NOT IN (SELECT sha256('{{"kind":"' || event_type || '","payload":{{"a":"1","z":"' || (event_id % 3) || '"}},"recorded_at":"'
         || strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%S') || '+00:00","subject_id":"' || user_id || '"}}') FROM events
-        WHERE event_id % 50 <> 7 AND event_id % 60 <> 8 AND event_id < 100)""",
+        WHERE event_id % 50 <> 7 AND event_id % 60 <> 8 AND event_id % 3 = 0)""",
 )
 def recorded_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is still to append once the first hundred events are in the log."""
+    """What is still to append once every third event is in the log."""
     raw = _decisions(spark, sf_dir)
     none = spark.createDataFrame([], "entry_id string")
-    stored = settle(ledger.new_decisions(none, raw.where("seq < 100")), "ledger")
+    stored = settle(ledger.new_decisions(none, raw.where("seq % 3 = 0")), "ledger")
     return ledger.new_decisions(stored, raw).select("entry_id", "seq")
 
 
@@ -523,26 +523,28 @@ def submission_attempt_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "new_submission_attempts",
-    """SELECT 'c' || (o_orderkey // 3) AS subject_id, min(o_orderkey) AS seq FROM orders GROUP BY 1 HAVING min(o_orderkey) >= 90""",
+    """SELECT 'c' || (o_orderkey // 3) AS subject_id, min(o_orderkey) AS seq FROM orders GROUP BY 1 HAVING min(o_orderkey // 3 % 3) > 0""",
 )
 def new_submission_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retries with an unchanged payload against a log that holds the first thirty ids."""
+    """Retries with an unchanged payload against a log that holds every third id."""
     k = F.col("o_orderkey")
     raw = tables.table(spark, sf_dir, "orders").select(
         F.concat(F.lit("c"), F.floor(k / 3).cast("string")).alias("subject_id"),
         F.create_map(F.lit("plan"), F.floor(k / 3).cast("string")).alias("payload"), k.alias("seq"),
     )
-    stored = raw.where(k < 90).groupBy("subject_id").agg(F.min("seq").alias("seq"), F.any_value("payload").alias("payload"))
+    stored = raw.where(F.floor(k / 3) % 3 == 0).groupBy("subject_id").agg(F.min("seq").alias("seq"), F.any_value("payload").alias("payload"))
     return ledger.new_attempts(stored, raw).select("subject_id", "seq")
 
 
 # --- streams --------------------------------------------------------------------------------
 
-def _stream(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A table as a file stream in the shared folder."""
+def _stream(spark: SparkSession, *parts: DataFrame) -> DataFrame:
+    """Tables as a file stream in the shared folder; several tables arrive one by one."""
     path = work_path(spark, "stream")
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    for part in parts:
+        (part if len(parts) == 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    reader = spark.readStream.schema(parts[0].schema)
+    return (reader if len(parts) == 1 else reader.option("maxFilesPerTrigger", 1)).parquet(path)
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -559,15 +561,36 @@ def stream_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("stream_deduplicated_observations", f"WITH {OBSERVED} SELECT DISTINCT observation_id FROM addressed")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything is sent twice; each content comes out once."""
+    """Everything is sent twice over several triggers, days late; each content comes out once."""
     out, check = _folder(spark, "unique"), _folder(spark, "progress")
-    twice = tables.observations(spark, sf_dir)
-    raw = _stream(spark, twice.unionByName(twice))
-    held = jobs.deduplicated(raw, tables.feed_policies(spark)).select("observation_id")
-    jobs.to_table(held, out, check).awaitTermination()
+    seen = tables.observations(spark, sf_dir)
+    raw = _stream(spark, seen, seen.where("day(received_time) % 2 = 0"), seen.where("day(received_time) % 2 = 1"))
+    jobs.deduplicate_stream(raw, tables.feed_policies(spark), out, check).awaitTermination()
+    return observations.stored(spark, out).select("observation_id")
+
+
+def _state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of order states fed in four triggers, in order."""
+    out, check = _folder(spark, "log"), _folder(spark, "progress")
+    states = _states(spark, sf_dir)
+    last = states.agg(F.max("seq")).first()[0] or 0
+    parts = [states.where(F.floor(F.col("seq") * 4 / (last + 1)) == i) for i in range(4)]
+    jobs.to_table(jobs.state_log(_stream(spark, *parts)), out, check).awaitTermination()
     return spark.read.parquet(out)
 
 
+@registered("stream_coalesced_states", ORACLES["coalesced_order_states"])
+def stream_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state_stream(spark, sf_dir).where("changed").select("subject_id", "seq", "state")
+
+
+@registered("stream_latest_state", ORACLES["latest_order_state"])
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _state_stream(spark, sf_dir).where("not disorder")
+    last = F.max_by(F.struct("state", "seq", "entries"), "seq").alias("l")
+    return log.groupBy("subject_id").agg(last).select("subject_id", "l.*")
+
+
 @registered(
     "stream_transition_audit",
     f"WITH RECURSIVE {_replay_sql(fixed.ORDER_EDGES, _ORDER_EVENTS, 'proposed')} SELECT subject_id, seq, before, CAST(legal AS INT) AS legal FROM walk",

@@ -10,7 +10,7 @@ from tidemark.functions import spread
 from tidemark.functions.exprs import r6
 from tidemark.operators import folds, gates, ledger, metrics, model, panel, price_features
 from tidemark.plans.price import (
-    FOLDS, LABELS, _IN_ORDER, all_labels, stored_bars, weighted_labels, windows,
+    FOLDS, LABELS, PLAN, _IN_ORDER, all_labels, stored_bars, weighted_labels,
 )
 from tidemark.plans.registry import at, joined, r6_sql, registered, stamp
 from tidemark.settings import settle
@@ -54,7 +54,7 @@ def design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     for name in names:
         have = have & F.col(name).isNotNull()
     features = settle(asked.join(block.where(have), ["symbol", "as_of"]).select("label_id", *names), "features")
-    assigned = settle(folds.assign(told, windows()), "assigned")
+    assigned = settle(folds.assign(told, PLAN), "assigned")
     rows = model.training_rows(assigned, model.fold_features(assigned, features), told, CONFIG)
     when = told.select("label_id", "symbol", F.col("prediction_time").alias("date"))
     test = (
@@ -116,7 +116,7 @@ def residual_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fitted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both models with calibration; the logistic optimum has no closed form in SQL."""
     rows, _ = design(spark, sf_dir)
-    made = model.fit(rows, folds.fold_table(spark, windows()), CONFIG)
+    made = model.fit(rows, PLAN.table(spark), CONFIG)
     return made.select(
         "fold", "model_version", r6(F.col("intercept")).alias("intercept"),
         r6(F.col("direction_intercept")).alias("direction_intercept"),
@@ -139,7 +139,7 @@ def fitted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forecast_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts of every test label; the direction part is in the rows-only model query."""
     rows, test = design(spark, sf_dir)
-    made = settle(model.fit(rows, folds.fold_table(spark, windows()), CONFIG), "models")
+    made = settle(model.fit(rows, PLAN.table(spark), CONFIG), "models")
     asked = test.withColumnsRenamed({"label_id": "candidate_id", "date": "as_of"})
     out = model.predict(made, asked, CONFIG)
     shown = ("expected_residual_return", "q10", "q90", "family_return", "family_range")
@@ -228,8 +228,13 @@ forecasts AS (
 
 @registered(
     "eligibility_gates",
-    f"""WITH {_FORECASTS}, judged AS (SELECT *, CASE WHEN m >= 0 THEN p_up ELSE 1.0 - p_up END AS conf FROM forecasts),
+    f"""WITH {_FORECASTS}, gapped AS (SELECT * REPLACE (
+        CASE WHEN l_orderkey % 59 = 6 THEN 'nan'::DOUBLE WHEN l_orderkey % 53 <> 5 THEN p_up END AS p_up,
+        CASE WHEN l_orderkey % 61 <> 7 THEN ece END AS ece, CASE WHEN l_orderkey % 67 <> 8 THEN ess END AS ess) FROM forecasts),
+    judged AS (SELECT *, CASE WHEN m >= 0 THEN p_up ELSE 1.0 - p_up END AS conf FROM gapped),
     told AS (SELECT array_to_string(list_sort(list_filter([
+        CASE WHEN p_up IS NULL OR isnan(p_up) THEN 'missing_p_up' END, CASE WHEN ece IS NULL THEN 'missing_calibration_error' END,
+        CASE WHEN ess IS NULL THEN 'missing_effective_sample_size' END,
         CASE WHEN sign(v1) = 0 OR sign(v2) = 0 THEN 'gate_1_single_family_shadow_book'
              WHEN sign(v1) <> sign(v2) THEN 'gate_1_families_disagree_on_direction' END,
         CASE WHEN conf < 0.55 THEN 'gate_2_below_non_negotiable_floor' WHEN conf < 0.58 THEN 'gate_2_below_calibrated_threshold' END,
@@ -241,14 +246,16 @@ forecasts AS (
     SELECT reasons, CAST(reasons = '' AS INT) AS eligible, count(*) AS n FROM told GROUP BY ALL""",
 )
 def eligibility_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line item as a forecast, counted by its full set of reasons."""
+    """Every line item as a forecast, some with a missing or NaN input, counted by its full set of reasons."""
     c = F.col
+    key = c("l_orderkey")
     m = c("l_tax") - 0.04
     forecasts = tables.table(spark, sf_dir, "lineitem").select(
-        (c("l_discount") + 0.5).alias("p_up"), m.alias("expected_residual_return"),
+        F.when(key % 59 == 6, float("nan")).when(key % 53 != 5, c("l_discount") + 0.5).alias("p_up"), m.alias("expected_residual_return"),
         (m - c("l_quantity") / 100).alias("q10"),
         F.when(c("l_returnflag") != "R", m + c("l_quantity") / 100).alias("q90"),
-        (c("l_discount") / 1.5).alias("calibration_error"), (c("l_quantity") * 5).alias("effective_sample_size"),
+        F.when(key % 61 != 7, c("l_discount") / 1.5).alias("calibration_error"),
+        F.when(key % 67 != 8, c("l_quantity") * 5).alias("effective_sample_size"),
         (c("l_tax") - 0.03).alias("view_tax"), (c("l_discount") - 0.05).alias("view_discount"),
     )
     out = gates.decide(forecasts, ["view_tax", "view_discount"])

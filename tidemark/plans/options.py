@@ -152,16 +152,18 @@ asks AS (
 @registered(
     "risk_screen",
     f"""WITH {_PLANS}, told AS (
-      SELECT least(3, greatest(0, CAST(floor(CAST(equity_10 AS DECIMAL(18,0)) * 375 / (1000000 * loss)) AS BIGINT))) AS cap, a.*, s.last_order FROM asks a JOIN snap s USING (account)),
+      SELECT coalesce(least(3, greatest(0, CAST(floor(CAST(equity_10 AS DECIMAL(18,0)) * 375 / (1000000 * nullif(lost, 0))) AS BIGINT))), 0) AS cap, a.*, s.last_order
+      FROM (SELECT *, CASE WHEN l_orderkey % 37 = 5 THEN NULL WHEN l_orderkey % 41 = 6 THEN 0 ELSE loss END AS lost, l_orderkey % 43 = 7 AS unpriced FROM asks) a JOIN snap s USING (account)),
     gates AS (SELECT cap, array_to_string(list_filter([
-        CASE WHEN over = 3 THEN 'entry_limit_bound_exceeded' END, CASE WHEN qty > cap THEN 'quantity_exceeds_approved_cap' END,
+        CASE WHEN unpriced THEN 'limit_price_not_positive' END, CASE WHEN lost IS NULL OR lost <= 0 THEN 'exact_max_loss_not_positive' END,
+        CASE WHEN over = 3 AND NOT unpriced THEN 'entry_limit_bound_exceeded' END, CASE WHEN qty > cap THEN 'quantity_exceeds_approved_cap' END,
         CASE WHEN l_partkey % 31 = 0 THEN 'unbalanced_legs' END, CASE WHEN last_order % 5 >= 2 THEN 'concurrent_position_limit_reached' END,
         CASE WHEN last_order % 7 = 0 THEN 'config_hash_mismatch' END, CASE WHEN last_order % 11 = 0 THEN 'snapshot_in_future' END,
         CASE WHEN last_order % 13 = 0 AND last_order % 11 <> 0 THEN 'snapshot_stale' END], lambda x: x IS NOT NULL), ',') AS failed FROM told)
     SELECT cap AS approved_quantity, failed, count(*) AS n FROM gates GROUP BY ALL""",
 )
 def risk_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line item as a plan of its account, counted by outcome."""
+    """Every line item as a plan of its account, some with a missing or zero price or loss, counted by outcome."""
     orders = tables.table(spark, sf_dir, "orders")
     now = F.lit("2024-01-02 15:00:00").cast("timestamp")
     k = F.col("last_order")
@@ -184,9 +186,11 @@ def risk_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     leg = lambda side, n: F.struct(F.lit(side).alias("side"), n.alias("ratio_qty"))
     plans = lines.select(
         "account", (F.col("l_quantity") % 5 + 1).cast("int").alias("quantity"),
-        F.when(F.col("l_linenumber") % 4 == 3, F.lit(Decimal("1.0001"))).otherwise(F.lit(Decimal("1.0000"))).alias("limit_price"),
+        F.when(F.col("l_orderkey") % 43 == 7, None).when(F.col("l_linenumber") % 4 == 3, F.lit(Decimal("1.0001")))
+        .otherwise(F.lit(Decimal("1.0000"))).alias("limit_price"),
         F.lit(Decimal("1.0000")).alias("entry_limit_bound"),
-        (F.col("l_suppkey") % 90 + 10).cast("decimal(18,4)").alias("exact_max_loss"),
+        F.when(F.col("l_orderkey") % 41 == 6, F.when(F.col("l_orderkey") % 37 != 5, 0))
+        .when(F.col("l_orderkey") % 37 != 5, F.col("l_suppkey") % 90 + 10).cast("decimal(18,4)").alias("exact_max_loss"),
         F.array(leg("buy", F.lit(1)), leg("sell", F.when(F.col("l_partkey") % 31 == 0, 2).otherwise(1))).alias("legs"),
     )
     out = risk.screen_plans(plans, snapshots, risk.RiskConfig(), "cfg-1", "standard", now)

@@ -336,8 +336,7 @@ ORIGIN = datetime(1995, 1, 9, tzinfo=timezone.utc)
 UNTIL = datetime(2001, 11, 1, tzinfo=timezone.utc)
 
 
-def windows() -> list[tuple]:
-    return folds.fold_windows(ORIGIN, SPLIT, UNTIL)[0]
+PLAN = folds.FoldPlan(ORIGIN, SPLIT, UNTIL)
 
 
 def _folds_sql(train: int, cal: int, test: int, purge: int, n: int) -> str:
@@ -375,7 +374,7 @@ FOLDS = _folds_sql(700, 200, 200, 60, 5)
 )
 def fold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = labels.labelled(all_labels(spark, sf_dir, stored_bars(spark, sf_dir)))
-    return folds.assign(done, windows()).select("fold", "label_id", "window", "reason")
+    return folds.assign(done, PLAN).select("fold", "label_id", "window", "reason")
 
 
 @registered(
@@ -387,8 +386,8 @@ def fold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fold_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = labels.labelled(all_labels(spark, sf_dir, stored_bars(spark, sf_dir)))
-    placed = folds.assign(done, windows()).groupBy("fold").agg(F.count("window").alias("placed"))
-    return folds.fold_table(spark, windows()).join(placed, "fold", "left").select(
+    placed = folds.assign(done, PLAN).groupBy("fold").agg(F.count("window").alias("placed"))
+    return PLAN.table(spark).join(placed, "fold", "left").select(
         "fold", *[stamp(e).alias(e) for e in folds.EDGES], F.coalesce("placed", F.lit(0)).alias("placed")
     )
 
@@ -403,14 +402,13 @@ TIGHT = folds.SplitConfig(DAYS(3), DAYS(45), DAYS(700), DAYS(5), DAYS(30), 60)
     seen AS (SELECT fold, predicted_in AS win, count(*) AS predicted, count(assigned.win) AS members
              FROM assigned WHERE predicted_in IS NOT NULL GROUP BY ALL)
     SELECT fold, win AS "window", CAST(coalesce(predicted, 0) AS BIGINT) AS predicted,
-      'empty_' || win || '_window: ' || CASE WHEN coalesce(predicted, 0) > 0
-        THEN predicted || ' predicted in it, every one purged' ELSE 'nothing was predicted in it' END AS reason
+      CASE WHEN coalesce(predicted, 0) > 0 THEN 'all_purged' ELSE 'none_predicted' END AS code
     FROM spine LEFT JOIN seen USING (fold, win) WHERE coalesce(members, 0) = 0""",
 )
 def fold_empty_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = labels.labelled(all_labels(spark, sf_dir, stored_bars(spark, sf_dir)))
-    held, _ = folds.fold_windows(ORIGIN, TIGHT, UNTIL)
-    return folds.empty_windows(folds.assign(done, held), folds.fold_table(spark, held))
+    plan = folds.FoldPlan(ORIGIN, TIGHT, UNTIL)
+    return folds.empty_windows(folds.assign(done, plan), plan.table(spark))
 
 
 def _digest_sql(rows: str, key: str, member: str) -> str:
@@ -421,12 +419,15 @@ def _digest_sql(rows: str, key: str, member: str) -> str:
 
 @registered(
     "fold_hash",
-    f"""WITH {LABELS}, {FOLDS}
-    {_digest_sql('assigned', 'fold', "label_id || '|' || coalesce(win, '') || '|' || coalesce(reason, '')")}""",
+    f"""WITH {LABELS}, {FOLDS},
+    sums AS ({_digest_sql('assigned', 'fold', "label_id || '|' || coalesce(win, '') || '|' || coalesce(reason, '')")})
+    SELECT f.fold, coalesce(members, 0) AS members,
+      sha256(coalesce(digest, '') || '|{50 * 86_400_000_000}|{60 * 86_400_000_000}|' || {" || '|' || ".join(f"epoch_us({e})" for e in folds.EDGES)}) AS digest
+    FROM folds f LEFT JOIN sums h ON f.fold = h.fold""",
 )
 def fold_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = labels.labelled(all_labels(spark, sf_dir, stored_bars(spark, sf_dir)))
-    return folds.fold_hash(folds.assign(done, windows()))
+    return folds.fold_hash(folds.assign(done, PLAN), PLAN)
 
 
 MDV = BARS + """,
@@ -454,8 +455,8 @@ FLOORS = universe.Floors(Decimal("300"), Decimal("150000"), 8)
 FACTS = MDV + """,
 facts AS (
   SELECT symbol, session, seen, 'feed' || (b % 3) AS feed, c, m, b, wk,
-    (b + wk) % 17 <> 0 AS active, (b * 3 + wk) % 19 <> 0 AS tradable, (b + 2 * wk) % 13 <> 0 AS options_enabled,
-    (b + wk) % 11 <> 0 AS near_money, (b + 5 * wk) % 23 = 0 AS corporate_action
+    CASE WHEN (b + wk) % 29 <> 3 THEN (b + wk) % 17 <> 0 END AS active, (b * 3 + wk) % 19 <> 0 AS tradable, (b + 2 * wk) % 13 <> 0 AS options_enabled,
+    (b + wk) % 11 <> 0 AS near_money, CASE WHEN (b + wk) % 31 <> 4 THEN (b + 5 * wk) % 23 = 0 END AS corporate_action
   FROM (SELECT *, CAST(regexp_extract(symbol, '([0-9]+)$', 1) AS BIGINT) AS b,
                CAST(floor(epoch(session) / 604800) AS BIGINT) AS wk FROM mdv WHERE m IS NOT NULL)),
 latest AS (
@@ -463,8 +464,8 @@ latest AS (
   ASOF JOIN facts f ON q.symbol = f.symbol AND f.seen <= q.as_of),
 judged AS (
   SELECT *, list_filter([
-    CASE WHEN NOT active THEN 'inactive' END, CASE WHEN NOT tradable THEN 'not_tradable' END,
-    CASE WHEN corporate_action THEN 'unresolved_corporate_action' END,
+    CASE WHEN NOT coalesce(active, false) THEN 'inactive' END, CASE WHEN NOT tradable THEN 'not_tradable' END,
+    CASE WHEN coalesce(corporate_action, true) THEN 'unresolved_corporate_action' END,
     CASE WHEN NOT options_enabled THEN 'options_not_enabled' END,
     CASE WHEN NOT near_money THEN 'no_quoted_near_money_expiration' END,
     CASE WHEN c < 3000000 THEN 'below_price_floor' END,
@@ -479,10 +480,10 @@ def universe_facts(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFra
     wk = F.floor(F.unix_timestamp("session") / 604800)
     return universe.median_dollar_volume(bars).where("median_dollar_volume is not null").select(
         "symbol", F.concat(F.lit("feed"), (b % 3).cast("string")).alias("feed"), "first_seen_time",
-        ((b + wk) % 17 != 0).alias("active"), ((b * 3 + wk) % 19 != 0).alias("tradable"),
+        F.when((b + wk) % 29 != 3, (b + wk) % 17 != 0).alias("active"), ((b * 3 + wk) % 19 != 0).alias("tradable"),
         ((b + 2 * wk) % 13 != 0).alias("options_enabled"), F.col("close").alias("prior_close"),
         "median_dollar_volume", ((b + wk) % 11 != 0).alias("near_money_quotes_7_to_21_dte"),
-        ((b + 5 * wk) % 23 == 0).alias("unresolved_corporate_action"),
+        F.when((b + wk) % 31 != 4, (b + 5 * wk) % 23 == 0).alias("unresolved_corporate_action"),
     )
 
 
@@ -553,8 +554,8 @@ def universe_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     "universe_fallback_screen",
     f"""WITH {FACTS}, fb AS (
       SELECT symbol, array_to_string(list_filter([
-        CASE WHEN NOT active THEN 'inactive' END, CASE WHEN NOT tradable THEN 'not_tradable' END,
-        CASE WHEN corporate_action THEN 'unresolved_corporate_action' END, 'options_not_enabled',
+        CASE WHEN NOT coalesce(active, false) THEN 'inactive' END, CASE WHEN NOT tradable THEN 'not_tradable' END,
+        CASE WHEN coalesce(corporate_action, true) THEN 'unresolved_corporate_action' END, 'options_not_enabled',
         CASE WHEN c < 3000000 THEN 'below_price_floor' END,
         CASE WHEN m < 1500000000 THEN 'below_dollar_volume_floor' END], lambda x: x IS NOT NULL), ',') AS reasons FROM latest)
     SELECT symbol, reasons, count(*) AS n FROM fb GROUP BY ALL""",

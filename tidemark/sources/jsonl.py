@@ -25,9 +25,18 @@ def bad_lines(lines: DataFrame) -> DataFrame:
 
 
 def parse_strict(lines: DataFrame, schema: StructType) -> DataFrame:
-    """Typed records of every line, or an error naming one that is unreadable."""
-    guards.refuse(bad_lines(lines), F.lit(True), guards.IntegrityError, "unreadable line", ["value", "problem"])
-    return lines.select(F.from_json("value", schema).alias("_r")).select("_r.*")
+    """Typed records of every line, or an error naming one that is unreadable.
+
+    A line that lacks a field of the schema is refused like one that is no object; a field of
+    another type stops the job when it is read.
+    """
+    names = F.array(*[F.lit(n) for n in schema.names]).cast("array<string>")
+    lacking = F.size(F.array_except(names, F.coalesce(F.json_object_keys("value"), F.array()))) > 0
+    problem = F.coalesce(line_problem(F.col("value")), F.when(lacking, "missing_field"))
+    told = lines.withColumn("problem", problem)
+    guards.refuse(told, F.col("problem").isNotNull(), guards.IntegrityError, "unreadable line", ["value", "problem"])
+    record = F.from_json("value", schema, {"mode": "FAILFAST"})
+    return lines.select(record.alias("_r")).select("_r.*")
 
 
 def read_strict(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

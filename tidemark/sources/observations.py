@@ -117,13 +117,34 @@ def record(judged: DataFrame, path: str) -> None:
     fresh = accepted(judged).withColumn("seen_on", F.to_date("first_seen_time"))
     held = stored(spark, path)
     if held is not None:
-        fresh = fresh.join(held.select("observation_id"), "observation_id", "left_anti")
+        # Equal contents share feed and day, so only the batch's own folders are read.
+        same = ["feed", "seen_on", "observation_id"]
+        fresh = fresh.join(in_folders_of(held, fresh).select(*same), same, "left_anti")
     # Rebalancing gathers a folder's rows into few files and still splits a folder that is
     # too large for one task.
     laid = fresh.hint("rebalance", "feed", "seen_on")
     laid.write.mode("append").partitionBy("feed", "seen_on").parquet(path)
 
 
+def in_folders_of(store: DataFrame, batch: DataFrame, most: int = 10_000) -> DataFrame:
+    """The store's rows in the feeds and days of the batch.
+
+    Up to ``most`` folders are listed one by one; beyond that the span of days selects.
+    """
+    days = batch.select("feed", "seen_on").distinct()
+    listed = days.limit(most + 1).collect()
+    if len(listed) > most:
+        span = days.agg(F.min("seen_on").alias("a"), F.max("seen_on").alias("b")).first()
+        return store.where(F.col("seen_on").between(F.lit(span.a), F.lit(span.b)))
+    by_feed: dict[str, list] = {}
+    for row in listed:
+        by_feed.setdefault(row.feed, []).append(row.seen_on)
+    chosen = F.lit(False)
+    for feed, dates in sorted(by_feed.items()):
+        chosen = chosen | ((F.col("feed") == feed) & F.col("seen_on").isin(sorted(dates)))
+    return store.where(chosen)
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The store, or None while nothing was recorded."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)

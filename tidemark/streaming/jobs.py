@@ -1,8 +1,10 @@
-"""Streaming forms: recording, live transition audit, and the equity stop monitor.
+"""Streaming forms: recording, state log, live transition audit, and the equity stop monitor.
 
-A late row is never dropped for being late: it is visible from its first-seen time on.  The
-state below is one small row per subject.  A subject's rows of one trigger are ordered in
-one task, so size triggers with ``maxFilesPerTrigger``.
+A late observation is never dropped: it is compared with what is stored, however old, and it
+is visible from its first-seen time on.  The state below is one small row per subject.  A
+subject's rows of one trigger are ordered in one task, so size triggers with
+``maxFilesPerTrigger``; a row that arrives in a later trigger with an earlier ``seq`` is
+named as disorder and changes nothing.
 """
 
 from __future__ import annotations
@@ -41,13 +43,51 @@ def record_stream(
     )
 
 
-def deduplicated(raw: DataFrame, policies: DataFrame, within: str = "1 day") -> DataFrame:
-    """Accepted observations of a stream, each content once.
+def deduplicate_stream(raw: DataFrame, policies: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Append each accepted content once, however late its repeats arrive.
 
-    The watermark only bounds how long an address is remembered.
+    The store itself is the memory: a batch reads the folders of its own feeds and days.
     """
-    judged = observations.judged_observations(raw, policies).where("reject_field is null")
-    return judged.withWatermark("received_time", within).dropDuplicatesWithinWatermark(["observation_id"])
+
+    def take(batch: DataFrame, number: int) -> None:
+        observations.record(observations.judged_observations(batch, policies), store)
+
+    return (
+        raw.writeStream.foreachBatch(take)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def state_log(states: DataFrame) -> DataFrame:
+    """Per trigger and subject its changes of state and its last entry.
+
+    ``states``: a stream of subject_id, seq, state.  Rows where ``changed`` holds are the
+    coalesced log; of all rows without ``disorder`` the one of the highest seq is the
+    subject's latest state, ``entries`` counts what came so far.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, held, entries = state.get if state.exists else (None, None, 0)
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable").reset_index(drop=True)
+        out_of_order = rows["seq"] <= last if last is not None else pd.Series(False, index=rows.index)
+        fine = rows[~out_of_order]
+        before = fine["state"].shift(fill_value=held) if len(fine) else fine["state"]
+        first = (fine.index == fine.index[0]) if held is None and len(fine) else False
+        changed = (fine["state"] != before) | first
+        made = fine.assign(changed=changed, disorder=False, entries=range(entries + 1, entries + 1 + len(fine)))
+        kept = made[changed | (made.index == made.index[-1])] if len(made) else made
+        late = rows[out_of_order].assign(changed=False, disorder=True, entries=entries)
+        if len(fine):
+            state.update((int(fine["seq"].iloc[-1]), fine["state"].iloc[-1], entries + len(fine)))
+        out = pd.concat([kept, late])
+        yield out.assign(subject_id=key[0])[["subject_id", "seq", "state", "changed", "disorder", "entries"]]
+
+    return states.groupBy("subject_id").applyInPandasWithState(
+        step, "subject_id string, seq long, state string, changed boolean, disorder boolean, entries long",
+        "last long, held string, entries long", "append", GroupStateTimeout.NoTimeout,
+    )
 
 
 def audited_transitions(
@@ -57,31 +97,32 @@ def audited_transitions(
 ) -> DataFrame:
     """Each event with the subject's state before and after it, and whether it was legal.
 
-    ``events``: a stream of subject_id, seq, event.  Rows where ``changed`` is true are the
-    coalesced state log; the last one per subject is its latest state.
+    ``events``: a stream of subject_id, seq, event.  Rows where ``changed`` is true moved the
+    subject's state.  An event that arrives behind a later one is marked ``disorder``.
     """
     table = {s: tuple(t) for s, t in edges.items()}
 
     def step(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        at = state.get[0] if state.exists else initial
+        at, last = state.get if state.exists else (initial, None)
         rows = pd.concat(list(frames)).sort_values("seq")
         out = []
         for seq, event in zip(rows["seq"], rows["event"]):
-            legal = event in table.get(at, ())
+            disorder = last is not None and seq <= last
+            legal = not disorder and event in table.get(at, ())
             after = event if legal else at
-            out.append((key[0], seq, event, at, after, legal, after != at))
-            at = after
-        state.update((at,))
+            out.append((key[0], seq, event, at, after, legal, after != at, disorder))
+            at, last = after, seq if last is None else max(last, seq)
+        state.update((at, last))
         yield pd.DataFrame(
-            out, columns=["subject_id", "seq", "event", "before", "after", "legal", "changed"]
+            out, columns=["subject_id", "seq", "event", "before", "after", "legal", "changed", "disorder"]
         )
 
     return events.groupBy("subject_id").applyInPandasWithState(
         step,
-        "subject_id string, seq long, event string, before string, after string, legal boolean, changed boolean",
-        "at string", "append", GroupStateTimeout.NoTimeout,
+        "subject_id string, seq long, event string, before string, after string, legal boolean, changed boolean, disorder boolean",
+        "at string, last long", "append", GroupStateTimeout.NoTimeout,
     )
 
 
@@ -107,7 +148,8 @@ def equity_stop_monitor(
                 day, start = today, now
             now += int(change)
             peak = max(peak, now)
-            hit = (["daily_loss_stop"] if start - now >= start * daily else []) + (
+            hit = [f"{n}_not_positive" for n, v in (("session_start_equity", start), ("peak_equity", peak)) if v <= 0]
+            hit += (["daily_loss_stop"] if start - now >= start * daily else []) + (
                 ["peak_to_valley_kill_switch"] if peak - now >= peak * valley else []
             )
             if hit:
