@@ -24,6 +24,7 @@ from pyspark.taskcontext import TaskContext
 
 from tidemark.llm.components import components
 from tidemark.llm.flat import WORD_BASES, Sequences, flat_words, mix, signed, slices
+from tidemark.llm.words import row_of
 from tidemark.settings import max_broadcast_rows, settle
 
 GRAM = 5
@@ -351,8 +352,8 @@ def representatives(docs: DataFrame, gram: int = GRAM, share: int = SHARE) -> Da
         "representatives",
     )
     has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.where(has_word).withColumns(
-        {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_tie": text_tie()}
+    keyed = docs.where(has_word).select(
+        row_of(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), text_tie().alias("_tie")
     )
-    one = keyed.join(kept, ["_doc", "_tie"]).dropDuplicates(["_doc", "_tie"]).select(*docs.columns)
+    one = keyed.join(kept, ["_doc", "_tie"]).dropDuplicates(["_doc", "_tie"]).select("_row.*")
     return one.unionByName(docs.where(~has_word))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.llm.ordered import running_total
-from tidemark.llm.words import count_of, word_count
+from tidemark.llm.words import count_of, row_of, word_count
 from tidemark.settings import settle
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -116,17 +116,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     keys = ["doc_id", "source", "size"]
     chosen = mix(docs, **options).groupBy(*keys).agg(F.max("copies").alias("_copies"))
-    sized = docs.withColumn("_size", word_count(F.col("text")))
+    sized = docs.select(row_of(docs), "doc_id", "source", word_count(F.col("text")).alias("_size"))
     chosen = chosen.where(F.col("_copies") > 0).select(
         F.col("doc_id").alias("_doc"), F.col("source").alias("_src"), F.col("size").alias("_sz"),
         "_copies",
     )
     same = (
-        sized["doc_id"].eqNullSafe(chosen["_doc"]) & sized["source"].eqNullSafe(chosen["_src"])
-        & (sized["_size"] == chosen["_sz"])
+        F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_src"))
+        & (F.col("_size") == F.col("_sz"))
     )
     return (
         sized.join(chosen, same)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*[sized[c] for c in docs.columns])
+        .select("_row.*")
     )

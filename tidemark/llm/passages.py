@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.flat import WORD_BASES, Sequences, flat_words, packed, signed, slices, unpacked, with_text
+from tidemark.llm.words import row_of
 from tidemark.settings import settle
 
 LAST = 2**63 - 1
@@ -120,8 +121,8 @@ def _windows_of(size: int):
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = with_text(batch.slice(at, 500))
+            for first in range(0, len(batch), 500):
+                part = with_text(batch.slice(first, 500))
                 words, bounds = flat_words(part)
                 runs = [Sequences(words, b) for b in WORD_BASES]
                 lists = part.column("at")
@@ -227,19 +228,19 @@ def cleaned(docs: DataFrame, runs: DataFrame, size: int) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     cut_udf = F.pandas_udf(cut, "string")
-    own = docs.columns
-    wide = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_tie": text_tie()})
+    wide = docs.select(
+        row_of(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), text_tie().alias("_tie")
+    )
     lists = _lists(runs).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("at").alias("_at"))
     joined = wide.join(lists, ["_doc", "_tie"], "left").withColumn(
-        "_cut", cut_udf(F.when(F.col("_at").isNotNull(), F.col("text")), F.col("_at.start"), F.col("_at.n"))
+        "_cut", cut_udf(F.when(F.col("_at").isNotNull(), F.col("_row.text")), F.col("_at.start"), F.col("_at.n"))
+    )
+    cut_text, was = F.col("_cut"), lambda c: F.col("_row").getField(c)
+    new = {
+        "text": F.coalesce(cut_text, was("text")),
+        "n_chars": F.when(cut_text.isNotNull(), F.length(cut_text)).otherwise(was("n_chars"))
+        .cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None,
+    }
+    return joined.where(cut_text.isNull() | (F.length(cut_text) > 0)).select(
+        *[new[c].alias(c) if new.get(c) is not None else was(c).alias(c) for c in docs.columns]
     )
-    some = F.col("_cut").isNotNull()
-    columns = []
-    for c in own:
-        if c == "text":
-            columns.append(F.coalesce("_cut", "text").alias(c))
-        elif c == "n_chars":
-            columns.append(F.when(some, F.length("_cut")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
-        else:
-            columns.append(F.col(c))
-    return joined.where(~some | (F.length("_cut") > 0)).select(*columns)

@@ -1,7 +1,8 @@
 """Repeated passages by recompression.
 
-Rounds of naming shorten every text: a run of one symbol gets one name, then a left symbol
-followed by a right one gets one name, where the side of a symbol is a bit of its name.
+Rounds of naming shorten every text: a run of one word gets one name; then, in each round, a
+left symbol followed by a right one gets one name, where the side of a symbol is a bit of its
+name.
 Names are digests of what they stand for, so all tasks agree on them and equal substrings get
 equal symbols inside, up to a margin that each symbol knows: the words its shape depends on.
 Spark counts the names of the high level; only symbols that occur again can lie in a repeat,
@@ -30,49 +31,31 @@ def _segments(fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def symbols(words: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS):
     """Names of the last level, and per symbol the words ``[low, high)`` that decide its shape.
 
-    A row's edges count as neighbours outside every window, so symbols there depend on the
-    word before or behind the row and belong to no window.
+    A row's edges count as unknown neighbours: what depends on them reaches over the edge and
+    lies in no window.
     """
-    name = words.copy()
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    low = np.arange(len(words))
-    high = low + 1
+    # Runs of one word.  Where a run ends depends on the words next to it.
+    first, n = _segments(~np.r_[False, (words[1:] == words[:-1]) & (row[1:] == row[:-1])][: len(words)])
+    name = np.where(n == 1, words[first], mix(words[first] * RUN + n.astype(np.uint64) * PAIR))
+    row, low, high = row[first], first - 1, first + n + 1
     for level in range(rounds):
-        if not len(name):
-            break
-        same = np.r_[False, (name[1:] == name[:-1]) & (row[1:] == row[:-1])]
-        first, n = _segments(~same)
-        last = first + n - 1
-        # A run ends where its neighbours differ, so it depends on them.
-        run_low = np.where((first > 0) & (row[first - 1] == row[first]), low[first - 1], low[first] - 1)
-        after = np.minimum(last + 1, len(name) - 1)
-        run_high = np.where((last + 1 < len(name)) & (row[after] == row[last]), high[after], high[last] + 1)
-        lone = n == 1
-        fresh = np.where(lone, name[first], mix(name[first] * RUN + n.astype(np.uint64) * PAIR + np.uint64(level)))
-        # A lone symbol learns below whether a neighbour matters.
-        low = np.where(lone, low[first], np.minimum(run_low, low[first]))
-        high = np.where(lone, high[last], np.maximum(run_high, high[last]))
-        name, row, single = fresh, row[first], lone
-
         side = (mix(name + np.uint64(level + 1)) & np.uint64(1)).astype(bool)
-        joins = np.zeros(len(name), dtype=bool)
-        joins[:-1] = side[:-1] & ~side[1:] & (row[1:] == row[:-1])
-        taken = np.r_[False, joins[:-1]]
-        left_ok = np.r_[False, row[1:] == row[:-1]]
-        right_ok = np.r_[row[1:] == row[:-1], False]
-        # A lone symbol could have been in a run with either neighbour, and one that stays
-        # unpaired could have been paired with the neighbour on its open side.
-        left_edge = np.where(left_ok, np.r_[0, low[:-1]], low - 1)
-        right_edge = np.where(right_ok, np.r_[high[1:], 0], high + 1)
-        wide_low = np.minimum(low, left_edge)
-        wide_high = np.maximum(high, right_edge)
-        pair_at = np.flatnonzero(joins)
-        stay = ~joins & ~taken
-        new_name = name.copy()
-        new_low, new_high = wide_low, wide_high.copy()
-        new_name[pair_at] = mix(name[pair_at] * PAIR + mix(name[pair_at + 1]) * RUN + np.uint64(level))
-        new_high[pair_at] = wide_high[pair_at + 1]
-        keep = joins | stay
+        next_too = np.r_[row[1:] == row[:-1], False][: len(name)]
+        joins = np.r_[side[:-1] & ~side[1:], False][: len(name)] & next_too
+        taken = np.r_[False, joins[:-1]][: len(name)]
+        before = np.maximum(np.arange(len(name)) - 1, 0)
+        after = np.minimum(np.arange(len(name)) + 1, max(len(name) - 1, 0))
+        # A left symbol that stays alone depends on the one behind it, a right symbol on the one before.
+        last_too = np.r_[False, next_too[:-1]][: len(name)]
+        near_low = np.where(side, np.where(next_too, low[after], low), np.where(last_too, low[before], low - 1))
+        near_high = np.where(side, np.where(next_too, high[after], high + 1), np.where(last_too, high[before], high))
+        new_name, new_low, new_high = name.copy(), np.minimum(low, near_low), np.maximum(high, near_high)
+        at = np.flatnonzero(joins)
+        new_name[at] = mix(name[at] * PAIR + mix(name[at + 1]) * RUN + np.uint64(level))
+        new_low[at] = np.minimum(low[at], low[at + 1])
+        new_high[at] = np.maximum(high[at], high[at + 1])
+        keep = ~taken
         name, row, low, high = new_name[keep], row[keep], new_low[keep], new_high[keep]
     return name, low, high
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -27,3 +27,8 @@ def count_of(text: Column, characters: str) -> Column:
     """How many code points of ``text`` belong to a regular expression's character class."""
     text = F.coalesce(text, F.lit(""))
     return (F.length(text) - F.length(F.regexp_replace(text, characters + "+", ""))).cast("long")
+
+
+def row_of(docs: DataFrame) -> Column:
+    """A row's own columns as one struct, so no helper column can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
