@@ -29,10 +29,6 @@ def ticks(col: Column) -> Column:
     return (col * TICKS).cast("long")
 
 
-def micros(col: Column) -> Column:
-    return F.unix_micros(col)
-
-
 def plus_seconds(ts: Column, seconds: Column) -> Column:
     """Instant arithmetic in microseconds, independent of the session calendar."""
     return F.timestamp_micros(F.unix_micros(ts) + seconds.cast("long") * F.lit(1_000_000))
@@ -61,10 +57,6 @@ def canonical_json(fields: Mapping[str, Column]) -> Column:
     return F.to_json(body, {"ignoreNullFields": "false"})
 
 
-def content_id(fields: Mapping[str, Column]) -> Column:
-    return F.sha2(canonical_json(fields), 256)
-
-
 def config_version(prefix: str, body: Mapping[str, object]) -> str:
     """A short address of a frozen configuration."""
     text = json.dumps(dict(body), sort_keys=True, separators=(",", ":"))

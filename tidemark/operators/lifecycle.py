@@ -18,12 +18,6 @@ from tidemark.settings import settle
 BLOCK = 128
 
 
-def edge_table(spark: SparkSession, edges: Mapping[str, Sequence[str]]) -> DataFrame:
-    return spark.createDataFrame(
-        [(a, b) for a, targets in edges.items() for b in targets], "state string, event string"
-    )
-
-
 def permits_new_entry(states: DataFrame, column: str = "state") -> DataFrame:
     """Whether a session in each state can reach ``working``; read off the table itself."""
     able = [s for s, targets in fixed.SESSION_EDGES.items() if "working" in targets]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import fixed
-from tidemark.functions.exprs import r6
+from tidemark.functions.exprs import money, r6, ticks
 from tidemark.operators import ledger, lifecycle, metrics, reconcile, risk
 from tidemark.plans.registry import ORACLES, at, joined, r6_sql, registered, stamp
 from tidemark.settings import settle, work_path
@@ -538,6 +538,23 @@ def new_submission_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- streams --------------------------------------------------------------------------------
 
+@registered(
+    "money_at_four_places",
+    """WITH a AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 7919 + l_partkey * 50) % 1000000 AS rest FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_orderkey * 10000 + rest // 100
+      + CASE WHEN rest % 100 > 50 OR (rest % 100 = 50 AND (l_orderkey * 10000 + rest // 100) % 2 = 1) THEN 1 ELSE 0 END AS BIGINT) END AS ticks FROM a""",
+)
+def money_at_four_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts with six decimals as text, some unreadable, as exact money in ticks."""
+    rest = (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 50) % 1_000_000
+    text = F.when(F.col("l_linenumber") == 7, F.lit("n/a")).otherwise(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("."), F.lpad(rest.cast("string"), 6, "0"))
+    )
+    return tables.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", ticks(money(text)).alias("ticks")
+    )
+
+
 def _stream(spark: SparkSession, *parts: DataFrame) -> DataFrame:
     """Tables as a file stream in the shared folder; several tables arrive one by one."""
     path = work_path(spark, "stream")

@@ -7,6 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.functions.fixed import STATIC_FALLBACK_SYMBOLS
 from tidemark.functions.exprs import r6, ticks
 from tidemark.operators import folds, labels, metrics, panel, price_features, universe
 from tidemark.plans.registry import (
@@ -566,6 +567,32 @@ def universe_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("symbol", joined("reasons").alias("reasons")).agg(F.count("*").alias("n"))
 
 
+LISTED = ", ".join(f"({i + 1}, '{name}')" for i, name in enumerate(STATIC_FALLBACK_SYMBOLS))
+
+
+@registered(
+    "universe_fallback_members",
+    f"""WITH {FACTS}, listed(b, name) AS (VALUES {LISTED}), fb AS (
+      SELECT name AS symbol, array_to_string(list_filter([
+        CASE WHEN NOT coalesce(active, false) THEN 'inactive' END, CASE WHEN NOT tradable THEN 'not_tradable' END,
+        CASE WHEN coalesce(corporate_action, true) THEN 'unresolved_corporate_action' END,
+        CASE WHEN c < 3000000 THEN 'below_price_floor' END,
+        CASE WHEN m < 1500000000 THEN 'below_dollar_volume_floor' END], lambda x: x IS NOT NULL), ',') AS reasons
+      FROM latest JOIN listed USING (b))
+    SELECT symbol, reasons, count(*) AS n FROM fb GROUP BY ALL""",
+)
+def universe_fallback_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brands under the names of the fixed list, judged without option evidence."""
+    bars = stored_bars(spark, sf_dir)
+    spine = bars.select("symbol", (F.col("session") - F.expr("interval 1 hour")).alias("as_of"))
+    latest = universe.latest_as_of(spine, settle(universe_facts(spark, sf_dir, bars), "facts"))
+    listed = universe.static_fallback(spark).withColumnRenamed("symbol", "_name")
+    named = latest.join(listed, tables.brand_number(F.col("symbol")) == F.col("position"))
+    named = named.withColumn("symbol", F.col("_name")).drop("_name", "position")
+    out = universe.screened(named, FLOORS, fallback=True)
+    return out.groupBy("symbol", joined("reasons").alias("reasons")).agg(F.count("*").alias("n"))
+
+
 @registered(
     "bar_sanity_report",
     f"""WITH {MOVES},

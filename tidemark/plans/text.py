@@ -322,6 +322,17 @@ def label_cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag(held, "held").unionByName(tag(rest, "asked"))
 
 
+@registered(
+    "label_cache_put",
+    f"WITH {CONTEXT} SELECT symbol AS ticker, doc_id AS article_id FROM last_five WHERE len(ctx) <> 5",
+)
+def label_cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label offered twice to a cache that already holds the full contexts."""
+    asked = settle(requests(spark, sf_dir), "requests")
+    cache = asked.where("context_size = 5").select("cache_key")
+    return labeling.new_cache_rows(cache, asked.unionByName(asked)).select("ticker", "article_id")
+
+
 _DEFECTS = 11
 
 
