@@ -144,7 +144,7 @@ def test_analogs_against_brute_force(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(60, 4))
     rows = spark.createDataFrame([(i, i, [float(v) for v in vectors[i]]) for i in range(60)], "event_id long, at long, vector array<double>").repartition(5)
-    got = metrics.closest_analogs(rows.where("event_id in (10, 40, 59)"), rows, 3, limit=2).collect()
+    got = metrics.closest_analogs(rows.where("event_id in (10, 40, 59)"), rows, 3, size=2).collect()
     for q in (10, 40, 59):
         d = np.sqrt(((vectors[:q] - vectors[q]) ** 2).sum(axis=1))
         assert [r.event_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == np.argsort(d)[:3].tolist()

@@ -436,19 +436,17 @@ def label_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "closest_analogs",
-    """WITH newest AS (SELECT label, max(vec_id) AS q FROM embeddings GROUP BY label),
-    d AS (
-      SELECT n.q AS query_id, e.vec_id AS event_id,
+    """WITH d AS (
+      SELECT t.vec_id AS query_id, e.vec_id AS event_id,
         sqrt(list_sum(list_transform(list_zip(e.embedding, t.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))) AS distance
-      FROM newest n JOIN embeddings t ON t.vec_id = n.q JOIN embeddings e ON e.vec_id < n.q)
+      FROM embeddings t JOIN embeddings e ON e.vec_id < t.vec_id)
     SELECT query_id, event_id, round(distance, 6) AS distance, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, event_id) AS rank FROM d) WHERE rank <= 5""",
 )
 def closest_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest event of each class against everything before it."""
+    """Every event against everything before it."""
     rows = tables.table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("event_id"), F.col("vec_id").alias("at"), F.col("embedding").alias("vector"), "label"
+        F.col("vec_id").alias("event_id"), F.col("vec_id").alias("at"), F.col("embedding").alias("vector")
     )
-    newest = rows.groupBy("label").agg(F.max_by(F.struct("event_id", "at", "vector"), "at").alias("_n")).select("_n.*")
-    out = metrics.closest_analogs(newest, rows.drop("label"), 5)
+    out = metrics.closest_analogs(rows, rows, 5)
     return out.select("query_id", "event_id", F.round("distance", 6).alias("distance"), "rank")
