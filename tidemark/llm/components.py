@@ -19,6 +19,8 @@ def components(links: DataFrame) -> DataFrame:
         .where("x <> y").distinct(),
         "links",
     )
+    if both.isEmpty():
+        return both.select(F.col("x").alias("node"), F.col("y").alias("root"))
     roots = settle(
         both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("root")),
         "roots",

@@ -239,6 +239,24 @@ class Sets:
         return settle(both.mapInPandas(_links(self.share), "x long, y long"), "verified")
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after further links: only the components that the links touch are joined anew."""
+    if links.isEmpty():
+        return roots
+    up = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}r"))
+    between = links.join(up("x"), "x", "left").join(up("y"), "y", "left").select(
+        F.coalesce("xr", "x").alias("x"), F.coalesce("yr", "y").alias("y")
+    )
+    moved = components(between).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    known = roots.unionByName(
+        moved.select(F.col("was").alias("node"), F.col("was").alias("root")).join(roots, "node", "left_anti")
+    )
+    return settle(
+        known.join(moved, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")),
+        "roots",
+    )
+
+
 def linked_rows(docs: DataFrame, gram: int, share: int) -> DataFrame:
     """``doc, tie, n, root``: per document its set's size and the class that names its component."""
     keyed = docs.select(
@@ -272,8 +290,7 @@ def linked_rows(docs: DataFrame, gram: int, share: int) -> DataFrame:
         hubs = firsts.select(F.col("grp").alias("hub"), F.col("first").alias("y"))
         return pairs.join(hubs, "hub").join(members, "grp").select(F.col("cls").alias("x"), "y")
 
-    links = sets.verified(within.unionByName(stars(post, "lo")).distinct())
-    roots = components(links)
+    roots = components(sets.verified(within.unionByName(stars(post, "lo")).distinct()))
 
     def open_postings(roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Members with their component, and the postings of tokens that meet two components."""
@@ -290,8 +307,8 @@ def linked_rows(docs: DataFrame, gram: int, share: int) -> DataFrame:
         return placed, groups, settle(held.join(mixed, "token", "left_semi"), "open")
 
     _, _, still = open_postings(roots)
-    links = links.unionByName(sets.verified(stars(still, "hi").distinct()))
-    roots = components(links)
+    if not still.isEmpty():
+        roots = merged(roots, sets.verified(stars(still, "hi").distinct()))
     placed, groups, still = open_postings(roots)
 
     # What remains: all group pairs of a token that hold two components and can still reach the share.
@@ -311,13 +328,13 @@ def linked_rows(docs: DataFrame, gram: int, share: int) -> DataFrame:
     alike = groups.where("r_lo <> r_hi").select("grp", F.col("grp").alias("h"))
     left = placed.select("grp", F.col("cls").alias("x"), F.col("root").alias("xr"))
     right = placed.select(F.col("grp").alias("h"), F.col("cls").alias("y"), F.col("root").alias("yr"))
-    rest = (
+    rest = settle(
         group_pairs.unionByName(alike).join(left, "grp").join(right, "h")
-        .where("xr <> yr").select("x", "y").distinct()
+        .where("xr <> yr").select("x", "y").distinct(),
+        "rest",
     )
-    links = links.unionByName(sets.verified(rest))
-    roots = components(links)
-
+    if not rest.isEmpty():
+        roots = merged(roots, sets.verified(rest))
     return rows.select("doc", "tie", "n", "cls").join(roots, F.col("cls") == F.col("node"), "left").select(
         "doc", "tie", "n", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root")
     )
