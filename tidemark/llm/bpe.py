@@ -19,6 +19,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm.words import in_small_batches
+
 # The white space, split pattern and byte alphabet of this vocabulary family.
 WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -195,7 +197,7 @@ def encoded_batches(path: str, kind: str):
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+    return in_small_batches(docs.selectExpr("cast(doc_id as long) as doc_id", "text"))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ from tidemark.llm.language import text_bytes
 
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C55)
 WORD_BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D))
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

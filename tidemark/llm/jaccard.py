@@ -19,18 +19,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.taskcontext import TaskContext
 
 from tidemark.llm.components import components
 from tidemark.llm.flat import WORD_BASES, Sequences, flat_words, mix, signed, slices
-from tidemark.llm.words import row_of
+from tidemark.llm.words import in_small_batches, row_of
 from tidemark.settings import max_broadcast_rows, settle
 
 GRAM = 5
 SHARE = 75
-COUNTERS = 1 << 20
+COUNTER_BITS = 22
 CHUNKS = 64
+HUB_ROUNDS = 2
+CELLS = 512
+SIGNS = [f"s{i}" for i in range(CELLS // 64)]
+PREFIX_ROWS = "cls long, n long, grp long, prefix array<long>, " + ", ".join(f"{c} long" for c in SIGNS)
 LAST = 2**63 - 1
 SET_ROWS = "doc long, tie long, n long, cls long, bits binary, chunk int, part int, counts binary"
 
@@ -65,6 +70,10 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def counter_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
 def token_sets(part: pa.RecordBatch, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each row of a batch: all tokens, their row numbers, the sets' sizes and classes."""
     words, bounds = flat_words(part, lower=True)
@@ -87,12 +96,16 @@ def _sets(gram: int):
     names = ["doc", "tie", "n", "cls", "bits", "chunk", "part", "counts"]
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.uint32)
+        counts, waiting, held = np.zeros(1 << COUNTER_BITS, dtype=np.uint64), [], 0
         empty = lambda n, kind: pa.nulls(n, kind)
         for batch in batches:
             for part in slices(batch):
                 tokens, _, n, cls = token_sets(part, gram)
-                counts += np.bincount((tokens >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                waiting.append(counter_of(tokens))
+                held += len(tokens)
+                if held > 1 << 21:
+                    counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint64)
+                    waiting, held = [], 0
                 size = len(part)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc"), part.column("tie"), pa.array(n), signed(cls),
@@ -100,11 +113,13 @@ def _sets(gram: int):
                      empty(size, pa.int32()), empty(size, pa.int32()), empty(size, pa.binary())],
                     names=names,
                 )
-        task = TaskContext.get().partitionId()
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint64)
+        task, squeeze = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
         yield pa.RecordBatch.from_arrays(
             [*(empty(CHUNKS, k) for k in (*[pa.int64()] * 4, pa.binary())),
              pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()),
-             pa.array([c.tobytes() for c in np.split(counts, CHUNKS)], pa.binary())],
+             pa.array([squeeze.compress(c.tobytes()) for c in np.split(counts, CHUNKS)], pa.binary())],
             names=names,
         )
 
@@ -125,20 +140,25 @@ def _whole_sets(gram: int):
 
 
 def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(COUNTERS // CHUNKS, dtype=np.uint64)
+    """The sum of the counters of one chunk."""
+    open_ = zstandard.ZstdDecompressor()
+    total = np.zeros((1 << COUNTER_BITS) // CHUNKS, dtype=np.uint64)
     for c in rows["counts"]:
-        total += np.frombuffer(c, np.uint32 if len(c) == 4 * len(total) else np.uint64)
-    return pd.DataFrame({"chunk": [key[0]], "counts": [total.tobytes()]})
+        total += np.frombuffer(open_.decompress(c), np.uint64)
+    return pd.DataFrame({"chunk": [key[0]], "counts": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
 
 
 def token_levels(sketch: DataFrame) -> np.ndarray:
-    """Per counter how far it lies above the mean, in powers of two: a fixed 1 MB table."""
+    """Per counter how far it stands out from chance, in powers of two: a table of fixed size."""
     halves = sketch.groupBy("chunk", F.col("part") % 64).applyInPandas(_added, "chunk int, counts binary")
     whole = halves.groupBy("chunk").applyInPandas(_added, "chunk int, counts binary")
-    parts = {r["chunk"]: np.frombuffer(bytes(r["counts"]), np.uint64) for r in whole.collect()}
-    none = np.zeros(COUNTERS // CHUNKS, np.uint64)
-    counts = np.concatenate([parts.get(i, none) for i in range(CHUNKS)]).astype(float)
-    return np.floor(np.log2(np.maximum(counts / max(counts.mean(), 1.0), 1.0))).astype(np.uint8)
+    open_ = zstandard.ZstdDecompressor()
+    parts = {r["chunk"]: np.frombuffer(open_.decompress(bytes(r["counts"])), np.uint64) for r in whole.collect()}
+    none = np.zeros((1 << COUNTER_BITS) // CHUNKS, np.uint64)
+    counts = np.concatenate([parts.get(i, none) for i in range(CHUNKS)]).astype(np.float32)
+    usual = float(counts.mean())
+    beyond = (counts - usual) / max(usual**0.5, 1.0) / 4
+    return np.where(beyond < 1, 0, 1 + np.log2(np.maximum(beyond, 1))).astype(np.uint8)
 
 
 def text_tie() -> Column:
@@ -150,16 +170,20 @@ def prefix_size(n, share: int):
 
 
 def _prefixes(levels: np.ndarray, gram: int, share: int):
-    """Per text its class, its group (size and prefix) and the prefix's tokens in global order."""
+    """Per text its class, its group (size and prefix), the prefix's tokens in global order, and
+    the parities of its tokens in 512 cells."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 tokens, row, n, cls = token_sets(part, gram)
-                order = np.lexsort((tokens, levels[(tokens >> np.uint64(44)).astype(np.int64)], row))
+                order = np.lexsort((tokens, levels[counter_of(tokens)], row))
                 place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
                 full = n > 0
                 size = prefix_size(n, share)
+                cell = row * CELLS + (tokens & np.uint64(CELLS - 1)).astype(np.int64)
+                odd = (np.bincount(cell, minlength=len(part) * CELLS) & 1).astype(np.uint8)
+                signs = np.packbits(odd, bitorder="little").view("<i8").reshape(len(part), -1)[full]
                 tokens = tokens[order][place < size[row]]
                 n, cls, size = n[full], cls[full], size[full]
                 if not len(n):
@@ -168,7 +192,8 @@ def _prefixes(levels: np.ndarray, gram: int, share: int):
                 group = mix(np.add.reduceat(mix(tokens), first) + n.astype(np.uint64))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(tokens)].astype(np.int32)), signed(tokens))
                 yield pa.RecordBatch.from_arrays(
-                    [signed(cls), pa.array(n), signed(group), lists], names=["cls", "n", "grp", "prefix"]
+                    [signed(cls), pa.array(n), signed(group), lists, *[pa.array(c) for c in signs.T.copy()]],
+                    names=["cls", "n", "grp", "prefix", *SIGNS],
                 )
 
     return body
@@ -259,7 +284,7 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def linked_rows(docs: DataFrame, gram: int, share: int) -> DataFrame:
     """``doc, tie, n, root``: per document its set's size and the class that names its component."""
-    keyed = docs.select(
+    keyed = in_small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc"), text_tie().alias("tie"), F.coalesce("text", F.lit("")).alias("text")
     )
     rows = settle(keyed.mapInArrow(_sets(gram), SET_ROWS), "sets")
@@ -267,7 +292,7 @@ def linked_rows(docs: DataFrame, gram: int, share: int) -> DataFrame:
     rows = rows.where(F.col("chunk").isNull())
     sets = Sets(keyed, rows, gram, share)
     prefixed = settle(
-        keyed.mapInArrow(_prefixes(levels, gram, share), "cls long, n long, grp long, prefix array<long>"), "prefixes"
+        keyed.mapInArrow(_prefixes(levels, gram, share), PREFIX_ROWS), "prefixes"
     )
     members = settle(prefixed.select("cls", "grp", "n").distinct(), "members")
     firsts = members.groupBy("grp").agg(F.min("cls").alias("first"), F.max("cls").alias("last"))
@@ -306,22 +331,34 @@ def linked_rows(docs: DataFrame, gram: int, share: int) -> DataFrame:
         )
         return placed, groups, settle(held.join(mixed, "token", "left_semi"), "open")
 
-    _, _, still = open_postings(roots)
-    if not still.isEmpty():
-        roots = merged(roots, sets.verified(stars(still, "hi").distinct()))
+    # Other hubs, so that few components are left to compare pair by pair.
     placed, groups, still = open_postings(roots)
+    for salt in range(HUB_ROUNDS):
+        if still.isEmpty():
+            break
+        hubs = still.groupBy("token").agg(F.min_by("grp", F.xxhash64("grp", F.lit(salt))).alias("hub"))
+        roots = merged(roots, sets.verified(stars(still.join(hubs, "token"), "hub").distinct()))
+        placed, groups, still = open_postings(roots)
 
     # What remains: all group pairs of a token that hold two components and can still reach the share.
+    # Parities bound the difference of two sets; a group of several classes has none to compare.
+    alone = (
+        prefixed.groupBy("grp").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), *[F.first(c).alias(c) for c in SIGNS])
+        .where("a = b").drop("a", "b")
+    )
+    still = settle(still.join(alone, "grp", "left"), "signed")
     other = still.select(
-        "token", F.col("grp").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hpos"),
+        *[F.col(c).alias(f"h{c}") for c in SIGNS], "token", F.col("grp").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hpos"),
         F.col("r_lo").alias("h_lo"), F.col("r_hi").alias("h_hi"),
     )
     least = F.ceil(share * (F.col("n") + F.col("hn")) / (100 + share))
     reach = (F.col("n") - F.col("pos") >= least) & (F.col("hn") - F.col("hpos") >= least)
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h{c}"))) for c in SIGNS[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("hs0"))))
+    close = F.coalesce(differ <= F.floor((100 - share) * (F.col("n") + F.col("hn")) / (100 + share)), F.lit(True))
     apart = (F.least("r_lo", "h_lo") != F.greatest("r_hi", "h_hi"))
     group_pairs = (
         still.join(other, "token")
-        .where((F.col("grp") < F.col("h")) & sizes_fit(F.col("n"), F.col("hn"), share) & reach & apart)
+        .where((F.col("grp") < F.col("h")) & sizes_fit(F.col("n"), F.col("hn"), share) & reach & apart & close)
         .select("grp", "h")
         .distinct()
     )

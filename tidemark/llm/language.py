@@ -18,9 +18,11 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.words import in_small_batches
+
 UNKNOWN = "und"
 SPACE = 32
-SPAN = 1 << 20
+SPAN = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -104,7 +106,7 @@ def _counts(training: Training):
             per_row = np.zeros((0,), dtype=np.int64)
             for code, row in subwords(flat, bounds, training.buckets):
                 per_row = np.concatenate([per_row, row * training.buckets + code])
-                if len(per_row) > 4 * SPAN:
+                if len(per_row) > 16 * SPAN:
                     found.append(_tally(per_row))
                     per_row = np.zeros((0,), dtype=np.int64)
             found.append(_tally(per_row))
@@ -174,7 +176,7 @@ class Model:
 
 def train(docs: DataFrame, fold: Column, training: Training = Training()) -> Model:
     """Learn from a bounded sample of the rows outside ``fold`` that carry a language."""
-    counted = _sample(docs, fold, training).mapInArrow(
+    counted = in_small_batches(_sample(docs, fold, training)).mapInArrow(
         _counts(training), "doc_id long, lang string, buckets binary, shares binary"
     )
 
@@ -239,7 +241,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         *[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)],
         F.col("doc_id").cast("long").alias("_id"), "text", has_letter.alias("has_letter"),
     )
-    return wide.mapInArrow(body, docs.schema)
+    return in_small_batches(wide).mapInArrow(body, docs.schema)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -250,7 +252,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     than doc_id and text are ignored.
     """
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", has_letter.alias("has_letter")).mapInArrow(
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", has_letter.alias("has_letter"))
+    return in_small_batches(narrow).mapInArrow(
         _scored(model), "doc_id long, lang_pred string, score double, rejected boolean"
     )
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.flat import WORD_BASES, Sequences, flat_words, packed, signed, slices, unpacked, with_text
-from tidemark.llm.words import row_of
+from tidemark.llm.words import in_small_batches, row_of
 from tidemark.settings import settle
 
 LAST = 2**63 - 1
@@ -42,7 +42,7 @@ def text_tie() -> Column:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc, tie, text``: a null id comes last, equal ids are told apart by their text."""
-    return docs.select(
+    return in_small_batches(docs).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
         text_tie().alias("tie"),
         F.coalesce("text", F.lit("")).alias("text"),

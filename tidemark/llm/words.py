@@ -32,3 +32,9 @@ def count_of(text: Column, characters: str) -> Column:
 def row_of(docs: DataFrame) -> Column:
     """A row's own columns as one struct, so no helper column can clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with few enough rows in an Arrow batch that whole texts fit a Python worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
