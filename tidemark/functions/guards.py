@@ -34,21 +34,29 @@ def refuse_leaks(df: DataFrame, seen: str, as_of: Column, key: Sequence[str]) ->
     refuse(df, F.col(seen) > as_of, LeakError, f"{seen} is later than as_of", [*key, seen])
 
 
-def conflicting_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Keys whose rows differ in content.
-
-    A group keeps only the smallest and largest content digest, so a key repeated any
-    number of times costs two values.
-    """
+def _content(df: DataFrame, key: Sequence[str]) -> list[Column]:
+    """Two 64-bit hashes of a row without its key; which columns are NULL takes part."""
     rest = sorted(c for c in df.columns if c not in key)
-    digest = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)
-    return (
-        df.select(*key, digest.alias("_d"))
-        .groupBy(*key)
-        .agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
-        .where(F.col("_lo") != F.col("_hi"))
-        .select(*key)
-    )
+    plain = [
+        F.to_json(c) if df.schema[c].dataType.simpleString().find("map<") >= 0 else F.col(c) for c in rest
+    ]
+    holes = [F.col(c).isNull() for c in rest]
+    return [
+        F.xxhash64(F.lit(0), *plain, *holes).alias("_a"), F.xxhash64(F.lit(1), *plain, *holes).alias("_b")
+    ]
+
+
+def _per_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows per key, and whether they differ: five whole numbers, however often a key repeats."""
+    spans = [f(c).alias(f"{c}_{n}") for c in ("_a", "_b") for n, f in (("lo", F.min), ("hi", F.max))]
+    clash = (F.col("_a_lo") != F.col("_a_hi")) | (F.col("_b_lo") != F.col("_b_hi"))
+    counted = df.select(*key, *_content(df, key)).groupBy(*key).agg(F.count("*").alias("_n"), *spans)
+    return counted.withColumn("_clash", clash)
+
+
+def conflicting_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys whose rows differ in content."""
+    return _per_key(df, key).where("_clash").select(*key)
 
 
 def collapse_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -57,17 +65,9 @@ def collapse_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
     One aggregate answers both questions, and a table without repeats is returned as it is,
     so nothing downstream pays for a deduplication it does not need.
     """
-    rest = sorted(c for c in df.columns if c not in key)
-    digest = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)
-    per_key = (
-        df.select(*key, digest.alias("_d"))
-        .groupBy(*key)
-        .agg(F.count("*").alias("_n"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
-    )
-    clash = F.col("_lo") != F.col("_hi")
-    found = per_key.agg(
-        F.max("_n").alias("most"), F.count(F.when(clash, 1)).alias("n"),
-        F.min(F.when(clash, F.to_json(F.struct(*key)))).alias("example"),
+    found = _per_key(df, key).agg(
+        F.max("_n").alias("most"), F.count(F.when(F.col("_clash"), 1)).alias("n"),
+        F.min(F.when(F.col("_clash"), F.to_json(F.struct(*key)))).alias("example"),
     ).first()
     if found.n:
         raise AmbiguityError(

@@ -169,16 +169,36 @@ def _label_reason() -> Column:
     )
 
 
+def exclusion_intervals(panel: DataFrame, config: NewsConfig) -> DataFrame:
+    """Per article the instants at which it does not contribute: ``symbol, article_id, reason, since, until``.
+
+    At most two rows per article, whatever the spine: its label's reason while it is within
+    the lookback, and ``outside_lookback`` ever after.  Both ends are included; an open end is
+    NULL.
+    """
+    back = int(config.lookback_hours * 3_600_000_000)
+    seen = F.unix_micros("first_seen_time")
+    part = lambda reason, since, until: F.struct(
+        reason.alias("reason"), F.timestamp_micros(since).alias("since"), F.timestamp_micros(until).alias("until")
+    )
+    both = F.array(
+        part(_label_reason(), seen, seen + back),
+        part(F.lit("outside_lookback"), seen + back + 1, F.lit(None).cast("bigint")),
+    )
+    rows = panel.select("symbol", "article_id", F.explode(both).alias("_p"))
+    return rows.select("symbol", "article_id", "_p.*").where("reason is not null and since is not null")
+
+
 def exclusions(spine: DataFrame, panel: DataFrame, config: NewsConfig) -> DataFrame:
-    """Every visible article that does not contribute, with its one reason.
+    """Every visible article that does not contribute at each spine row, with its one reason.
 
-    Includes all older articles (``outside_lookback``), so the result is as large as the
-    visible history of each spine row.
+    The intervals expanded over the spine: as large as the visible history of each row.
     """
-    seen = spine.select("symbol", "as_of").join(panel, "symbol").where("first_seen_time <= as_of")
-    old = (F.unix_micros("as_of") - F.unix_micros("first_seen_time")) > config.lookback_hours * 3.6e9
-    reason = F.when(old, "outside_lookback").otherwise(_label_reason())
-    return seen.select("symbol", "as_of", "article_id", reason.alias("reason")).where("reason is not null")
+    held = exclusion_intervals(panel, config)
+    inside = (F.col("since") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("as_of") <= F.col("until")))
+    return spine.select("symbol", "as_of").join(held, "symbol").where(inside).select(
+        "symbol", "as_of", "article_id", "reason"
+    )
 
 
 def representatives(kept: DataFrame, config: NewsConfig) -> DataFrame:

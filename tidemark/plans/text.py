@@ -167,6 +167,23 @@ def news_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", stamp("as_of").alias("as_of"), "article_id", "reason")
 
 
+@registered(
+    "news_exclusion_intervals",
+    f"""WITH {ARTICLES}, {TOLD}, both AS (
+      SELECT symbol, a.doc_id, epoch_us(seen) AS at, CASE WHEN entity_match IS NULL THEN 'unlabelled'
+        WHEN entity_match = 'not_matched' THEN 'entity_not_matched' WHEN entity_match = 'uncertain' THEN 'entity_uncertain' END AS why
+      FROM articles a LEFT JOIN told t ON t.doc_id = a.doc_id)
+    SELECT symbol, doc_id AS article_id, why AS reason, at AS since, at + 604800000000 AS until FROM both WHERE why IS NOT NULL
+    UNION ALL SELECT symbol, doc_id, 'outside_lookback', at + 604800000001, NULL FROM both""".replace("both", "placed"),
+)
+def news_exclusion_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each article does not contribute, and why."""
+    panel = news.checked_panel(articles(spark, sf_dir), tables.article_labels(spark, sf_dir))
+    return news.exclusion_intervals(panel, news.NewsConfig()).select(
+        "symbol", "article_id", "reason", F.unix_micros("since").alias("since"), F.unix_micros("until").alias("until")
+    )
+
+
 @registered(
     "news_story_representatives",
     f"WITH RECURSIVE {CLUSTERS} SELECT symbol, {at('as_of')} AS as_of, doc_id AS article_id FROM reps",
