@@ -169,12 +169,12 @@ def news_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "news_exclusion_intervals",
-    f"""WITH {ARTICLES}, {TOLD}, both AS (
-      SELECT symbol, a.doc_id, epoch_us(seen) AS at, CASE WHEN entity_match IS NULL THEN 'unlabelled'
+    f"""WITH {ARTICLES}, {TOLD}, placed AS (
+      SELECT symbol, a.doc_id, epoch_us(seen) AS t0, CASE WHEN entity_match IS NULL THEN 'unlabelled'
         WHEN entity_match = 'not_matched' THEN 'entity_not_matched' WHEN entity_match = 'uncertain' THEN 'entity_uncertain' END AS why
       FROM articles a LEFT JOIN told t ON t.doc_id = a.doc_id)
-    SELECT symbol, doc_id AS article_id, why AS reason, at AS since, at + 604800000000 AS until FROM both WHERE why IS NOT NULL
-    UNION ALL SELECT symbol, doc_id, 'outside_lookback', at + 604800000001, NULL FROM both""".replace("both", "placed"),
+    SELECT symbol, doc_id AS article_id, why AS reason, t0 AS since, t0 + 604800000000 AS until FROM placed WHERE why IS NOT NULL
+    UNION ALL SELECT symbol, doc_id, 'outside_lookback', t0 + 604800000001, NULL FROM placed""",
 )
 def news_exclusion_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each article does not contribute, and why."""
