@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import guards, spread
 from tidemark.functions.exprs import config_version
-from tidemark.operators.folds import membership_digest
+from tidemark.operators.folds import EDGES, membership_digest
 from tidemark.settings import settle
 
 
@@ -114,23 +114,41 @@ def training_rows(
     return rows
 
 
+def centred(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Training rows less their fold's weighted means, which come along as ``_my`` and ``_mx_<i>``.
+
+    The means are one row per fold, written down so that their size decides how they join.
+    """
+    train, w = rows.where("window = 'train'"), F.col("w")
+    mean = lambda c: F.sum(w * F.col(c)) / F.sum(w)
+    means = settle(
+        train.groupBy("fold").agg(
+            mean("y").alias("_my"), *[mean(a).alias(f"_mx_{i}") for i, a in enumerate(names)]
+        ),
+        "means",
+    )
+    moved = {"y": F.col("y") - F.col("_my")} | {a: F.col(a) - F.col(f"_mx_{i}") for i, a in enumerate(names)}
+    return train.join(means, "fold").withColumns(moved)
+
+
 def moments(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Weighted first and second moments of the training rows, one row per fold."""
+    """Weighted means and centred second moments of the training rows, one row per fold."""
     w, y = F.col("w"), F.col("y")
-    sums = [F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.sum(w * y).alias("sy")]
-    sums += [F.sum(w * F.col(a)).alias(f"sx_{i}") for i, a in enumerate(names)]
+    sums = [F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.first("_my").alias("my")]
+    sums += [F.first(f"_mx_{i}").alias(f"mx_{i}") for i in range(len(names))]
     sums += [F.sum(w * F.col(a) * y).alias(f"sxy_{i}") for i, a in enumerate(names)]
     sums += [
         F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"sxx_{i}_{j}")
         for i, j in combinations_with_replacement(range(len(names)), 2)
     ]
-    return rows.where("window = 'train'").groupBy("fold").agg(*sums)
+    return centred(rows, names).groupBy("fold").agg(*sums)
 
 
 def ridge(rows: DataFrame, names: Sequence[str], alpha: float) -> DataFrame:
     """Weighted ridge with a free intercept: fold, intercept, coef, effective_sample_size.
 
-    One pass over the rows; a features-by-features system is solved per fold.
+    Two passes, means and centred moments, so that large means cancel nothing; a
+    features-by-features system is solved per fold.
     """
     d = len(names)
 
@@ -138,16 +156,12 @@ def ridge(rows: DataFrame, names: Sequence[str], alpha: float) -> DataFrame:
         for frame in batches:
             out = []
             for m in frame.to_dict("records"):
-                sx = np.array([m[f"sx_{i}"] for i in range(d)]) / m["sw"]
-                sxy = np.array([m[f"sxy_{i}"] for i in range(d)])
                 gram = np.empty((d, d))
                 for i, j in combinations_with_replacement(range(d), 2):
                     gram[i, j] = gram[j, i] = m[f"sxx_{i}_{j}"]
-                my = m["sy"] / m["sw"]
-                coef = np.linalg.solve(
-                    gram - m["sw"] * np.outer(sx, sx) + alpha * np.eye(d), sxy - m["sw"] * sx * my
-                )
-                out.append((m["fold"], float(my - sx @ coef), coef.tolist(), m["sw"] ** 2 / m["sww"]))
+                coef = np.linalg.solve(gram + alpha * np.eye(d), np.array([m[f"sxy_{i}"] for i in range(d)]))
+                intercept = m["my"] - np.array([m[f"mx_{i}"] for i in range(d)]) @ coef
+                out.append((m["fold"], float(intercept), coef.tolist(), m["sw"] ** 2 / m["sww"]))
             yield pd.DataFrame(out, columns=["fold", "intercept", "coef", "effective_sample_size"])
 
     return moments(rows, names).mapInPandas(
@@ -193,10 +207,10 @@ def dot(coef: str, names: Sequence[str]) -> Column:
 
 
 def scored(rows: DataFrame, fitted: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Add magnitude and p_up.  ``fitted`` holds one row per fold."""
+    """Add magnitude and p_up.  ``fitted`` holds one row per fold; its size decides how it joins."""
     z = F.col("direction_intercept") + dot("direction_coef", names)
     return (
-        rows.join(F.broadcast(fitted), "fold")
+        rows.join(fitted, "fold")
         .withColumn("magnitude", F.col("intercept") + dot("coef", names))
         .withColumn("p_up", 1.0 / (1.0 + F.exp(-z)))
     )
@@ -261,15 +275,16 @@ def fit(rows: DataFrame, folds: DataFrame, config: ModelConfig) -> DataFrame:
     used = membership_digest(rows, ["fold"], F.concat_ws("|", "window", "label_id")).drop("members")
     version = F.concat(
         F.lit("mdl-"),
-        F.substring(F.sha2(F.concat_ws("|", F.lit(config.version), F.col("fold").cast("string"), "digest"), 256), 1, 16),
+        F.substring(F.sha2(F.concat_ws("|", F.lit(config.version), F.col("fold").cast("string"), "digest", "_edges"), 256), 1, 16),
     )
+    edges = F.concat_ws("|", *[F.unix_micros(e).cast("string") for e in EDGES if e in folds.columns])
     return (
         fitted.join(bands, "fold")
         .join(calibration_error(held, config.calibration_bins), "fold")
         .join(used, "fold")
-        .join(folds.select("fold", F.col("calibration_end").alias("fitted_through")), "fold")
+        .join(folds.select("fold", F.col("calibration_end").alias("fitted_through"), edges.alias("_edges")), "fold")
         .withColumn("model_version", version)
-        .drop("digest")
+        .drop("digest", "_edges")
     )
 
 
@@ -330,7 +345,7 @@ def arm_predictions(
             mixed = shuffled_within_date(keyed.select("label_id", "_date", "y"), "_date", "y", seed)
             rows = keyed.drop("y").join(mixed.select("label_id", F.col("shuffled_y").alias("y")), "label_id")
         fitted = ridge(rows, list(names), alpha).select("fold", "intercept", "coef")
-        part = test.join(F.broadcast(fitted), "fold").select(
+        part = test.join(fitted, "fold").select(
             "fold", "label_id", "date", F.lit(arm).alias("arm"),
             (F.col("intercept") + dot("coef", list(names))).alias("prediction"),
             F.col("y").alias("outcome"), F.col("w").alias("uniqueness"),

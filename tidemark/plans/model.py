@@ -105,7 +105,7 @@ def residual_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = design(spark, sf_dir)
     names = CONFIG.feature_names
     fitted = model.ridge(rows, names, CONFIG.ridge_alpha)
-    held = rows.where("window = 'calibration'").join(F.broadcast(fitted), "fold")
+    held = rows.where("window = 'calibration'").join(fitted, "fold")
     held = held.select("fold", (F.col("y") - F.col("intercept") - model.dot("coef", names)).alias("e"))
     [heavy] = spread.is_heavy(rows, ["fold"])
     out = spread.quantiles(held, ["fold"], "e", heavy, {"low": 0.1, "middle": 0.5, "high": 0.9})
