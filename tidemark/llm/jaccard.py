@@ -96,7 +96,7 @@ def _sets(gram: int):
     names = ["doc", "tie", "n", "cls", "bits", "chunk", "part", "counts"]
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, held = np.zeros(1 << COUNTER_BITS, dtype=np.uint64), [], 0
+        counts, waiting, held = np.zeros(1 << COUNTER_BITS, dtype=np.int64), [], 0
         empty = lambda n, kind: pa.nulls(n, kind)
         for batch in batches:
             for part in slices(batch):
@@ -104,7 +104,7 @@ def _sets(gram: int):
                 waiting.append(counter_of(tokens))
                 held += len(tokens)
                 if held > 1 << 21:
-                    counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint64)
+                    counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
                     waiting, held = [], 0
                 size = len(part)
                 yield pa.RecordBatch.from_arrays(
@@ -114,7 +114,7 @@ def _sets(gram: int):
                     names=names,
                 )
         if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint64)
+            counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
         task, squeeze = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
         yield pa.RecordBatch.from_arrays(
             [*(empty(CHUNKS, k) for k in (*[pa.int64()] * 4, pa.binary())),
@@ -142,23 +142,32 @@ def _whole_sets(gram: int):
 def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """The sum of the counters of one chunk."""
     open_ = zstandard.ZstdDecompressor()
-    total = np.zeros((1 << COUNTER_BITS) // CHUNKS, dtype=np.uint64)
+    total = np.zeros((1 << COUNTER_BITS) // CHUNKS, dtype=np.int64)
     for c in rows["counts"]:
-        total += np.frombuffer(open_.decompress(c), np.uint64)
+        total += np.frombuffer(open_.decompress(c), np.int64)
     return pd.DataFrame({"chunk": [key[0]], "counts": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
 
 
-def token_levels(sketch: DataFrame) -> np.ndarray:
-    """Per counter how far it stands out from chance, in powers of two: a table of fixed size."""
+def _levels(usual: float):
+    """How far each counter of a chunk lies above ``usual``, in powers of two, as bytes."""
+
+    def body(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        packed = _added(key, rows)["counts"].iloc[0]
+        counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int64)
+        beyond = (counts - usual) / max(usual**0.5, 1.0) / 4
+        level = np.where(beyond < 1, 0, 1 + np.log2(np.maximum(beyond, 1))).astype(np.uint8)
+        return pd.DataFrame({"chunk": [key[0]], "levels": [level.tobytes()]})
+
+    return body
+
+
+def token_levels(sketch: DataFrame, tokens: int) -> np.ndarray:
+    """Per counter how far it stands out from chance: a table of fixed size, 4 MB."""
     halves = sketch.groupBy("chunk", F.col("part") % 64).applyInPandas(_added, "chunk int, counts binary")
-    whole = halves.groupBy("chunk").applyInPandas(_added, "chunk int, counts binary")
-    open_ = zstandard.ZstdDecompressor()
-    parts = {r["chunk"]: np.frombuffer(open_.decompress(bytes(r["counts"])), np.uint64) for r in whole.collect()}
-    none = np.zeros((1 << COUNTER_BITS) // CHUNKS, np.uint64)
-    counts = np.concatenate([parts.get(i, none) for i in range(CHUNKS)]).astype(np.float32)
-    usual = float(counts.mean())
-    beyond = (counts - usual) / max(usual**0.5, 1.0) / 4
-    return np.where(beyond < 1, 0, 1 + np.log2(np.maximum(beyond, 1))).astype(np.uint8)
+    whole = halves.groupBy("chunk").applyInPandas(_levels(tokens / (1 << COUNTER_BITS)), "chunk int, levels binary")
+    parts = {r["chunk"]: bytes(r["levels"]) for r in whole.collect()}
+    none = bytes((1 << COUNTER_BITS) // CHUNKS)
+    return np.frombuffer(b"".join(parts.get(i, none) for i in range(CHUNKS)), np.uint8)
 
 
 def text_tie() -> Column:
@@ -288,8 +297,8 @@ def linked_rows(docs: DataFrame, gram: int, share: int) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc"), text_tie().alias("tie"), F.coalesce("text", F.lit("")).alias("text")
     )
     rows = settle(keyed.mapInArrow(_sets(gram), SET_ROWS), "sets")
-    levels = token_levels(rows.where(F.col("chunk").isNotNull()).select("chunk", "part", "counts"))
-    rows = rows.where(F.col("chunk").isNull())
+    sketch, rows = rows.where(F.col("chunk").isNotNull()), rows.where(F.col("chunk").isNull())
+    levels = token_levels(sketch.select("chunk", "part", "counts"), rows.agg(F.sum("n")).first()[0] or 0)
     sets = Sets(keyed, rows, gram, share)
     prefixed = settle(
         keyed.mapInArrow(_prefixes(levels, gram, share), PREFIX_ROWS), "prefixes"
