@@ -232,6 +232,27 @@ def test_topk_edges(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("pivots, parts", [(40, 4), (4, 200)])
+def test_topk_of_small_cells(spark, pivots, parts):
+    """Cells, or blocks cut at range borders, with fewer than k vectors: the rest is searched whole."""
+    rng = np.random.default_rng(11)
+    near, far = rng.normal(size=(150, 6)), rng.normal(size=(4, 6)) + 90
+    vectors = np.vstack([near, far])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = [tuple(r) for r in topk.top_k(df, (F.col("vec_id") % 10 == 0) | (F.col("vec_id") == 153), pivots=pivots).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    whole = np.floor(1024 * vectors).astype(int)
+    want = []
+    for q in [*range(0, 154, 10), 153]:
+        best = sorted((-int(whole[q] @ v), i) for i, v in enumerate(whole) if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(got) == sorted(want)
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [

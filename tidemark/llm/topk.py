@@ -23,6 +23,8 @@ ROWS = 1024
 QUERY_ROWS = 256
 FIRST_BLOCKS = 2
 SLACK = 1e-6
+# The bound of a query without k scores yet.  A null would turn a whole array of bounds into floats in a task.
+NO_BOUND = -(2**63)
 BLOCK = "block long, pivot int, lo double, hi double, norm double, ids binary, vectors binary, width int, size int"
 
 
@@ -154,7 +156,7 @@ def _best(k: int):
                 score = _products(q, _points(row))
                 allowed = ids[None, :] != qid[:, None]
                 if row.least is not None:
-                    allowed &= score >= np.array([-(2**62) if t is None else t for t in row.least])[:, None]
+                    allowed &= score >= np.asarray(row.least, dtype=np.int64)[:, None]
                 for slot in np.flatnonzero(allowed.any(1)):
                     at = np.flatnonzero(allowed[slot])
                     at = at[np.lexsort((ids[at], -score[slot, at]))[:k]]
@@ -229,7 +231,7 @@ def top_k(
         first.withColumn("rank", F.row_number().over(place)).where(F.col("rank") == k)
         .groupBy("qblock").agg(F.map_from_entries(F.collect_list(F.struct("slot", "score"))).alias("reach"))
     )
-    slots = F.transform(F.col("far"), lambda _, i: F.try_element_at("reach", i))
+    slots = F.transform(F.col("far"), lambda _, i: F.coalesce(F.try_element_at("reach", i), F.lit(NO_BOUND)))
     bounds = spread.join(tenth, "qblock", "left").withColumn("least", slots)
 
     def can_reach(d: Column, i: Column) -> Column:
@@ -237,7 +239,7 @@ def top_k(
         length, need = F.get("length", i), F.get("least", i)
         best = (length * length + F.col("norm") * F.col("norm") - gap * gap) / 2
         best = F.least(best, length * F.col("norm")) * (1 + SLACK) + 1
-        return need.isNull() | (best >= need)
+        return best >= need
 
     pairs = bounds.join(annuli, F.col("at") == F.col("pivot")).where(
         F.exists(F.transform("far", can_reach), lambda ok: ok)
