@@ -72,6 +72,19 @@ def test_repeats(spark, docs, rows, none, dedup, size):
     assert dedup(none, size).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_repeats_of_rows_told_apart_by_text_only(spark, doc_id):
+    """Two texts under one id whose hashes agree in their low 31 bits; only one of them holds a repeat."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, passage, None, None, None), (doc_id, passage + " a6155", None, None, None), (doc_id, "b84401", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert df.select(F.pmod(F.xxhash64("text"), F.lit(2**31))).distinct().count() == 2
+    for dedup, size in ((recompression.remove_repeats, 20), (suffixes.remove_repeats, 50)):
+        got = sorted((r.n_words, r.n_removed) for r in dedup(df, size).collect())
+        assert got == [(1, 0), (60, 0), (61, 60)]
+    assert sorted(r.text for r in suffixes.clean_documents(df, 50).collect()) == sorted([passage, "a6155", "b84401"])
+
+
 def test_repeats_of_random_texts(spark):
     """Few different words, so runs, overlaps and chance repeats abound."""
     rng = random.Random(9)

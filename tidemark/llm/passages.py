@@ -37,7 +37,8 @@ Anchors = Callable[[np.ndarray, Sequences, np.ndarray, np.ndarray], tuple[np.nda
 
 
 def text_tie() -> Column:
-    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2**31))
+    """All 64 bits of the text's hash: rows without an id have no other identity."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
