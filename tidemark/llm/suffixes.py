@@ -2,9 +2,10 @@
 
 Of all suffixes of a text only those are kept that start at a minimiser: the k-gram of least
 hash in some window.  Every window holds its minimiser at the same offset wherever it occurs,
-so equal passages keep suffixes at the same places.  The kept suffixes are sorted; neighbours
-that agree over all windows of their minimiser, left and right of it, are copies, and the
-suffixes with a shared k-gram but different surroundings are compared window by window.
+so equal passages keep suffixes at the same places.  Hashes stand in for suffix order and for
+extending matches: the kept places are sorted by the hashes of their k-gram and of all windows
+around it, neighbours that agree in both are copies, and places with a shared k-gram but
+different surroundings are compared by hashes of single windows.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def marked_neighbours(spans: DataFrame) -> DataFrame:
-    """Sort the suffixes over the cluster and mark each that equals its neighbour before.
+    """Sort the spans by their hashes over the cluster and mark each that equals its neighbour before.
 
     Sorting takes the position along, so a group of any size spans many tasks and its first
     row is the earliest.  A small table of the tasks' first and last rows joins the ends.
