@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, chat, jaccard, language, mixing, quality, recompression, suffixes, topk, warc
+from tidemark.llm import (
+    bpe, chat, jaccard, language, mixing, quality, recompression, sharding, suffixes, topk, vector_codes, warc,
+)
 from tidemark.llm.registry import ORACLES, QUERIES, documents, registered  # noqa: F401
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -225,3 +227,89 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat.calls_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     rows = chat.linked(calls, results, chat.TOOLS)
     return rows.withColumn("json_sha256", F.sha2("json", 256)).drop("json")
+
+
+def _drawn_sql(name: str, weight: str) -> str:
+    u = f"((CAST('0x' || substr(md5(doc_id || '/' || {name}), 1, 12) AS BIGINT)) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE"
+    return f"-ln({u}) / {weight}"
+
+
+# The CRC of a text takes its bytes one by one through a table of 256 remainders.
+SHARD_SQL = rf"""
+WITH RECURSIVE remainders AS (
+  SELECT i, i AS x, 0 AS step FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END, step + 1 FROM remainders WHERE step < 8),
+tab AS (SELECT list(x ORDER BY i) AS t FROM remainders WHERE step = 8),
+bytes AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b
+  FROM documents),
+sized AS (
+  SELECT doc_id, size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM bytes, tab),
+regions AS (
+  SELECT doc_id, arg_min(r, {_drawn_sql("r", "4.0")}) AS region, min({_drawn_sql("r", "4.0")}) AS best
+  FROM documents, range(4) t(r) GROUP BY doc_id),
+racks AS (
+  SELECT doc_id, any_value(best) AS best, arg_min(region || '/' || k, {_drawn_sql("region || '/' || k", "2.0")}) AS rack,
+         arg_min(region * 2 + k, {_drawn_sql("region || '/' || k", "2.0")}) AS place
+  FROM regions, range(2) t(k) GROUP BY doc_id),
+leaves AS (
+  SELECT doc_id, any_value(best) AS best,
+         CAST(arg_min(place * 2 + s, {_drawn_sql("rack || '/' || (place * 2 + s)", "1.0")}) AS INTEGER) AS shard
+  FROM racks, range(2) t(s) GROUP BY doc_id)
+SELECT l.doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY l.doc_id) - 1 AS slot,
+       CASE WHEN {_drawn_sql("'4'", "1.0").replace("doc_id", "l.doc_id")} < best THEN 16 ELSE shard END AS grown_shard
+FROM leaves l JOIN sized s ON l.doc_id = s.doc_id"""
+
+
+@registered("op11_sharding", SHARD_SQL)
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of a tree of four regions, and where one shard more would put them."""
+    return sharding.assign(documents(spark, sf_dir), sharding.balanced(4, 2, 2))
+
+
+def _codes_sql(rounds: int) -> str:
+    def assigned(books: str) -> str:
+        return f"""
+  SELECT vec_id, label, p, any_value(x) AS x, arg_min(k, far * 256 + k) AS k, min(far) AS far
+  FROM (SELECT vec_id, label, parts.p, x, k, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS far
+        FROM parts JOIN {books} ON parts.p = {books}.p) GROUP BY vec_id, label, p"""
+
+    steps = ""
+    for r in range(rounds):
+        steps += f""",
+a{r} AS MATERIALIZED ({assigned(f"c{r}")}),
+m{r} AS (
+  SELECT p, k, list(mean ORDER BY j) AS c
+  FROM (SELECT p, k, j, floor(sum(x[j]) / count(*)) AS mean FROM a{r}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS j) GROUP BY p, k, j)
+  GROUP BY p, k),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.p, c{r}.k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON c{r}.p = m{r}.p AND c{r}.k = m{r}.k)"""
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x FROM kept, range(4) t(p)),
+c0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x AS c
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)){steps},
+coded AS ({assigned(f"c{rounds}")}),
+whole AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', k)), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error
+  FROM coded GROUP BY vec_id, label),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, k)) AS codebooks_sha256
+  FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM whole, digest"""
+
+
+@registered("op12_vector_codes", _codes_sql(4))
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as four bytes, with codebooks of 256 entries after four rounds over all vectors."""
+    return vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
