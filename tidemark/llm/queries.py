@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import (
-    bpe, chat, jaccard, language, mixing, quality, recompression, sharding, suffixes, topk, vector_codes, warc,
+    alignment, bpe, chat, jaccard, language, mixing, quality, recompression, sharding, suffixes, topk,
+    vector_codes, warc,
 )
 from tidemark.llm.registry import ORACLES, QUERIES, documents, registered  # noqa: F401
 
@@ -313,3 +314,11 @@ FROM whole, digest"""
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as four bytes, with codebooks of 256 entries after four rounds over all vectors."""
     return vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@registered("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token links of a byte-level and a sentencepiece tokenizer over every whole text."""
+    return alignment.aligned(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
