@@ -28,7 +28,8 @@ from pyspark.taskcontext import TaskContext
 from tidemark.llm.bpe import _byte_alphabet
 from tidemark.settings import settle
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+ENCODED_CHUNKS = 8192
 LINK_ROWS = 1 << 20
 SPACE_SIGN = "▁"
 
@@ -71,7 +72,11 @@ class Pair:
         return piece.replace(SPACE_SIGN, " ").encode()
 
     def encode_a(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        """In steps, as an encoding holds far more than its ids."""
+        return [
+            e.ids for i in range(0, len(chunks), ENCODED_CHUNKS)
+            for e in self.a.encode_batch_fast(chunks[i : i + ENCODED_CHUNKS], add_special_tokens=False)
+        ]
 
     def encode_b(self, chunks: list[str]) -> list[list[int]]:
         """Chunks start with the space that this tokenizer adds itself."""
