@@ -1,3 +1,4 @@
+import random
 from datetime import timedelta
 
 import pytest
@@ -39,24 +40,68 @@ def test_split_form_is_the_same(spark, golden, small_groups):
     test_golden_block(spark, golden)
 
 
-@pytest.mark.parametrize("front", [0, 2, 40, 79])
-def test_rebuilt_instants_equal_the_series(spark, golden, front):
-    """Recomputing from any front on must not change a panel that arrived in order."""
+def scattered(spark):
+    """Five symbols whose bars move at random; some come late, some in runs, one by most of the span."""
+    rng = random.Random(12)
+    names, held = ["A", "B", "C", "D", "E"], []
+    for k, name in enumerate(names):
+        price = 100.0 + 10 * k
+        for i in range(95):
+            if name == "E" and i % 3:
+                continue
+            price = round(price * (1 + rng.uniform(-0.05, 0.05)), 2)
+            wait = timedelta(days=rng.choice([2, 3, 6]), hours=1) if rng.random() < 0.06 else timedelta(minutes=15)
+            wait = timedelta(days=70, hours=1) if (name, i) == ("B", 15) else wait
+            wait = timedelta(days=9 - i % 7, hours=2) if name == "C" and 50 <= i < 56 else wait
+            row = bar(name, i, price, o=price, h=price + 1, l=price - 1, volume=1000 + rng.randint(0, 50))
+            held.append((*row[:3], row[2] + wait, *row[4:]))
+    return bars(spark, held), sectors(spark, ["A", "B", "C", "E"])
+
+
+def test_late_bars_equal_the_panel_each_instant_sees(spark):
+    """Every instant alone, over only the bars it sees as if they had come in order."""
+    panel_rows, mapped = scattered(spark)
+    panel_rows = panel_rows.cache()
+    instants = [3, 29, 51, 53, 57, 86]
+    asked = [(s, late(i), session(i - 8) if i % 2 else None) for s in "ABCDEZ" for i in instants]
+    got = {(r["symbol"], r["as_of"]): r for r in as_dicts(pf.feature_block(ask(spark, *asked), panel_rows, mapped))}
+    assert len(got) == len(asked)
+    for i in instants:
+        seen = panel_rows.where(F.col("first_seen_time") <= F.lit(late(i))).withColumn(
+            "first_seen_time", F.col("session") + F.expr("interval 15 minutes")
+        )
+        one = ask(spark, *[a for a in asked if a[1] == late(i)])
+        for want in as_dicts(pf.feature_block(one, seen, mapped)):
+            row = got[(want["symbol"], want["as_of"])]
+            assert row["quality_flags"] == want["quality_flags"], (i, want["symbol"])
+            assert [row[f] for f in pf.FEATURES] == pytest.approx([want[f] for f in pf.FEATURES]), (i, want["symbol"])
+
+
+def test_the_versions_of_a_panel_in_order_are_its_rows(spark, golden):
+    """Without late bars every session has one version and no question needs a lookup."""
     spine = ask(spark, *[(s, late(i), session(i - 3)) for s in ALL for i in (4, 30, 79)])
     mapped, config = sectors(spark, ALL), pf.FeatureConfig()
-    layout = panel.Layout.measure(golden)
+    layout, sizes = panel.Layout.measure(golden), pf._Sizes.measure(spine, golden)
     rows = pf._global_rows(golden, mapped, layout)
-    fronts = spine.select("as_of", F.lit(session(front)).alias("front")).distinct()
-    fronts = fronts.where("front <= as_of")
-    spine = spine.join(fronts, "as_of", "left_semi")
-    series = pf._series_block(spine, golden, rows, mapped, layout, config, pf._Sizes.measure(spine, golden))
-    single = pf._snapshot_block(spine, fronts, golden, rows, mapped, layout, config, pf._Sizes.measure(spine, golden))
-    key = lambda r: (r["symbol"], r["as_of"])
-    a, b = sorted(as_dicts(series), key=key), sorted(as_dicts(single), key=key)
-    assert len(a) == len(b) > 0
-    assert [r["quality_flags"] for r in a] == [r["quality_flags"] for r in b]
-    for x, y in zip(a, b):
-        assert [x[f] for f in pf.FEATURES] == pytest.approx([y[f] for f in pf.FEATURES])
+    series = pf._series_block(spine, golden, rows, mapped, layout, config, sizes)
+    table, calendar = pf._version_table(rows, pf._arrival_order(golden, layout), mapped, layout)
+    assert table.count() == golden.count() and calendar.where("first < final").isEmpty()
+    versioned = pf._late_block(spine, golden, mapped, layout, config, sizes)
+    order = lambda df: df.orderBy("symbol", "as_of").collect()
+    assert order(series) == order(versioned)
+
+
+def test_a_long_wait_costs_a_lookback_of_questions(spark):
+    """A bar that is late by most of the span is looked up at a lookback of instants, not at all of them."""
+    rows = [r if (r[0], r[2]) != ("B", session(5)) else (*r[:3], session(390), *r[4:])
+            for s in ("A", "B", "C") for r in [bar(s, i, 100 + i % 7) for i in range(400)]]
+    panel_rows, mapped = bars(spark, rows), sectors(spark, ["A", "B", "C"])
+    spine = ask(spark, *[(s, late(i), None) for s in ("A", "B", "C") for i in range(400)])
+    layout, sizes = panel.Layout.measure(panel_rows), pf._Sizes.measure(spine, panel_rows)
+    told = pf._seen_by_questions(spine, panel_rows, sizes)
+    table, _ = pf._version_table(pf._global_rows(told, mapped, layout), pf._arrival_order(told, layout), mapped, layout)
+    assert table.count() <= 3 * 400 + 6
+    assert pf.feature_block(spine, panel_rows, mapped).count() == 1200
 
 
 def test_visibility_is_inclusive(spark, golden):

@@ -1,15 +1,18 @@
 """Residual price and volume features for a spine of (symbol, as_of).
 
 ``feature_block`` answers every spine row from one plan.  Where all bars arrive in order
-the features are row frames over one series per symbol.  An instant at which some bar of an
-already visible session is still on its way sees a different series; such instants are
-found first, and only what follows their earliest incomplete session is computed again.
+the features are row frames over one series per symbol.  Where some bar arrives after a later
+session was seen, the panel has two axes, session and arrival: a table of versions says which
+values a session showed from which instant on.  Questions whose lookback holds no open session
+still read the row frames; the others look their few rows up in the versions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions import spread
@@ -59,10 +62,14 @@ FLAVOURS = ("sec", "mkt")
 
 
 def _global_rows(bars: DataFrame, sectors: DataFrame, layout: panel.Layout) -> DataFrame:
-    """The stored residual panel with running counts of sessions nothing was demeaned against."""
+    """The stored residual panel with two running sums per symbol and flavour.
+
+    ``undemeaned`` counts sessions nothing was demeaned against, ``upto`` sums the residual returns.
+    """
     rows = panel.residuals(panel.moves(bars, layout), sectors, layout)
-    counts = {f"undemeaned_{t}": ("sum", F.coalesce(F.col(f"alone_{t}"), F.lit(0))) for t in FLAVOURS}
-    return settle(spread.running(rows, ["symbol"], ["session"], layout.by_symbol, counts), "panel")
+    sums = {f"undemeaned_{t}": ("sum", F.coalesce(F.col(f"alone_{t}"), F.lit(0))) for t in FLAVOURS}
+    sums |= {f"upto_{t}": ("sum", F.coalesce(F.col(f"ret_{t}"), F.lit(0.0))) for t in FLAVOURS}
+    return settle(spread.running(rows, ["symbol"], ["session"], layout.by_symbol, sums), "panel")
 
 
 def _reach(config: FeatureConfig) -> int:
@@ -73,8 +80,14 @@ def _reach(config: FeatureConfig) -> int:
     )
 
 
-def _frames(rows: DataFrame, layout: panel.Layout, config: FeatureConfig) -> DataFrame:
-    """Every window feature at every bar, residual ones in both flavours."""
+def _frames(
+    rows: DataFrame, layout: panel.Layout, config: FeatureConfig, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Every window feature at every bar, residual ones in both flavours, and the columns ``keep``.
+
+    ``behind`` is the residual sum up to the last bar before the lookback, ``far`` the calendar
+    number (``idx``) of the oldest bar that any feature looks back to.
+    """
     keys = layout.symbol_keys
     rows, part = spread.in_blocks(rows, keys, layout.by_symbol, before=_reach(config))
     w = W.partitionBy(*part).orderBy("session")
@@ -89,6 +102,11 @@ def _frames(rows: DataFrame, layout: panel.Layout, config: FeatureConfig) -> Dat
         made[f"sd_{t}"] = F.when(
             F.count(r).over(last(n_sd)) == max(n_sd, 2), F.stddev_samp(r).over(last(n_sd))
         )
+    if "upto_sec" in rows.columns:
+        for t in FLAVOURS:
+            made[f"behind_{t}"] = F.coalesce(F.lag(f"upto_{t}", config.lookback_sessions).over(w), F.lit(0.0))
+    if "idx" in rows.columns:
+        made["far"] = F.lag("idx", _reach(config)).over(w)
     made["_volumes"] = F.sort_array(F.collect_list("volume").over(earlier(n_vol)))
     made["_atr"] = F.when(
         F.count("true_range").over(earlier(n_atr)) == n_atr, F.avg("true_range").over(earlier(n_atr))
@@ -108,29 +126,42 @@ def _frames(rows: DataFrame, layout: panel.Layout, config: FeatureConfig) -> Dat
         (F.col("high_t") - F.col("low_t")).alias("range"), F.col("_atr").alias("atr"),
         (F.col("close_t") - F.col("_low")).alias("above_low"),
         (F.col("_high") - F.col("_low")).alias("extent"),
+        *[n for n in made if n.startswith(("behind_", "far"))], *keep,
     )
 
 
-def _event_sums(
-    rows: DataFrame, events: DataFrame, layout: panel.Layout, config: FeatureConfig
+UPTO = [f"upto_{t}" for t in FLAVOURS]
+
+
+def _with_event_sums(
+    seen: DataFrame, rows: DataFrame, layout: panel.Layout, config: FeatureConfig
 ) -> DataFrame:
-    """Residuals of the sessions that lie wholly after each event, within the lookback.
+    """Add the residual sum of the sessions wholly after each event, within the lookback.
 
-    ``events`` holds the spine key, the bar position it sees and the event instant.  Each
-    event looks up its at most ``lookback_sessions`` positions by equality.
+    The first session after an event is one ordered lookup; the sum is then the running sum at
+    the bar seen less the one before that session, or before the lookback where that is later.
     """
-    start = F.greatest(F.col("at_pos") - (config.lookback_sessions - 1), F.lit(2))
-    wanted = events.where(F.col("at_pos") >= 2).withColumn(
-        "pos", F.explode(F.sequence(start, F.col("at_pos")))
+    before = [(F.col(f"upto_{t}") - F.col(f"ret_{t}")).alias(t) for t in FLAVOURS]
+    point = rows.where("prev_session is not null").select(
+        "symbol", (-F.unix_micros("prev_session")).alias("_key"), F.lit(0).alias("_asked"),
+        F.struct("pos", *before).alias("first"), F.lit(None).cast("timestamp").alias("event_time"),
+    )
+    asked = seen.where("event_time is not null").select("symbol", "event_time").distinct().select(
+        "symbol", (-F.unix_micros("event_time")).alias("_key"), F.lit(1).alias("_asked"),
+        F.lit(None).cast(point.schema["first"].dataType).alias("first"), "event_time",
     )
-    series = rows.select(*layout.symbol_keys, "pos", "prev_session", "ret_sec", "ret_mkt")
-    after = F.col("prev_session") >= F.col("event_time")
-    return (
-        wanted.join(series, [*layout.symbol_keys, "pos"])
-        .where(after)
-        .groupBy("symbol", "as_of")
-        .agg(F.sum("ret_sec").alias("car_sec"), F.sum("ret_mkt").alias("car_mkt"))
+    found = spread.last_known(
+        point.unionByName(asked), ["symbol"], ["_key", "_asked"], layout.by_symbol, "first"
     )
+    seen = seen.join(
+        found.where("_asked = 1").select("symbol", "event_time", "first"), ["symbol", "event_time"], "left"
+    )
+    inside = F.col("first.pos") > F.col("pos") - config.lookback_sessions
+    start = lambda t: F.when(inside, F.col(f"first.{t}")).otherwise(F.col(f"behind_{t}"))
+    held = F.col("first.pos") <= F.col("pos")
+    return seen.withColumns(
+        {f"car_{t}": F.when(held, F.col(f"upto_{t}") - start(t)) for t in FLAVOURS}
+    ).drop("first")
 
 
 def _assemble(found: DataFrame, config: FeatureConfig) -> DataFrame:
@@ -231,26 +262,16 @@ def _sector_members(
 
 
 def _finish(
-    seen: DataFrame, rows: DataFrame, bars: DataFrame, sectors: DataFrame, config: FeatureConfig,
-    layout: panel.Layout, sizes: _Sizes,
+    seen: DataFrame, bars: DataFrame, sectors: DataFrame, config: FeatureConfig, sizes: _Sizes
 ) -> DataFrame:
-    """Join what a spine row sees with its sector's size and its event sum, then assemble."""
+    """Join what a spine row sees with its sector's size, then assemble."""
     counts = _sector_members(seen, bars, sectors, sizes)
     seen = seen.join(sectors, "symbol", "left").join(counts, ["sector", "as_of"], "left")
-    events = seen.where(F.col("event_time").isNotNull()).select(
-        "symbol", "as_of", "event_time", F.col("pos").alias("at_pos")
-    )
-    sums = _event_sums(rows, events, layout, config)
-    return _assemble(seen.join(sums, ["symbol", "as_of"], "left"), config)
+    return _assemble(seen, config)
 
 
-def _series_block(
-    spine: DataFrame, bars: DataFrame, rows: DataFrame, sectors: DataFrame, layout: panel.Layout,
-    config: FeatureConfig, sizes: _Sizes,
-) -> DataFrame:
-    """Blocks for instants whose visible bars are a prefix of one series per symbol."""
-    framed = _frames(rows, layout, config)
-    values = [n for n in framed.columns if n not in ("symbol", "first_seen_time")]
+def _questions(spine: DataFrame, framed: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Frames at the instants their bars arrive, and the spine's questions (``_asked`` 1)."""
     point = framed.select(
         "symbol", F.col("first_seen_time").alias("as_of"), F.lit(0).alias("_asked"),
         F.struct(*values).alias("bar"), F.lit(None).cast("timestamp").alias("event_time"),
@@ -259,100 +280,269 @@ def _series_block(
         "symbol", "as_of", F.lit(1).alias("_asked"),
         F.lit(None).cast(point.schema["bar"].dataType).alias("bar"), "event_time",
     )
-    both = point.unionByName(asked)
+    return point.unionByName(asked)
+
+
+def _series_block(
+    spine: DataFrame, bars: DataFrame, rows: DataFrame, sectors: DataFrame, layout: panel.Layout,
+    config: FeatureConfig, sizes: _Sizes,
+) -> DataFrame:
+    """Blocks for instants whose visible bars are a prefix of one series per symbol."""
+    framed = _frames(rows, layout, config, UPTO)
+    values = [n for n in framed.columns if n not in ("symbol", "first_seen_time")]
     # Two bars of a symbol may arrive together: the later session is the one seen.
-    both = both.withColumn("_session", F.col("bar.session"))
+    both = _questions(spine, framed, values).withColumn("_session", F.col("bar.session"))
     carried = spread.last_known(
         both, ["symbol"], ["as_of", "_asked", "_session"], layout.by_symbol, "bar"
     )
     seen = carried.where("_asked = 1").select("symbol", "as_of", "event_time", "bar.*")
-    return _finish(seen, rows, bars, sectors, config, layout, sizes)
+    return _finish(_with_event_sums(seen, rows, layout, config), bars, sectors, config, sizes)
 
 
-def _snapshot_block(
-    spine: DataFrame, fronts: DataFrame, bars: DataFrame, rows: DataFrame, sectors: DataFrame,
-    layout: panel.Layout, config: FeatureConfig, sizes: _Sizes,
-) -> DataFrame:
-    """Blocks for instants at which some visible session is incomplete.
+def _seen_by_questions(spine: DataFrame, bars: DataFrame, sizes: _Sizes) -> DataFrame:
+    """The bars, each arriving at the first instant asked about that sees it.
 
-    Before an instant's front every bar has arrived, so the stored panel holds there.  Only
-    the bars from the front on are demeaned again, among those visible at the instant; each
-    question then reads the few panel rows before the front that its features look back to.
+    Arrivals between two questions make no difference, so they make no version either.  Bars
+    that no question sees are left out.
     """
-    width = fronts.agg(
-        F.max(F.unix_timestamp("as_of") - F.unix_timestamp("front")).alias("s")
-    ).first().s // 8 + 1
-    slot = lambda ts: F.floor(F.unix_timestamp(ts) / width)
-    spans = fronts.withColumn("_slot", F.explode(F.sequence(slot("front"), slot("as_of"))))
-    tails = settle(
-        bars.withColumn("_slot", slot("session")).join(spans, "_slot")
-        .where((F.col("session") >= F.col("front")) & (F.col("first_seen_time") <= F.col("as_of")))
-        .select("as_of", *panel.BAR_COLUMNS),
-        "tails",
-    )
-    asked = spine.select("symbol", "as_of").distinct()
-    pairs = tails.select("symbol", "as_of").unionByName(asked).distinct().join(fronts, "as_of")
-
-    # The last panel row before each pair's front.
-    held = ("pos", "close_t", "session", *[f"undemeaned_{t}" for t in FLAVOURS])
-    point = rows.select(
-        "symbol", F.col("session").alias("_at"), F.lit(1).alias("_kind"), F.struct(*held).alias("head"),
-        F.lit(None).cast("timestamp").alias("as_of"),
-    )
-    question = pairs.select(
-        "symbol", F.col("front").alias("_at"), F.lit(0).alias("_kind"),
-        F.lit(None).cast(point.schema["head"].dataType).alias("head"), "as_of",
+    key = lambda c: (-F.unix_micros(c)).alias("_key")
+    none = lambda name: F.lit(None).cast("timestamp").alias(name)
+    point = spine.select("as_of").distinct().select(
+        F.lit(0).alias("_all"), key("as_of"), F.lit(0).alias("_asked"), "as_of", none("first_seen_time")
     )
-    carried = spread.last_known(
-        point.unionByName(question), ["symbol"], ["_at", "_kind"], layout.by_symbol, "head"
+    asked = bars.select("first_seen_time").distinct().select(
+        F.lit(0).alias("_all"), key("first_seen_time"), F.lit(1).alias("_asked"), none("as_of"), "first_seen_time"
     )
-    heads = settle(carried.where("_kind = 0").select("symbol", "as_of", "head"), "heads")
+    found = spread.last_known(point.unionByName(asked), ["_all"], ["_key", "_asked"], sizes.by_time, "as_of")
+    found = found.where("_asked = 1 and as_of is not null").select("first_seen_time", F.col("as_of").alias("_at"))
+    return bars.join(found, "first_seen_time").withColumn("first_seen_time", F.col("_at")).drop("_at")
 
-    # From the front on: moves, cross-sections and counts among the bars visible at the instant.
-    w = W.partitionBy("as_of", "symbol").orderBy("session")
-    tick = {f"{n}_t": panel.ticks(F.col(n)) for n in ("open", "high", "low", "close")}
-    moved = tails.join(heads, ["as_of", "symbol"]).withColumns(tick).withColumns(
-        {
-            "pos": (F.row_number().over(w) + F.coalesce("head.pos", F.lit(0))).cast("int"),
-            "prev_t": F.coalesce(F.lag("close_t").over(w), F.col("head.close_t")),
-            "prev_session": F.coalesce(F.lag("session").over(w), F.col("head.session")),
-        }
-    )
-    plain = ("session", "first_seen_time", "volume", "pos", "prev_session", "high_t", "low_t", "close_t")
-    mapped = moved.select("as_of", "symbol", *plain, "head", *panel.move_values()).join(sectors, "symbol", "left")
-    group = ["as_of", "session"]
-    [heavy] = spread.is_heavy(tails, group)
-    again = panel.leave_one_out(mapped, group, ("ret", "gap"), heavy, "mkt")
-    again = panel.leave_one_out(again, [*group, "sector"], ("ret", "gap"), heavy, "sec")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    again = again.withColumns(
+
+PRICES = ("open_t", "high_t", "low_t", "close_t")
+MOVE_VERSION = (
+    "symbol string, session long, since long, until long, prev_session long, prev_t long, steady long, volume long, "
+    + ", ".join(f"{n} long" for n in PRICES)
+)
+
+
+def _arrival_order(bars: DataFrame, layout: panel.Layout) -> DataFrame:
+    """Bars with ``late``, whether a later session of the symbol was seen first, and ``steady``.
+
+    ``steady`` numbers the bars that are not late; a late bar carries the number before it.
+    """
+    rows = bars.select(
+        "symbol", "session", "first_seen_time", "volume",
+        *[panel.ticks(F.col(n)).alias(f"{n}_t") for n in ("open", "high", "low", "close")],
+        (-F.unix_micros("session")).alias("_back"),
+    )
+    soonest = {"_soonest": ("min", F.col("first_seen_time"))}
+    rows = spread.running(rows, ["symbol"], ["_back"], layout.by_symbol, soonest)
+    rows = rows.withColumn("late", F.col("first_seen_time") > F.col("_soonest"))
+    number = {"steady": ("sum", (~F.col("late")).cast("long"))}
+    rows = spread.running(rows, ["symbol"], ["session"], layout.by_symbol, number)
+    return settle(rows.drop("_back", "_soonest"), "arrival_order")
+
+
+def _versions_of_run(run: pd.DataFrame) -> pd.DataFrame:
+    """Which bar each bar of a run of late ones moves against, and from when to when.
+
+    A bar's first predecessor is the latest earlier one seen by its own arrival.  A late bar takes
+    over as predecessor of the first later bar seen before it, so a stack of bars with rising
+    arrivals finds every version in one pass.
+    """
+    out, stack = [], []
+    rows = run.sort_values("session").to_dict("records")
+    for i, row in enumerate(rows):
+        taken = []
+        while stack and stack[-1]["seen"] > row["seen"]:
+            taken.append(stack.pop())
+        head = not row["late"] and row["steady"] == row["_run"]
+        if not head:
+            first = [(row["seen"], stack[-1] if stack else None)]
+            cuts = first + [(p["seen"], p) for p in reversed(taken)]
+            for k, (since, p) in enumerate(cuts):
+                until = cuts[k + 1][0] if k + 1 < len(cuts) else None
+                if until != since:
+                    past = (p["session"], p["close_t"]) if p else (None, None)
+                    own = [row[n] for n in ("steady", "volume", *PRICES)]
+                    out.append((row["symbol"], row["session"], since, until, *past, *own))
+        stack.append(row)
+    names = [part.split()[0] for part in MOVE_VERSION.split(", ")]
+    longs = {n: "Int64" for n in names if n != "symbol"}
+    return pd.DataFrame(out, columns=names).astype(longs)
+
+
+def _move_versions(ordered: DataFrame) -> DataFrame:
+    """Every version of the moves around late bars: ``since``, ``until`` (exclusive, NULL if it stays).
+
+    A run is a bar in order, the late bars behind it and the next bar in order.  Runs without late
+    bars never reach Python; one with many holds a few whole numbers per late bar of one symbol.
+    """
+    runs = ordered.where("late").select("symbol", F.col("steady").alias("_run")).distinct()
+    own = F.when(F.col("late"), F.array("steady")).otherwise(F.array("steady", F.col("steady") - 1))
+    members = ordered.withColumn("_run", F.explode(own)).join(runs, ["symbol", "_run"]).select(
+        "symbol", "_run", F.unix_micros("session").alias("session"),
+        F.unix_micros("first_seen_time").alias("seen"), "late", "steady", "volume", *PRICES,
+    )
+    made = members.groupBy("symbol", "_run").applyInPandas(_versions_of_run, MOVE_VERSION)
+    stamps = {n: F.timestamp_micros(n) for n in ("session", "since", "until", "prev_session")}
+    return made.withColumns(stamps).select(
+        "symbol", "session", "since", "until", "prev_session", "volume", *PRICES[1:], *panel.move_values()
+    )
+
+
+SHOWN = ("volume", "prev_session", "high_t", "low_t", "close_t", "true_range")
+DEMEANED = tuple(f"{n}_{t}" for t in FLAVOURS for n in ("ret", "gap", "alone"))
+
+
+def _version_table(
+    rows: DataFrame, ordered: DataFrame, sectors: DataFrame, layout: panel.Layout
+) -> tuple[DataFrame, DataFrame]:
+    """What every bar showed from which instant on, and per session its first and last version.
+
+    One row per (symbol, session, version).  A session has a version per instant at which a bar of
+    it, or the bar that one of them moves against, came in; between two such instants the order
+    statistics of its cross-section stay.  Sessions with one version keep the panel's rows.
+    """
+    moves = settle(_move_versions(ordered), "move_versions")
+    touched = moves.select("symbol", "session").distinct()
+    plain = rows.join(touched, ["symbol", "session"], "left_anti").select(
+        "symbol", "session", F.col("first_seen_time").alias("since"), F.lit(None).cast("timestamp").alias("until"),
+        *SHOWN, "ret", "gap",
+    )
+    all_moves = plain.unionByName(moves.select(*plain.columns))
+    calendar = settle(
+        all_moves.groupBy("session").agg(F.min("since").alias("first"), F.max("since").alias("final")), "calendar"
+    )
+    changing = calendar.where(F.col("first") < F.col("final")).select("session")
+    members = all_moves.join(changing, "session", "left_semi")
+    bounds = members.select("session", F.col("since").alias("b")).distinct().withColumn(
+        "b_to", F.lead("b").over(W.partitionBy("session").orderBy("b"))
+    )
+    stands = (F.col("b") >= F.col("since")) & (F.col("until").isNull() | (F.col("b") < F.col("until")))
+    spans = members.join(bounds, "session").where(stands).join(sectors, "symbol", "left")
+    # A group holds one version of a session, so it is no larger than the session.
+    again = panel.leave_one_out(spans, ["session", "b"], ("ret", "gap"), layout.by_session, "mkt")
+    again = panel.leave_one_out(again, ["session", "b", "sector"], ("ret", "gap"), layout.by_session, "sec")
+    shown = ["symbol", "session", "b", "b_to", *SHOWN, *DEMEANED]
+    settled = rows.join(changing, "session", "left_anti").select(
+        "*", F.col("first_seen_time").alias("b"), F.lit(None).cast("timestamp").alias("b_to")
+    )
+    table = settled.select(*shown).unionByName(again.select(*shown))
+    numbered = table.join(ordered.select("symbol", "session", "steady"), ["symbol", "session"])
+    return settle(numbered, "versions"), calendar
+
+
+def _bare_sessions(spine: DataFrame, table: DataFrame, layout: panel.Layout) -> DataFrame:
+    """Visible sessions without peers at each question: a running sum over arrivals.
+
+    A version counts from its first instant and no longer from its last on.
+    """
+    alone = [F.coalesce(F.col(f"alone_{t}"), F.lit(0)).cast("long").alias(f"d_{t}") for t in FLAVOURS]
+    bare = table.where("alone_sec = 1 or alone_mkt = 1")
+    comes = bare.select("symbol", F.col("b").alias("as_of"), F.lit(0).alias("_asked"), *alone)
+    goes = bare.where("b_to is not null").select(
+        "symbol", F.col("b_to").alias("as_of"), F.lit(0).alias("_asked"), *[-a for a in alone]
+    ).toDF(*comes.columns)
+    asked = spine.select("symbol", "as_of").distinct().select(
+        "symbol", "as_of", F.lit(1).alias("_asked"), *[F.lit(0).cast("long").alias(f"d_{t}") for t in FLAVOURS]
+    )
+    sums = {f"undemeaned_{t}": ("sum", F.col(f"d_{t}")) for t in FLAVOURS}
+    both = comes.unionByName(goes).unionByName(asked)
+    counted = spread.running(both, ["symbol"], ["as_of", "_asked"], layout.by_symbol, sums)
+    return counted.where("_asked = 1").select("symbol", "as_of", *sums)
+
+
+def _open_sessions(spine: DataFrame, calendar: DataFrame, span: int, heavy: bool) -> tuple[DataFrame, DataFrame]:
+    """Calendar numbers of the sessions, and what each instant knows of open ones.
+
+    Per instant: ``upto``, the number of the last session visible then, and the latest instant at
+    which one of the ``span`` sessions up to it (``recent``), or any session up to it (``ever``),
+    took its last version.  A session is open while that lies ahead.
+    """
+    known = calendar.withColumn("_all", F.lit(0)).withColumn("_back", -F.unix_micros("session"))
+    known = spread.running(known, ["_all"], ["_back"], heavy, {"_open": ("min", F.col("first"))})
+    known = spread.numbered(known, ["_all"], ["session"], heavy, "idx")
+    known = spread.running(known, ["_all"], ["session"], heavy, {"ever": ("max", F.col("final"))})
+    laid, part = spread.in_blocks(known, ["_all"], heavy, before=span - 1, pos="idx")
+    last = W.partitionBy(*part).orderBy("session").rowsBetween(-(span - 1), 0)
+    known = settle(laid.withColumn("recent", F.max("final").over(last)).where("_core"), "open_sessions")
+    point = known.select(
+        "_all", F.col("_open").alias("as_of"), F.lit(0).alias("_asked"), "session",
+        F.struct(F.col("idx").alias("upto"), "recent", "ever").alias("state"),
+    )
+    asked = spine.select("as_of").distinct().select(
+        F.lit(0).alias("_all"), "as_of", F.lit(1).alias("_asked"), F.lit(None).cast("timestamp").alias("session"),
+        F.lit(None).cast(point.schema["state"].dataType).alias("state"),
+    )
+    found = spread.last_known(point.unionByName(asked), ["_all"], ["as_of", "_asked", "session"], heavy, "state")
+    return known.select("session", "idx"), found.where("_asked = 1").select("as_of", "state.*")
+
+
+def _looked_up(
+    waiting: DataFrame, table: DataFrame, config: FeatureConfig
+) -> DataFrame:
+    """Frames for questions with an open session in their lookback, from the versions they see.
+
+    Of the bars in order all are visible, so as many of them as a feature looks back to, with the
+    late bars between them, hold every row that is needed.
+    """
+    steps = F.sequence(F.greatest(F.col("steady") - (_reach(config) + 1), F.lit(0)), F.col("steady"))
+    wanted = waiting.select("symbol", "as_of", "event_time", F.explode(steps).alias("steady"))
+    seen = (F.col("b") <= F.col("as_of")) & (F.col("b_to").isNull() | (F.col("as_of") < F.col("b_to")))
+    within = W.partitionBy("as_of", "symbol")
+    series = wanted.join(table, ["symbol", "steady"]).where(seen).withColumns(
         {
-            f"undemeaned_{t}": F.sum(F.coalesce(F.col(f"alone_{t}"), F.lit(0))).over(upto)
-            + F.coalesce(F.col(f"head.undemeaned_{t}"), F.lit(0))
-            for t in FLAVOURS
-        }
-    )
-    needed = [*plain, "true_range", *[f"{n}_{t}" for t in FLAVOURS for n in ("ret", "gap", "undemeaned")]]
-    recent = again.join(asked, ["symbol", "as_of"], "left_semi").select("as_of", "symbol", *needed)
-
-    # Before the front: the panel rows a feature can look back to, by position.
-    places = F.sequence(F.greatest(F.col("head.pos") - _reach(config), F.lit(1)), F.col("head.pos"))
-    earlier = (
-        heads.where("head is not null").join(asked, ["symbol", "as_of"], "left_semi")
-        .select("as_of", "symbol", F.explode(places).alias("pos"))
-        .join(rows.select("symbol", *needed), ["symbol", "pos"])
-    )
-    series = settle(recent.unionByName(earlier.select("as_of", "symbol", *needed)), "series")
-    within = panel.Layout(False, False, ("as_of",))
-    framed = _frames(series, within, config)
-    values = [n for n in framed.columns if n not in ("symbol", "as_of", "first_seen_time")]
+            "pos": F.row_number().over(within.orderBy("session")),
+            "_nth": F.row_number().over(within.orderBy(F.desc("session"))), "first_seen_time": F.col("b"),
+        } | {f"undemeaned_{t}": F.lit(0) for t in FLAVOURS}
+    )
+    counted = (F.col("_nth") <= config.lookback_sessions) & (F.col("prev_session") >= F.col("event_time"))
+    framed = _frames(
+        series.withColumns({f"_car_{t}": F.when(counted, F.col(f"ret_{t}")) for t in FLAVOURS}),
+        panel.Layout(False, False, ("as_of",)), config, [f"_car_{t}" for t in FLAVOURS],
+    )
+    sums = [f"_car_{t}" for t in FLAVOURS]
+    values = [n for n in framed.columns if n not in ("symbol", "as_of", "first_seen_time", *sums)]
     newest = framed.groupBy("symbol", "as_of").agg(
-        F.max_by(F.struct(*values), F.col("pos")).alias("bar")
+        F.max_by(F.struct(*values), F.col("pos")).alias("bar"),
+        *[F.sum(f"_car_{t}").alias(f"car_{t}") for t in FLAVOURS],
     )
-    seen = spine.join(newest, ["symbol", "as_of"], "left").select(
-        "symbol", "as_of", "event_time", "bar.*"
+    return waiting.select("symbol", "as_of", "event_time").join(newest, ["symbol", "as_of"]).select(
+        "symbol", "as_of", "event_time", "bar.*", *[f"car_{t}" for t in FLAVOURS]
     )
-    return _finish(seen, series, bars, sectors, config, within, sizes)
+
+
+def _late_block(
+    spine: DataFrame, bars: DataFrame, sectors: DataFrame, layout: panel.Layout, config: FeatureConfig,
+    sizes: _Sizes,
+) -> DataFrame:
+    """Blocks where bars arrive out of order.
+
+    The row frames over the final panel hold for every question whose lookback is settled by then;
+    the others number at most a lookback of instants per late bar, however late it is.
+    """
+    told = settle(_seen_by_questions(spine, bars, sizes), "arrivals")
+    rows = _global_rows(told, sectors, layout)
+    ordered = _arrival_order(told, layout)
+    table, calendar = _version_table(rows, ordered, sectors, layout)
+    span = 2 * _reach(config) + 2
+    numbers, states = _open_sessions(spine, calendar, span, sizes.by_time)
+    placed = rows.join(numbers, "session").join(ordered.select("symbol", "session", "steady"), ["symbol", "session"])
+    framed = _frames(placed, layout, config, [*UPTO, "steady"])
+    values = ["session", *[n for n in framed.columns if n not in ("symbol", "first_seen_time", "session")]]
+    newest = {"bar": ("max", F.col("bar"))}
+    carried = spread.running(_questions(spine, framed, values), ["symbol"], ["as_of", "_asked"], layout.by_symbol, newest)
+    seen = carried.where("_asked = 1").select("symbol", "as_of", "event_time", "bar.*").join(states, "as_of", "left")
+    near = F.coalesce(F.col("upto") - F.col("far") < span, F.lit(False))
+    unsettled = F.when(near, F.col("recent")).otherwise(F.col("ever")) > F.col("as_of")
+    seen = settle(seen.withColumn("_waits", F.coalesce(unsettled & F.col("pos").isNotNull(), F.lit(False))), "newest")
+    calm = _with_event_sums(seen.where("not _waits"), rows, layout, config)
+    looked = _looked_up(seen.where("_waits"), table, config)
+    columns = [n for n in looked.columns if not n.startswith("undemeaned_")]
+    both = calm.select(*columns).unionByName(looked.select(*columns))
+    both = both.join(_bare_sessions(spine, table, layout), ["symbol", "as_of"], "left")
+    return _finish(both, bars, sectors, config, sizes)
 
 
 def disturbed_instants(spine: DataFrame, bars: DataFrame, sizes: _Sizes | None = None) -> DataFrame:
@@ -399,12 +589,7 @@ def feature_block(
     spine = spine.select("symbol", "as_of", "event_time")
     layout = panel.Layout.measure(bars)
     sizes = _Sizes.measure(spine, bars)
+    if not disturbed_instants(spine, bars, sizes).isEmpty():
+        return _late_block(spine, bars, sectors, layout, config, sizes)
     rows = _global_rows(bars, sectors, layout)
-    fronts = settle(disturbed_instants(spine, bars, sizes), "fronts")
-    if fronts.isEmpty():
-        return _series_block(spine, bars, rows, sectors, layout, config, sizes)
-    regular = spine.join(fronts, "as_of", "left_anti")
-    waiting = spine.join(fronts, "as_of", "left_semi")
-    return _series_block(regular, bars, rows, sectors, layout, config, sizes).unionByName(
-        _snapshot_block(waiting, fronts, bars, rows, sectors, layout, config, sizes)
-    )
+    return _series_block(spine, bars, rows, sectors, layout, config, sizes)

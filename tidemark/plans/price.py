@@ -164,7 +164,9 @@ def price_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LATE = f"""WITH {BARS}, {SECTORS},
 arriving AS (
-  SELECT b.* REPLACE (CASE WHEN (CAST(floor(epoch(session) / 604800) AS BIGINT)
+  SELECT b.* REPLACE (CASE WHEN CAST(floor(epoch(session) / 604800) AS BIGINT) = 1200
+          AND CAST(regexp_extract(symbol, '([0-9]+)$', 1) AS BIGINT) % 5 = 3 THEN seen + INTERVAL 2000 DAY
+        WHEN (CAST(floor(epoch(session) / 604800) AS BIGINT)
         + CAST(regexp_extract(symbol, '([0-9]+)$', 1) AS BIGINT)) % 29 = 0
       THEN seen + INTERVAL 10 DAY ELSE seen END AS seen), seen AS regular FROM bars b),
 instants AS (SELECT DISTINCT regular AS as_of FROM arriving),

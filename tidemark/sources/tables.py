@@ -86,13 +86,13 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weekly bars with some arriving ten days late."""
-    late = (F.floor(F.unix_timestamp("session") / 604800) + brand_number(F.col("symbol"))) % 29 == 0
+    """The weekly bars with some arriving ten days late, and one of every fifth brand six years late."""
+    week, brand = F.floor(F.unix_timestamp("session") / 604800), brand_number(F.col("symbol"))
+    seen = F.col("first_seen_time")
     return bars(spark, sf_dir).withColumn(
         "first_seen_time",
-        F.when(late, F.col("first_seen_time") + F.expr("interval 10 days")).otherwise(
-            F.col("first_seen_time")
-        ),
+        F.when((week == 1200) & (brand % 5 == 3), seen + F.expr("interval 2000 days"))
+        .when((week + brand) % 29 == 0, seen + F.expr("interval 10 days")).otherwise(seen),
     )
 
 
