@@ -1,4 +1,5 @@
 from dataclasses import replace
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -72,14 +73,17 @@ def test_labels_and_features_share_one_residual(spark):
 def test_split_form_gives_the_same_labels(spark, small_groups):
     test_entry_offset_skips_the_first_move(spark)
     test_outcome_waits_for_a_peer_bar_behind_a_gap(spark)
+    test_uniqueness(spark)
 
 
 def test_uniqueness(spark):
-    stamp = lambda *days: [session(d) for d in days]
-    rows = [("a", "X", stamp(1, 2), 1.0), ("b", "X", stamp(2, 3), 1.0), ("c", "Y", stamp(2, 3), 1.0)]
-    schema = "label_id string, symbol string, outcome_sessions array<timestamp>, uniqueness double"
+    rows = [("a", "X", 1, 2, 1.0), ("b", "X", 2, 2, 1.0), ("c", "Y", 2, 2, 1.0), ("d", "Y", 9, 4, 1.0), ("e", "Y", 9, 4, 1.0)]
+    rows += [(f"r{i}", "Z", (i * 7) % 40, 1 + i % 6, 1.0) for i in range(30)]
+    schema = "label_id string, symbol string, first_outcome int, sessions_used int, uniqueness double"
     got = {r.label_id: r.uniqueness for r in labels.with_uniqueness(spark.createDataFrame(rows, schema)).collect()}
-    assert got == pytest.approx({"a": 0.75, "b": 0.75, "c": 1.0})
+    open_on = Counter((s, p) for _, s, first, n, _ in rows for p in range(first, first + n))
+    want = {i: sum(1 / open_on[(s, p)] for p in range(first, first + n)) / n for i, s, first, n, _ in rows}
+    assert want["a"] == 0.75 and got == pytest.approx(want)
     with pytest.raises(guards.IntegrityError):
         labels.with_uniqueness(spark.createDataFrame([rows[0], rows[0]], schema))
 

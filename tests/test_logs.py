@@ -1,11 +1,12 @@
 import uuid
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import fixed, guards
-from tidemark.operators import ledger, lifecycle, reconcile, universe
+from tidemark.functions import exprs, fixed, guards
+from tidemark.operators import ledger, lifecycle, reconcile, risk, universe
 from tidemark.sources import jsonl, observations
 from tidemark.streaming import jobs
 
@@ -153,10 +154,19 @@ def test_missing_snapshot_is_a_reason_and_never_explains_a_position(spark):
     held = spark.createDataFrame([("b", "X", 1)], "book string, symbol string, signed_quantity long")
     fills = spark.createDataFrame([("b", "o1", "X")], "book string, order_id string, symbol string")
     reasons = lambda *a: reconcile.report(known, *a).first().reasons
-    assert reasons(orders, held, fills) == ["order_not_reconciled"]
-    assert reasons(orders, held, fills.limit(0)) == ["order_not_reconciled", "unexplained_position"]
-    assert reasons(orders, held, None) == ["broker_truth_unavailable", "order_not_reconciled"]
-    assert reasons(None, held, fills) == ["broker_truth_unavailable"]
+    none, stray = orders.limit(0), orders.withColumns({"client_order_id": F.lit("who"), "status": F.lit("new")})
+    assert reasons(orders, none, held, fills) == ["order_not_reconciled"]
+    assert reasons(orders, none, held, fills.limit(0)) == ["order_not_reconciled", "unexplained_position"]
+    assert reasons(orders, none, held, None) == ["broker_truth_unavailable", "order_not_reconciled"]
+    assert reasons(None, none, held, fills) == ["broker_truth_unavailable"]
+    # A closed order nobody knows is in the lookup alone; an open one is in the snapshot.
+    lookup = orders.unionByName(stray.withColumn("status", F.lit("filled")))
+    assert reasons(lookup, none, held, fills) == ["order_not_reconciled"]
+    assert reasons(lookup, stray, held, fills) == ["order_not_reconciled", "unexplained_order"]
+    assert reasons(orders, None, held, fills) == ["broker_truth_unavailable", "order_not_reconciled"]
+    assert [r.symbol for r in reconcile.still_open(known, held).collect()] == ["X"]
+    assert reconcile.still_open(known, held.withColumn("signed_quantity", F.lit(0))).isEmpty()
+    assert reconcile.still_open(known, None).count() == 1
     assert reconcile.recovery_decisions(known, orders.limit(0)).first().reason == "ambiguous_submission"
     assert reconcile.submission_decisions(known, orders.limit(0)).first().action == "submit"
 
@@ -193,3 +203,95 @@ def test_universe_boundaries_and_tie(spark):
     assert got == {"B": ["outside_cap"], "C": ["inactive", "below_price_floor"]}
     with pytest.raises(guards.AmbiguityError):
         universe.latest_as_of(spine, spark.createDataFrame([fact("A"), fact("A", close="11")], schema))
+
+
+NEW_YORK = "America/New_York"
+
+
+@pytest.fixture
+def elsewhere(spark):
+    """A session whose zone is not UTC."""
+    spark.conf.set("spark.sql.session.timeZone", NEW_YORK)
+    yield spark
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def instants(spark, *texts):
+    return spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").cast("timestamp").alias("t"))
+
+
+def test_utc_arithmetic_does_not_ask_the_session(elsewhere):
+    # Both sides of the hour New York skips, the hour it repeats, and one before 1970.
+    texts = ["2024-03-10T06:30:00Z", "2024-03-10T07:30:00.25Z", "2024-11-03T05:30:00Z", "2024-11-03T06:30:00Z", "1969-12-31T23:59:59.000001Z"]
+    rows = instants(elsewhere, *texts).select(
+        exprs.iso_utc(F.col("t")).alias("iso"), exprs.utc_day(F.col("t")).cast("string").alias("day"),
+        *[exprs.utc_text(exprs.utc_floor(F.col("t"), unit)).alias(unit) for unit in ("hour", "day", "week", "month")],
+    ).collect()
+    assert [r.iso for r in rows] == [
+        "2024-03-10T06:30:00+00:00", "2024-03-10T07:30:00.250000+00:00", "2024-11-03T05:30:00+00:00",
+        "2024-11-03T06:30:00+00:00", "1969-12-31T23:59:59.000001+00:00",
+    ]
+    assert [r.day for r in rows] == ["2024-03-10", "2024-03-10", "2024-11-03", "2024-11-03", "1969-12-31"]
+    assert tuple(rows[1])[2:] == ("2024-03-10 07:00:00", "2024-03-10 00:00:00", "2024-03-04 00:00:00", "2024-03-01 00:00:00")
+    assert tuple(rows[4])[2:] == ("1969-12-31 23:00:00", "1969-12-31 00:00:00", "1969-12-29 00:00:00", "1969-12-01 00:00:00")
+
+
+def test_a_store_reads_the_same_in_every_zone(spark, tmp_path):
+    """A row seen at 01:00 UTC is found at 02:00 UTC, is stored once, and keeps a feed named 007."""
+    at = lambda t: F.lit(t).cast("timestamp")
+    policies = spark.createDataFrame([("007", True, 0, False)], "feed string, proves_delivery_time boolean, lag_seconds long, event_time_may_follow_first_seen boolean")
+    path, seen = str(tmp_path / "store"), set()
+    try:
+        for zone in ("UTC", NEW_YORK, "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            raw = spark.range(1).select(
+                F.lit("007").alias("feed"), F.lit("s").alias("subject_id"), at("2024-06-02T00:30:00Z").alias("event_time"),
+                at("2024-06-02T01:00:00Z").alias("first_seen_time"), at("2024-06-02T00:40:00Z").alias("source_time"),
+                at("2024-06-02T00:50:00Z").alias("received_time"), at("2024-06-02T02:00:00Z").alias("as_of"),
+                F.create_map(F.lit("k"), F.lit("v")).alias("payload"),
+            )
+            observations.record(observations.judged_observations(raw, policies), path)
+            store = observations.stored(spark, path)
+            found = observations.read_as_of(store, at("2024-06-02T02:00:00Z"), feed="007").collect()
+            assert len(found) == 1 and found[0].feed == "007" and store.count() == 1
+            seen.add((found[0].observation_id, str(found[0].seen_on)))
+            assert observations.read_as_of(store, at("2024-06-02T00:59:59Z"), feed="007").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len(seen) == 1
+
+
+def test_blackout_is_local_to_the_market_in_every_zone(elsewhere):
+    texts = ["2024-07-01T13:35:00Z", "2024-07-01T14:00:00Z", "2024-12-02T14:35:00Z", "2024-07-01T19:20:00Z", "2024-07-06T15:00:00Z"]
+    rows = risk.entry_blackout(instants(elsewhere, *texts).withColumnRenamed("t", "instant")).collect()
+    assert [(r.blackout, r.scheduled_scan) for r in rows] == [
+        ("first_minutes", False), (None, True), ("first_minutes", False), ("final_minutes", False), ("market_closed", False),
+    ]
+
+
+def test_snapshots_of_one_instant_must_agree(spark):
+    schema = "account string, equity decimal(18,4), open_position_count int, frozen_config_hash string, snapshot_time timestamp"
+    now = datetime(2024, 1, 2)
+    rows = [("a", Decimal(1), 1, "h", now), ("a", Decimal(1), 1, "h", now), ("a", Decimal(9), 1, "h", datetime(2024, 1, 1))]
+    assert risk.latest_snapshots(spark.createDataFrame(rows, schema)).collect()[0].equity == 1
+    with pytest.raises(guards.AmbiguityError):
+        risk.latest_snapshots(spark.createDataFrame([*rows, ("a", Decimal(2), 1, "h", now)], schema))
+
+
+def test_a_missing_payload_conflicts_with_a_given_one(spark):
+    rows = [("s", None), ("s", {"a": "1"}), ("t", None), ("t", None)]
+    df = spark.createDataFrame(rows, "subject_id string, payload map<string,string>")
+    assert [r.subject_id for r in ledger.attempt_conflicts(df).collect()] == ["s"]
+
+
+def test_stop_monitor_names_disorder(spark, tmp_path):
+    """A row of an earlier day in a later trigger changes neither the day nor its start."""
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema = "account long, seq long, as_of timestamp, change_cents long"
+    day = lambda d: datetime(2024, 1, d, 12)
+    for part in ([(1, 1, day(2), 100), (1, 3, day(3), -100_000)], [(1, 2, day(2), 50)], [(1, 4, day(3), -100_000)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        rows = spark.readStream.schema(schema).parquet(source)
+        jobs.to_table(jobs.equity_stop_monitor(rows, 10_000_000), out, check).awaitTermination()
+    got = [(r.seq, r.start_cents, r.current_cents, r.reasons) for r in spark.read.parquet(out).orderBy("seq").collect()]
+    assert got == [(2, 10_000_100, 9_900_100, ["disorder"]), (4, 10_000_100, 9_800_100, ["daily_loss_stop"])]

@@ -30,15 +30,48 @@ def ticks(col: Column) -> Column:
 
 
 def plus_seconds(ts: Column, seconds: Column) -> Column:
-    """Instant arithmetic in microseconds, independent of the session calendar."""
+    """Instant arithmetic in microseconds, independent of the session's calendar and zone."""
     return F.timestamp_micros(F.unix_micros(ts) + seconds.cast("long") * F.lit(1_000_000))
 
 
+DAY_SECONDS = 86_400
+_MICROS = {"hour": 3_600_000_000, "day": DAY_SECONDS * 1_000_000}
+
+
+def utc_day(ts: Column) -> Column:
+    """The UTC calendar day of an instant, whatever the session's zone is."""
+    micros = F.unix_micros(ts)
+    whole = micros - F.pmod(micros, F.lit(_MICROS["day"]))
+    return F.date_from_unix_date((whole / _MICROS["day"]).cast("int"))
+
+
+def day_start(day: Column) -> Column:
+    """The first instant of a UTC calendar day."""
+    return F.timestamp_seconds(F.unix_date(day).cast("long") * DAY_SECONDS)
+
+
+def utc_floor(ts: Column, unit: str) -> Column:
+    """The start of the UTC hour, day, week (from Monday) or month that holds an instant."""
+    if unit in _MICROS:
+        micros = F.unix_micros(ts)
+        return F.timestamp_micros(micros - F.pmod(micros, F.lit(_MICROS[unit])))
+    return day_start(F.trunc(utc_day(ts), unit).cast("date"))
+
+
+def utc_text(ts: Column, between: str = " ") -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` of an instant in UTC, by whole-number arithmetic."""
+    micros = F.unix_micros(ts)
+    second = F.floor(F.pmod(micros, F.lit(_MICROS["day"])) / 1_000_000).cast("int")
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(F.floor(second / 3600)), two(F.floor(second / 60) % 60), two(second % 60))
+    return F.when(ts.isNotNull(), F.concat(utc_day(ts).cast("string"), F.lit(between), clock))
+
+
 def iso_utc(ts: Column) -> Column:
     """ISO-8601 text with a +00:00 offset; the fraction appears only when it is not zero."""
-    fraction = F.unix_micros(ts) % 1_000_000
+    fraction = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
     return F.concat(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
+        utc_text(ts, "T"),
         F.when(fraction == 0, F.lit("")).otherwise(
             F.concat(F.lit("."), F.lpad(fraction.cast("string"), 6, "0"))
         ),

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.settings import counted, known_rows
+
 
 class LeakError(ValueError):
     """A row was not knowable at the instant it is used for."""
@@ -30,6 +32,18 @@ def refuse(df: DataFrame, broken: Column, error: type[Exception], what: str, sho
         raise error(f"{what}: {found.n} row(s), for example {found.example}")
 
 
+def broken_rows(broken: Column, show: Sequence[str]) -> dict[str, Column]:
+    """Aggregates that a write can observe in place of a job of :func:`refuse`'s own."""
+    example = F.min(F.when(broken, F.to_json(F.struct(*show))))
+    return {"broken": F.count(F.when(broken, F.lit(1))), "example": example}
+
+
+def refuse_observed(found: dict, error: type[Exception], what: str) -> None:
+    """Raise when a write observed broken rows."""
+    if found["broken"]:
+        raise error(f"{what}: {found['broken']} row(s), for example {found['example']}")
+
+
 def refuse_leaks(df: DataFrame, seen: str, as_of: Column, key: Sequence[str]) -> None:
     refuse(df, F.col(seen) > as_of, LeakError, f"{seen} is later than as_of", [*key, seen])
 
@@ -73,7 +87,7 @@ def collapse_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
         raise AmbiguityError(
             f"rows sharing ({', '.join(key)}) disagree: {found.n} key(s), for example {found.example}"
         )
-    return df if (found.most or 0) <= 1 else df.dropDuplicates(list(key))
+    return df if (found.most or 0) <= 1 else counted(df.dropDuplicates(list(key)), known_rows(df))
 
 
 def refuse_repeats(df: DataFrame, key: Sequence[str], error: type[Exception], what: str) -> None:

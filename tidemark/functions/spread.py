@@ -17,7 +17,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.settings import max_group_rows, settle
+from tidemark.settings import known_rows, max_group_rows, settle
 
 _measured: dict[tuple, int] = {}
 
@@ -55,7 +55,10 @@ def largest_group(df: DataFrame, *key_sets: Sequence[str]) -> list[int]:
 
 
 def is_heavy(df: DataFrame, *key_sets: Sequence[str]) -> list[bool]:
-    limit = max_group_rows(df.sparkSession)
+    """Whether a group outgrows one task.  A table known to be within the limit is not measured."""
+    limit, rows = max_group_rows(df.sparkSession), known_rows(df)
+    if rows is not None and rows <= limit:
+        return [False] * len(key_sets)
     return [n > limit for n in largest_group(df, *key_sets)]
 
 

@@ -128,6 +128,7 @@ def forward_labels(
         *[only(c(n)).alias(n) for n in ("outcome_time", "entry_session", "exit_session")],
         only(c("forward")).alias("forward_residual_return"),
         only(F.lit(horizon)).alias("sessions_used"),
+        only(c("pos") + offset + 1).alias("first_outcome"),
         only(c("outcome_sessions")).alias("outcome_sessions"),
         only(F.lit(1.0)).alias("uniqueness"),
         only(flags).alias("quality_flags"),
@@ -143,18 +144,37 @@ def labelled(found: DataFrame) -> DataFrame:
 def with_uniqueness(labels: DataFrame) -> DataFrame:
     """Weigh each label by the average of 1 / labels open on its own outcome sessions.
 
-    Concurrency counts labels of the same symbol.  A repeated label id raises.
+    A label is open on the ``sessions_used`` positions of its symbol from ``first_outcome`` on.
+    Ends of these spans are swept in order: the running sum of +1 and -1 is the number open until
+    the next end, the running sum of its reciprocals over the positions passed is read at both ends
+    of a label.  The work does not depend on the horizon.  Concurrency counts labels of the same
+    symbol.  A repeated label id raises.
     """
     guards.refuse_repeats(labels, ["label_id"], guards.IntegrityError, "label appears more than once")
-    held = labels.select("label_id", "symbol", F.explode("outcome_sessions").alias("session"))
-    open_labels = held.groupBy("symbol", "session").agg(F.count("*").alias("_open"))
+    c = F.col
+    last = c("first_outcome") + c("sessions_used")
+    ends = labels.select(
+        "label_id", "symbol",
+        F.explode(F.array(
+            F.struct(c("first_outcome").alias("at"), F.lit(1).alias("step")),
+            F.struct(last.alias("at"), F.lit(-1).alias("step")),
+        )).alias("_end"),
+    ).select("label_id", "symbol", "_end.*")
+    [heavy] = spread.is_heavy(labels, ["symbol"])
+    swept = ends.groupBy("symbol", "at").agg(F.sum("step").alias("step"))
+    swept = spread.running(swept, ["symbol"], ["at"], heavy, {"open": ("sum", c("step"))})
+    swept = spread.numbered(swept, ["symbol"], ["at"], heavy, "n")
+    laid, part = spread.in_blocks(swept, ["symbol"], heavy, before=1, pos="n")
+    w = W.partitionBy(*part).orderBy("at")
+    passed = F.try_divide(c("at") - F.lag("at").over(w), F.lag("open").over(w))
+    laid = laid.withColumn("_passed", F.coalesce(passed, F.lit(0.0))).where("_core").select("symbol", "at", "_passed")
+    summed = spread.running(laid, ["symbol"], ["at"], heavy, {"_sum": ("sum", c("_passed"))})
     shares = (
-        held.join(open_labels, ["symbol", "session"])
-        .groupBy("label_id")
-        .agg(F.avg(1.0 / F.col("_open")).alias("_share"))
+        ends.join(summed, ["symbol", "at"]).groupBy("label_id")
+        .agg(F.sum(-c("step") * c("_sum")).alias("_share"))
     )
     return (
         labels.join(shares, "label_id", "left")
-        .withColumn("uniqueness", F.coalesce("_share", "uniqueness"))
+        .withColumn("uniqueness", F.coalesce(F.try_divide("_share", "sessions_used"), "uniqueness"))
         .drop("_share")
     )

@@ -61,7 +61,8 @@ def new_decisions(stored: DataFrame, raw: DataFrame) -> DataFrame:
 
 def attempt_conflicts(attempts: DataFrame) -> DataFrame:
     """Client order ids whose attempts carry different payloads."""
-    digest = F.sha2(F.to_json(sorted_map(F.col("payload"))), 256)
+    # A missing payload is a content of its own.
+    digest = F.sha2(F.coalesce(F.to_json(sorted_map(F.col("payload"))), F.lit("none")), 256)
     return (
         attempts.groupBy("subject_id")
         .agg(F.min(digest).alias("_a"), F.max(digest).alias("_b"), F.count("*").alias("attempts"))

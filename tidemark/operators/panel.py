@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import guards, spread
 from tidemark.functions.exprs import blank, all_failures, first_failure, loo_median, ticks
+from tidemark.settings import settle_counted
 
 BAR_COLUMNS = (
     "symbol", "feed", "session", "first_seen_time", "open", "high", "low", "close", "volume",
@@ -45,6 +46,15 @@ def bar_rejects(bars: DataFrame) -> DataFrame:
     return bars.withColumn("reasons", all_failures(bar_problems())).where(F.size("reasons") > 0)
 
 
+def stored_bars(bars: DataFrame) -> DataFrame:
+    """:func:`checked_bars` of a table that is written down on the way; the write does the checking."""
+    first = first_failure(bar_problems())
+    measures = guards.broken_rows(first.isNotNull(), ["symbol", "session"])
+    held, found = settle_counted(bars.select(*BAR_COLUMNS), "bars", **measures)
+    guards.refuse_observed(found, guards.IntegrityError, "malformed bar")
+    return guards.collapse_duplicates(held, ["symbol", "session"])
+
+
 def checked_bars(bars: DataFrame) -> DataFrame:
     """The panel once its bars are well formed and no session is described twice."""
     bars = bars.select(*BAR_COLUMNS)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tidemark.functions import spread
 from tidemark.functions.exprs import config_version, flag_list
 from tidemark.operators import panel
-from tidemark.settings import max_group_rows, settle
+from tidemark.settings import known_rows, max_group_rows, settle
 
 FEATURES = (
     "residual_return_1s",
@@ -234,13 +234,15 @@ class _Sizes:
 
     @staticmethod
     def measure(spine: DataFrame, bars: DataFrame) -> "_Sizes":
+        limit, rows = max_group_rows(spine.sparkSession), [known_rows(spine), known_rows(bars)]
+        if None not in rows and sum(rows) <= limit:
+            return _Sizes(False, False)
         count = lambda df, name, tag: df.agg(F.count_distinct(name).alias("n")).select(F.lit(tag).alias("t"), "n")
         counted = (
             count(spine, "as_of", "instants").unionByName(count(bars, "session", "sessions"))
             .unionByName(count(bars, "symbol", "symbols"))
         )
         n = {r.t: r.n for r in counted.collect()}
-        limit = max_group_rows(spine.sparkSession)
         return _Sizes(n["instants"] + n["sessions"] > limit, n["instants"] + n["symbols"] > limit)
 
 

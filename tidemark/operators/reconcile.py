@@ -71,9 +71,13 @@ def recovery_decisions(attempts: DataFrame, orders: DataFrame | None) -> DataFra
     )
 
 
-def unexplained_orders(orders: DataFrame, known: DataFrame) -> DataFrame:
-    """Open broker orders no recorded intent explains."""
-    return orders.join(known.select("book", "client_order_id"), ["book", "client_order_id"], "left_anti")
+def unexplained_orders(open_orders: DataFrame, known: DataFrame) -> DataFrame:
+    """Orders of the open snapshot that no recorded intent explains.
+
+    The snapshot is the broker's own list of open orders, not the lookup of single orders: a
+    closed order that nobody knows is no finding.
+    """
+    return open_orders.join(known.select("book", "client_order_id"), ["book", "client_order_id"], "left_anti")
 
 
 def covered_symbols(known: DataFrame) -> DataFrame:
@@ -104,24 +108,28 @@ def unexplained_positions(
 
 
 def report(
-    known: DataFrame, orders: DataFrame | None, positions: DataFrame | None, activities: DataFrame | None
+    known: DataFrame, orders: DataFrame | None, open_orders: DataFrame | None,
+    positions: DataFrame | None, activities: DataFrame | None,
 ) -> DataFrame:
-    """One row per book: distinct reasons and whether new entries are blocked."""
+    """One row per book: distinct reasons and whether new entries are blocked.
+
+    ``orders`` answers lookups of single orders, ``open_orders`` is the snapshot of open ones.
+    """
     decided = recovery_decisions(known, orders)
     reason = F.when(F.col("action") == "block", F.col("reason")).when(
         F.col("state").isin(*BLOCKING_STATES), F.lit("order_not_reconciled")
     )
     told = decided.select("book", reason.alias("reason")).where("reason is not null").distinct()
     books = known.select("book")
-    for snapshot in (orders, positions, activities):
+    for snapshot in (orders, open_orders, positions, activities):
         if snapshot is not None:
             books = books.unionByName(snapshot.select("book"))
     books = books.distinct()
-    if orders is None or positions is None or activities is None:
+    if any(x is None for x in (orders, open_orders, positions, activities)):
         told = told.unionByName(books.select("book", F.lit(UNAVAILABLE).alias("reason")))
-    if orders is not None:
+    if open_orders is not None:
         told = told.unionByName(
-            unexplained_orders(orders, known).select("book", F.lit("unexplained_order").alias("reason")).distinct()
+            unexplained_orders(open_orders, known).select("book", F.lit("unexplained_order").alias("reason")).distinct()
         )
     if positions is not None:
         loose = unexplained_positions(positions, known, orders, activities)
@@ -133,19 +141,24 @@ def report(
     return out.withColumn("blocks_new_entries", F.size("reasons") > 0)
 
 
+def still_open(known: DataFrame, positions: DataFrame | None) -> DataFrame:
+    """``book, symbol``: the covered symbols still open, all of them without a position snapshot."""
+    covered = covered_symbols(known)
+    if positions is None:
+        return covered
+    return covered.join(positions.where("signed_quantity != 0").select("book", "symbol").distinct(), ["book", "symbol"], "left_semi")
+
+
 def flatten_report(known: DataFrame, orders: DataFrame | None, positions: DataFrame | None) -> DataFrame:
     """Per book the covered symbols still open, and every reason not to call it flat.
 
     Without a position snapshot every covered symbol counts as open.
     """
     decided = recovery_decisions(known, orders).where("action = 'block'").select("book", "reason").distinct()
-    covered = covered_symbols(known)
+    still = still_open(known, positions)
     if positions is None:
-        still = covered
         extra = known.select("book", F.lit(UNAVAILABLE).alias("reason")).distinct()
     else:
-        held = positions.where("signed_quantity != 0").select("book", "symbol")
-        still = covered.join(held, ["book", "symbol"], "left_semi")
         extra = still.select("book", F.lit("position_still_open").alias("reason")).distinct()
     reasons = decided.unionByName(extra).groupBy("book").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
     counts = still.groupBy("book").agg(

@@ -7,8 +7,8 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.functions import spread
-from tidemark.functions.exprs import all_failures
+from tidemark.functions import guards, spread
+from tidemark.functions.exprs import DAY_SECONDS, all_failures, utc_day
 
 
 @dataclass(frozen=True)
@@ -37,11 +37,16 @@ def max_approved_quantity(config: RiskConfig, mode: str) -> Column:
 
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:
-    return snapshots.groupBy("account").agg(
-        F.max_by(
-            F.struct("equity", "open_position_count", "frozen_config_hash", "snapshot_time"), "snapshot_time"
-        ).alias("_s")
-    ).select("account", "_s.*")
+    """The newest snapshot per account; two of one instant that disagree raise."""
+    body = F.struct("equity", "open_position_count", "frozen_config_hash", "snapshot_time")
+    newest = snapshots.groupBy("account").agg(F.max("snapshot_time").alias("_at"))
+    held = snapshots.join(newest, "account").where(F.col("snapshot_time") == F.col("_at"))
+    found = held.groupBy("account").agg(F.min(body).alias("_s"), F.max(body).alias("_other"))
+    guards.refuse(
+        found, ~F.col("_s").eqNullSafe(F.col("_other")), guards.AmbiguityError,
+        "snapshots of one instant disagree", ["account"],
+    )
+    return found.select("account", "_s.*")
 
 
 def screen_plans(
@@ -117,7 +122,7 @@ def equity_readings(series: DataFrame, opening_cents: int) -> DataFrame:
     rows = spread.running(
         rows, ["account"], ["seq"], heavy, {"_top": ("max", F.greatest(F.col("_now"), F.lit(opening_cents)))}
     )
-    day = F.to_date("as_of")
+    day = utc_day(F.col("as_of"))
     first = rows.groupBy("account", day.alias("day")).agg(
         F.min_by(F.col("_now") - F.col("change_cents"), "seq").alias("_start")
     )
@@ -160,13 +165,14 @@ def entry_blackout(instants: DataFrame, zone: str = "America/New_York", opens_at
     Minutes are local to ``zone``: nothing before the open, in its first ``first`` or the
     final ``final`` minutes, after the close, or on a weekend.
     """
+    # The shift moves an instant by the zone's offset; day and clock are then read as UTC.
     local = F.from_utc_timestamp("instant", zone)
-    minute = F.hour(local) * 60 + F.minute(local)
+    minute = F.floor(F.pmod(F.unix_micros(local), F.lit(DAY_SECONDS * 1_000_000)) / 60_000_000)
     reason = (
-        F.when(F.dayofweek(local).isin(1, 7), "market_closed")
+        F.when(F.dayofweek(utc_day(local)).isin(1, 7), "market_closed")
         .when((minute < opens_at) | (minute >= closes_at), "market_closed")
         .when(minute < opens_at + first, "first_minutes")
         .when(minute >= closes_at - final, "final_minutes")
     )
-    scan = F.date_format(local, "HH:mm").isin("10:00", "12:30", "15:00")
+    scan = minute.isin(600, 750, 900)
     return instants.withColumns({"blackout": reason, "scheduled_scan": scan})

@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import guards, spread
-from tidemark.functions.exprs import blank, first_failure, ticks
+from tidemark.functions.exprs import blank, first_failure, ticks, utc_day
 
 CALL_SPREAD = "bull_call_debit_vertical"
 PUT_SPREAD = "bear_put_debit_vertical"
@@ -36,7 +36,7 @@ class StructureRules:
 def contract_rejection(rules: StructureRules) -> Column:
     """First gate a contract fails for its candidate (as_of, quantity)."""
     c = F.col
-    dte = F.datediff("expiry", F.to_date("as_of"))
+    dte = F.datediff("expiry", utc_day(F.col("as_of")))
     age = F.unix_micros("as_of") - F.unix_micros("quote_time")
     gap, total = c("ask") - c("bid"), c("ask") + c("bid")
     return first_failure(

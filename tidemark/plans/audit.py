@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import fixed
-from tidemark.functions.exprs import money, r6, ticks
+from tidemark.functions.exprs import money, r6, ticks, utc_floor, utc_text
 from tidemark.operators import ledger, lifecycle, metrics, reconcile, risk
 from tidemark.plans.registry import ORACLES, at, joined, r6_sql, registered, stamp
 from tidemark.settings import settle, work_path
@@ -87,7 +87,7 @@ def observations_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "store")
     observations.record(judged_observations(spark, sf_dir), path)
     out = observations.read_as_of(
-        observations.stored(spark, path), F.lit("2024-01-15 12:00:00").cast("timestamp"), feed="purchase"
+        observations.stored(spark, path), F.lit("2024-01-15T12:00:00Z").cast("timestamp"), feed="purchase"
     )
     return out.select("observation_id", stamp("first_seen_time").alias("first_seen_time"))
 
@@ -154,7 +154,7 @@ def uncovered_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     statuses = F.array(*[F.lit(s) for s in (*fixed.BROKER_STATUSES, "brand_new_status")])
-    when = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    when = F.concat(utc_text(F.col("o_orderdate"), "T"), F.lit("Z"))
     body = F.struct(
         F.concat(F.lit("b"), k).alias("id"),
         F.when(k % 17 == 3, F.lit("")).otherwise(F.concat(F.lit("c"), k)).alias("client_order_id"),
@@ -198,7 +198,7 @@ def broker_activity_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(p % 41 == 1, F.lit("hold")).when(F.col("l_returnflag") == "R", F.lit("sell")).otherwise(F.lit("buy")).alias("side"),
         F.when(p % 43 == 2, F.lit("1e2")).otherwise(q.cast("string")).alias("qty"),
         F.when(p % 47 == 3, F.lit("1,5")).otherwise(F.lit("1.25")).alias("price"),
-        F.concat(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("transaction_time"),
+        F.concat(utc_text(F.col("l_shipdate"), "T"), F.lit("+00:00")).alias("transaction_time"),
     )
     raw = tables.table(spark, sf_dir, "lineitem").withColumn("raw", F.to_json(body))
     return broker.activities(raw).select(
@@ -230,6 +230,7 @@ b_orders AS (
     CASE WHEN o_orderkey % 13 = 1 THEN 'x' ELSE 'c' END || o_orderkey AS client_order_id, o_orderkey,
     list_extract(['new', 'filled', 'canceled', 'held', 'pending_cancel', 'partially_filled', 'replaced'], CAST(o_orderkey % 7 + 1 AS INT)) AS status
   FROM orders WHERE o_orderkey % 11 <> 2),
+o_orders AS (SELECT * FROM b_orders WHERE status NOT IN ('filled', 'canceled')),
 known AS (
   SELECT o_orderpriority AS book, 'c' || o_orderkey AS client_order_id, CASE WHEN o_orderkey % 17 <> 4 THEN 'r' || o_orderkey END AS attempt_id,
     CASE WHEN o_orderkey % 19 = 5 THEN 'other' ELSE 'c' || o_orderkey END AS attempt_order_id, 'Brand#' || (o_orderkey % 23 + 1) AS symbol FROM orders),
@@ -242,7 +243,7 @@ decided AS (
   FROM known k LEFT JOIN b_orders b ON b.book = k.book AND b.client_order_id = k.client_order_id),
 fills AS (
   SELECT DISTINCT o_orderpriority AS book, 'b' || l_orderkey AS order_id, p_brand AS symbol
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 holds AS (
   SELECT o_orderpriority AS book, p_brand || CASE WHEN l_suppkey % 9 = 0 THEN '/x' ELSE '' END AS symbol,
     CAST(sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS BIGINT) AS signed_quantity
@@ -273,7 +274,7 @@ def books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
         tables.table(spark, sf_dir, "lineitem").join(orders.select("o_orderkey", "book"), F.col("l_orderkey") == k)
         .join(tables.table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     )
-    activities = lines.where("l_quantity > 48").select(
+    activities = lines.select(
         "book", F.concat(F.lit("b"), F.col("l_orderkey").cast("string")).alias("order_id"), F.col("p_brand").alias("symbol")
     )
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
@@ -282,6 +283,11 @@ def books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return known, at_broker, positions, activities
 
 
+def open_at_broker(at_broker: DataFrame) -> DataFrame:
+    """The broker's list of open orders: what is neither filled nor canceled."""
+    return at_broker.where("status not in ('filled', 'canceled')")
+
+
 @registered(
     "submission_decisions",
     f"""WITH {BOOKS} SELECT book, client_order_id, CASE WHEN blocked IS NOT NULL THEN 'block' WHEN missing THEN 'submit' ELSE 'adopt_existing' END AS action,
@@ -305,11 +311,11 @@ def recovery_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "unexplained_orders",
-    f"WITH {BOOKS} SELECT book, broker_id, client_order_id FROM b_orders WHERE client_order_id LIKE 'x%'",
+    f"WITH {BOOKS} SELECT book, broker_id, client_order_id FROM o_orders WHERE client_order_id LIKE 'x%'",
 )
 def unexplained_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     known, at_broker, _, _ = books(spark, sf_dir)
-    return reconcile.unexplained_orders(at_broker, known).select("book", "broker_id", "client_order_id")
+    return reconcile.unexplained_orders(open_at_broker(at_broker), known).select("book", "broker_id", "client_order_id")
 
 
 @registered("unexplained_positions", f"WITH {BOOKS} SELECT book, symbol, signed_quantity FROM loose")
@@ -322,11 +328,12 @@ def unexplained_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "reconciliation_report",
     f"""WITH {BOOKS}, r AS (
       SELECT book, coalesce(blocked, CASE WHEN missing THEN 'ambiguous_submission' ELSE 'order_not_reconciled' END) AS reason FROM decided
-      UNION SELECT book, 'unexplained_order' FROM b_orders WHERE client_order_id LIKE 'x%' UNION SELECT book, 'unexplained_position' FROM loose)
+      UNION SELECT book, 'unexplained_order' FROM o_orders WHERE client_order_id LIKE 'x%' UNION SELECT book, 'unexplained_position' FROM loose)
     SELECT book, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons, 1 AS blocks_new_entries FROM r GROUP BY book""",
 )
 def reconciliation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reconcile.report(*books(spark, sf_dir))
+    known, at_broker, positions, activities = books(spark, sf_dir)
+    out = reconcile.report(known, at_broker, open_at_broker(at_broker), positions, activities)
     return out.select("book", joined("reasons").alias("reasons"), F.col("blocks_new_entries").cast("int").alias("blocks_new_entries"))
 
 
@@ -334,13 +341,13 @@ def reconciliation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     "reconciliation_without_positions",
     f"""WITH {BOOKS}, r AS (
       SELECT book, coalesce(blocked, CASE WHEN missing THEN 'ambiguous_submission' ELSE 'order_not_reconciled' END) AS reason FROM decided
-      UNION SELECT book, 'unexplained_order' FROM b_orders WHERE client_order_id LIKE 'x%' UNION SELECT book, 'broker_truth_unavailable' FROM known)
+      UNION SELECT book, 'unexplained_order' FROM o_orders WHERE client_order_id LIKE 'x%' UNION SELECT book, 'broker_truth_unavailable' FROM known)
     SELECT book, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM r GROUP BY book""",
 )
 def reconciliation_without_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot that could not be read is a reason, not an empty table."""
     known, at_broker, _, activities = books(spark, sf_dir)
-    return reconcile.report(known, at_broker, None, activities).select("book", joined("reasons").alias("reasons"))
+    return reconcile.report(known, at_broker, open_at_broker(at_broker), None, activities).select("book", joined("reasons").alias("reasons"))
 
 
 @registered(
@@ -358,6 +365,16 @@ def flatten_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("book", joined("reasons").alias("reasons"), "still_open", "first_open_symbol")
 
 
+@registered(
+    "still_open_symbols",
+    f"WITH {BOOKS} SELECT DISTINCT h.book, h.symbol FROM holds h JOIN known k ON k.book = h.book AND k.symbol = h.symbol WHERE signed_quantity <> 0",
+)
+def still_open_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per covered symbol that the positions still hold."""
+    known, _, positions, _ = books(spark, sf_dir)
+    return reconcile.still_open(known, positions)
+
+
 # --- equity stops --------------------------------------------------------------------------
 
 EQUITY = """
@@ -487,7 +504,7 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 60 == 8, F.create_map().cast("map<string,string>")).otherwise(
             F.create_map(F.lit("z"), (i % 3).cast("string"), F.lit("a"), F.lit("1"))
         ).alias("payload"),
-        F.date_trunc("day", "ts").alias("recorded_at"), i.alias("seq"),
+        utc_floor(F.col("ts"), "day").alias("recorded_at"), i.alias("seq"),
     )
 
 

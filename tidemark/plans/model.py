@@ -7,13 +7,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import spread
-from tidemark.functions.exprs import r6
+from tidemark.functions.exprs import r6, utc_day, utc_floor
 from tidemark.operators import folds, gates, ledger, metrics, model, panel, price_features
 from tidemark.plans.price import (
-    FOLDS, LABELS, PLAN, _IN_ORDER, all_labels, stored_bars, weighted_labels,
+    FOLDS, LABELS, PLAN, _IN_ORDER, _digest_sql, all_labels, stored_bars, weighted_labels,
 )
 from tidemark.plans.registry import at, joined, r6_sql, registered, stamp
-from tidemark.settings import settle
+from tidemark.settings import counted, settle, settle_counted
 from tidemark.sources import tables
 
 CONFIG = model.ModelConfig(
@@ -44,10 +44,11 @@ fitted AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0 FROM ridge)"""
 def design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Stored design rows of the training and calibration windows, and of the test window."""
     bars = stored_bars(spark, sf_dir)
-    told = settle(weighted_labels(spark, sf_dir, bars), "weighted")
+    told, found = settle_counted(weighted_labels(spark, sf_dir, bars), "weighted")
     asked = told.select(
         "symbol", (F.col("prediction_time") + F.expr("interval 15 minutes")).alias("as_of"), "label_id"
     )
+    counted(asked, found["rows"])
     block = price_features.feature_block(asked, bars, tables.sectors(spark, sf_dir))
     names = CONFIG.feature_names
     have = F.lit(True)
@@ -64,8 +65,8 @@ def design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     keep = ["fold", "window", "label_id", "symbol", "date", "y", "w", *names]
     return (
-        settle(rows.join(when, "label_id").select(*keep), "design"),
-        settle(test.join(when, "label_id").select(*keep), "design"),
+        settle_counted(rows.join(when, "label_id").select(*keep), "design")[0],
+        settle_counted(test.join(when, "label_id").select(*keep), "design")[0],
     )
 
 
@@ -112,14 +113,54 @@ def residual_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("fold", *[r6(F.col(n)).alias(n) for n in ("low", "middle", "high")], "n")
 
 
-@registered("fitted_models")
+def _newton_sql(steps: int) -> str:
+    """Newton's method for two features and an intercept, a few sums per fold and step."""
+    out = """,
+up_rows AS MATERIALIZED (SELECT fold, w, x1, x2, CAST(y > 0 AS DOUBLE) AS up FROM rows_all WHERE win = 'train'),
+t0 AS (SELECT DISTINCT fold, 0.0::DOUBLE AS t0, 0.0::DOUBLE AS t1, 0.0::DOUBLE AS t2 FROM up_rows)"""
+    for k in range(steps):
+        out += f""",
+s{k} AS (
+  SELECT fold, t0, t1, t2, sum(w * (p - up)) AS g0, sum(w * (p - up) * x1) + t1 AS g1, sum(w * (p - up) * x2) + t2 AS g2,
+    sum(v) AS a, sum(v * x1) AS b, sum(v * x2) AS c, sum(v * x1 * x1) + 1 AS d, sum(v * x1 * x2) AS e, sum(v * x2 * x2) + 1 AS f
+  FROM (SELECT *, w * p * (1 - p) AS v FROM (SELECT r.*, t0, t1, t2, 1 / (1 + exp(-(t0 + t1 * x1 + t2 * x2))) AS p
+        FROM up_rows r JOIN t{k} USING (fold))) GROUP BY fold, t0, t1, t2),
+t{k + 1} AS MATERIALIZED (
+  SELECT fold, t0 - (g0 * (d * f - e * e) - b * (g1 * f - e * g2) + c * (g1 * e - d * g2)) / q AS t0,
+    t1 - (a * (g1 * f - e * g2) - g0 * (b * f - e * c) + c * (b * g2 - g1 * c)) / q AS t1,
+    t2 - (a * (d * g2 - g1 * e) - b * (b * g2 - g1 * c) + g0 * (b * e - d * c)) / q AS t2
+  FROM (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS q FROM s{k}))"""
+    return out + f", direction AS (SELECT * FROM t{steps})"
+
+
+_SCORE_BINS = " + ".join(
+    f"CAST(p >= '{e}'::DOUBLE AS INT)" for e in "0.1 0.2 0.30000000000000004 0.4 0.5 0.6000000000000001 0.7000000000000001 0.8 0.9".split()
+)
+FITTED = f"""{DESIGN}{_newton_sql(14)},
+calibrated AS (
+  SELECT fold, sum(n * abs(mp - my)) / sum(n) AS ece FROM (
+    SELECT fold, {_SCORE_BINS} AS bin, count(*) AS n, avg(p) AS mp, avg(CAST(y > 0 AS INT)) AS my
+    FROM (SELECT fold, y, 1 / (1 + exp(-(t0 + t1 * x1 + t2 * x2))) AS p FROM rows_all JOIN direction USING (fold) WHERE win = 'calibration')
+    GROUP BY fold, bin) GROUP BY fold),
+members AS ({_digest_sql("(SELECT * FROM rows_all WHERE win IN ('train', 'calibration'))", 'fold', "win || '|' || label_id")})"""
+
+
+@registered(
+    "fitted_models",
+    f"""WITH {FITTED} SELECT fold, 'mdl-' || substr(sha256('{CONFIG.version}|' || fold || '|' || digest || '|'
+        || {" || '|' || ".join(f"epoch_us({e})" for e in folds.EDGES)}), 1, 16) AS model_version,
+      {r6_sql('b0')} AS intercept, {r6_sql('t0')} AS direction_intercept, {r6_sql('t1')} AS direction_1, {r6_sql('t2')} AS direction_2,
+      {r6_sql('ece')} AS calibration_error, {r6_sql('sw * sw / sww')} AS effective_sample_size, {at('calibration_end')} AS fitted_through
+    FROM fitted JOIN direction USING (fold) JOIN calibrated USING (fold) JOIN members USING (fold) JOIN folds USING (fold)""",
+)
 def fitted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both models with calibration; the logistic optimum has no closed form in SQL."""
+    """Both models with calibration and address, one row per fold."""
     rows, _ = design(spark, sf_dir)
     made = model.fit(rows, PLAN.table(spark), CONFIG)
     return made.select(
         "fold", "model_version", r6(F.col("intercept")).alias("intercept"),
         r6(F.col("direction_intercept")).alias("direction_intercept"),
+        *[r6(F.col("direction_coef")[i]).alias(f"direction_{i + 1}") for i in (0, 1)],
         r6(F.col("calibration_error")).alias("calibration_error"),
         r6(F.col("effective_sample_size")).alias("effective_sample_size"),
         stamp("fitted_through").alias("fitted_through"),
@@ -128,21 +169,22 @@ def fitted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "forecast_magnitudes",
-    f"""WITH {DESIGN}, heldout AS (
-      SELECT fold, quantile_cont(y - b0 - b1 * x1 - b2 * x2, 0.1) AS lo, quantile_cont(y - b0 - b1 * x1 - b2 * x2, 0.9) AS hi
+    f"""WITH {FITTED}, heldout AS (
+      SELECT fold, quantile_cont(y - b0 - b1 * x1 - b2 * x2, 0.5) AS md, quantile_cont(y - b0 - b1 * x1 - b2 * x2, 0.1) AS lo, quantile_cont(y - b0 - b1 * x1 - b2 * x2, 0.9) AS hi
       FROM rows_all JOIN fitted USING (fold) WHERE win = 'calibration' GROUP BY fold)
     SELECT fold, label_id AS candidate_id, {r6_sql('b0 + b1 * x1 + b2 * x2')} AS expected_residual_return,
+      {r6_sql('1 / (1 + exp(-(t0 + t1 * x1 + t2 * x2)))')} AS p_up, {r6_sql('b0 + b1 * x1 + b2 * x2 + md')} AS q50,
       {r6_sql('b0 + b1 * x1 + b2 * x2 + lo')} AS q10, {r6_sql('b0 + b1 * x1 + b2 * x2 + hi')} AS q90,
       {r6_sql('b1 * x1')} AS family_return, {r6_sql('b2 * x2')} AS family_range
-    FROM rows_all JOIN fitted USING (fold) JOIN heldout USING (fold) WHERE win = 'test'""",
+    FROM rows_all JOIN fitted USING (fold) JOIN heldout USING (fold) JOIN direction USING (fold) WHERE win = 'test'""",
 )
 def forecast_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecasts of every test label; the direction part is in the rows-only model query."""
+    """Forecasts of every test label: direction, magnitude, band and family shares."""
     rows, test = design(spark, sf_dir)
     made = settle(model.fit(rows, PLAN.table(spark), CONFIG), "models")
     asked = test.withColumnsRenamed({"label_id": "candidate_id", "date": "as_of"})
     out = model.predict(made, asked, CONFIG)
-    shown = ("expected_residual_return", "q10", "q90", "family_return", "family_range")
+    shown = ("p_up", "expected_residual_return", "q10", "q50", "q90", "family_return", "family_range")
     return out.select("fold", "candidate_id", *[r6(F.col(n)).alias(n) for n in shown])
 
 
@@ -270,7 +312,7 @@ def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map(F.lit("feed"), F.col("event_type"), F.lit("arm"), (F.col("user_id") % 10).cast("string")).alias(
             "configuration"
         ),
-        F.lit("baseline arms").alias("purpose"), F.date_trunc("hour", "ts").alias("registered_at"),
+        F.lit("baseline arms").alias("purpose"), utc_floor(F.col("ts"), "hour").alias("registered_at"),
     )
 
 
@@ -413,7 +455,7 @@ def decile_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
                  unnest([symbol, sec, fold, regime, 'all']) AS member FROM s) GROUP BY ALL""",
 )
 def result_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored_labels(spark, sf_dir).withColumn("fold", (F.year("date") % 5).cast("int"))
+    rows = scored_labels(spark, sf_dir).withColumn("fold", (F.year(utc_day(F.col("date"))) % 5).cast("int"))
     out = metrics.attribution(rows, 0.01)
     return out.select("dimension", "member", "n", (F.round("net", 4) + 0.0).alias("net"), r6(F.col("hit_rate")).alias("hit_rate"))
 

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions.exprs import r6, ticks
+from tidemark.functions.exprs import r6, ticks, utc_floor
 from tidemark.operators import metrics, risk, structures
 from tidemark.plans.registry import at, joined, r6_sql, registered, stamp
 from tidemark.settings import settle
@@ -61,7 +61,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found.withColumn("_w", way)
     return rows.select(
         F.concat("underlying_symbol", "_w.tag").alias("candidate_id"), F.col("_w.kind").alias("kind"),
-        "underlying_symbol", F.lit("2024-01-02 15:00:00").cast("timestamp").alias("as_of"),
+        "underlying_symbol", F.lit("2024-01-02T15:00:00Z").cast("timestamp").alias("as_of"),
         F.lit(2).alias("quantity"),
     )
 
@@ -165,7 +165,7 @@ asks AS (
 def risk_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item as a plan of its account, some with a missing or zero price or loss, counted by outcome."""
     orders = tables.table(spark, sf_dir, "orders")
-    now = F.lit("2024-01-02 15:00:00").cast("timestamp")
+    now = F.lit("2024-01-02T15:00:00Z").cast("timestamp")
     k = F.col("last_order")
     latest = orders.groupBy(F.col("o_custkey").alias("account")).agg(
         F.max_by(
@@ -244,7 +244,7 @@ def ranked_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     number = tables.brand_number(c("p_brand"))
     rows = lines.select(
-        F.date_trunc("month", "o_orderdate").alias("scan"),
+        utc_floor(F.col("o_orderdate"), "month").alias("scan"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c("l_quantity").cast("int")).alias("candidate_id"),
         c("p_brand").alias("underlying_symbol"), F.concat(F.lit("S"), (number % 5).cast("string")).alias("sector"),
         (c("l_suppkey") * 7919 % 1000 / 1000.0).alias("expected_residual_return"),
@@ -281,7 +281,7 @@ def option_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain with derived volatility and interest; two underlyings lack the required feed."""
     k = F.regexp_extract("symbol", "[CP]([0-9]+)$", 1).cast("long")
     chain = tables.contracts(spark, sf_dir).select(
-        "underlying_symbol", "symbol", F.lit("2024-01-02 15:00:00").cast("timestamp").alias("as_of"), "option_type",
+        "underlying_symbol", "symbol", F.lit("2024-01-02T15:00:00Z").cast("timestamp").alias("as_of"), "option_type",
         "expiry", "delta", (F.lit(0.2) + k % 50 / 100.0).alias("implied_vol"), (k % 90).alias("volume"),
         (k % 300).alias("open_interest"), (k % 280).alias("prior_open_interest"),
         F.when(F.col("underlying_symbol").isin("Brand#3", "Brand#7"), "indicative").otherwise("opra").alias("feed"),

@@ -8,19 +8,19 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.fixed import STATIC_FALLBACK_SYMBOLS
-from tidemark.functions.exprs import r6, ticks
+from tidemark.functions.exprs import DAY_SECONDS, plus_seconds, r6, ticks
 from tidemark.operators import folds, labels, metrics, panel, price_features, universe
 from tidemark.plans.registry import (
     BARS, MOVES, RESIDUALS, SECTORS, at, joined, r6_sql, registered, stamp,
 )
-from tidemark.settings import settle
+from tidemark.settings import counted, known_rows, settle, settle_counted
 from tidemark.sources import tables
 
 
 def stored_bars(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
     """The weekly bars as a stored, checked table."""
     made = (tables.late_bars if late else tables.bars)(spark, sf_dir)
-    return panel.checked_bars(settle(made, "bars"))
+    return panel.stored_bars(made)
 
 
 @registered(
@@ -148,10 +148,11 @@ def _show_features(block: DataFrame) -> DataFrame:
 def _feature_spine(bars: DataFrame) -> DataFrame:
     """One question per bar, at its regular arrival; every second brand has an event."""
     even = tables.brand_number(F.col("symbol")) % 2 == 0
-    return bars.select(
+    asked = bars.select(
         "symbol", (F.col("session") + F.expr("interval 15 minutes")).alias("as_of"),
-        F.when(even, F.col("session") - F.expr("interval 36 days")).alias("event_time"),
+        F.when(even, plus_seconds(F.col("session"), F.lit(-36 * DAY_SECONDS))).alias("event_time"),
     )
+    return counted(asked, known_rows(bars))
 
 
 @registered("price_features", _IN_ORDER)
@@ -292,7 +293,7 @@ def all_labels(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
 
 def weighted_labels(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
     """Stored labels with their overlap weights."""
-    done = settle(labels.labelled(all_labels(spark, sf_dir, bars)), "labels")
+    done, _ = settle_counted(labels.labelled(all_labels(spark, sf_dir, bars)), "labels")
     return labels.with_uniqueness(done)
 
 
@@ -610,4 +611,4 @@ def universe_fallback_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bar_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = stored_bars(spark, sf_dir, late=True)
-    return metrics.sanity_report(bars, 10.0, 86_400, F.lit("2001-06-01").cast("timestamp"))
+    return metrics.sanity_report(bars, 10.0, 86_400, F.lit("2001-06-01T00:00:00Z").cast("timestamp"))

@@ -6,18 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.functions.exprs import utc_text
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def registered(name: str, sql: str | None = None):
     def keep(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(spark, sf_dir)
-
-        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -27,7 +24,7 @@ def registered(name: str, sql: str | None = None):
 
 def stamp(col: str | Column) -> Column:
     """Timestamps leave a query as text, so both engines compare the same thing."""
-    return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+    return utc_text(F.col(col) if isinstance(col, str) else col)
 
 
 def joined(col: str | Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions.exprs import r6
+from tidemark.functions.exprs import DAY_SECONDS, plus_seconds, r6, utc_floor
 from tidemark.functions.headline import canonical_headline
 from tidemark.operators import evidence, labeling, news, price_features
 from tidemark.plans.price import stored_bars
@@ -81,8 +81,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spine_of(found: DataFrame) -> DataFrame:
     """Each article's symbol at the two midnights after it was first seen."""
-    day = F.date_trunc("day", "first_seen_time")
-    ahead = F.explode(F.array(day + F.expr("interval 1 day"), day + F.expr("interval 2 day")))
+    day = utc_floor(F.col("first_seen_time"), "day")
+    ahead = F.explode(F.array(*[plus_seconds(day, F.lit(n * DAY_SECONDS)) for n in (1, 2)]))
     return found.select(F.explode("symbols").alias("symbol"), ahead.alias("as_of")).distinct()
 
 
@@ -360,7 +360,11 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("article_id")
     k = d % _DEFECTS
     rows = told.select("article_id", "ticker", *news.LABEL_FIELDS).join(texts, "article_id")
-    span = F.when(k == 6, F.lit("never said ☃")).otherwise(F.substring("headline", 1, 12))
+    # Whole headlines, or a stretch of the summary that starts anywhere in it and may reach its end.
+    size = F.length("summary")
+    middle = F.substring(F.col("summary"), F.pmod(d * 7919, F.greatest(size, F.lit(1))).cast("int") + 1, (d % 90 + 1).cast("int"))
+    told_span = F.when((d % 2 == 0) | (size == 0), F.col("headline")).otherwise(middle)
+    span = F.when(k == 6, F.lit("never said ☃")).otherwise(told_span)
     body = F.struct(
         F.when(k == 2, F.lit("0x")).otherwise(d.cast("string")).alias("article_id"),
         F.when(k == 3, F.lit("Other")).otherwise(F.col("ticker")).alias("ticker"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 # Rows one task may hold for one key before an operator takes its split form.
 MAX_GROUP_ROWS_KEY = "spark.tidemark.maxGroupRows"
@@ -72,6 +72,30 @@ def release(spark: SparkSession, paths: list[str]) -> None:
             held.remove(path)
 
 
+def settle_counted(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`settle`, and aggregates of the rows that the write itself observes.
+
+    The rows are counted along, and operators ask :func:`known_rows` before they measure groups.
+    """
+    spark, seen = df.sparkSession, Observation()
+    path = work_path(spark, name)
+    metrics = [value.alias(key) for key, value in measures.items()]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics).write.parquet(path)
+    found = dict(seen.get)
+    return counted(spark.read.schema(df.schema).parquet(path), found["rows"]), found
+
+
+def counted(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df``, known to hold ``rows`` rows or fewer."""
+    df._known_rows = rows
+    return df
+
+
+def known_rows(df: DataFrame) -> int | None:
+    """An upper bound of the rows of ``df`` where a write observed one."""
+    return vars(df).get("_known_rows")
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from tidemark.functions import guards
-from tidemark.functions.exprs import blank, canonical_json, first_failure, iso_utc, plus_seconds, sorted_map
+from tidemark.functions.exprs import blank, canonical_json, first_failure, iso_utc, plus_seconds, sorted_map, utc_day
 from tidemark.settings import max_broadcast_rows
 
 STAMPS = ("event_time", "first_seen_time", "source_time", "received_time", "as_of")
@@ -114,7 +115,7 @@ def record(judged: DataFrame, path: str) -> None:
     whole folders.
     """
     spark = judged.sparkSession
-    fresh = accepted(judged).withColumn("seen_on", F.to_date("first_seen_time"))
+    fresh = accepted(judged).withColumn("seen_on", utc_day(F.col("first_seen_time")))
     held = stored(spark, path)
     if held is not None:
         # Equal contents share feed and day, so only the batch's own folders are read.
@@ -146,11 +147,18 @@ def in_folders_of(store: DataFrame, batch: DataFrame, most: int = 10_000) -> Dat
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The store, or None while nothing was recorded."""
+    """The store, or None while nothing was recorded.
+
+    Folder names hold text: they are read as such and ``seen_on`` is cast, so a feed named by
+    digits keeps its name.
+    """
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         return None
-    return spark.read.parquet(path)
+    found = spark.read.parquet(path).schema
+    kinds = {"feed": StringType(), "seen_on": DateType()}
+    known = StructType([StructField(f.name, kinds.get(f.name, f.dataType)) for f in found])
+    return spark.read.schema(known).parquet(path)
 
 
 def read_as_of(
@@ -168,7 +176,7 @@ def read_as_of(
             raise Rejected(f"{feed!r} is neither a registered feed nor present in the store")
         rows = rows.where(F.col("feed") == feed)
     if "seen_on" in store.columns:
-        rows = rows.where(F.col("seen_on") <= F.to_date(as_of))
+        rows = rows.where(F.col("seen_on") <= utc_day(as_of))
     rows = rows.where(F.col("first_seen_time") <= as_of)
     if subject_id is not None:
         rows = rows.where(F.col("subject_id") == subject_id)

@@ -7,14 +7,19 @@ timestamps stored without a zone are read as UTC.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType, TimestampType
+
+from tidemark.functions.exprs import DAY_SECONDS, plus_seconds, utc_day, utc_floor
 
 EPOCH_2024 = 1_704_067_200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    plain = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else df
+    path = f"{sf_dir}/{name}.parquet"
+    found = spark.read.parquet(path).schema
+    plain = [f.name for f in found if f.dataType.typeName() == "timestamp_ntz"]
+    as_utc = lambda f: StructField(f.name, TimestampType()) if f.name in plain else f
+    return spark.read.schema(StructType([as_utc(f) for f in found])).parquet(path)
 
 
 def brand_number(brand: Column) -> Column:
@@ -34,7 +39,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_brand").alias("symbol"),
-        F.date_trunc("week", "l_shipdate").alias("week"),
+        utc_floor(F.col("l_shipdate"), "week").alias("week"),
         F.col("l_shipdate").alias("traded"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("print_no"),
         F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 10000).cast("long").alias("px"),
@@ -49,7 +54,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed-width hash aggregate (repeated print numbers resolve to the smaller price for
     the open and the larger one for the close).
     """
-    day = F.datediff("traded", "week").cast("decimal(1,0)")
+    day = F.datediff(utc_day(F.col("traded")), utc_day(F.col("week"))).cast("decimal(1,0)")
     place = (day * F.lit(10**17).cast("decimal(18,0)") + F.col("print_no").cast("decimal(17,0)")).cast(
         "decimal(19,0)"
     )
@@ -71,7 +76,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("qty").alias("volume"),
         )
     )
-    session = F.col("week") + F.expr("interval 7 days")
+    session = plus_seconds(F.col("week"), F.lit(7 * DAY_SECONDS))
     return made.select(
         "symbol",
         F.lit("weekly_prints").alias("feed"),
@@ -91,8 +96,8 @@ def late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = F.col("first_seen_time")
     return bars(spark, sf_dir).withColumn(
         "first_seen_time",
-        F.when((week == 1200) & (brand % 5 == 3), seen + F.expr("interval 2000 days"))
-        .when((week + brand) % 29 == 0, seen + F.expr("interval 10 days")).otherwise(seen),
+        F.when((week == 1200) & (brand % 5 == 3), plus_seconds(seen, F.lit(2000 * DAY_SECONDS)))
+        .when((week + brand) % 29 == 0, plus_seconds(seen, F.lit(10 * DAY_SECONDS))).otherwise(seen),
     )
 
 
@@ -188,8 +193,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(proves, F.col("ts") + F.expr("interval 90 seconds"))
         .when(i % 107 == 7, F.col("ts"))
     )
-    event_time = F.when(i % 109 == 8, F.col("ts") + F.expr("interval 2 days")).otherwise(F.col("ts"))
-    as_of = F.when(i % 113 == 9, F.col("ts")).otherwise(F.col("ts") + F.expr("interval 1 day"))
+    event_time = F.when(i % 109 == 8, plus_seconds(F.col("ts"), F.lit(2 * DAY_SECONDS))).otherwise(F.col("ts"))
+    as_of = F.when(i % 113 == 9, F.col("ts")).otherwise(plus_seconds(F.col("ts"), F.lit(DAY_SECONDS)))
     payload = F.when(i % 127 == 10, F.create_map().cast("map<string,string>")).otherwise(
         F.create_map(
             F.lit("value"), F.col("value").cast("decimal(18,2)").cast("string"),

@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import fixed
+from tidemark.functions.exprs import utc_day
 from tidemark.operators.risk import RiskConfig
 from tidemark.sources import observations
 
@@ -132,18 +133,23 @@ def equity_stop_monitor(
     """Readings at which a stop is reached, from a stream of signed changes in cents.
 
     ``changes``: account, seq, as_of, change_cents.  Per account the state is the day, the
-    equity before its first change, the peak and the current equity.
+    equity before its first change, the peak, the current equity and the last ``seq``.  A row
+    behind a later one, or repeated, is reported as ``disorder`` and changes nothing.
     """
     daily, valley = config.daily_loss_stop_fraction, config.peak_to_valley_fraction
 
     def step(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        day, start, peak, now = state.get if state.exists else ("", opening_cents, opening_cents, opening_cents)
+        new = ("", opening_cents, opening_cents, opening_cents, None)
+        day, start, peak, now, last = state.get if state.exists else new
         rows = pd.concat(list(frames)).sort_values("seq")
         out = []
-        for seq, moment, change in zip(rows["seq"], rows["as_of"], rows["change_cents"]):
-            today = str(moment.date())
+        for seq, today, change in zip(rows["seq"], rows["day"], rows["change_cents"]):
+            if last is not None and seq <= last:
+                out.append((key[0], seq, start, peak, now, ["disorder"]))
+                continue
+            last = seq
             if today != day:
                 day, start = today, now
             now += int(change)
@@ -154,15 +160,16 @@ def equity_stop_monitor(
             )
             if hit:
                 out.append((key[0], seq, start, peak, now, hit))
-        state.update((day, start, peak, now))
+        state.update((day, start, peak, now, last))
         yield pd.DataFrame(
             out, columns=["account", "seq", "start_cents", "peak_cents", "current_cents", "reasons"]
         )
 
-    return changes.groupBy("account").applyInPandasWithState(
+    dated = changes.withColumn("day", utc_day(F.col("as_of")).cast("string"))
+    return dated.select("account", "seq", "day", "change_cents").groupBy("account").applyInPandasWithState(
         step,
         "account long, seq long, start_cents long, peak_cents long, current_cents long, reasons array<string>",
-        "day string, start long, peak long, now long", "append", GroupStateTimeout.NoTimeout,
+        "day string, start long, peak long, now long, last long", "append", GroupStateTimeout.NoTimeout,
     )
 
 
