@@ -1,6 +1,7 @@
 """Sharding, vector codes and token alignment against plain versions, and on odd rows."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, sharding, vector_codes
+from tidemark.llm import alignment, chat, language, sharding, vector_codes
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, shard string, _row string, block string, slot string, pair string"
@@ -231,3 +232,82 @@ def test_chunks_encode_as_whole_texts():
         own, whole = encode(parts), encode([" " + t for t in texts])
         for i, ids in enumerate(whole):
             assert [x for p in own[bounds[i] : bounds[i + 1]] for x in p] == ids, texts[i]
+
+
+def test_language_sample_is_bounded_in_rows_and_sees_null_ids(spark):
+    """One id on many rows fills no more than the bound; a table of null ids is learned from."""
+    text = {"en": "the house and the tree stand there", "de": "das Haus und der Baum stehen dort"}
+    many = [(5, f"{text[l]} {i}", l) for i in range(150) for l in text] + [(5, text["en"], "en")] * 50
+    df = spark.createDataFrame(many, "doc_id long, text string, lang string").repartition(3)
+    assert language._sample(df, F.lit(False), language.Training(rows=5)).count() == 5
+    assert language._sample(df, F.lit(False), language.Training()).count() == 301
+    model = language.train(df.withColumn("doc_id", F.lit(None).cast("long")), F.lit(False))
+    assert model.langs == ["de", "en"] and model.least >= 0.5
+    asked = spark.createDataFrame([(1, "the tree and the house"), (2, "der Baum und das Haus")], "doc_id long, text string")
+    assert [r.lang_pred for r in language.predict(asked, model).orderBy("doc_id").collect()] == ["en", "de"]
+
+
+def test_language_scores_equal_a_plain_average(spark):
+    """Every score against subwords cut and averaged one by one."""
+    rng = np.random.default_rng(3)
+    training = language.Training(buckets=1 << 8)
+    model = language.Model(["a", "b", "c"], rng.normal(size=(1 << 8, 3)).astype(np.float32) * 8, 0.5)
+    texts = ["One small text", "x", "", None, "ab", "abc", "zwei Wörter, drei", "tail  end. ", "日本語の文", "a" * 50, "1234 !!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in language.predict(df, model).collect()}
+    for i, text in enumerate(texts):
+        data, rows = (text or "").encode(), []
+        folded = [language.FOLDED[b] for b in data]
+        for n in (3, 4):
+            for at in range(len(data) - n + 1):
+                part = [int(x) for x in folded[at : at + n]]
+                if language.SPACE in part[1 : n - 1]:
+                    continue
+                code = 0
+                for x in part:
+                    code = (code * 0x01000193 + x) % 2**32
+                code = ((code ^ (code >> 15)) * 2654435769) % 2**32
+                rows.append(model.table[code >> (32 - 8)])
+        mean = np.mean(rows, axis=0) if rows else np.zeros(3)
+        share = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        if any(c.isalpha() for c in text or ""):
+            assert got[i].lang_pred == "abc"[share.argmax()] and got[i].score == pytest.approx(share.max(), abs=1e-5)
+        else:
+            assert got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected
+
+
+def test_call_depths_of_random_graphs(spark):
+    """Long chains, calls with several dependencies, cycles and calls that wait for them."""
+    rng, rows, want = random.Random(6), [], {}
+    for conv in range(12):
+        n, deps = 40, {}
+        for i in range(n):
+            some = [i - 1] if conv % 3 == 0 else rng.sample(range(i), min(i, rng.choice([0, 1, 1, 1, 2, 3])))
+            deps[i] = [j for j in some if j >= 0] + ([n + 5] if i % 9 == 0 else [])
+        if conv % 2:
+            deps[rng.randrange(5, 20)].append(rng.randrange(20, n))
+        rows += [(conv, f"c{i}", [f"c{j}" for j in deps[i]]) for i in deps]
+        depth, left = {}, set(deps)
+        while ready := [i for i in left if all(j in depth for j in deps[i] if j in deps)]:
+            for i in ready:
+                depth[i] = max([depth[j] + 1 for j in deps[i] if j in deps], default=0)
+            left -= set(ready)
+        want |= {(conv, f"c{i}"): d for i, d in depth.items()}
+    rows.append((99, "self", ["self"]))
+    df = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>").repartition(3)
+    assert {(r.conv_id, r.call_id): r.depth for r in chat.depths(df).collect()} == want
+
+
+def test_arguments_are_parsed_and_written_anew(spark):
+    given = {"query": '"x" "y"', "limit": " 3 "}, {"query": '"a\nb"', "limit": "1"}, {"query": '"\\u00e9"', "limit": "1.5"}, {
+        "text": '"' + "long " * 50_000 + '"', "strict": "{\"b\": 1, \"a\": [ ]}"}, {"query": '"q"', "limit": "0", "__x": "null"}, {"query": '"q"', "limit": "1,0],["}, {"query": '"q"', "limit": "1], [2"}
+    rows = [(1, i, f"c{i}", "summarise" if "text" in g else "search", g, None, "z") for i, g in enumerate(given)]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, tool string, arguments map<string,string>, depends_on array<string>, json string")
+    none = spark.createDataFrame([], "conv_id long, call_id string, content string")
+    got = {r.call_id: r for r in chat.linked(calls, none, chat.TOOLS).collect()}
+    assert [got[f"c{i}"].errors for i in range(7)] == ["type:query", "type:query", "type:limit", "type:strict", "unknown:__x", "type:limit", "type:limit"]
+    for i in range(7):
+        whole = json.loads(got[f"c{i}"].json)
+        assert json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False) == got[f"c{i}"].json
+    assert json.loads(got["c0"].json)["arguments"] == {"limit": 3, "query": '"x" "y"'}
+    assert json.loads(got["c3"].json)["arguments"]["strict"] == {"a": [], "b": 1}

@@ -27,7 +27,13 @@ SPAN = 1 << 18
 
 @dataclass(frozen=True)
 class Training:
-    """``rows`` bounds the sample of labelled rows; it is drawn by a digest of doc_id."""
+    """``rows`` bounds the sample of labelled rows.
+
+    It is drawn by a digest of doc_id, of the text where that is null; of rows equal in doc_id and
+    text one is taken.  ``held_back`` of it sets the temperature and the score below which a
+    prediction is rejected: the least one from which on ``right`` of the held-back predictions are
+    right, and never less than ``least``, so that a prediction is more likely right than wrong.
+    """
 
     rows: int = 3000
     buckets: int = 1 << 14
@@ -36,6 +42,7 @@ class Training:
     rate: float = 2.0
     held_back: float = 0.2
     least: float = 0.5
+    right: float = 0.95
     seed: int = 7
 
 
@@ -88,12 +95,18 @@ def subwords(flat: np.ndarray, bounds: np.ndarray, buckets: int) -> Iterator[tup
 
 
 def _sample(docs: DataFrame, fold: Column, training: Training) -> DataFrame:
-    """At most ``training.rows`` labelled rows outside the held-out fold."""
+    """At most ``training.rows`` labelled rows outside the held-out fold, however often one repeats."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold)
-    key = F.md5(F.concat(F.lit(str(training.seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    listed = usable.select(key.alias("_key"), "doc_id").orderBy("_key", "doc_id").limit(training.rows)
-    ids = listed.select("doc_id").distinct()
-    return usable.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", "text")
+    usable = usable.select("doc_id", "lang", "text", F.xxhash64("text").alias("_hash"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.col("_hash").cast("string")))
+    key = F.md5(F.concat(F.lit(str(training.seed)), own))
+    drawn = usable.select(key.alias("_key"), "doc_id", "_hash").distinct()
+    drawn = drawn.orderBy("_key", "doc_id", "_hash").limit(training.rows).select(
+        F.col("doc_id").alias("_id"), F.col("_hash").alias("_of")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
+    rows = usable.join(F.broadcast(drawn), same, "left_semi")
+    return rows.groupBy("doc_id", "_hash").agg(F.min("lang").alias("lang"), F.min("text").alias("text")).drop("_hash")
 
 
 def _counts(training: Training):
@@ -137,9 +150,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(sample: pd.DataFrame, training: Training) -> tuple[list[str], np.ndarray]:
-    """The learned languages and, per bucket, the calibrated log-score of each."""
-    sample = sample.sort_values("doc_id", kind="stable")
+def fit(sample: pd.DataFrame, training: Training) -> tuple[list[str], np.ndarray, float]:
+    """The learned languages, per bucket the calibrated log-score of each, and the least score accepted."""
+    sample = sample.sort_values(["doc_id", "buckets", "shares"], kind="stable")
     langs = sorted(sample["lang"].unique())
     label = sample["lang"].map({l: i for i, l in enumerate(langs)}).to_numpy(dtype=np.int64)
     idx = [np.frombuffer(b, "<i4") for b in sample["buckets"]]
@@ -160,11 +173,17 @@ def fit(sample: pd.DataFrame, training: Training) -> tuple[list[str], np.ndarray
             layer -= rate * np.outer(hidden, error)
             embed[idx[i]] -= rate * 20.0 * share[i][:, None] * back
     table = embed @ layer
+    least = training.least
     if len(check):
         scores = np.array([share[i] @ table[idx[i]] for i in check])
         loss = lambda t: -np.log(np.maximum(_softmax(scores / t)[np.arange(len(check)), label[check]], 1e-12)).mean()
-        table = table / min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
-    return langs, table.astype(np.float32)
+        warm = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
+        table, share = table / warm, _softmax(scores / warm)
+        order = np.argsort(-share.max(axis=1), kind="stable")
+        right = np.cumsum((share.argmax(axis=1) == label[check])[order]) / np.arange(1, len(check) + 1)
+        enough = np.flatnonzero(right >= training.right)
+        least = max(least, float(share.max(axis=1)[order][enough[-1]]) if len(enough) else 1.0)
+    return langs, table.astype(np.float32), least
 
 
 @dataclass(frozen=True)
@@ -175,22 +194,25 @@ class Model:
 
 
 def train(docs: DataFrame, fold: Column, training: Training = Training()) -> Model:
-    """Learn from a bounded sample of the rows outside ``fold`` that carry a language."""
+    """Learn from a bounded sample of the rows outside ``fold`` that carry a language.
+
+    Rows without doc_id take part; repeated rows count once.
+    """
     counted = in_small_batches(_sample(docs, fold, training)).mapInArrow(
         _counts(training), "doc_id long, lang string, buckets binary, shares binary"
     )
 
     def in_one_task(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
-        langs, table = fit(sample, training)
-        return pd.DataFrame({"langs": [langs], "table": [table.tobytes()]})
+        langs, table, least = fit(sample, training)
+        return pd.DataFrame({"langs": [langs], "table": [table.tobytes()], "least": [least]})
 
-    made = counted.groupBy(F.lit(0).alias("all")).applyInPandas(in_one_task, "langs array<string>, table binary")
+    made = counted.groupBy(F.lit(0).alias("all")).applyInPandas(in_one_task, "langs array<string>, table binary, least double")
     rows = made.collect()
     if not rows:
         return Model([], np.zeros((training.buckets, 0), np.float32), training.least)
     langs = list(rows[0]["langs"])
     table = np.frombuffer(bytes(rows[0]["table"]), np.float32).reshape(training.buckets, len(langs))
-    return Model(langs, table, training.least)
+    return Model(langs, table, rows[0]["least"])
 
 
 def _scored(model: Model):

@@ -193,32 +193,42 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHAT_SQL = rf"""
-WITH said AS (SELECT * FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL),
-calls AS (
-  SELECT conv_id, turn, 'call_' || turn AS call_id, coalesce(text, '') AS text,
-         len({WORDS_SQL}) % 2 = 1 AS odd,
-         CASE WHEN turn % 8 >= 2 THEN 'call_' || (turn - 2) END AS needs
+WITH RECURSIVE said AS (SELECT * FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL),
+worded AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, len({WORDS_SQL}) AS n
   FROM (SELECT conv_id, turn, min(text) AS text FROM said WHERE role = 'assistant' GROUP BY ALL)),
+calls AS (
+  SELECT conv_id, turn, 'call_' || turn AS call_id, text, n,
+         CASE WHEN n % 5 = 4 THEN 'lookup' WHEN n % 2 = 1 THEN 'search' ELSE 'summarise' END AS tool,
+         CASE WHEN n % 13 = 0 THEN 'call_' || (turn + 2) WHEN turn >= 2 THEN 'call_' || (turn - 2) END AS needs
+  FROM worded),
 answers AS (
   SELECT conv_id, 'call_' || (turn - 1) AS call_id, count(*) AS n_results, min(text) AS content
   FROM said WHERE role <> 'assistant' GROUP BY ALL),
 chains AS (
-  SELECT c.conv_id, c.call_id, c.turn,
-         CASE WHEN b.turn IS NULL THEN 0 WHEN a.turn IS NULL THEN 1 WHEN z.turn IS NULL THEN 2 ELSE 3 END AS depth
-  FROM calls c
-  LEFT JOIN calls b ON b.conv_id = c.conv_id AND b.call_id = c.needs
-  LEFT JOIN calls a ON a.conv_id = b.conv_id AND a.call_id = b.needs
-  LEFT JOIN calls z ON z.conv_id = a.conv_id AND z.call_id = a.needs)
-SELECT c.conv_id, c.turn, c.call_id, CASE WHEN odd THEN 'search' ELSE 'summarise' END AS tool,
-       depth, coalesce(n_results, 0) AS n_results,
-       CASE WHEN n_results IS NULL THEN 'unanswered' WHEN n_results > 1 THEN 'repeated' ELSE 'linked' END AS status,
-       '' AS errors,
-       sha256('{{"after":[' || coalesce('"' || needs || '"', '') || '],"arguments":{{'
-         || CASE WHEN odd THEN '"limit":' || length(text) || ',"query":' || to_json(text)
-            ELSE '"strict":true,"text":' || to_json(text) END
-         || '}},"id":"' || c.call_id || '","name":"' || CASE WHEN odd THEN 'search' ELSE 'summarise' END
+  SELECT c.conv_id, c.call_id, 0 AS depth FROM calls c
+  WHERE NOT EXISTS (SELECT 1 FROM calls b WHERE b.conv_id = c.conv_id AND b.call_id = c.needs)
+  UNION ALL
+  SELECT c.conv_id, c.call_id, depth + 1 FROM chains p JOIN calls c ON c.conv_id = p.conv_id AND c.needs = p.call_id),
+judged AS (
+  SELECT *, array_to_string(list_filter(CASE tool
+      WHEN 'lookup' THEN ['unknown_tool']
+      WHEN 'search' THEN [CASE WHEN n % 11 = 5 THEN 'missing:limit' END, CASE WHEN n % 7 = 3 THEN 'type:query' END, CASE WHEN n % 17 = 6 THEN 'unknown:note' END]
+      ELSE [CASE WHEN n % 3 = 0 THEN 'type:strict' END, CASE WHEN n % 17 = 6 THEN 'unknown:note' END] END, lambda x: x IS NOT NULL), ',') AS errors,
+    array_to_string(list_filter(CASE tool
+      WHEN 'lookup' THEN ['"key":' || to_json(text), CASE WHEN n % 17 = 6 THEN '"note":[1,2]' END]
+      WHEN 'search' THEN [CASE WHEN n % 11 <> 5 THEN '"limit":' || length(text) END, CASE WHEN n % 17 = 6 THEN '"note":[1,2]' END,
+                          '"query":' || CASE WHEN n % 7 = 3 THEN CAST(n AS VARCHAR) ELSE CAST(to_json(text) AS VARCHAR) END]
+      ELSE [CASE WHEN n % 17 = 6 THEN '"note":[1,2]' END, '"strict":' || CASE WHEN n % 3 = 0 THEN '"yes"' ELSE 'true' END, '"text":' || to_json(text)] END,
+      lambda x: x IS NOT NULL), ',') AS arguments
+  FROM calls)
+SELECT c.conv_id, c.turn, c.call_id, tool, depth, coalesce(n_results, 0) AS n_results,
+       CASE WHEN errors <> '' THEN 'invalid' WHEN depth IS NULL THEN 'cycle' WHEN n_results IS NULL THEN 'unanswered'
+            WHEN n_results > 1 THEN 'repeated' ELSE 'linked' END AS status, errors,
+       sha256('{{"after":[' || coalesce('"' || needs || '"', '') || '],"arguments":{{' || arguments
+         || '}},"id":"' || c.call_id || '","name":"' || tool
          || '","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}}') AS json_sha256
-FROM calls c JOIN chains USING (conv_id, call_id)
+FROM judged c LEFT JOIN chains USING (conv_id, call_id)
 LEFT JOIN answers a ON a.conv_id = c.conv_id AND a.call_id = c.call_id"""
 
 
