@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -124,3 +125,30 @@ def test_prior_context_never_shows_a_simultaneous_article(spark):
 
 def test_prior_context_split_form(spark, small_groups):
     test_prior_context_never_shows_a_simultaneous_article(spark)
+
+
+def test_anchors_of_many_copies_equal_a_plain_pass(spark, small_groups):
+    """Headlines copied at random instants, ties among them, over windows that overlap the lookback."""
+    rng = random.Random(5)
+    config = news.NewsConfig(lookback_hours=200, cluster_window_hours=48)
+    start = datetime(2026, 6, 1)
+    when = lambda h: start + timedelta(hours=h)
+    rows = [("S", f"h{rng.randrange(3)}", when(rng.randrange(400)), f"a{i:03d}") for i in range(120)]
+    names = [n for n in news.LABEL_FIELDS]
+    stories = spark.createDataFrame(rows, "symbol string, headline_hash string, first_seen_time timestamp, article_id string")
+    stories = stories.withColumns({n: F.lit("x") for n in names})
+    instants = [when(h) for h in range(0, 420, 20)]
+    asked = spark.createDataFrame([(t,) for t in instants], "as_of timestamp")
+    age = (F.unix_micros("as_of") - F.unix_micros("first_seen_time")) / 3.6e9
+    kept = stories.join(asked, (age >= 0) & (age <= 200)).withColumn("age_seconds", age * 3600)
+    got = sorted((r.as_of, r.headline_hash, r.article_id, r.members) for r in news.representatives(kept, stories, config).collect())
+    want = []
+    for t in instants:
+        for h in ("h0", "h1", "h2"):
+            seen = sorted((at, i) for _, k, at, i in rows if k == h and timedelta(0) <= t - at <= timedelta(hours=200))
+            anchor = None
+            for at, i in seen:
+                if anchor is None or at - anchor > timedelta(hours=48):
+                    want.append((t, h, i, len(seen) if anchor is None else 0))
+                    anchor = at
+    assert got == sorted(want)

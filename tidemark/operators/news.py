@@ -8,7 +8,7 @@ from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions import fixed, guards
+from tidemark.functions import fixed, guards, spread
 from tidemark.functions.exprs import blank, all_failures, config_version, flag_list
 from tidemark.functions.headline import canonical_headline
 from tidemark.settings import settle
@@ -201,35 +201,56 @@ def exclusions(spine: DataFrame, panel: DataFrame, config: NewsConfig) -> DataFr
     )
 
 
-def representatives(kept: DataFrame, config: NewsConfig) -> DataFrame:
-    """One article per wire story: the anchor of each cluster of equal headlines.
+def _anchor_chains(stories: DataFrame, config: NewsConfig) -> tuple[DataFrame, DataFrame]:
+    """Per (symbol, headline, instant) the first story, and the anchors that would follow it.
 
-    Within (symbol, as_of, headline) a new cluster starts with the first article further
-    than the window from the current anchor.  Anchors are found one generation at a time
-    by a combinable minimum, so a headline copied any number of times never sits in one
-    task; the lookback bounds the number of generations.
+    The anchor after a story is the first one of its headline beyond the window, whatever the
+    instant asked about: one ordered lookup finds it.  Chains of such pointers double until they
+    hold as many anchors as fit into the lookback.
     """
-    group = ["symbol", "as_of", "headline_hash"]
-    story = F.struct("first_seen_time", "article_id", "age_seconds", *LABEL_FIELDS)
-    rest = kept.select(*group, story.alias("story"))
-    found = None
-    generations = int(config.lookback_hours // config.cluster_window_hours) + 1
+    group, at = ["symbol", "headline_hash"], F.col("first_seen_time")
+    story = F.struct("first_seen_time", "article_id", *LABEL_FIELDS)
+    firsts = settle(stories.groupBy(*group, "first_seen_time").agg(F.min(story).alias("story")), "stories")
+    [heavy] = spread.is_heavy(firsts, group)
+    none, back = F.lit(None).cast("timestamp"), -F.unix_micros(at)
     window = int(config.cluster_window_hours * 3_600_000_000)
-    for generation in range(generations):
-        anchors = rest.groupBy(*group).agg(F.min("story").alias("anchor"), F.count("*").alias("n"))
-        counted = F.col("n") if generation == 0 else F.lit(0).cast("bigint")
-        part = anchors.select(*group, F.col("anchor"), counted.alias("members"))
-        found = part if found is None else found.unionByName(part)
-        if generation + 1 == generations:
-            break
-        later = F.unix_micros("story.first_seen_time") > F.unix_micros("anchor.first_seen_time") + window
-        rest = settle(
-            rest.join(anchors.where("n > 1").drop("n"), group).where(later).select(*group, "story"),
-            "stories",
-        )
-        if rest.isEmpty():
-            break
-    return found.select(*group, "members", "anchor.*")
+    point = firsts.select(*group, back.alias("_key"), F.lit(1).alias("_kind"), at.alias("next"), none.alias("first_seen_time"))
+    asked = firsts.select(*group, (back - window).alias("_key"), F.lit(0).alias("_kind"), none.alias("next"), "first_seen_time")
+    found = spread.last_known(point.unionByName(asked), group, ["_key", "_kind"], heavy, "next")
+    chains = found.where("_kind = 0").select(*group, "first_seen_time", F.array_compact(F.array("next")).alias("chain"))
+    chains, length = settle(chains, "chains"), 1
+    while length < int(config.lookback_hours // config.cluster_window_hours):
+        more = chains.select(*group, at.alias("_last"), F.col("chain").alias("_more"))
+        longer = chains.withColumn("_last", F.try_element_at("chain", F.lit(-1))).join(more, [*group, "_last"], "left")
+        tail = F.coalesce("_more", F.array().cast("array<timestamp>"))
+        chains = settle(longer.select(*group, "first_seen_time", F.concat("chain", tail).alias("chain")), "chains")
+        length *= 2
+    return firsts, chains
+
+
+def representatives(kept: DataFrame, stories: DataFrame, config: NewsConfig) -> DataFrame:
+    """One article per wire story: the anchor of each cluster of equal headlines.
+
+    Within (symbol, as_of, headline) a new cluster starts with the first article further than the
+    window from the current anchor.  ``kept`` are the articles that contribute at each instant,
+    ``stories`` those that contribute at any.  An instant needs the first article in its lookback;
+    the anchors behind it were found once per headline.  A headline copied any number of times
+    never sits in one task.
+    """
+    group = ["symbol", "headline_hash"]
+    firsts, chains = _anchor_chains(stories, config)
+    starts = kept.groupBy("symbol", "as_of", "headline_hash").agg(
+        F.min("first_seen_time").alias("first_seen_time"), F.count("*").alias("n")
+    )
+    seen = F.filter("chain", lambda t: t <= F.col("as_of"))
+    anchors = starts.join(chains, [*group, "first_seen_time"]).select(
+        *group, "as_of", "n", F.posexplode(F.concat(F.array("first_seen_time"), seen)).alias("_place", "first_seen_time")
+    )
+    age = (F.unix_micros("as_of") - F.unix_micros("story.first_seen_time")) / 1e6
+    return anchors.join(firsts, [*group, "first_seen_time"]).select(
+        *group, "as_of", F.when(F.col("_place") == 0, F.col("n")).otherwise(0).alias("members"),
+        "story.*", age.alias("age_seconds"),
+    )
 
 
 def feature_block(
@@ -245,7 +266,8 @@ def feature_block(
             for r in ("unlabelled", "entity_not_matched", "entity_uncertain")
         ]
     )
-    chosen = representatives(pairs.where("reason is null"), config)
+    stories = panel.withColumn("reason", _label_reason()).where("reason is null")
+    chosen = representatives(pairs.where("reason is null"), stories, config)
     decay = F.pow(F.lit(0.5), F.col("age_seconds") / 3600.0 / config.half_life_hours)
     scored = chosen.withColumns(
         {"decay": decay, "w": decay * scored_by(config.category_weights, F.col("category"))}
