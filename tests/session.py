@@ -1,3 +1,5 @@
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -8,6 +10,7 @@ def make_session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-"))
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )

@@ -201,6 +201,11 @@ def exclusions(spine: DataFrame, panel: DataFrame, config: NewsConfig) -> DataFr
     )
 
 
+def contributing(panel: DataFrame) -> DataFrame:
+    """The articles of a panel whose labels let them contribute at any instant."""
+    return panel.withColumn("reason", _label_reason()).where("reason is null")
+
+
 def _anchor_chains(stories: DataFrame, config: NewsConfig) -> tuple[DataFrame, DataFrame]:
     """Per (symbol, headline, instant) the first story, and the anchors that would follow it.
 
@@ -266,8 +271,7 @@ def feature_block(
             for r in ("unlabelled", "entity_not_matched", "entity_uncertain")
         ]
     )
-    stories = panel.withColumn("reason", _label_reason()).where("reason is null")
-    chosen = representatives(pairs.where("reason is null"), stories, config)
+    chosen = representatives(pairs.where("reason is null"), contributing(panel), config)
     decay = F.pow(F.lit(0.5), F.col("age_seconds") / 3600.0 / config.half_life_hours)
     scored = chosen.withColumns(
         {"decay": decay, "w": decay * scored_by(config.category_weights, F.col("category"))}

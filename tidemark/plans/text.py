@@ -193,7 +193,7 @@ def news_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = news.NewsConfig()
     panel = news.checked_panel(found, tables.article_labels(spark, sf_dir))
     pairs = settle(news.in_lookback(spine_of(found), panel, config), "pairs")
-    chosen = news.representatives(pairs.where("reason is null"), config)
+    chosen = news.representatives(pairs.where("reason is null"), news.contributing(panel), config)
     return chosen.select("symbol", stamp("as_of").alias("as_of"), "article_id")
 
 
