@@ -91,7 +91,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weekly bars with some arriving ten days late, and one of every fifth brand six years late."""
+    """The weekly bars with some arriving ten days late, and one of every fifth brand 2000 days late."""
     week, brand = F.floor(F.unix_timestamp("session") / 604800), brand_number(F.col("symbol"))
     seen = F.col("first_seen_time")
     return bars(spark, sf_dir).withColumn(
