@@ -295,3 +295,49 @@ def test_stop_monitor_names_disorder(spark, tmp_path):
         jobs.to_table(jobs.equity_stop_monitor(rows, 10_000_000), out, check).awaitTermination()
     got = [(r.seq, r.start_cents, r.current_cents, r.reasons) for r in spark.read.parquet(out).orderBy("seq").collect()]
     assert got == [(2, 10_000_100, 9_900_100, ["disorder"]), (4, 10_000_100, 9_800_100, ["daily_loss_stop"])]
+
+
+def test_streams_put_rows_in_place_within_the_hold(spark, tmp_path):
+    """Rows come shuffled over triggers; the one that comes after its place has passed is named."""
+    from pyspark.sql import functions as F
+
+    def run(name, schema, parts, build):
+        source, out, check = (str(tmp_path / f"{name}-{n}") for n in ("in", "out", "check"))
+        for minute, rows in parts:
+            part = spark.createDataFrame(rows, schema)
+            moment = F.lit(f"2024-01-02T00:{minute:02d}:00Z").cast("timestamp")
+            part.withColumn("arrived", moment).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(f"{schema}, arrived timestamp").parquet(source)
+            jobs.to_table(build(stream), out, check).awaitTermination()
+        return spark.read.parquet(out)
+
+    spark.conf.unset(jobs.STATE_STORE)
+    key = "subject_id string, seq long"
+    clock = (None, None, None)
+    parts = [
+        (0, [("s", 4, "filled"), ("s", 2, "working"), ("t", 1, "submitted")]),
+        (3, [("s", 1, "submitted"), ("s", 4, "filled")]),
+        (20, [clock]), (21, [("s", 3, "working"), ("s", 5, "reconciled")]), (50, [clock]),
+    ]
+    log = run("log", f"{key}, state string", parts, lambda s: jobs.state_log(s, "5 minutes"))
+    assert sorted((r.subject_id, r.seq) for r in log.where("changed").collect()) == [
+        ("s", 1), ("s", 2), ("s", 4), ("s", 5), ("t", 1)]
+    assert sorted(r.seq for r in log.where("disorder").collect()) == [3, 4]
+    assert log.where("subject_id = 's' and not disorder").orderBy(F.desc("seq")).first().entries == 4
+
+    audit = run("audit", f"{key}, event string", parts, lambda s: jobs.audited_transitions(s, hold="5 minutes"))
+    rows = audit.where("subject_id = 's' and not disorder").orderBy("seq").collect()
+    assert [(r.seq, r.before, r.legal) for r in rows] == [
+        (1, "proposed", True), (2, "submitted", True), (4, "working", True), (5, "filled", True)]
+    assert sorted(r.seq for r in audit.where("disorder").collect()) == [3, 4]
+
+    day = lambda n: T.replace(day=n)
+    stops = run(
+        "stops", "account long, seq long, as_of timestamp, change_cents long",
+        [(0, [(1, 3, day(3), -200)]), (2, [(1, 1, day(2), -100), (1, 2, day(2), -100)]), (20, [clock + (None,)]),
+         (21, [(1, 2, day(2), -9000)]), (40, [clock + (None,)])],
+        lambda s: jobs.equity_stop_monitor(s, 10_000, hold="5 minutes"),
+    )
+    got = {(r.seq, r.current_cents, tuple(r.reasons)) for r in stops.collect()}
+    assert got == {(2, 9800, ("daily_loss_stop",)), (3, 9600, ("daily_loss_stop", "peak_to_valley_kill_switch")), (2, 9600, ("disorder",))}
+    assert spark.conf.get(jobs.STATE_STORE, None) is None or "RocksDB" not in spark.conf.get(jobs.STATE_STORE)

@@ -603,13 +603,23 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations.stored(spark, out).select("observation_id")
 
 
+# Rows of one of these streams come within four triggers of their place, a minute a trigger.
+HOLD = "5 minutes"
+
+
+def _shuffled_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows dealt to four triggers by a digest of ``seq``, and a last row that only moves the clock."""
+    opened = F.lit("2024-01-02T00:00:00Z").cast("timestamp")
+    sent = lambda minutes, part: part.withColumn("arrived", opened + F.make_dt_interval(mins=F.lit(minutes)))
+    drawn = F.pmod(F.xxhash64("seq"), F.lit(4))
+    close = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    return _stream(spark, *[sent(i, rows.where(drawn == i)) for i in range(4)], sent(60, close))
+
+
 def _state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log of order states fed in four triggers, in order."""
     out, check = _folder(spark, "log"), _folder(spark, "progress")
-    states = _states(spark, sf_dir)
-    last = states.agg(F.max("seq")).first()[0] or 0
-    parts = [states.where(F.floor(F.col("seq") * 4 / (last + 1)) == i) for i in range(4)]
-    jobs.to_table(jobs.state_log(_stream(spark, *parts)), out, check).awaitTermination()
+    states = _shuffled_stream(spark, _states(spark, sf_dir))
+    jobs.to_table(jobs.state_log(states, HOLD), out, check).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -631,8 +641,8 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, check = _folder(spark, "audit"), _folder(spark, "progress")
-    events = _stream(spark, tables.order_events(spark, sf_dir))
-    jobs.to_table(jobs.audited_transitions(events), out, check).awaitTermination()
+    events = _shuffled_stream(spark, tables.order_events(spark, sf_dir))
+    jobs.to_table(jobs.audited_transitions(events, hold=HOLD), out, check).awaitTermination()
     return spark.read.parquet(out).select("subject_id", "seq", "before", F.col("legal").cast("int").alias("legal"))
 
 
@@ -642,6 +652,6 @@ def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_equity_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, check = _folder(spark, "stops"), _folder(spark, "progress")
-    changes = _stream(spark, tables.equity(spark, sf_dir))
-    jobs.to_table(jobs.equity_stop_monitor(changes, 10_000_000), out, check).awaitTermination()
+    changes = _shuffled_stream(spark, tables.equity(spark, sf_dir))
+    jobs.to_table(jobs.equity_stop_monitor(changes, 10_000_000, hold=HOLD), out, check).awaitTermination()
     return spark.read.parquet(out).select("account", "seq", "start_cents", "peak_cents", "current_cents", joined("reasons").alias("reasons"))

@@ -1,20 +1,28 @@
 """Streaming forms: recording, state log, live transition audit, and the equity stop monitor.
 
 A late observation is never dropped: it is compared with what is stored, however old, and it
-is visible from its first-seen time on.  The state below is one small row per subject.  A
-subject's rows of one trigger are ordered in one task, so size triggers with
-``maxFilesPerTrigger``; a row that arrives in a later trigger with an earlier ``seq`` is
-named as disorder and changes nothing.
+is visible from its first-seen time on.
+
+The three folds over a subject's history go by ``seq`` and share one reorder buffer.  A row
+waits in keyed list state until ``hold`` has passed since its arrival, as the watermark of
+``arrived`` tells; a timer then releases it behind every held row of a smaller ``seq``.  So
+rows that come in any order within ``hold`` are put in place.  A row whose place has passed, or
+whose ``seq`` came before, is named as disorder and changes nothing.  A row without ``seq`` only
+moves the clock: send one to release the rest of a stream that ends.  Without ``hold`` nothing
+waits, and rows are ordered within their trigger only.
+
+State per subject is one small row and the rows of the last ``hold``.  A subject's rows of one
+trigger are ordered in one task, so size triggers with ``maxFilesPerTrigger``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark.functions import fixed
 from tidemark.functions.exprs import utc_day
@@ -61,33 +69,115 @@ def deduplicate_stream(raw: DataFrame, policies: DataFrame, store: str, checkpoi
     )
 
 
-def state_log(states: DataFrame) -> DataFrame:
-    """Per trigger and subject its changes of state and its last entry.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+LIST_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+# A fold takes the subject, its head (last seq first; None before the first row) and rows in
+# order, and gives the new head and what to put out.
+Fold = Callable[[tuple, tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]
+Late = Callable[[tuple, tuple | None, pd.DataFrame], pd.DataFrame]
+
+
+class InOrder(StatefulProcessor):
+    """Hands a subject's rows to ``fold`` by ``seq`` and rows out of place to ``late``."""
+
+    def __init__(self, fold: Fold, late: Late, columns: Mapping[str, str], head: str, waits: bool):
+        self.fold, self.late, self.waits = fold, late, waits
+        self.columns, self.head_schema = dict(columns), head
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", self.head_schema)
+        if self.waits:
+            self.held = handle.getListState("held", ", ".join(f"{n} {t}" for n, t in self.columns.items()))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True).dropna(subset=["seq"])
+        if self.waits and len(frame):
+            head = self.head.get()
+            passed = frame["seq"] <= head[0] if head is not None else pd.Series(False, index=frame.index)
+            waiting = frame[~passed]
+            if len(waiting):
+                if not self.held.exists():
+                    self.handle.registerTimer(int(waiting["arrived_ms"].min()))
+                self.held.appendList(self._plain(waiting))
+            if passed.any():
+                yield self.late(key, head, frame[passed])
+        elif len(frame):
+            yield from self._release(key, frame)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        frame = pd.DataFrame(list(self.held.get()), columns=list(self.columns))
+        due = frame["arrived_ms"] <= timerValues.getCurrentWatermarkInMs()
+        out = frame["seq"] <= frame.loc[due, "seq"].max()
+        stay = frame[~out]
+        if len(stay):
+            self.held.put(self._plain(stay))
+            self.handle.registerTimer(int(stay["arrived_ms"].min()))
+        else:
+            self.held.clear()
+        yield from self._release(key, frame[out])
+
+    def _plain(self, frame: pd.DataFrame) -> list[tuple]:
+        return list(zip(*[frame[n].tolist() for n in self.columns]))
+
+    def _release(self, key: tuple, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Fold rows in order.  Of rows with one ``seq`` the first to arrive counts."""
+        head = self.head.get()
+        frame = frame.sort_values(list(self.columns), kind="stable").reset_index(drop=True)
+        frame["seq"] = frame["seq"].astype("int64")
+        misplaced = frame["seq"].duplicated()
+        if head is not None:
+            misplaced |= frame["seq"] <= head[0]
+        fine = frame[~misplaced].reset_index(drop=True)
+        if len(fine):
+            head, out = self.fold(key, head, fine)
+            self.head.update(head)
+            yield out
+        if misplaced.any():
+            yield self.late(key, head, frame[misplaced])
+
+
+def in_order(
+    rows: DataFrame, subject: str, values: Mapping[str, str], fold: Fold, late: Late, head: str, out: str,
+    hold: str | None,
+) -> DataFrame:
+    """Fold a stream of ``subject``, seq, ``values`` and, with ``hold``, arrived, by ``seq``."""
+    columns = {"seq": "long", **({"arrived_ms": "long"} if hold else {}), **values}
+    if hold:
+        rows = rows.withWatermark("arrived", hold).withColumn("arrived_ms", F.unix_millis("arrived"))
+    kept = rows.select(subject, *columns, *(["arrived"] if hold else []))
+    return kept.groupBy(subject).transformWithStateInPandas(
+        InOrder(fold, late, columns, head, hold is not None), out, "Append", "EventTime" if hold else "None",
+    )
 
-    ``states``: a stream of subject_id, seq, state.  Rows where ``changed`` holds are the
-    coalesced log; of all rows without ``disorder`` the one of the highest seq is the
+
+def state_log(states: DataFrame, hold: str | None = None) -> DataFrame:
+    """Per release and subject its changes of state and its last entry.
+
+    ``states``: a stream of subject_id, seq, state (and arrived).  Rows where ``changed`` holds
+    are the coalesced log; of all rows without ``disorder`` the one of the highest seq is the
     subject's latest state, ``entries`` counts what came so far.
     """
+    names = ["subject_id", "seq", "state", "changed", "disorder", "entries"]
+
+    def fold(key: tuple, head: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        _, held, entries = head or (None, None, 0)
+        changed = rows["state"] != rows["state"].shift(fill_value=held)
+        changed.iloc[0] |= head is None
+        made = rows.assign(
+            subject_id=key[0], changed=changed, disorder=False, entries=range(entries + 1, entries + 1 + len(rows))
+        )
+        last = made.iloc[-1]
+        kept = made[changed | (made.index == made.index[-1])]
+        return (int(last["seq"]), last["state"], int(last["entries"])), kept[names]
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held, entries = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable").reset_index(drop=True)
-        out_of_order = rows["seq"] <= last if last is not None else pd.Series(False, index=rows.index)
-        fine = rows[~out_of_order]
-        before = fine["state"].shift(fill_value=held) if len(fine) else fine["state"]
-        first = (fine.index == fine.index[0]) if held is None and len(fine) else False
-        changed = (fine["state"] != before) | first
-        made = fine.assign(changed=changed, disorder=False, entries=range(entries + 1, entries + 1 + len(fine)))
-        kept = made[changed | (made.index == made.index[-1])] if len(made) else made
-        late = rows[out_of_order].assign(changed=False, disorder=True, entries=entries)
-        if len(fine):
-            state.update((int(fine["seq"].iloc[-1]), fine["state"].iloc[-1], entries + len(fine)))
-        out = pd.concat([kept, late])
-        yield out.assign(subject_id=key[0])[["subject_id", "seq", "state", "changed", "disorder", "entries"]]
+    def late(key: tuple, head: tuple | None, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(subject_id=key[0], changed=False, disorder=True, entries=head[2] if head else 0)[names]
 
-    return states.groupBy("subject_id").applyInPandasWithState(
-        step, "subject_id string, seq long, state string, changed boolean, disorder boolean, entries long",
-        "last long, held string, entries long", "append", GroupStateTimeout.NoTimeout,
+    return in_order(
+        states, "subject_id", {"state": "string"}, fold, late, "last long, held string, entries long",
+        "subject_id string, seq long, state string, changed boolean, disorder boolean, entries long", hold,
     )
 
 
@@ -95,88 +185,98 @@ def audited_transitions(
     events: DataFrame,
     edges: Mapping[str, Sequence[str]] = fixed.ORDER_EDGES,
     initial: str = "proposed",
+    hold: str | None = None,
 ) -> DataFrame:
     """Each event with the subject's state before and after it, and whether it was legal.
 
-    ``events``: a stream of subject_id, seq, event.  Rows where ``changed`` is true moved the
-    subject's state.  An event that arrives behind a later one is marked ``disorder``.
+    ``events``: a stream of subject_id, seq, event (and arrived).  Rows where ``changed`` is true
+    moved the subject's state.  An event whose place has passed is marked ``disorder``.
     """
-    table = {s: tuple(t) for s, t in edges.items()}
-
-    def step(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        at, last = state.get if state.exists else (initial, None)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for seq, event in zip(rows["seq"], rows["event"]):
-            disorder = last is not None and seq <= last
-            legal = not disorder and event in table.get(at, ())
-            after = event if legal else at
-            out.append((key[0], seq, event, at, after, legal, after != at, disorder))
-            at, last = after, seq if last is None else max(last, seq)
-        state.update((at, last))
-        yield pd.DataFrame(
-            out, columns=["subject_id", "seq", "event", "before", "after", "legal", "changed", "disorder"]
-        )
-
-    return events.groupBy("subject_id").applyInPandasWithState(
-        step,
+    table = {s: frozenset(t) for s, t in edges.items()}
+    names = ["subject_id", "seq", "event", "before", "after", "legal", "changed", "disorder"]
+
+    def fold(key: tuple, head: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        at = head[1] if head else initial
+        path = [at]
+        for event in rows["event"].tolist():
+            at = event if event in table.get(at, ()) else at
+            path.append(at)
+        before, after = path[:-1], path[1:]
+        legal = [e in table.get(b, ()) for e, b in zip(rows["event"].tolist(), before)]
+        out = rows.assign(subject_id=key[0], before=before, after=after, legal=legal, disorder=False)
+        return (int(rows["seq"].iloc[-1]), at), out.assign(changed=out["before"] != out["after"])[names]
+
+    def late(key: tuple, head: tuple | None, rows: pd.DataFrame) -> pd.DataFrame:
+        at = head[1] if head else initial
+        return rows.assign(subject_id=key[0], before=at, after=at, legal=False, changed=False, disorder=True)[names]
+
+    return in_order(
+        events, "subject_id", {"event": "string"}, fold, late, "last long, at string",
         "subject_id string, seq long, event string, before string, after string, legal boolean, changed boolean, disorder boolean",
-        "at string, last long", "append", GroupStateTimeout.NoTimeout,
+        hold,
     )
 
 
 def equity_stop_monitor(
-    changes: DataFrame, opening_cents: int, config: RiskConfig = RiskConfig()
+    changes: DataFrame, opening_cents: int, config: RiskConfig = RiskConfig(), hold: str | None = None
 ) -> DataFrame:
     """Readings at which a stop is reached, from a stream of signed changes in cents.
 
-    ``changes``: account, seq, as_of, change_cents.  Per account the state is the day, the
-    equity before its first change, the peak, the current equity and the last ``seq``.  A row
-    behind a later one, or repeated, is reported as ``disorder`` and changes nothing.
+    ``changes``: account, seq, as_of, change_cents (and arrived).  Per account the state is the
+    last ``seq``, the day, the equity before its first change, the peak and the current equity.
+    A row whose place has passed, or repeated, is reported as ``disorder`` and changes nothing.
     """
     daily, valley = config.daily_loss_stop_fraction, config.peak_to_valley_fraction
-
-    def step(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        new = ("", opening_cents, opening_cents, opening_cents, None)
-        day, start, peak, now, last = state.get if state.exists else new
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for seq, today, change in zip(rows["seq"], rows["day"], rows["change_cents"]):
-            if last is not None and seq <= last:
-                out.append((key[0], seq, start, peak, now, ["disorder"]))
-                continue
-            last = seq
-            if today != day:
-                day, start = today, now
-            now += int(change)
-            peak = max(peak, now)
-            hit = [f"{n}_not_positive" for n, v in (("session_start_equity", start), ("peak_equity", peak)) if v <= 0]
-            hit += (["daily_loss_stop"] if start - now >= start * daily else []) + (
-                ["peak_to_valley_kill_switch"] if peak - now >= peak * valley else []
-            )
-            if hit:
-                out.append((key[0], seq, start, peak, now, hit))
-        state.update((day, start, peak, now, last))
-        yield pd.DataFrame(
-            out, columns=["account", "seq", "start_cents", "peak_cents", "current_cents", "reasons"]
-        )
+    names = ["account", "seq", "start_cents", "peak_cents", "current_cents", "reasons"]
+    flags = ["session_start_equity_not_positive", "peak_equity_not_positive", "daily_loss_stop", "peak_to_valley_kill_switch"]
+
+    def fold(key: tuple, head: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        _, day, start, peak, now = head or (None, "", opening_cents, opening_cents, opening_cents)
+        change = rows["change_cents"].to_numpy("int64")
+        current = now + np.cumsum(change)
+        top = np.maximum(peak, np.maximum.accumulate(current))
+        days = rows["day"].to_numpy(object)
+        opens = days != np.concatenate([[day], days[:-1]])
+        at = np.maximum.accumulate(np.where(opens, np.arange(len(rows)), -1))
+        begun = np.where(at >= 0, (current - change)[at], start)
+        # Fractions stay exact decimals: the limits are compared as whole multiples of cents.
+        over = lambda loss, base, share: np.array([l >= b * share for l, b in zip(loss.tolist(), base.tolist())], bool)
+        hit = np.stack([begun <= 0, top <= 0, over(begun - current, begun, daily), over(top - current, top, valley)], axis=1)
+        found = np.flatnonzero(hit.any(axis=1))
+        out = pd.DataFrame({
+            "account": key[0], "seq": rows["seq"].to_numpy()[found], "start_cents": begun[found],
+            "peak_cents": top[found], "current_cents": current[found],
+            "reasons": pd.Series([[f for f, h in zip(flags, row) if h] for row in hit[found]], dtype=object),
+        }, columns=names)
+        return (int(rows["seq"].iloc[-1]), days[-1], int(begun[-1]), int(top[-1]), int(current[-1])), out
+
+    def late(key: tuple, head: tuple | None, rows: pd.DataFrame) -> pd.DataFrame:
+        _, _, start, peak, now = head or (None, "", opening_cents, opening_cents, opening_cents)
+        named = rows.assign(account=key[0], start_cents=start, peak_cents=peak, current_cents=now)
+        return named.assign(reasons=[["disorder"]] * len(named))[names]
 
     dated = changes.withColumn("day", utc_day(F.col("as_of")).cast("string"))
-    return dated.select("account", "seq", "day", "change_cents").groupBy("account").applyInPandasWithState(
-        step,
-        "account long, seq long, start_cents long, peak_cents long, current_cents long, reasons array<string>",
-        "day string, start long, peak long, now long, last long", "append", GroupStateTimeout.NoTimeout,
+    return in_order(
+        dated, "account", {"day": "string", "change_cents": "long"}, fold, late,
+        "last long, day string, start long, peak long, now long",
+        "account long, seq long, start_cents long, peak_cents long, current_cents long, reasons array<string>", hold,
     )
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream to Parquet, everything available now, exactly once."""
-    return (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    """Append a stream to Parquet, everything available now, exactly once.
+
+    Keyed lists need a store that holds them.  A query copies the session's settings when it
+    starts, so the setting is named for that moment only.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, LIST_STATE_STORE)
+    try:
+        return (
+            stream.writeStream.format("parquet").outputMode("append")
+            .option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        conf.set(STATE_STORE, before) if before is not None else conf.unset(STATE_STORE)
