@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import guards
-from tidemark.operators import gates, metrics, model
+from tidemark.operators import analogs, gates, metrics, model
 
 NAMES = ["x1", "x2", "x3", "x4"]
 CONFIG = model.ModelConfig(families={"price": NAMES[:2], "news": NAMES[2:]})
@@ -144,7 +144,35 @@ def test_analogs_against_brute_force(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(60, 4))
     rows = spark.createDataFrame([(i, i, [float(v) for v in vectors[i]]) for i in range(60)], "event_id long, at long, vector array<double>").repartition(5)
-    got = metrics.closest_analogs(rows.where("event_id in (10, 40, 59)"), rows, 3, size=2).collect()
+    got = analogs.closest_analogs(rows.where("event_id in (10, 40, 59)"), rows, 3, size=2).collect()
     for q in (10, 40, 59):
         d = np.sqrt(((vectors[:q] - vectors[q]) ** 2).sum(axis=1))
         assert [r.event_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == np.argsort(d)[:3].tolist()
+
+
+def test_analogs_search_few_blocks_and_lose_nothing(spark):
+    """Clusters that come one after another, ties, broken vectors; equal to brute force."""
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    rows = []
+    for i in range(1200):
+        place = 100.0 * (i // 40 % 6)
+        vector = (place + np.round(draw.normal(size=4), 1)).tolist()
+        rows.append((i, i // 3, vector))
+    broken = [(5000, 50, None), (5001, None, [0.0] * 4), (5002, 60, [float("nan")] * 4), (5003, 70, [None, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows + broken, "event_id long, at long, vector array<double>").repartition(5)
+    asked = table.where("event_id % 7 = 0")
+    got = {}
+    for r in analogs.closest_analogs(asked, table, 3, size=16).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.event_id
+    have = np.array([v for _, _, v in rows])
+    for i, at, vector in rows[::7]:
+        far = np.sqrt(((have - np.array(vector)) ** 2).sum(axis=1))
+        best = sorted((far[j], j) for j, then, _ in rows if then < at)[:3]
+        assert got.get(i, {}) == {n + 1: j for n, (_, j) in enumerate(best)}
+    known = analogs.blocks(table, 16)
+    searched, every = analogs.needed_pairs(known, known, 3).count(), known.count() ** 2
+    assert searched < every / 4, (searched, every)
+    assert analogs.closest_analogs(asked.limit(0), table, 3).isEmpty()
+    assert analogs.closest_analogs(asked, table.limit(0), 3).isEmpty()

@@ -297,53 +297,3 @@ def sanity_report(bars: DataFrame, extreme: float, stale_seconds: int, future: C
         F.count(F.when(F.col("first_seen_time") > future, 1)).alias("future_stamped"),
     )
     return stamped.join(placed, "symbol").join(moved, "symbol")
-
-
-def _event_blocks(rows: DataFrame, size: int, block: str, held: str) -> tuple[DataFrame, int]:
-    """About ``size`` rows per block, dealt by a digest of the id; ids of blocks count from 0."""
-    number = max(1, -(-rows.count() // size))
-    dealt = rows.groupBy(F.pmod(F.xxhash64("event_id"), F.lit(number)).cast("int").alias(block))
-    return dealt.agg(F.collect_list(F.struct("event_id", "at", "vector")).alias(held)), number
-
-
-def closest_analogs(queries: DataFrame, events: DataFrame, k: int, size: int = 256) -> DataFrame:
-    """The ``k`` nearest strictly earlier events of each query by Euclidean distance.
-
-    ``queries``/``events``: event_id, at (long order key), vector.  Both are cut into blocks;
-    every pair of blocks is one row of work, and each task passes on its own best ``k`` per
-    query, so any number of queries is answered without pairs of single rows.
-    """
-    import numpy as np
-    import pandas as pd
-
-    asked, _ = _event_blocks(queries, size, "q", "wanted")
-    known, number = _event_blocks(events, 4 * size, "b", "held")
-    pairs = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).join(known, "b")
-    columns = ["query_id", "event_id", "distance"]
-
-    def best(parts: list) -> pd.DataFrame:
-        rows = pd.concat(parts, ignore_index=True).sort_values(["query_id", "distance", "event_id"])
-        return rows[rows.groupby("query_id").cumcount() < k]
-
-    def nearest(frames):
-        parts, held = [], 0
-        for frame in frames:
-            for wanted, events_here in zip(frame["wanted"], frame["held"]):
-                at = np.array([e["at"] for e in events_here])
-                ids = np.array([e["event_id"] for e in events_here])
-                have = np.stack([np.asarray(e["vector"], dtype=float) for e in events_here])
-                for query in wanted:
-                    ok = np.flatnonzero(at < query["at"])
-                    far = np.sqrt(((have[ok] - np.asarray(query["vector"], dtype=float)) ** 2).sum(axis=1))
-                    top = np.lexsort((ids[ok], far))[:k]
-                    parts.append(pd.DataFrame({"query_id": query["event_id"], "event_id": ids[ok][top], "distance": far[top]}, columns=columns))
-                    held += len(top)
-                if held > 200_000:
-                    parts = [best(parts)]
-                    held = len(parts[0])
-        if parts:
-            yield best(parts)
-
-    found = pairs.mapInPandas(nearest, "query_id long, event_id long, distance double")
-    w = W.partitionBy("query_id").orderBy("distance", "event_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import spread
 from tidemark.functions.exprs import r6, utc_day, utc_floor
-from tidemark.operators import folds, gates, ledger, metrics, model, panel, price_features
+from tidemark.operators import analogs, folds, gates, ledger, metrics, model, panel, price_features
 from tidemark.plans.price import (
     FOLDS, LABELS, PLAN, _IN_ORDER, _digest_sql, all_labels, stored_bars, weighted_labels,
 )
@@ -490,5 +490,5 @@ def closest_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("event_id"), F.col("vec_id").alias("at"), F.col("embedding").alias("vector")
     )
-    out = metrics.closest_analogs(rows, rows, 5)
+    out = analogs.closest_analogs(rows, rows, 5)
     return out.select("query_id", "event_id", F.round("distance", 6).alias("distance"), "rank")
