@@ -176,3 +176,23 @@ def test_analogs_search_few_blocks_and_lose_nothing(spark):
     assert searched < every / 4, (searched, every)
     assert analogs.closest_analogs(asked.limit(0), table, 3).isEmpty()
     assert analogs.closest_analogs(asked, table.limit(0), 3).isEmpty()
+
+
+def test_exposure_by_hand(spark):
+    from datetime import date
+
+    day = lambda n: date(2024, 1, n)
+    rows = [
+        ("a", "S1", "up", day(1), day(3), 100), ("a", "S1", "up", day(2), day(3), -200), ("a", "S2", "down", day(5), day(11), 100),
+        ("a", "S1", "up", day(9), day(8), 100), ("a", "S1", "up", None, day(8), 100), ("b", "S1", "up", day(4), day(4), 100),
+        (None, "S1", "up", day(1), day(2), 10), ("c", "S1", "up", day(1), day(2), None),
+    ]
+    schema = "account string, sector string, direction string, opened date, closed date, notional_cents long"
+    table = spark.createDataFrame(rows, schema)
+    got = {(r.account, r.sector): tuple(r)[3:] for r in metrics.exposure(table).collect()}
+    assert got[("a", "S1")] == (2, 2, 0.4, 40.0)
+    assert got[("a", "S2")] == (1, 0, 0.6, 60.0)
+    assert got[("b", "S1")] == (1, 0, None, None)
+    assert got[(None, "S1")] == (1, 0, 1.0, 10.0)
+    assert got[("c", "S1")] == (0, 1, None, None)
+    assert metrics.exposure(table.limit(0)).isEmpty()

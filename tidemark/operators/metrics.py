@@ -206,6 +206,33 @@ def account_metrics(readings: DataFrame) -> DataFrame:
     )
 
 
+def exposure(positions: DataFrame) -> DataFrame:
+    """Per account, sector and direction: what was held for how long, and its share of the account.
+
+    ``positions``: account, sector, direction, opened, closed (dates), notional_cents (whole).
+    A position counts for its days from ``opened`` to before ``closed``; one that closes before it
+    opens, or lacks a day or an amount, counts as ``unusable`` and for nothing else.
+    ``average_cents`` is over the account's days from its first opening to its last closing.
+    """
+    keys = ["account", "sector", "direction"]
+    days = F.datediff("closed", "opened")
+    fine = F.coalesce((days >= 0) & F.col("notional_cents").isNotNull(), F.lit(False))
+    held = (F.abs("notional_cents") * days).cast("decimal(38,0)")
+    parts = positions.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(fine, held)), F.lit(0)).alias("cent_days"), F.count(F.when(fine, 1)).alias("positions"),
+        F.count(F.when(~fine, 1)).alias("unusable"),
+        F.min(F.when(fine, F.col("opened"))).alias("_from"), F.max(F.when(fine, F.col("closed"))).alias("_to"),
+    )
+    whole = parts.groupBy("account").agg(
+        F.sum("cent_days").alias("_all"), F.datediff(F.max("_to"), F.min("_from")).alias("_span")
+    )
+    number = lambda n: F.col(n).cast("double")
+    return spread.join_same(parts, whole, ["account"]).select(
+        *keys, "positions", "unusable", F.try_divide(number("cent_days"), number("_all")).alias("share"),
+        F.try_divide(number("cent_days"), number("_span")).alias("average_cents"),
+    )
+
+
 def ranked_selection(candidates: DataFrame, cost: float, per_scan: int = 2) -> DataFrame:
     """At most ``per_scan`` candidates per scan by edge after cost.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import fixed
-from tidemark.functions.exprs import money, r6, ticks, utc_floor, utc_text
+from tidemark.functions.exprs import money, r6, ticks, utc_day, utc_floor, utc_text
 from tidemark.operators import ledger, lifecycle, metrics, reconcile, risk
 from tidemark.plans.registry import ORACLES, at, joined, r6_sql, registered, stamp
 from tidemark.settings import settle, work_path
@@ -414,6 +414,37 @@ def account_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("account", *[r6(F.col(n)).alias(n) for n in ("max_drawdown", "turnover", "time_below_peak")], "n")
 
 
+@registered(
+    "position_exposure",
+    f"""WITH p AS (
+      SELECT o_custkey AS account, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) % 5 AS sector,
+        CASE WHEN l_returnflag = 'R' THEN 'down' ELSE 'up' END AS direction, CAST(o_orderdate AS DATE) AS f, CAST(l_shipdate AS DATE) AS t,
+        CAST(round(l_extendedprice * 100) AS BIGINT) AS cents
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+    g AS (SELECT account, sector, direction, sum(CASE WHEN t >= f THEN cents * (t - f) ELSE 0 END) AS held, count(*) FILTER (t >= f) AS positions,
+      count(*) FILTER (t < f) AS unusable, min(f) FILTER (t >= f) AS f, max(t) FILTER (t >= f) AS t FROM p GROUP BY ALL),
+    w AS (SELECT *, sum(held) OVER (PARTITION BY account) AS total, max(t) OVER (PARTITION BY account) - min(f) OVER (PARTITION BY account) AS span FROM g)
+    SELECT account, CAST(sector AS BIGINT) AS sector, direction, positions, unusable, {r6_sql('CASE WHEN total <> 0 THEN held / total END')} AS share,
+      CAST(round(CASE WHEN span <> 0 THEN held / span END) AS BIGINT) AS average_cents FROM w""",
+)
+def position_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as a position of its customer, held from its order to shipping."""
+    c = F.col
+    lines = tables.table(spark, sf_dir, "lineitem").join(
+        tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), c("l_orderkey") == c("o_orderkey")
+    ).join(tables.table(spark, sf_dir, "part").select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey"))
+    out = metrics.exposure(lines.select(
+        c("o_custkey").alias("account"), (tables.brand_number(c("p_brand")) % 5).cast("long").alias("sector"),
+        F.when(c("l_returnflag") == "R", "down").otherwise("up").alias("direction"),
+        utc_day(c("o_orderdate")).alias("opened"), utc_day(c("l_shipdate")).alias("closed"),
+        F.round(c("l_extendedprice") * 100).cast("long").alias("notional_cents"),
+    ))
+    return out.select(
+        "account", "sector", "direction", "positions", "unusable", r6(c("share")).alias("share"),
+        F.round("average_cents").cast("long").alias("average_cents"),
+    )
+
+
 @registered(
     "entry_blackout",
     """WITH l AS (SELECT event_id, timezone('America/New_York', ts AT TIME ZONE 'UTC') AS lt FROM events),

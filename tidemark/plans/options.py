@@ -199,30 +199,34 @@ def risk_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "portfolio_limits",
-    f"""WITH {CHAIN}, ranked AS (
-      SELECT plan_id, underlying, mult, loss, 'S' || (CAST(regexp_extract(underlying, '([0-9]+)$', 1) AS BIGINT) % 5) AS sector,
-        row_number() OVER (ORDER BY loss, plan_id) AS r FROM (
-          SELECT candidate_id || '/' || ls || '/' || ss AS plan_id, underlying, mult, debit * mult AS loss FROM plans)),
-    run AS (SELECT *, sum(loss * 2) OVER (ORDER BY r) AS total, sum(loss * 2) OVER (PARTITION BY sector ORDER BY r) AS in_sector,
-        min(r) OVER (PARTITION BY underlying) AS first_r FROM ranked)
-    SELECT plan_id, array_to_string(list_filter([CASE WHEN total > 30000000 * 0.03 THEN 'total_open_risk' END,
-      CASE WHEN in_sector > 30000000 * 0.015 THEN 'sector_open_risk' END, CASE WHEN r > first_r THEN 'underlying_already_open' END],
+    f"""WITH {CHAIN}, owned AS (
+      SELECT candidate_id || '/' || ls || '/' || ss AS plan_id, underlying, debit * mult AS loss,
+        CAST(regexp_extract(underlying, '([0-9]+)$', 1) AS BIGINT) AS number FROM plans),
+    ranked AS (
+      SELECT *, number // 10 AS account, (number // 10) * 10000000 AS equity, number % 5 AS sector,
+        row_number() OVER (PARTITION BY number // 10 ORDER BY loss, plan_id) AS r FROM owned),
+    run AS (SELECT *, sum(loss * 2) OVER (PARTITION BY account ORDER BY r) AS total,
+        sum(loss * 2) OVER (PARTITION BY account, sector ORDER BY r) AS in_sector,
+        min(r) OVER (PARTITION BY account, underlying) AS first_r FROM ranked)
+    SELECT 'A' || account AS account, plan_id, array_to_string(list_filter([CASE WHEN total > equity * 0.03 THEN 'total_open_risk' END,
+      CASE WHEN in_sector > equity * 0.015 THEN 'sector_open_risk' END, CASE WHEN r > first_r THEN 'underlying_already_open' END],
       lambda x: x IS NOT NULL), ',') AS reasons FROM run""",
 )
 def portfolio_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All plans of one account of 300,000, cheapest first."""
+    """All plans, cheapest first, of accounts that hold 100,000 and multiples of it."""
     from tidemark.functions import spread
 
     plans, _ = plans_and_reasons(spark, sf_dir)
     number = tables.brand_number(F.col("underlying_symbol"))
+    owner = F.floor(number / 10)
     rows = plans.select(
-        "plan_id", "underlying_symbol", "quantity", "exact_max_loss", F.lit("main").alias("account"),
-        F.lit(Decimal("300000.0000")).alias("equity"), F.concat(F.lit("S"), (number % 5).cast("string")).alias("sector"),
+        "plan_id", "underlying_symbol", "quantity", "exact_max_loss", F.concat(F.lit("A"), owner.cast("string")).alias("account"),
+        (owner * 100_000).cast("decimal(18,4)").alias("equity"), F.concat(F.lit("S"), (number % 5).cast("string")).alias("sector"),
     )
     rows = settle(rows, "plans")
     [heavy] = spread.is_heavy(rows, ["account"])
     placed = spread.numbered(rows, ["account"], ["exact_max_loss", "plan_id"], heavy, name="rank")
-    return risk.within_portfolio_limits(placed).select("plan_id", joined("reasons").alias("reasons"))
+    return risk.within_portfolio_limits(placed).select("account", "plan_id", joined("reasons").alias("reasons"))
 
 
 @registered(
