@@ -115,3 +115,33 @@ def test_archive_records_are_whole(spark):
         if len(text.encode()) >= 100:
             assert f"WARC-Refers-To: <urn:page:{page}>".encode() in found[page + 1_000_000]
     assert spark.read.parquet(f"{folder}/payloads").count() == len(set(html.values()))
+
+
+def test_warc_refuses_a_record_that_contradicts_its_bytes(spark):
+    import pytest
+
+    from tidemark.llm import warc
+
+    pages = spark.createDataFrame([(1, "u", "p" * 120), (2, "a: b", "p" * 120)], "page_id long, url string, html string")
+    found = {r.page_id: bytes(r.record) for r in warc.records(spark, warc.archive_of(pages)).collect()}
+    assert warc.parse_record(found[1])[0::5] == (1, 120)
+    assert warc.parse_record(found[2])[1:3] == ("a: b", "revisit") and warc.parse_record(found[2])[4:] == (1, None)
+    for broken in (found[1].replace(b"ppp", b"ppq", 1), found[1][:-1], found[1].replace(b"sha256:", b"sha256:0")):
+        with pytest.raises(ValueError):
+            warc.parse_record(broken)
+
+
+def test_warc_notices_a_payload_that_is_missing_or_changed(spark):
+    import pytest
+
+    from tidemark.llm import warc
+
+    pages = spark.createDataFrame([(i, "u", c * 120) for i, c in enumerate("ab")], "page_id long, url string, html string")
+    folder = warc.archive_of(pages)
+    stored = spark.read.parquet(f"{folder}/payloads").toPandas()
+    for payloads, what in ((stored.iloc[:1], "is missing"), (stored.assign(payload=stored["payload"].iloc[0]), "does not match")):
+        other = folder + what.replace(" ", "")
+        spark.read.parquet(f"{folder}/headers").write.parquet(f"{other}/headers")
+        spark.createDataFrame(payloads, "digest string, payload binary").write.parquet(f"{other}/payloads")
+        with pytest.raises(Exception, match=what):
+            warc.read_archive(spark, other).count()

@@ -1,18 +1,26 @@
 """A content-addressed web archive.
 
-Payload bytes are stored once per SHA-256 digest; the exact header of every record is kept
-in a table of its own and names its payload by digest.  Reading joins the two again and
-checks every payload against its address.
+Payload bytes are stored once per SHA-256 digest, compressed; the exact header of every record
+is kept in a table of its own and names its payload by digest.  Reading joins the two again,
+checks every payload against its address, rebuilds the bytes of every record and takes what it
+tells from those bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.settings import work_path
+from tidemark.llm.words import in_small_batches
+from tidemark.settings import settle, work_path
 
 REVISIT_BYTES = 100
 END = "\r\n"
+RECORD_END = b"\r\n\r\n"
 WHEN = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -75,7 +83,7 @@ def write_archive(pages: DataFrame, folder: str) -> None:
         _header(F.col("digest"), F.col("size"), kind, F.col("first")).alias("header"),
     ).write.parquet(f"{folder}/headers")
     (
-        pages.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
+        in_small_batches(pages).select(F.sha2(payload, 256).alias("digest"), _packed(payload).alias("payload"))
         .dropDuplicates(["digest"])
         .write.parquet(f"{folder}/payloads")
     )
@@ -85,47 +93,105 @@ def _headers(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("page_id long, digest string, header string").parquet(f"{folder}/headers")
 
 
-def _payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored payloads; one that does not fit its address stops the job."""
-    stored = spark.read.schema("digest string, payload binary").parquet(f"{folder}/payloads")
-    wrong = F.raise_error(F.concat(F.lit("payload does not match its address "), F.col("digest")))
-    sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload"))
-    return stored.select("digest", F.coalesce(sound, wrong.cast("binary")).alias("payload"))
-
-
 def _field(name: str) -> Column:
     return F.regexp_extract(F.col("header"), rf"\n{name}: ([^\r]*)\r\n", 1)
 
 
-def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to``.
+def _packed(payload: Column) -> Column:
+    def pack(payload: pd.Series) -> pd.Series:
+        close = zstandard.ZstdCompressor()
+        return payload.map(close.compress)
+
+    return F.pandas_udf(pack, "binary")(payload)
+
+
+def _rebuilt(header: Column, digest: Column, packed: Column) -> Column:
+    """A response's bytes; a payload that is missing or does not fit its address stops the job."""
 
-    Every field but the bytes is read from the record's header, the bytes from the verified
-    payload that the header's digest names.
+    def rebuild(header: pd.Series, digest: pd.Series, packed: pd.Series) -> pd.Series:
+        open_ = zstandard.ZstdDecompressor()
+        out = []
+        for head, address, stored in zip(header, digest, packed):
+            if stored is None:
+                raise ValueError(f"payload {address} is missing")
+            payload = open_.decompress(stored)
+            if hashlib.sha256(payload).hexdigest() != address:
+                raise ValueError(f"payload does not match its address {address}")
+            out.append(head.encode() + payload + RECORD_END)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(rebuild, "binary")(header, digest, packed)
+
+
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record's bytes as they stand in a WARC file: ``page_id, record``.
+
+    Only responses carry a payload, so a payload joins once however many records revisit it.
     """
-    sizes = _payloads(spark, folder).select(
-        F.col("digest").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes")
-    )
-    number = lambda name: F.regexp_extract(F.col("header"), rf"\n{name}: <urn:page:(-?\d+)>\r\n", 1).try_cast("long")
-    parsed = _headers(spark, folder).select(
-        number("WARC-Record-ID").alias("page_id"), _field("WARC-Target-URI").alias("url"),
-        F.regexp_extract("header", r"\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1).alias("payload_digest"),
-        _field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"),
+    stored = in_small_batches(spark.read.schema("digest string, payload binary").parquet(f"{folder}/payloads"))
+    headers = _headers(spark, folder)
+    response = _field("WARC-Type") == "response"
+    whole = headers.where(response).join(stored, "digest", "left").select(
+        "page_id", _rebuilt(F.col("header"), F.col("digest"), F.col("payload")).alias("record")
     )
-    return parsed.join(sizes, "payload_digest", "left").select(
-        "page_id", "url",
-        F.coalesce("payload_bytes", F.raise_error("a payload is missing").cast("long")).alias("payload_bytes"),
-        "payload_digest", "record_type", "refers_to",
+    bare = headers.where(~response).select(
+        "page_id", F.concat(F.col("header").cast("binary"), F.lit(RECORD_END)).alias("record")
     )
+    return whole.unionByName(bare)
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record's bytes as they stand in a WARC file: ``page_id, record``."""
-    joined = _headers(spark, folder).join(_payloads(spark, folder), "digest")
-    body = F.when(_field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return joined.select(
-        "page_id",
-        F.concat(F.col("header").cast("binary"), body, F.lit((END + END).encode())).alias("record"),
+def parse_record(record: bytes) -> tuple:
+    """``page_id, url, record_type, digest, refers_to, payload_bytes`` of one record's bytes.
+
+    The size is the payload's in the record, so null for a revisit.  A record whose lengths or
+    digest contradict its bytes raises.
+    """
+    head, _, rest = record.partition(b"\r\n\r\n")
+    fields = dict(line.split(": ", 1) for line in head.decode().split(END)[1:])
+    block, tail = rest[: int(fields["Content-Length"])], rest[int(fields["Content-Length"]):]
+    if tail != RECORD_END:
+        raise ValueError(f"record {fields['WARC-Record-ID']} does not end where its header says")
+    http, _, payload = block.partition(b"\r\n\r\n")
+    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    size = int(re.search(rb"Content-Length: (\d+)$", http)[1]) if kind == "response" else None
+    if size is not None and (size != len(payload) or digest != hashlib.sha256(payload).hexdigest()):
+        raise ValueError(f"record {fields['WARC-Record-ID']} contradicts its payload")
+    ids = [re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(name, "")) for name in ("WARC-Record-ID", "WARC-Refers-To")]
+    page, refers = (int(found[1]) if found else None for found in ids)
+    return page, fields["WARC-Target-URI"], kind, digest, refers, size
+
+
+PARSED = "page_id long, url string, record_type string, payload_digest string, refers_to long, payload_bytes long"
+
+
+def _told(record: Column) -> Column:
+    def told(record: pd.Series) -> pd.DataFrame:
+        names = [part.split()[0] for part in PARSED.split(", ")]
+        return pd.DataFrame([parse_record(bytes(r)) for r in record], columns=names, dtype=object)
+
+    return F.pandas_udf(told, PARSED)(record)
+
+
+def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per record: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to``.
+
+    Every record is rebuilt and parsed.  Digest and size of a response are those of the payload in
+    its bytes; a revisit takes the size from the record it refers to, which must hold the payload.
+    """
+    parsed = settle(records(spark, folder).select(_told(F.col("record")).alias("r")).select("r.*"), "records")
+    revisit = F.col("record_type") == "revisit"
+    held = (
+        parsed.where(~revisit & (F.col("payload_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
+        .groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
+        .agg(F.max("payload_bytes").alias("payload_bytes"))
+    )
+    missing = F.raise_error(F.concat(F.lit("no response holds the payload "), F.col("payload_digest"))).cast("long")
+    again = (
+        parsed.where(revisit).drop("payload_bytes").join(held, ["refers_to", "payload_digest"], "left")
+        .withColumn("payload_bytes", F.coalesce("payload_bytes", missing))
+    )
+    return parsed.where(~revisit).unionByName(again).select(
+        "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
 
