@@ -56,7 +56,16 @@ def test_predict_splits_into_families_and_refuses_the_past(spark, rows):
 
     stamp = datetime(2026, 1, 1)
     table = spark.createDataFrame([(0, stamp)], "fold int, calibration_end timestamp")
-    fitted = model.fit(rows, table, CONFIG)
+    trials = spark.createDataFrame([("t1", {"model": CONFIG.version}), ("t2", {"model": "cfg-other"})],
+                                   "trial_id string, configuration map<string,string>")
+    fitted = model.fit(rows, table, CONFIG, trials, "t1")
+    assert [r.trial_id for r in fitted.select("trial_id").collect()] == ["t1"]
+    for unknown in ("t0", "t2"):
+        with pytest.raises(guards.IntegrityError):
+            model.fit(rows, table, CONFIG, trials, unknown)
+    # Nothing of the rows is read before the registry has answered.
+    with pytest.raises(guards.IntegrityError):
+        model.fit(None, None, CONFIG, trials, "t0")
     asked = rows.limit(3).select("fold", F.col("label_id").alias("candidate_id"), F.lit(stamp).alias("as_of"), *NAMES)
     for r in model.predict(fitted, asked, CONFIG).join(fitted.select("fold", "intercept"), "fold").collect():
         assert r.family_price + r.family_news + r.intercept == pytest.approx(r.expected_residual_return)

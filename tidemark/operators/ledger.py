@@ -155,3 +155,22 @@ def trial_history(trials: DataFrame, results: DataFrame) -> DataFrame:
         "result without a registration", ["trial_id"],
     )
     return trials.join(results, "trial_id", "left")
+
+
+def trial_count(trials: DataFrame) -> int:
+    """How many trials are registered, worked or not."""
+    return trials.select("trial_id").distinct().count()
+
+
+def refuse_unregistered(trials: DataFrame, trial_id: str, configuration: str) -> None:
+    """Refuse a result to come: no such trial, or one registered for another configuration.
+
+    ``configuration`` is the version that the trial's configuration names as ``model``.
+    """
+    named = trials.where(F.col("trial_id") == trial_id).select(F.col("configuration")["model"].alias("model")).distinct()
+    found = [row.model for row in named.limit(2).collect()]
+    if found != [configuration]:
+        raise guards.IntegrityError(
+            f"trial {trial_id} is not registered" if not found
+            else f"trial {trial_id} is registered for {found[0]}, not for {configuration}"
+        )

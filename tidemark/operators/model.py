@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import guards, spread
 from tidemark.functions.exprs import config_version
+from tidemark.operators import ledger
 from tidemark.operators.folds import EDGES, membership_digest
 from tidemark.settings import settle
 
@@ -280,11 +281,16 @@ def effective_sample_sizes(rows: DataFrame) -> DataFrame:
     )
 
 
-def fit(rows: DataFrame, folds: DataFrame, config: ModelConfig) -> DataFrame:
-    """One fitted model per fold as a table.
+def fit(
+    rows: DataFrame, folds: DataFrame, config: ModelConfig, trials: DataFrame, trial_id: str
+) -> DataFrame:
+    """One fitted model per fold as a table, each naming the trial it belongs to.
 
-    ``rows`` are design rows that are cheap to read again; ``folds`` the fold table.
+    ``rows`` are design rows that are cheap to read again; ``folds`` the fold table; ``trials``
+    the registry.  Nothing is fitted before the registry is found to hold the trial, registered
+    for this configuration.
     """
+    ledger.refuse_unregistered(trials, trial_id, config.version)
     names = config.feature_names
     sizes = rows.groupBy("fold", "window").count()
     present = folds.select("fold", F.explode(F.array(F.lit("train"), F.lit("calibration"))).alias("window"))
@@ -314,7 +320,7 @@ def fit(rows: DataFrame, folds: DataFrame, config: ModelConfig) -> DataFrame:
         .join(calibration_error(held, config.calibration_bins), "fold")
         .join(used, "fold")
         .join(folds.select("fold", F.col("calibration_end").alias("fitted_through"), edges.alias("_edges")), "fold")
-        .withColumn("model_version", version)
+        .withColumns({"model_version": version, "trial_id": F.lit(trial_id)})
         .drop("digest", "_edges")
     )
 

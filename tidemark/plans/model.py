@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,6 +43,23 @@ ridge AS (
 fitted AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0 FROM ridge)"""
 
 
+REGISTERED = datetime(2020, 1, 1, tzinfo=timezone.utc)
+
+
+def registry_of(spark: SparkSession, configurations: Iterable[dict[str, str]], purpose: str) -> DataFrame:
+    """A registry that holds one trial per configuration."""
+    raw = spark.createDataFrame(
+        [(c, purpose, REGISTERED) for c in configurations], "configuration map<string,string>, purpose string, registered_at timestamp"
+    )
+    return ledger.new_trials(spark.createDataFrame([], "trial_id string"), raw)
+
+
+def fitted_under_trial(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The model's trial is registered, then it is fitted."""
+    trials = registry_of(spark, [{"model": CONFIG.version, "folds": repr(PLAN)}], "price forecast")
+    return model.fit(rows, PLAN.table(spark), CONFIG, trials, trials.first().trial_id)
+
+
 def design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Stored design rows of the training and calibration windows, and of the test window."""
     bars = stored_bars(spark, sf_dir)
@@ -156,7 +175,7 @@ members AS ({_digest_sql("(SELECT * FROM rows_all WHERE win IN ('train', 'calibr
 def fitted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both models with calibration and address, one row per fold."""
     rows, _ = design(spark, sf_dir)
-    made = model.fit(rows, PLAN.table(spark), CONFIG)
+    made = fitted_under_trial(spark, rows)
     return made.select(
         "fold", "model_version", r6(F.col("intercept")).alias("intercept"),
         r6(F.col("direction_intercept")).alias("direction_intercept"),
@@ -181,7 +200,7 @@ def fitted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forecast_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts of every test label: direction, magnitude, band and family shares."""
     rows, test = design(spark, sf_dir)
-    made = settle(model.fit(rows, PLAN.table(spark), CONFIG), "models")
+    made = settle(fitted_under_trial(spark, rows), "models")
     asked = test.withColumnsRenamed({"label_id": "candidate_id", "date": "as_of"})
     out = model.predict(made, asked, CONFIG)
     shown = ("p_up", "expected_residual_return", "q10", "q50", "q90", "family_return", "family_range")
@@ -194,12 +213,14 @@ def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, test = design(spark, sf_dir)
     both = CONFIG.feature_names
     arms = {"shuffled": both, "return_only": both[:1], "range_only": both[1:], "combined": both}
+    trials = registry_of(spark, [{"model": CONFIG.version, "arm": arm} for arm in arms], "baseline arms")
+    tries = ledger.trial_count(trials)
     scored = settle(model.arm_predictions(rows, test, arms, CONFIG.ridge_alpha, CONFIG.version), "arms")
     metrics.refuse_different_arms(scored)
     keyed = scored.withColumn("_d", F.concat_ws("|", "arm", F.col("fold").cast("string"), F.col("date").cast("string")))
     daily = metrics.daily_ic(keyed, "_d").withColumn("arm", F.split("_d", "[|]")[0])
     told = metrics.ic_summary(daily, ["arm"]).withColumn(
-        "deflated_t", metrics.deflated_t(F.col("ic_t_statistic"), len(arms))
+        "deflated_t", metrics.deflated_t(F.col("ic_t_statistic"), tries)
     )
     return told.join(metrics.hit_rate_after_cost(scored, 0.01, ["arm"]), "arm").select(
         "arm", "dates", *[r6(F.col(n)).alias(n) for n in (
@@ -391,22 +412,39 @@ def daily_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "excluded", r6(F.col("ic")).alias("ic"))
 
 
+# The standard normal quantile by Newton steps on the series of its distribution, from the left.
+_BEST_OF = """
+tries AS (SELECT count(*) AS tries FROM trials),
+probabilities AS (
+  SELECT unnest([1 - 1 / tries, 1 - 1 / (tries * exp(1))]) AS p, unnest([1 - 0.5772156649015329::DOUBLE, 0.5772156649015329::DOUBLE]) AS share
+  FROM tries),
+newton AS (
+  SELECT p, share, 0.5::DOUBLE AS x, 0 AS step FROM probabilities
+  UNION ALL
+  SELECT p, share, x - (0.5 - p) * sqrt(2 * pi()) * exp(x * x / 2)
+      - list_sum(list_transform(range(0, 80), lambda k: exp((2 * k + 1) * ln(x) - lgamma(2 * k + 2) + k * ln(2.0) + lgamma(k + 1)))), step + 1
+  FROM newton WHERE step < 60),
+expected AS (SELECT sum(share * x) AS best FROM newton WHERE step = 60)"""
+
+
 @registered(
     "information_coefficient_summary",
-    f"""WITH {DAILY}, s AS (
+    f"""WITH RECURSIVE {DAILY}, {_TRIALS}, {_BEST_OF}, s AS (
       SELECT count(*) FILTER (excluded IS NULL) AS dates, count(*) FILTER (excluded IS NOT NULL) AS gone, avg(ic) AS m,
         stddev_samp(ic) AS sd, sum(eff) FILTER (excluded IS NULL) AS eff, sum(n) FILTER (excluded IS NULL) AS rows_used FROM daily)
     SELECT dates, gone AS excluded_dates, {r6_sql('m')} AS mean_ic, {r6_sql('eff')} AS effective_sample_size,
-      {r6_sql('m / sd * sqrt(dates * eff / rows_used)')} AS ic_t_statistic,
-      {r6_sql('m / sd * sqrt(dates * eff / rows_used) - 1.0521228241893004')} AS deflated_t FROM s""",
+      {r6_sql('m / sd * sqrt(dates * eff / rows_used)')} AS ic_t_statistic, (SELECT tries FROM tries) AS trials,
+      {r6_sql('m / sd * sqrt(dates * eff / rows_used) - (SELECT best FROM expected)')} AS deflated_t FROM s""",
 )
 def ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean daily coefficient, deflated by as many tries as the registry holds."""
     out = metrics.ic_summary(metrics.daily_ic(scored_labels(spark, sf_dir)))
+    tries = ledger.trial_count(ledger.new_trials(spark.createDataFrame([], "trial_id string"), _trials(spark, sf_dir)))
     t = F.col("ic_t_statistic")
     return out.select(
         "dates", "excluded_dates", r6(F.col("mean_ic")).alias("mean_ic"),
         r6(F.col("effective_sample_size")).alias("effective_sample_size"), r6(t).alias("ic_t_statistic"),
-        r6(metrics.deflated_t(t, 4)).alias("deflated_t"),
+        F.lit(tries).cast("long").alias("trials"), r6(metrics.deflated_t(t, tries)).alias("deflated_t"),
     )
 
 
