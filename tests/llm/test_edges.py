@@ -97,6 +97,30 @@ def test_repeats_of_random_texts(spark):
         assert {r.doc_id: (r.n_words, r.n_removed) for r in dedup(df, size).collect()} == want
 
 
+def test_neighbours_in_suffix_order_share_words_to_both_sides(monkeypatch, spark):
+    """A passage inside different surroundings is found by its neighbour, without the last comparison."""
+    rng = random.Random(3)
+    passage = sentence(rng, 80)
+    texts = [" ".join([sentence(rng, 40 + i), passage, sentence(rng, 60 - i)]) for i in range(8)]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    found = []
+    keep = suffixes.settle
+    monkeypatch.setattr(suffixes, "settle", lambda df, name: found.append((name, keep(df, name))) or found[-1][1])
+    suffixes.repeats(df.repartition(3), 50).count()
+    compared = dict(found)["compared"]
+    runs = compared.where("a is null").groupBy("doc").agg(F.sum("n").alias("n")).collect()
+    assert len(runs) >= 5 and compared.where("a is not null").count() < 8 * 31 + 8 * 2 * 49
+    assert all(r.doc > 0 for r in runs)
+
+
+def test_common_words_of_neighbours():
+    words, bounds = np.array([1, 2, 3, 1, 2, 5, 7, 5, 5], np.uint64), np.array([0, 3, 6, 7, 7, 8, 9])
+    assert suffixes._common(words, bounds).tolist() == [2, 0, 0, 0, 1]
+    column = suffixes._binary(words, np.diff(bounds))
+    again, ends = suffixes._hashes(column.slice(1, 4))
+    assert again.tolist() == [1, 2, 5, 7, 5] and ends.tolist() == [0, 3, 4, 4, 5]
+
+
 def test_cut_texts_keep_the_rest(spark, docs, rows, none):
     out = suffixes.clean_documents(docs, 50)
     assert out.columns == docs.columns and suffixes.clean_documents(none, 50).count() == 0
