@@ -228,8 +228,10 @@ def repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
     kept = settle(texts.mapInArrow(_suffixes_of(size, gram), SUFFIX), "suffix_words")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["right", "left", "doc", "tie", "at"]
+    # Ranges are drawn by a few words, as the driver holds a sample of what they are drawn by.
+    near = [F.substring("right", 1, 8), F.substring("right", 8 * gram + 1, 16), F.col("doc")]
     compared = settle(
-        kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        kept.repartitionByRange(parts, *near).sortWithinPartitions(*order)
         .mapInArrow(_neighbours(size), "doc long, tie long, start long, n long, a long, b long"),
         "compared",
     )
