@@ -36,6 +36,13 @@ def test_golden_block(spark, golden):
     assert row["quality_flags"] == ["abnormal_volume_daily_baseline"]
 
 
+def test_block_at_one_instant_refuses_bars_seen_later(spark, golden):
+    got = {r["symbol"]: r for r in as_dicts(pf.block_at(late(79), golden, sectors(spark, ALL)))}
+    assert set(got) == set(ALL) and got["TARGET"]["residual_return_1s"] == pytest.approx(0.02, abs=1e-6)
+    with pytest.raises(guards.LeakError):
+        pf.block_at(session(40), golden, sectors(spark, ALL))
+
+
 def test_split_form_is_the_same(spark, golden, small_groups):
     test_golden_block(spark, golden)
 

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.functions import spread
+from tidemark.functions import guards, spread
 from tidemark.functions.exprs import config_version, flag_list
 from tidemark.operators import panel
 from tidemark.settings import known_rows, max_group_rows, settle
@@ -595,3 +596,16 @@ def feature_block(
         return _late_block(spine, bars, sectors, layout, config, sizes)
     rows = _global_rows(bars, sectors, layout)
     return _series_block(spine, bars, rows, sectors, layout, config, sizes)
+
+
+def block_at(
+    as_of: datetime, bars: DataFrame, sectors: DataFrame, config: FeatureConfig = FeatureConfig()
+) -> DataFrame:
+    """:func:`feature_block` of every symbol at one instant.
+
+    The caller claims that ``bars`` are what was known at ``as_of``; a bar first seen later
+    contradicts that and raises.
+    """
+    guards.refuse_leaks(bars, "first_seen_time", F.lit(as_of), ["symbol", "session"])
+    spine = bars.select("symbol").distinct().withColumn("as_of", F.lit(as_of))
+    return feature_block(spine, bars, sectors, config)
