@@ -1,10 +1,12 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tests.builders import as_dicts
+from tests.compare import check
 from tidemark.functions import guards
 from tidemark.functions.headline import canonical_headline
 from tidemark.operators import labeling, news
@@ -152,3 +154,25 @@ def test_anchors_of_many_copies_equal_a_plain_pass(spark, small_groups):
                     want.append((t, h, i, len(seen) if anchor is None else 0))
                     anchor = at
     assert got == sorted(want)
+
+
+def test_labels_of_rejected_articles_go_with_them(spark, tmp_path):
+    """Labelled documents without a text, or with a blank or wordless headline, stop no query."""
+    texts = [None, "", "\nA summary alone", "?!\nA summary", "One story\nand its text", "One story", "Another"]
+    docs = [(i, t, "en", "wire", len(t or "")) for i, t in enumerate(texts)]
+    told = [(i, i % 2, 0) for i in range(len(texts))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(told, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("news_exclusion_intervals", "news_exclusions", "news_features", "news_story_representatives"):
+        text, _, _, same = check(spark, con, str(tmp_path), name)
+        assert same, f"{name}: {text}"
+
+
+def test_labels_of_unknown_articles_stay(spark):
+    held = spark.createDataFrame([article("a", 1), article("b", 1, headline="?!")], ARTICLE)
+    told = spark.createDataFrame([label("a", 1), label("b", 1), label("c", 1)], LABEL)
+    assert sorted(r.article_id for r in news.labels_of_usable(held, told).collect()) == ["a", "c"]

@@ -96,6 +96,11 @@ def label_rejects(labels: DataFrame) -> DataFrame:
     return labels.withColumn("reasons", all_failures(checks)).where(F.size("reasons") > 0)
 
 
+def labels_of_usable(articles: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels without those of rejected articles, which go with them; of unknown articles they stay."""
+    return labels.join(article_rejects(articles).select("article_id").distinct(), "article_id", "left_anti")
+
+
 def label_conflicts(articles: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels about an unknown article, an untagged ticker, or another observation of it."""
     known = articles.select(

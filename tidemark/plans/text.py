@@ -79,6 +79,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(news.usable_articles(tables.articles(spark, sf_dir)), "articles")
 
 
+def article_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels without those of rejected articles."""
+    told = news.labels_of_usable(tables.articles(spark, sf_dir), tables.article_labels(spark, sf_dir))
+    return settle(told, "labels")
+
+
 def spine_of(found: DataFrame) -> DataFrame:
     """Each article's symbol at the two midnights after it was first seen."""
     day = utc_floor(F.col("first_seen_time"), "day")
@@ -162,7 +168,7 @@ def label_article_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def news_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = articles(spark, sf_dir)
-    panel = news.checked_panel(found, tables.article_labels(spark, sf_dir))
+    panel = news.checked_panel(found, article_labels(spark, sf_dir))
     out = news.exclusions(spine_of(found), panel, news.NewsConfig())
     return out.select("symbol", stamp("as_of").alias("as_of"), "article_id", "reason")
 
@@ -178,7 +184,7 @@ def news_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def news_exclusion_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each article does not contribute, and why."""
-    panel = news.checked_panel(articles(spark, sf_dir), tables.article_labels(spark, sf_dir))
+    panel = news.checked_panel(articles(spark, sf_dir), article_labels(spark, sf_dir))
     return news.exclusion_intervals(panel, news.NewsConfig()).select(
         "symbol", "article_id", "reason", F.unix_micros("since").alias("since"), F.unix_micros("until").alias("until")
     )
@@ -191,7 +197,7 @@ def news_exclusion_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def news_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = articles(spark, sf_dir)
     config = news.NewsConfig()
-    panel = news.checked_panel(found, tables.article_labels(spark, sf_dir))
+    panel = news.checked_panel(found, article_labels(spark, sf_dir))
     pairs = settle(news.in_lookback(spine_of(found), panel, config), "pairs")
     chosen = news.representatives(pairs.where("reason is null"), news.contributing(panel), config)
     return chosen.select("symbol", stamp("as_of").alias("as_of"), "article_id")
@@ -237,7 +243,7 @@ news_block AS (
 )
 def news_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = articles(spark, sf_dir)
-    block = news.feature_block(spine_of(found), found, tables.article_labels(spark, sf_dir))
+    block = news.feature_block(spine_of(found), found, article_labels(spark, sf_dir))
     return block.select(
         "symbol", stamp("as_of").alias("as_of"), *[r6(F.col(n)).alias(n) for n in news.FEATURES],
         joined("quality_flags").alias("quality_flags"),
@@ -260,7 +266,7 @@ def evidence_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, bars = articles(spark, sf_dir), stored_bars(spark, sf_dir)
     spine = settle(spine_of(found), "spine")
     price = price_features.feature_block(spine, bars, tables.sectors(spark, sf_dir))
-    told = news.feature_block(spine, found, tables.article_labels(spark, sf_dir))
+    told = news.feature_block(spine, found, article_labels(spark, sf_dir))
     cards = settle(evidence.evidence_card(price, told), "cards")
     evidence.refuse_not_finite(cards, [*price_features.FEATURES, *news.FEATURES], ["symbol", "as_of"])
     news_only = F.array_intersect(
