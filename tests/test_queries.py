@@ -6,6 +6,7 @@ The default set covers every family; TIDEMARK_ALL=1 runs all of them.
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import check, duck
 from tidemark.plans import ORACLES, QUERIES
@@ -33,3 +34,12 @@ def test_query(spark, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_unexplained_orders_name_closed_ones(spark):
+    """Every order at the broker that nobody knows, whatever its status."""
+    k = F.col("o_orderkey")
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where((k % 11 != 2) & (k % 13 == 1))
+    got = {r.client_order_id for r in QUERIES["unexplained_orders"](spark, SF).collect()}
+    assert got == {f"x{r.o_orderkey}" for r in orders.collect()}
+    assert orders.where("o_orderkey % 7 in (1, 2)").count() > 0
