@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime, timedelta
 from decimal import Decimal as D
 
@@ -103,3 +104,32 @@ def test_equity_stops_are_inclusive(spark, start, peak, now, want):
 def test_sized_quantity(spark, loss, mode, want):
     row = spark.createDataFrame([(D("100000"), D(loss))], "equity decimal(18,4), exact_max_loss decimal(18,4)")
     assert row.select(risk.max_approved_quantity(risk.RiskConfig(), mode).alias("q")).first().q == want
+
+
+def test_pair_outcomes_equal_the_pairs(spark, small_groups):
+    """Legs alone tell which candidates have an admissible pair and which a failing one."""
+    rng = random.Random(3)
+    rows, asked = [], []
+    for u in range(60):
+        for n in range(rng.randrange(2, 9)):
+            bid = D(rng.randrange(100, 700)) / 100
+            rows.append(contract(
+                f"c{u}-{n}", rng.choice(["100", "101", "102", "105"]), bid, bid + D("0.10"), rng.choice(["0.5", "0.3"]),
+                rng.choice(["call", "call", "put"]), underlying_symbol=f"U{u}", multiplier=rng.choice([10, 100]),
+                expiry=date(2026, 6, rng.choice([12, 15])),
+            ))
+        asked += [(f"{u}-up", st.CALL_SPREAD, f"U{u}", NOW, 2), (f"{u}-down", st.PUT_SPREAD, f"U{u}", NOW, 2)]
+    asked = spark.createDataFrame(asked, "candidate_id string, kind string, underlying_symbol string, as_of timestamp, quantity int")
+    passed = st.screened_contracts(asked, spark.createDataFrame(rows, CHAIN), st.StructureRules())
+    want = {}
+    for r in st.vertical_pairs(passed).select("candidate_id", "admissible").collect():
+        good, bad = want.get(r.candidate_id, (0, 0))
+        want[r.candidate_id] = (max(good, int(r.admissible)), max(bad, int(not r.admissible)))
+    assert {r.candidate_id: (r._good, r._bad) for r in st.pair_outcomes(passed).collect()} == want
+    assert {(0, 1), (1, 0), (1, 1)} <= set(want.values())
+
+
+def test_no_trades_form_no_pairs(spark):
+    asked = spark.createDataFrame([("cand", st.CALL_SPREAD, "U", NOW, 2)], "candidate_id string, kind string, underlying_symbol string, as_of timestamp, quantity int")
+    none = st.no_trades(asked, spark.createDataFrame([LONG, SHORT], CHAIN))
+    assert "long_strike" not in none._jdf.queryExecution().toString() and none.isEmpty()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import guards, spread
 from tidemark.functions.exprs import blank, first_failure, ticks, utc_day
+from tidemark.settings import settle
 
 CALL_SPREAD = "bull_call_debit_vertical"
 PUT_SPREAD = "bear_put_debit_vertical"
@@ -112,6 +113,52 @@ def vertical_pairs(passed: DataFrame) -> DataFrame:
     return pairs.withColumn("admissible", (c("net_debit") > 0) & (c("net_debit") < c("width")))
 
 
+def pair_outcomes(passed: DataFrame) -> DataFrame:
+    """Per candidate whether some pair is admissible (``_good``) and some is not (``_bad``), from legs alone.
+
+    With x for the strike in the direction of the spread, a pair is admissible when the short leg's
+    bid is below the long leg's ask and its bid + x above the long leg's ask + x; that x rises from
+    long to short follows.  So the largest bid + x among lower bids decides for an ask.  A pair fails
+    when x rises and the bid reaches the ask, or its bid + x does not exceed the ask + x: the
+    extremes of bid and bid + x behind each x decide.  Pairs are never formed.
+    """
+    c = F.col
+    key = ["candidate_id", "expiry", "multiplier"]
+    x = F.when(c("kind") == CALL_SPREAD, c("strike")).otherwise(-c("strike"))
+    legs = passed.where("rejection is null").select(
+        *key, x.cast("decimal(19,4)").alias("x"), F.when(c("fits_long"), c("ask")).cast("decimal(19,4)").alias("ask"),
+        F.when(c("fits_short"), c("bid")).cast("decimal(19,4)").alias("bid"),
+    ).dropna(subset=[*key, "x"])
+    prices = settle(
+        legs.groupBy(*key, "x").agg(
+            F.min("ask").alias("least_ask"), F.max("ask").alias("most_ask"), F.max("bid").alias("most_bid"),
+            F.min("bid").alias("least_bid"),
+        ), "leg-prices",
+    )
+    [heavy] = spread.is_heavy(prices, key)
+    behind = prices.select(*key, (-c("x")).alias("_at"), F.lit(1).alias("_kind"), c("most_bid"), (c("least_bid") + c("x")).alias("least_end"),
+                           F.lit(None).cast("decimal(19,4)").alias("least_ask"), F.lit(None).cast("decimal(20,4)").alias("ask_end"))
+    asked = prices.select(*key, (-c("x")).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("decimal(19,4)").alias("most_bid"),
+                          F.lit(None).cast("decimal(20,4)").alias("least_end"), c("least_ask"), (c("most_ask") + c("x")).alias("ask_end"))
+    seen = spread.running(
+        behind.unionByName(asked), key, ["_at", "_kind"], heavy,
+        {"_bid": ("max", c("most_bid")), "_end": ("min", c("least_end"))},
+    )
+    bad = seen.where((c("_bid") >= c("least_ask")) | (c("_end") <= c("ask_end"))).select("candidate_id").distinct()
+
+    shorts = legs.where("bid is not null").groupBy(*key, "bid").agg(F.max(c("bid") + c("x")).alias("_short_end"))
+    longs = legs.where("ask is not null").groupBy(*key, "ask").agg(F.min(c("ask") + c("x")).alias("_long_end"))
+    # An ask stands before an equal bid, which is not below it.
+    offers = longs.select(*key, c("ask").alias("_at"), F.lit(0).alias("_kind"), "_long_end", F.lit(None).cast("decimal(20,4)").alias("_short_end"))
+    bids = shorts.select(*key, c("bid").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("decimal(20,4)").alias("_long_end"), "_short_end")
+    prices = settle(offers.unionByName(bids), "leg-offers")
+    [heavy] = spread.is_heavy(prices, key)
+    best = spread.running(prices, key, ["_at", "_kind"], heavy, {"_best": ("max", c("_short_end"))})
+    good = best.where(c("_best") > c("_long_end")).select("candidate_id").distinct()
+    both = good.withColumn("_good", F.lit(1)).unionByName(bad.withColumn("_bad", F.lit(1)), allowMissingColumns=True)
+    return both.groupBy("candidate_id").agg(F.coalesce(F.max("_good"), F.lit(0)).alias("_good"), F.coalesce(F.max("_bad"), F.lit(0)).alias("_bad"))
+
+
 def ranked_plans(pairs: DataFrame) -> DataFrame:
     """Admissible plans in their total order, cheapest share of the width first."""
     c = F.col
@@ -148,11 +195,26 @@ def enumerate_candidates(
     candidates: DataFrame, contracts: DataFrame, rules: StructureRules = StructureRules()
 ) -> tuple[DataFrame, DataFrame]:
     """All admissible plans, and for candidates without one the sorted distinct reasons."""
-    unclear = ambiguous_underlyings(contracts)
-    clear = contracts.join(unclear, "underlying_symbol", "left_anti")
+    return ranked_plans(candidate_pairs(candidates, contracts, rules)), no_trades(candidates, contracts, rules)
+
+
+def _clear(contracts: DataFrame) -> DataFrame:
+    return contracts.join(ambiguous_underlyings(contracts), "underlying_symbol", "left_anti")
+
+
+def candidate_pairs(
+    candidates: DataFrame, contracts: DataFrame, rules: StructureRules = StructureRules()
+) -> DataFrame:
+    """The pairs of every candidate's contracts that pass the gates."""
+    return vertical_pairs(screened_contracts(candidates, _clear(contracts), rules))
+
+
+def no_trades(
+    candidates: DataFrame, contracts: DataFrame, rules: StructureRules = StructureRules()
+) -> DataFrame:
+    """The sorted distinct reasons of candidates without an admissible plan, without forming pairs."""
+    unclear, clear = ambiguous_underlyings(contracts), _clear(contracts)
     passed = screened_contracts(candidates, clear, rules)
-    pairs = vertical_pairs(passed)
-    plans = ranked_plans(pairs)
 
     some = lambda flag: F.max(F.when(flag, 1).otherwise(0))
     per_contract = passed.groupBy("candidate_id").agg(F.collect_set("rejection").alias("_gates"))
@@ -172,9 +234,7 @@ def enumerate_candidates(
         *[fn(f"_{k}e").alias(f"_{k}e") for k, fn in (("l0", F.min), ("l1", F.max), ("s0", F.min), ("s1", F.max))],
         some(F.coalesce(differ("m"), F.lit(False))).alias("_multipliers"),
     )
-    per_pair = pairs.groupBy("candidate_id").agg(
-        some(F.col("admissible")).alias("_good"), some(~F.col("admissible")).alias("_bad")
-    )
+    per_pair = pair_outcomes(passed)
     present = clear.groupBy("underlying_symbol").agg(
         some(F.col("option_type") == "call").alias("_calls"), some(F.col("option_type") == "put").alias("_puts")
     )
@@ -207,7 +267,7 @@ def enumerate_candidates(
         .when(F.size(reasons) == 0, F.array(F.lit("delta_band")))
         .otherwise(F.array_sort(F.array_distinct(reasons)))
     )
-    return plans, told.select("candidate_id", final.alias("rejection_reasons"))
+    return told.select("candidate_id", final.alias("rejection_reasons"))
 
 
 def priced_legs(plans: DataFrame, quotes: DataFrame, max_quote_age_seconds: int) -> DataFrame:
