@@ -133,3 +133,20 @@ def test_no_trades_form_no_pairs(spark):
     asked = spark.createDataFrame([("cand", st.CALL_SPREAD, "U", NOW, 2)], "candidate_id string, kind string, underlying_symbol string, as_of timestamp, quantity int")
     none = st.no_trades(asked, spark.createDataFrame([LONG, SHORT], CHAIN))
     assert "long_strike" not in none._jdf.queryExecution().toString() and none.isEmpty()
+
+
+def test_pair_rungs_equal_those_by_symbol(spark):
+    """Quotes carried by a pair give what a lookup of its legs gives, and no pair is shuffled."""
+    rows = [contract(f"L{n}", "100", D(290 + n) / 100, D(300 + n) / 100, "0.52", bid_size=2 + n % 2) for n in range(4)]
+    rows += [contract(f"S{n}", str(103 + n), D(120 - 9 * n) / 100, D(130 - 9 * n) / 100, "0.30",
+                      quote_time=NOW - timedelta(seconds=8 * n)) for n in range(4)]
+    asked = spark.createDataFrame([("cand", st.CALL_SPREAD, "U", NOW, 2)], "candidate_id string, kind string, underlying_symbol string, as_of timestamp, quantity int")
+    chain = spark.createDataFrame(rows, CHAIN)
+    pairs = st.candidate_pairs(asked, chain)
+    plans = st.ranked_plans(pairs)
+    for rungs, age in ((4, 900), (1, 900), (4, 15)):
+        key = lambda df: {r.plan_id: (r.reason, r.prices) for r in df.collect()}
+        got = key(st.pair_rung_prices(pairs, rungs, age))
+        assert got == key(st.rung_prices(plans, chain, rungs, age)) and len(got) == plans.count()
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(st.pair_rung_prices(pairs, 4)) == shuffles(pairs)

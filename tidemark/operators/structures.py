@@ -6,6 +6,7 @@ grid are whole numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -18,6 +19,7 @@ from tidemark.settings import settle
 CALL_SPREAD = "bull_call_debit_vertical"
 PUT_SPREAD = "bear_put_debit_vertical"
 _WIDE = "decimal(28,8)"
+QUOTE = ("bid", "ask", "bid_size", "ask_size", "quote_time")
 
 
 @dataclass(frozen=True)
@@ -93,19 +95,19 @@ def vertical_pairs(passed: DataFrame) -> DataFrame:
     """Every ordered long/short pair of one candidate, expiry and multiplier, with its payoff.
 
     An equality join on (candidate, expiry, multiplier) with the strike order as residual.
-    ``admissible`` says whether 0 < debit < width.
+    ``admissible`` says whether 0 < debit < width.  Legs are few and make many pairs, so they are
+    dealt to a given number of tasks whatever their size.
     """
+    key, parts = ["candidate_id", "expiry", "multiplier"], int(passed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     legs = passed.where("rejection is null").withColumn(
         "side", F.when(F.col("kind") == CALL_SPREAD, F.col("strike")).otherwise(-F.col("strike"))
     )
     pick = lambda flag, tag: legs.where(flag).select(
         "candidate_id", "expiry", "multiplier",
-        *[F.col(n).alias(f"{tag}_{n}") for n in ("symbol", "strike", "side", "bid", "ask", "quote_time")],
+        *[F.col(n).alias(f"{tag}_{n}") for n in ("symbol", "strike", "side", *QUOTE)],
         *(["kind", "quantity", "as_of", "underlying_symbol"] if tag == "long" else []),
-    )
-    pairs = pick("fits_long", "long").join(
-        pick("fits_short", "short"), ["candidate_id", "expiry", "multiplier"]
-    ).where("long_side < short_side")
+    ).repartition(parts, *key)
+    pairs = pick("fits_long", "long").join(pick("fits_short", "short"), key).where("long_side < short_side")
     c = F.col
     debit = (c("long_ask") - c("short_bid")).cast("decimal(19,4)")
     width = F.abs(c("short_strike") - c("long_strike")).cast("decimal(19,4)")
@@ -159,6 +161,10 @@ def pair_outcomes(passed: DataFrame) -> DataFrame:
     return both.groupBy("candidate_id").agg(F.coalesce(F.max("_good"), F.lit(0)).alias("_good"), F.coalesce(F.max("_bad"), F.lit(0)).alias("_bad"))
 
 
+def _plan_id() -> Column:
+    return F.concat_ws("/", "candidate_id", "long_symbol", "short_symbol")
+
+
 def ranked_plans(pairs: DataFrame) -> DataFrame:
     """Admissible plans in their total order, cheapest share of the width first."""
     c = F.col
@@ -178,7 +184,7 @@ def ranked_plans(pairs: DataFrame) -> DataFrame:
     )
     return placed.select(
         "candidate_id", "rank",
-        F.concat_ws("/", "candidate_id", "long_symbol", "short_symbol").alias("plan_id"),
+        _plan_id().alias("plan_id"),
         "kind", "underlying_symbol", "as_of", "expiry", "quantity", "multiplier",
         F.array(leg("long", "buy"), leg("short", "sell")).alias("legs"),
         c("net_debit").cast("decimal(28,4)").alias("entry_limit_bound"),
@@ -274,13 +280,17 @@ def priced_legs(plans: DataFrame, quotes: DataFrame, max_quote_age_seconds: int)
     """Each plan leg with its quote and the first reason it cannot be priced."""
     legs = plans.select("plan_id", "as_of", "quantity", F.posexplode("legs").alias("leg_no", "leg"))
     legs = legs.select("plan_id", "as_of", "quantity", "leg_no", "leg.symbol", "leg.ratio_qty", "leg.side")
-    book = quotes.select("symbol", "bid", "ask", "bid_size", "ask_size", "quote_time")
-    c = F.col
+    book = quotes.select("symbol", *QUOTE)
+    return legs.join(book, "symbol", "left").withColumn("problem", _leg_problem(F.col, max_quote_age_seconds))
+
+
+def _leg_problem(c: Callable[[str], Column], max_quote_age_seconds: int) -> Column:
+    """The first reason a leg cannot be priced, of columns that ``c`` finds by name."""
     need = c("ratio_qty") * c("quantity")
-    age = F.unix_micros("as_of") - F.unix_micros("quote_time")
-    problem = first_failure(
+    age = F.unix_micros(c("as_of")) - F.unix_micros(c("quote_time"))
+    return first_failure(
         [
-            (blank(F.col("symbol")), "leg_symbol"),
+            (blank(c("symbol")), "leg_symbol"),
             (c("bid").isNull(), "quote_missing"),
             (F.coalesce(c("ratio_qty") <= 0, F.lit(True)), "leg_ratio"),
             (~F.coalesce(c("side").isin("buy", "sell"), F.lit(False)), "leg_side"),
@@ -292,7 +302,12 @@ def priced_legs(plans: DataFrame, quotes: DataFrame, max_quote_age_seconds: int)
             (age > max_quote_age_seconds * 1_000_000, "quote_stale"),
         ]
     )
-    return legs.join(book, "symbol", "left").withColumn("problem", problem)
+
+
+def _leg_prices(c: Callable[[str], Column]) -> tuple[Column, Column]:
+    """What a leg adds to twice the midpoint and to the natural debit, in ticks."""
+    bid, ask, buy = ticks(c("bid")), ticks(c("ask")), c("side") == "buy"
+    return F.when(buy, 1).otherwise(-1) * c("ratio_qty") * (bid + ask), c("ratio_qty") * F.when(buy, ask).otherwise(-bid)
 
 
 def rung_prices(
@@ -302,33 +317,50 @@ def rung_prices(
 
     Returns plan_id, reason and prices; exactly one of the last two is NULL.
     """
-    if rungs <= 0 or max_quote_age_seconds <= 0:
-        raise ValueError("rungs and the quote age must be positive")
     c = F.col
-    sign = F.when(c("side") == "buy", 1).otherwise(-1)
-    bid, ask = ticks(c("bid")), ticks(c("ask"))
-    twice_mid = F.sum(sign * c("ratio_qty") * (bid + ask))
-    natural = F.sum(c("ratio_qty") * F.when(c("side") == "buy", ask).otherwise(-bid))
+    twice_mid, natural = _leg_prices(c)
     summed = priced_legs(plans, quotes, max_quote_age_seconds).groupBy("plan_id").agg(
-        twice_mid.alias("mid2"), natural.alias("nat"),
+        F.sum(twice_mid).alias("mid2"), F.sum(natural).alias("nat"),
         F.min(F.when(c("problem").isNotNull(), F.struct("leg_no", "problem"))).alias("_first"),
-    )
+    ).withColumn("problem", c("_first.problem"))
     rows = plans.select("plan_id", ticks(c("entry_limit_bound")).alias("bound")).join(summed, "plan_id")
+    return _rungs(rows, rungs, max_quote_age_seconds)
+
+
+def pair_rung_prices(pairs: DataFrame, rungs: int, max_quote_age_seconds: int = 900) -> DataFrame:
+    """:func:`rung_prices` of the admissible pairs by the quotes their legs were paired on.
+
+    A pair carries both quotes, so it is priced where the join makes it and never moves.
+    """
+    fixed_legs = {"long": {"side": F.lit("buy"), "ratio_qty": F.lit(1)}, "short": {"side": F.lit("sell"), "ratio_qty": F.lit(1)}}
+    of = lambda tag: lambda n: fixed_legs[tag].get(n, F.col(f"{tag}_{n}" if n in ("symbol", *QUOTE) else n))
+    mids, naturals = zip(*[_leg_prices(of(tag)) for tag in fixed_legs])
+    rows = pairs.where("admissible").select(
+        _plan_id().alias("plan_id"), ticks(F.col("net_debit")).alias("bound"),
+        (mids[0] + mids[1]).alias("mid2"), (naturals[0] + naturals[1]).alias("nat"),
+        F.coalesce(*[_leg_problem(of(tag), max_quote_age_seconds) for tag in fixed_legs]).alias("problem"),
+    )
+    return _rungs(rows, rungs, max_quote_age_seconds)
+
+
+def _rungs(rows: DataFrame, rungs: int, max_quote_age_seconds: int) -> DataFrame:
+    """Rung prices of plan_id, bound, mid2, nat and the first problem of a leg."""
+    if rungs <= 0 or max_quote_age_seconds <= 0:
+        raise ValueError("rungs and the quote age must be positive")
+    c = F.col
     up = lambda num, den: F.floor((num + (den - 1)) / den).cast("long") if den == 1 else F.expr(
         f"({num}) div {den} + cast(pmod({num}, {den}) > 0 as bigint)"
     )
     steps = max(rungs - 1, 1)
     den = 2 * steps
     price = lambda i: f"mid2 * {steps} + (2 * nat - mid2) * {i}"
-    prices = F.array(*[up(price(i), den) for i in range(rungs)])
-    rows = rows.withColumn("_p", prices)
-    climbing = F.forall(
-        F.sequence(F.lit(1), F.lit(rungs)),
-        lambda i: (i == 1) | (F.element_at("_p", i) > F.element_at("_p", F.greatest(i - 1, F.lit(1)))),
-    )
+    rows = rows.withColumns({f"_p{i}": up(price(i), den) for i in range(rungs)})
+    climbing = F.lit(True)
+    for i in range(1, rungs):
+        climbing = climbing & (c(f"_p{i}") > c(f"_p{i - 1}"))
     mid_up = F.expr("mid2 div 2 + cast(pmod(mid2, 2) > 0 as bigint)")
     reason = F.coalesce(
-        c("_first.problem"),
+        c("problem"),
         first_failure(
             [
                 (c("mid2") <= 0, "midpoint_not_positive"),
@@ -340,7 +372,6 @@ def rung_prices(
             ]
         ),
     )
-    as_money = F.transform("_p", lambda t: (t.cast("decimal(20,0)") / F.lit(10000).cast("decimal(5,0)")).cast("decimal(18,4)"))
-    return rows.select(
-        "plan_id", reason.alias("reason"), F.when(reason.isNull(), as_money).alias("prices")
-    )
+    money = lambda t: (t.cast("decimal(20,0)") / F.lit(10000).cast("decimal(5,0)")).cast("decimal(18,4)")
+    as_money = F.array(*[money(c(f"_p{i}")) for i in range(rungs)])
+    return rows.withColumn("reason", reason).select("plan_id", "reason", F.when(c("reason").isNull(), as_money).alias("prices"))
