@@ -2,6 +2,7 @@ import uuid
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,3 +342,61 @@ def test_streams_put_rows_in_place_within_the_hold(spark, tmp_path):
     got = {(r.seq, r.current_cents, tuple(r.reasons)) for r in stops.collect()}
     assert got == {(2, 9800, ("daily_loss_stop",)), (3, 9600, ("daily_loss_stop", "peak_to_valley_kill_switch")), (2, 9600, ("disorder",))}
     assert spark.conf.get(jobs.STATE_STORE, None) is None or "RocksDB" not in spark.conf.get(jobs.STATE_STORE)
+
+
+def test_state_calls_follow_buckets_not_subjects():
+    """A trigger of many subjects makes as many calls to the state store as one of few."""
+
+    class Kept:
+        def __init__(self, calls):
+            self.rows, self.calls = [], calls
+
+        def exists(self):
+            self.calls.append("exists")
+            return bool(self.rows)
+
+        def get(self):
+            self.calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.calls.append("put")
+            self.rows = rows
+
+        def appendList(self, rows):
+            self.calls.append("append")
+            self.rows = self.rows + rows
+
+        def clear(self):
+            self.calls.append("clear")
+            self.rows = []
+
+    class Handle:
+        def __init__(self):
+            self.calls = []
+
+        def getListState(self, name, schema):
+            return Kept(self.calls)
+
+        def registerTimer(self, at):
+            self.calls.append("timer")
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 10
+
+    def calls(subjects):
+        fold = lambda key, head, rows: ((int(rows["seq"].iloc[-1]),), rows.assign(key=key[0]))
+        columns = {"subject": "string", "seq": "long", "arrived_ms": "long"}
+        processor, handle = jobs.InOrder(fold, None, columns, "last long", True, int), Handle()
+        processor.init(handle)
+        names = [str(n) for n in range(subjects)] + [None]
+        rows = pd.DataFrame([(n, q, 1) for q in (3, 1, 2) for n in names], columns=list(columns))
+        assert list(processor.handleInputRows((0,), iter([rows]), Clock())) == []
+        [out] = processor.handleExpiredTimer((0,), Clock(), None)
+        for _, mine in out.groupby("key", dropna=False):
+            assert mine["seq"].tolist() == [1, 2, 3]
+        assert out["key"].nunique(dropna=False) == subjects + 1
+        return handle.calls
+
+    assert calls(300) == calls(2)
