@@ -400,3 +400,16 @@ def test_state_calls_follow_buckets_not_subjects():
         return handle.calls
 
     assert calls(300) == calls(2)
+
+
+def test_json_fields_tell_missing_from_null_in_one_parse(spark):
+    from tidemark.functions.fields import JsonFields
+
+    texts = ['{"a": "x"}', '{"a": null}', '{"b": 1}', "[1]", "{", '{"a": "x", "a": "y"}', '{"a": ""}']
+    fields = JsonFields(spark.createDataFrame([(t,) for t in texts], "raw string"), "raw", ["a"])
+    rows = fields.df.select("raw", fields.missing("a").alias("m"), fields.not_text("a").alias("n"), fields.kind("a").alias("k")).collect()
+    got = {r.raw: (r.m, r.n, r.k) for r in rows}
+    assert got[texts[0]] == (False, False, "STRING") and got[texts[1]] == (False, True, "VOID")
+    assert got[texts[6]] == (False, True, "STRING")
+    assert all(got[t] == (True, True, None) for t in texts[2:6])
+    assert "json_object_keys" not in fields.df._jdf.queryExecution().toString()

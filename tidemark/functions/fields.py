@@ -10,21 +10,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 class JsonFields:
     """The fields of one JSON object column, each looked up once.
 
-    The text is parsed in one projection and every field's kind and text are taken in the
-    next, so checks that mention a field several times do not parse the text again.
+    The text is parsed in one projection, the fields are found in the next, and their kinds and
+    texts are taken in a third, so checks that mention a field several times do not parse the
+    text or look the field up again.  A field that is not there has no kind; null has ``VOID``.
     """
 
     def __init__(self, df: DataFrame, column: str, names: Sequence[str]) -> None:
         self.names = list(names)
-        parsed = df.withColumns(
-            {"_whole": F.try_parse_json(column), "_keys": F.json_object_keys(column)}
-        )
-        found = {"_kind": F.schema_of_variant("_whole")}
+        parsed = df.withColumn("_whole", F.try_parse_json(column))
+        held = {f"_v_{name}": F.try_variant_get("_whole", f"$.{name}", "variant") for name in self.names}
+        found = {}
         for name in self.names:
-            found[f"_k_{name}"] = F.schema_of_variant(F.try_variant_get("_whole", f"$.{name}", "variant"))
-            found[f"_t_{name}"] = F.try_variant_get("_whole", f"$.{name}", "string")
-        self.df = parsed.withColumns(found)
-        self.helpers = ["_whole", "_keys", *found]
+            found[f"_k_{name}"] = F.schema_of_variant(f"_v_{name}")
+            found[f"_t_{name}"] = F.try_variant_get(f"_v_{name}", "$", "string")
+        self.df = parsed.withColumns(held).withColumns(found)
+        self.helpers = ["_whole", *held, *found]
 
     def kind(self, name: str) -> Column:
         return F.col(f"_k_{name}")
@@ -33,7 +33,7 @@ class JsonFields:
         return F.col(f"_t_{name}")
 
     def missing(self, name: str) -> Column:
-        return ~F.coalesce(F.array_contains("_keys", name), F.lit(False))
+        return self.kind(name).isNull()
 
     def not_text(self, name: str) -> Column:
         return ~F.coalesce((self.kind(name) == "STRING") & (self.text(name) != ""), F.lit(False))
