@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import fixed, guards, spread
@@ -125,7 +128,7 @@ def judged_replies(requests: DataFrame) -> DataFrame:
     bad_value = ~F.coalesce(c("_spans_ok"), F.lit(False))
     for name, allowed in fixed.LABEL_VOCABULARIES.items():
         bad_value = bad_value | ~F.coalesce(c(f"_{name}").isin(*allowed), F.lit(False))
-    missing = F.size(F.array_except(F.array(*[F.lit(n) for n in REPLY_FIELDS]), c("_keys"))) > 0
+    missing = reduce(or_, [fields.missing(n) for n in REPLY_FIELDS])
     differs = lambda a, b: ~F.coalesce(a == b, F.lit(False))
     verbatim = F.forall(
         "evidence_spans", lambda s: F.contains(c("headline"), s) | F.contains(c("summary"), s)
