@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import check, duck
-from tidemark.plans import ORACLES, QUERIES
+from tidemark.plans import ORACLES, QUERIES, audit
 
 SF = "/root/testdata/sf0.001"
 DEFAULT = (
@@ -43,3 +43,10 @@ def test_unexplained_orders_name_closed_ones(spark):
     got = {r.client_order_id for r in QUERIES["unexplained_orders"](spark, SF).collect()}
     assert got == {f"x{r.o_orderkey}" for r in orders.collect()}
     assert orders.where("o_orderkey % 7 in (1, 2)").count() > 0
+
+
+def test_books_join_the_lines_once(spark):
+    """Positions and activities of a report read the joined lines from one place."""
+    _, _, positions, activities = audit.books(spark, SF, lines_twice=True)
+    for df in (positions, activities):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
