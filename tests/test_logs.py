@@ -413,3 +413,25 @@ def test_json_fields_tell_missing_from_null_in_one_parse(spark):
     assert got[texts[6]] == (False, True, "STRING")
     assert all(got[t] == (True, True, None) for t in texts[2:6])
     assert "json_object_keys" not in fields.df._jdf.queryExecution().toString()
+
+
+def test_folders_of_a_batch_are_listed_without_addresses(spark, tmp_path, monkeypatch):
+    """The folders come from feed and day alone; repeats within and across batches are stored once."""
+    from tidemark.sources import tables
+
+    raw = tables.observations(spark, "/root/testdata/sf0.001")
+    judged = observations.judged_observations(raw.unionByName(raw), tables.feed_policies(spark))
+    plans, real = [], observations.in_folders_of
+
+    def listed(store, batch, *rest):
+        days = batch.select("feed", "seen_on").distinct()
+        plans.append(days._jdf.queryExecution().optimizedPlan().toString())
+        return real(store, batch, *rest)
+
+    monkeypatch.setattr(observations, "in_folders_of", listed)
+    store = str(tmp_path / "store")
+    for _ in range(2):
+        observations.record(judged, store)
+    assert len(plans) == 1 and "sha2" not in plans[0]
+    got = [r[0] for r in observations.stored(spark, store).select("observation_id").collect()]
+    assert len(got) == len(set(got)) == observations.accepted(judged).count()

@@ -115,15 +115,17 @@ def record(judged: DataFrame, path: str) -> None:
     whole folders.
     """
     spark = judged.sparkSession
-    fresh = accepted(judged).withColumn("seen_on", utc_day(F.col("first_seen_time")))
+    fine = judged.where("reject_field is null").drop("reject_field")
+    fresh = fine.withColumn("seen_on", utc_day(F.col("first_seen_time")))
     held = stored(spark, path)
     if held is not None:
-        # Equal contents share feed and day, so only the batch's own folders are read.
+        # Equal contents share feed and day, so only the batch's own folders are read.  What is
+        # held goes first: neither the list of folders nor a repeat pays for deduplication.
         same = ["feed", "seen_on", "observation_id"]
         fresh = fresh.join(in_folders_of(held, fresh).select(*same), same, "left_anti")
     # Rebalancing gathers a folder's rows into few files and still splits a folder that is
     # too large for one task.
-    laid = fresh.hint("rebalance", "feed", "seen_on")
+    laid = fresh.dropDuplicates(["observation_id"]).hint("rebalance", "feed", "seen_on")
     laid.write.mode("append").partitionBy("feed", "seen_on").parquet(path)
 
 
