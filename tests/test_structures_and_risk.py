@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.builders import as_dicts
+from tidemark.functions import guards
 from tidemark.operators import risk, structures as st
 
 NOW = datetime(2026, 6, 1, 15)
@@ -150,3 +151,57 @@ def test_pair_rungs_equal_those_by_symbol(spark):
         assert got == key(st.rung_prices(plans, chain, rungs, age)) and len(got) == plans.count()
     shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert shuffles(st.pair_rung_prices(pairs, 4)) == shuffles(pairs)
+
+
+def lotted_chain(spark, seed, underlyings=6, legs=60):
+    """Legs on a coarse price grid, so lots hold several pairs and losses tie."""
+    rng, rows, asked = random.Random(seed), [], []
+    for u in range(underlyings):
+        for n in range(legs):
+            bid = D(rng.choice([200, 230, 260, 290])) / 100
+            rows.append(contract(
+                f"c{rng.randrange(10**6)}-{n}", rng.choice(["100", "101", "102", "104"]), bid, bid + D("0.10"), rng.choice(["0.5", "0.3"]),
+                rng.choice(["call", "put"]), underlying_symbol=f"U{u}", multiplier=rng.choice([10, 100]),
+                expiry=date(2026, 6, rng.choice([12, 15])),
+            ))
+        asked += [(f"{u}-up", st.CALL_SPREAD, f"U{u}", NOW, 2), (f"{u}-down", st.PUT_SPREAD, f"U{u}", NOW, 2)]
+    asked = spark.createDataFrame(asked, "candidate_id string, kind string, underlying_symbol string, as_of timestamp, quantity int")
+    return asked, spark.createDataFrame(rows, CHAIN)
+
+
+def owned(df):
+    """Two accounts with three underlyings each; two of those share a sector."""
+    number = F.substring("underlying_symbol", 2, 9).cast("int")
+    return df.withColumns({
+        "account": F.concat(F.lit("A"), F.floor(number / 3).cast("string")), "sector": F.when(number % 3 == 0, "x").otherwise("y"),
+        "equity": F.when(number < 3, 20_000).otherwise(100_000).cast("decimal(18,4)"),
+    })
+
+
+def test_lots_break_the_limits_that_their_plans_break(spark, small_groups):
+    """Limits told by lots are those of a walk over all plans, and no plan is shuffled."""
+    from tidemark.functions import spread
+
+    asked, chain = lotted_chain(spark, 11)
+    plans = owned(st.ranked_plans(st.candidate_pairs(asked, chain)).drop("rank"))
+    walked = risk.within_portfolio_limits(spread.numbered(plans, ["account"], ["exact_max_loss", "plan_id"], False, name="rank"))
+    lots = owned(st.lots(st.candidate_legs(asked, chain)).withColumn("exact_max_loss", st.max_loss()))
+    told = risk.lots_within_portfolio_limits(lots, st.plans_of_lots)
+    key = lambda df: sorted((r.account, r.plan_id, r.exact_max_loss, r.reasons) for r in df.collect())
+    assert key(told) == key(walked)
+    found = {tuple(r.reasons) for r in told.collect()}
+    assert {(), ("sector_open_risk", "underlying_already_open"), ("total_open_risk", "sector_open_risk", "underlying_already_open")} <= found
+    assert lots.count() < plans.count()
+    plan = told._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Exchange" in plan and "Exchange" not in plan[:plan.rindex("Generate")]
+
+
+@pytest.mark.parametrize("column, change", [
+    ("exact_max_loss", "cast(null as decimal(28,4))"), ("quantity", "0"), ("equity", "cast(null as decimal(18,4))"),
+    ("equity", "cast(if(multiplier = 10, 1, 2) as decimal(18,4))"),
+])
+def test_lots_without_one_positive_risk_and_equity_are_refused(spark, column, change):
+    asked, chain = lotted_chain(spark, 12, 1)
+    lots = owned(st.lots(st.candidate_legs(asked, chain)).withColumn("exact_max_loss", st.max_loss())).withColumn(column, F.expr(change))
+    with pytest.raises(guards.IntegrityError):
+        risk.lots_within_portfolio_limits(lots, st.plans_of_lots)

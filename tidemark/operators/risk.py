@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import guards, spread
 from tidemark.functions.exprs import DAY_SECONDS, all_failures, utc_day
+from tidemark.settings import counted, known_rows, max_broadcast_rows, settle_counted
 
 
 @dataclass(frozen=True)
@@ -158,6 +160,90 @@ def within_portfolio_limits(plans: DataFrame, config: RiskConfig = RiskConfig())
     return rows.withColumn("reasons", all_failures(checks)).drop("_risk", "_total", "_in_sector", "_first")
 
 
+def lots_within_portfolio_limits(
+    lots: DataFrame, expand: Callable[[DataFrame], DataFrame], config: RiskConfig = RiskConfig()
+) -> DataFrame:
+    """:func:`within_portfolio_limits` of plans that come in lots, cheapest first and then by ``plan_id``.
+
+    ``lots``: account, sector, underlying_symbol, equity, exact_max_loss, quantity, count, and what
+    ``expand`` makes the lot's plans of, a row each with ``plan_id``.  Risk is positive and an account
+    has one equity (others are refused), so a limit is broken from one plan on and never kept again.
+    Sums by loss tell the loss of that plan; only plans of such a loss are put in order, all others
+    know their reasons from the loss of their lot and never move.
+    """
+    c = F.col
+    by = ["account", "sector", "underlying_symbol"]
+    lots = lots.withColumn("_risk", c("exact_max_loss") * c("quantity"))
+    sound = F.coalesce((c("_risk") > 0) & c("equity").isNotNull(), F.lit(False))
+    sums, _ = settle_counted(lots.groupBy(*by, "exact_max_loss").agg(
+        F.sum(c("_risk") * c("count")).alias("_sum"), F.min("equity").alias("equity"), F.max("equity").alias("_most"),
+        F.count(F.when(~sound, 1)).alias("_bad"),
+    ), "lot-sums")
+    guards.refuse(
+        sums.groupBy("account").agg(F.sum("_bad").alias("_bad"), F.min("equity").alias("equity"), F.max("_most").alias("_most")),
+        (c("_bad") > 0) | (c("equity") != c("_most")), guards.IntegrityError,
+        "a plan's risk is missing or not positive, or its account's equity is missing or not one", ["account"],
+    )
+    limits = {
+        "total": (["account"], config.total_open_risk_fraction), "sector": (["account", "sector"], config.sector_open_risk_fraction),
+    }
+    over = lambda col, name: c(col) > c("equity").cast("decimal(20,4)") * F.lit(limits[name][1])
+
+    def losses(name: str) -> DataFrame:
+        """The loss at which a limit is first broken, and the risk of everything cheaper."""
+        keys = limits[name][0]
+        per_loss = sums.groupBy(*keys, "exact_max_loss").agg(F.sum("_sum").alias("_sum"), F.min("equity").alias("equity"))
+        per_loss = counted(per_loss, known_rows(sums))
+        [heavy] = spread.is_heavy(per_loss, keys)
+        run = spread.running(per_loss, keys, ["exact_max_loss"], heavy, {"_upto": ("sum", c("_sum"))})
+        return run.where(over("_upto", name)).groupBy(*keys).agg(
+            F.min("exact_max_loss").alias(f"_{name}_loss"), F.min_by(c("_upto") - c("_sum"), "exact_max_loss").alias(f"_{name}_before")
+        )
+
+    opened = ["account", "underlying_symbol"]
+    marks = sums.groupBy(*by).agg(F.min("equity").alias("_equity"))
+    for name, (keys, _) in limits.items():
+        marks = spread.join_same(marks, losses(name), keys, "left")
+    marks = spread.join_same(marks, sums.groupBy(*opened).agg(F.min("exact_max_loss").alias("_first_loss")), opened)
+    marks, _ = settle_counted(marks.drop("_equity"), "lot-marks")
+    names = ("total", "sector", "first")
+    near = F.lit(False)
+    for name in names:
+        near = near | F.coalesce(c("exact_max_loss") == c(f"_{name}_loss"), F.lit(False))
+    close, _ = settle_counted(expand(_marked(lots, marks, by).where(near)), "lot-plans")
+
+    def plans(name: str, keys: Sequence[str]) -> DataFrame:
+        """The plan of the marked loss from which the limit is broken."""
+        rows = counted(close.where(c("exact_max_loss") == c(f"_{name}_loss")), known_rows(close))
+        [heavy] = spread.is_heavy(rows, keys)
+        run = spread.running(rows, keys, ["plan_id"], heavy, {"_here": ("sum", c("_risk"))})
+        broken = run.withColumn("_upto", c("_here") + c(f"_{name}_before")).where(over("_upto", name))
+        return broken.groupBy(*keys).agg(F.min("plan_id").alias(f"_{name}_plan"))
+
+    first = close.where("exact_max_loss = _first_loss").groupBy(*opened).agg(F.min("plan_id").alias("_first_plan"))
+    cuts = marks
+    for name, (keys, _) in limits.items():
+        cuts = spread.join_same(cuts, plans(name, keys), keys, "left")
+    cuts, _ = settle_counted(spread.join_same(cuts, first, opened, "left"), "lot-cuts")
+    reasons = {"total": "total_open_risk", "sector": "sector_open_risk", "first": "underlying_already_open"}
+    later = lambda name: c("exact_max_loss") > c(f"_{name}_loss")
+    behind = {name: c("plan_id") >= c(f"_{name}_plan") for name in limits} | {"first": c("plan_id") > c("_first_plan")}
+    beyond = lambda name: later(name) | ((c("exact_max_loss") == c(f"_{name}_loss")) & behind[name])
+    told = _marked(lots, cuts, by).withColumns({
+        "_near": near, "_told": all_failures([(later(n), reasons[n]) for n in names]),
+    })
+    exact = all_failures([(beyond(n), reasons[n]) for n in names])
+    return expand(told).withColumn("reasons", F.when(c("_near"), exact).otherwise(c("_told"))).drop(
+        "_risk", "_near", "_told", "_total_before", "_sector_before", *[f"_{n}_{k}" for n in names for k in ("loss", "plan")]
+    )
+
+
+def _marked(lots: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lots with the marks of their keys; a small table of marks goes to the lots."""
+    small = known_rows(marks) <= max_broadcast_rows(lots.sparkSession)
+    return spread.join_same(lots, F.broadcast(marks) if small else marks, keys)
+
+
 def entry_blackout(instants: DataFrame, zone: str = "America/New_York", opens_at: int = 570,
                    closes_at: int = 960, first: int = 10, final: int = 45) -> DataFrame:
     """Whether an entry at each instant falls outside the permitted part of the session.

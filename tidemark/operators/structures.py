@@ -115,6 +115,48 @@ def vertical_pairs(passed: DataFrame) -> DataFrame:
     return pairs.withColumn("admissible", (c("net_debit") > 0) & (c("net_debit") < c("width")))
 
 
+def candidate_legs(
+    candidates: DataFrame, contracts: DataFrame, rules: StructureRules = StructureRules()
+) -> DataFrame:
+    """The contracts that pass the gates, a row for each candidate they are a leg of."""
+    return screened_contracts(candidates, _clear(contracts), rules).where("rejection is null")
+
+
+def lots(legs: DataFrame) -> DataFrame:
+    """Admissible pairs in lots: long legs of one strike and ask with short legs of one strike and bid.
+
+    ``count`` is the number of pairs, which share ``net_debit``, ``width`` and with them every
+    payoff.  Prices lie on a grid, so lots stay far fewer than pairs; they hold the symbols of their
+    legs, and :func:`plans_of_lots` makes the pairs where a lot is.
+    """
+    c = F.col
+    key, parts = ["candidate_id", "expiry", "multiplier"], int(legs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = legs.withColumn("side", F.when(c("kind") == CALL_SPREAD, c("strike")).otherwise(-c("strike"))).repartition(parts, *key)
+    # A structure around each symbol: a list of plain values would lose a missing one.
+    held = lambda tag: [F.count("*").alias(f"{tag}_count"), F.collect_list(F.struct("symbol")).alias(f"{tag}_legs")]
+    longs = dealt.where("fits_long").groupBy(
+        *key, "kind", "quantity", "underlying_symbol", c("strike").alias("long_strike"), c("side").alias("long_side"), "ask"
+    ).agg(*held("long"))
+    shorts = dealt.where("fits_short").groupBy(
+        *key, c("strike").alias("short_strike"), c("side").alias("short_side"), "bid"
+    ).agg(*held("short"))
+    both = longs.join(shorts, key).where("long_side < short_side").withColumns({
+        "net_debit": (c("ask") - c("bid")).cast("decimal(19,4)"),
+        "width": F.abs(c("short_strike") - c("long_strike")).cast("decimal(19,4)"),
+        "count": c("long_count") * c("short_count"),
+    })
+    return both.where((c("net_debit") > 0) & (c("net_debit") < c("width"))).drop(
+        "ask", "bid", "long_side", "short_side", "long_count", "short_count"
+    )
+
+
+def plans_of_lots(found: DataFrame) -> DataFrame:
+    """Every plan of the lots with its ``plan_id``."""
+    pairs = found.withColumn("_long", F.explode("long_legs")).withColumn("_short", F.explode("short_legs"))
+    name = F.concat_ws("/", "candidate_id", "_long.symbol", "_short.symbol")
+    return pairs.withColumn("plan_id", name).drop("long_legs", "short_legs", "_long", "_short")
+
+
 def pair_outcomes(passed: DataFrame) -> DataFrame:
     """Per candidate whether some pair is admissible (``_good``) and some is not (``_bad``), from legs alone.
 
@@ -161,6 +203,15 @@ def pair_outcomes(passed: DataFrame) -> DataFrame:
     return both.groupBy("candidate_id").agg(F.coalesce(F.max("_good"), F.lit(0)).alias("_good"), F.coalesce(F.max("_bad"), F.lit(0)).alias("_bad"))
 
 
+def _money(col: Column) -> Column:
+    return F.bround(col, 4).cast("decimal(28,4)")
+
+
+def max_loss() -> Column:
+    """What a pair of ``net_debit`` and ``multiplier`` can lose."""
+    return _money(F.col("net_debit") * F.col("multiplier"))
+
+
 def _plan_id() -> Column:
     return F.concat_ws("/", "candidate_id", "long_symbol", "short_symbol")
 
@@ -174,10 +225,9 @@ def ranked_plans(pairs: DataFrame) -> DataFrame:
     order = ["cost_drag", "expiry", "long_strike", "long_symbol", "short_strike", "short_symbol"]
     [heavy] = spread.is_heavy(good, ["candidate_id"])
     placed = spread.numbered(good, ["candidate_id"], order, heavy, name="rank")
-    money = lambda col: F.bround(col, 4).cast("decimal(28,4)")
     up = c("kind") == CALL_SPREAD
-    loss = money(c("net_debit") * c("multiplier"))
-    profit = money((c("width") - c("net_debit")) * c("multiplier"))
+    loss = max_loss()
+    profit = _money((c("width") - c("net_debit")) * c("multiplier"))
     leg = lambda tag, side: F.struct(
         c(f"{tag}_symbol").alias("symbol"), F.lit(1).alias("ratio_qty"), F.lit(side).alias("side"),
         F.lit(f"{side}_to_open").alias("position_intent"),
@@ -189,7 +239,7 @@ def ranked_plans(pairs: DataFrame) -> DataFrame:
         F.array(leg("long", "buy"), leg("short", "sell")).alias("legs"),
         c("net_debit").cast("decimal(28,4)").alias("entry_limit_bound"),
         loss.alias("exact_max_loss"), profit.alias("exact_max_profit"),
-        money(F.when(up, c("long_strike") + c("net_debit")).otherwise(c("long_strike") - c("net_debit"))).alias(
+        _money(F.when(up, c("long_strike") + c("net_debit")).otherwise(c("long_strike") - c("net_debit"))).alias(
             "expiry_breakeven"
         ),
         (-loss).alias("stress_max_loss"), profit.alias("stress_max_profit"),
