@@ -205,3 +205,28 @@ def test_exposure_by_hand(spark):
     assert got[(None, "S1")] == (1, 0, 1.0, 10.0)
     assert got[("c", "S1")] == (0, 1, None, None)
     assert metrics.exposure(table.limit(0)).isEmpty()
+
+
+def test_analog_blocks_move_once_per_tile(spark, monkeypatch):
+    """A search lays as many rows as blocks times shares, not one per pair of blocks; ties and huge numbers included."""
+    draw = np.random.default_rng(9)
+    rows = [(i, i // 2, np.round(draw.normal(size=4), 1).tolist()) for i in range(900)]
+    rows += [(900 + i, 450 + i, [1e200 * (-1) ** i, 1e200, 0.0, float(i)]) for i in range(6)]
+    table = spark.createDataFrame(rows, "event_id long, at long, vector array<double>").repartition(3)
+    monkeypatch.setattr(analogs, "SHARES", 3)
+    known = analogs.blocks(table, 8)
+    pairs = analogs.settle(analogs.needed_pairs(known, known, 4), "test-pairs")
+    found = analogs._searched(pairs, known, known, 4)
+    assert len({(r.query_id, r.event_id) for r in found.collect()}) == found.count() <= 906 * 3 * 4
+    assert pairs.count() > 10 * 2 * 3 * known.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "q_flat" not in plan and "wanted" in plan
+    got = {}
+    for r in analogs.closest_analogs(table, table, 4, size=8).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.event_id
+    have, ats = np.array([v for _, _, v in rows]), np.array([at for _, at, _ in rows])
+    with np.errstate(over="ignore"):
+        for i, at, vector in rows:
+            far = np.sqrt(((have - np.array(vector)) ** 2).sum(axis=1))
+            best = sorted((far[j], j) for j in np.flatnonzero(ats < at))[:4]
+            assert got.get(i, {}) == {n + 1: j for n, (_, j) in enumerate(best)}, i

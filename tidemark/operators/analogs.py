@@ -4,7 +4,8 @@ Rows are ranged by time, and each stretch of a range is cut in space, at the med
 widest dimension, into blocks of at most ``size`` rows.  A pair of a query block and an event
 block is searched only if the event block begins before the query block ends and lies nearer
 than a distance that already holds ``k`` earlier events for each query.  Choosing pairs reads
-block summaries alone; vectors move for the pairs that remain.
+block summaries alone.  The pairs that remain are searched in tiles, each a share of the query
+blocks with a share of the event blocks, so a block moves once per tile and not once per pair.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from tidemark.settings import known_rows, settle, settle_counted
 
 # Block summaries compared at once.
 PACK = 512
+# Shares of each side that make the tiles, fewer for few blocks, and the query blocks a task may hold.
+SHARES, HELD = 12, 512
+# Rounding allowed to squared distances by norms, relative to the norms; far above what occurs.
+SLACK = 1e-9
 
 _BLOCK = (
     "block long, first long, last long, n int, radius double, centre array<double>, "
@@ -143,32 +148,109 @@ def needed_pairs(asked: DataFrame, known: DataFrame, k: int) -> DataFrame:
         least = far - q["radius"].to_numpy()[:, None] - b["radius"].to_numpy()[None, :]
         reach = q["reach"].to_numpy()[:, None]
         # A margin for rounding: distances to centres are not the distances that are compared.
-        near = least <= reach + 1e-9 * (1 + far)
+        # Distances that overflow leave a pair in.
+        near = ~(least > reach + 1e-9 * (1 + far))
         qs, bs = np.nonzero(near & (b["first"].to_numpy()[None, :] < q["last"].to_numpy()[:, None]))
         return pd.DataFrame({"q": q["block"].to_numpy()[qs], "b": b["block"].to_numpy()[bs]})
 
     return _compared(told, known, packs, within, "q long, b long")
 
 
+class _Asked:
+    """The queries of a block and the best ``k`` events each has met."""
+
+    def __init__(self, ids: np.ndarray, ats: np.ndarray, flat: np.ndarray, k: int):
+        self.ids, self.ats, self.k = ids, ats, k
+        self.want = flat.reshape(len(ids), -1)
+        self.norms = (self.want**2).sum(axis=1)
+        self.lifted = np.hstack([-2 * self.want, np.ones((len(ids), 1))])
+        self.row, self.event, self.far = np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
+        self.kth = np.full(len(ids), np.inf)
+
+    def meet(self, ids: np.ndarray, ats: np.ndarray, have: np.ndarray, lifted: np.ndarray) -> None:
+        """Take in a block of events; ``lifted`` is ``have`` with its squared norms behind.
+
+        One product gives squared distances less the query's norm.  They only leave out what is
+        surely farther than ``k`` others; distances that count are summed from differences.
+        Blocks whose norms come near the largest number are compared in full.
+        """
+        norms = self.norms.max() + lifted[:, -1].max()
+        if norms < 1e300:
+            near = self.lifted @ lifted.T
+            if ats.max() >= self.ats.min():
+                near[ats[None, :] >= self.ats[:, None]] = np.inf
+            short = ~np.isfinite(self.kth)
+            limit = np.where(short, np.inf, self.kth) ** 2 - self.norms
+            if short.any() and len(ids) > self.k:
+                limit[short] = np.partition(near[short], self.k - 1, axis=1)[:, self.k - 1]
+            rows, cols = np.nonzero(near <= (limit + 2 * SLACK * norms)[:, None])
+        else:
+            rows, cols = (x.ravel() for x in np.indices((len(self.ids), len(ids))))
+        earlier = ats[cols] < self.ats[rows]
+        rows, cols = rows[earlier], cols[earlier]
+        if not len(rows):
+            return
+        far = np.sqrt(((have[cols] - self.want[rows]) ** 2).sum(axis=1))
+        row, event, far = np.append(self.row, rows), np.append(self.event, ids[cols]), np.append(self.far, far)
+        order = np.lexsort((event, far, row))
+        row = row[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        self.row, self.event, self.far = row[best], event[order][best], far[order][best]
+        full = np.bincount(self.row, minlength=len(self.ids)) == self.k
+        last = np.searchsorted(self.row, np.arange(len(self.ids)), side="right") - 1
+        self.kth[full] = self.far[last[full]]
+
+    def found(self, block: int) -> pd.DataFrame:
+        return pd.DataFrame({
+            "q": block, "row": self.row, "query_id": self.ids[self.row], "event_id": self.event, "distance": self.far,
+        })
+
+
 def _searched(pairs: DataFrame, asked: DataFrame, known: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` of each pair per query row: q, row, query_id, event_id, distance."""
-    cols = ["ids", "ats", "flat"]
-    side = lambda df, key: df.select(F.col("block").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in cols])
-    laid = pairs.join(side(asked, "q"), "q").join(side(known, "b"), "b")
+    """The best ``k`` of each tile per query row: q, row, query_id, event_id, distance.
+
+    A tile holds its query blocks and sees its event blocks one by one, each with the names of
+    the query blocks it pairs with.  Blocks are copied ``SHARES`` times however many they are;
+    only beyond ``SHARES * HELD`` query blocks are there more tiles, so that a task's memory is bounded.
+    """
+    some = lambda blocked: min(SHARES, max(1, known_rows(blocked) // 4))
+    shares, others = max(some(asked), -(-known_rows(asked) // HELD)), some(known)
+    dealt = lambda block, n: F.pmod(F.xxhash64(block), F.lit(n)).cast("int")
+    tile = (dealt("q", shares) * others + dealt("b", others)).alias("tile")
+    cols = ["block", "ids", "ats", "flat"]
+    wants = pairs.select(F.col("q").alias("block"), tile).distinct()
+    holds = pairs.groupBy(F.col("b").alias("block"), tile).agg(F.collect_list("q").alias("wanted"))
+    nobody = F.lit(None).cast("array<bigint>").alias("wanted")
+    # The blocks stand on the left: a merge join keeps the rows of the right side of a key.
+    laid = asked.select(*cols).join(wants, "block").select("tile", F.lit(0).alias("side"), *cols, nobody).unionByName(
+        known.select(*cols).join(holds, "block").select("tile", F.lit(1).alias("side"), *cols, "wanted")
+    )
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = laid.repartition(max(parts, shares * others), "tile").sortWithinPartitions("tile", "side", "block")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held = None, {}
+
+        def told() -> Iterator[pd.DataFrame]:
+            names = list(held)
+            for first in range(0, len(names), 64):
+                yield pd.concat([held[n].found(n) for n in names[first : first + 64]])
+
+        np.seterr(over="ignore")
         for frame in frames:
             for r in frame.itertuples(index=False):
-                ids, ats, rows = np.asarray(r.b_ids), np.asarray(r.b_ats), []
-                have = np.asarray(r.b_flat).reshape(len(ids), -1)
-                want = np.asarray(r.q_flat).reshape(len(r.q_ids), -1)
-                for i, (name, moment) in enumerate(zip(r.q_ids, r.q_ats)):
-                    ok = np.flatnonzero(ats < moment)
-                    far = np.sqrt(((have[ok] - want[i]) ** 2).sum(axis=1))
-                    top = np.lexsort((ids[ok], far))[:k]
-                    rows.append((np.full(len(top), i), np.full(len(top), name), ids[ok][top], far[top]))
-                flat = [np.concatenate(c) for c in zip(*rows)]
-                yield pd.DataFrame(dict(zip(["row", "query_id", "event_id", "distance"], flat))).assign(q=r.q)
+                if r.tile != here:
+                    yield from told()
+                    here, held = r.tile, {}
+                ids, ats, flat = np.asarray(r.ids), np.asarray(r.ats), np.asarray(r.flat)
+                if r.side == 0:
+                    held[r.block] = _Asked(ids, ats, flat, k)
+                    continue
+                have = flat.reshape(len(ids), -1)
+                lifted = np.hstack([have, (have**2).sum(axis=1, keepdims=True)])
+                for q in r.wanted:
+                    held[q].meet(ids, ats, have, lifted)
+        yield from told()
 
     return laid.mapInPandas(search, "q long, row int, query_id long, event_id long, distance double")
 
