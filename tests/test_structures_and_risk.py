@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.builders import as_dicts
 from tidemark.functions import guards
 from tidemark.operators import risk, structures as st
+from tidemark.settings import settle_counted
 
 NOW = datetime(2026, 6, 1, 15)
 CHAIN = (
@@ -205,3 +206,29 @@ def test_lots_without_one_positive_risk_and_equity_are_refused(spark, column, ch
     lots = owned(st.lots(st.candidate_legs(asked, chain)).withColumn("exact_max_loss", st.max_loss())).withColumn(column, F.expr(change))
     with pytest.raises(guards.IntegrityError):
         risk.lots_within_portfolio_limits(lots, st.plans_of_lots)
+
+
+@pytest.mark.parametrize("chunk, batch", [(1, 1), (4, 30), (256, 50_000)])
+def test_chunks_rank_as_a_sort_of_all_pairs_does(spark, small_groups, monkeypatch, chunk, batch):
+    """Ranks counted by chunks are those of a sort, whatever the chunk, and no pair is shuffled."""
+    from tidemark.operators import verticals
+
+    monkeypatch.setattr(verticals, "CHUNK", chunk)
+    monkeypatch.setattr(verticals, "BATCH", batch)
+    asked, chain = lotted_chain(spark, 13, 6)
+    want = st.ranked_plans(st.candidate_pairs(asked, chain))
+    got = verticals.placed_plans(settle_counted(st.candidate_legs(asked, chain), "test-legs")[0])
+    both = ["candidate_id", "rank", "plan_id", "kind", "expiry", "multiplier", "entry_limit_bound", "exact_max_loss", "exact_max_profit", "expiry_breakeven"]
+    rows = sorted(map(tuple, got.select(both).collect()))
+    assert rows == sorted(map(tuple, want.select(both).collect())) and len(rows) > 100
+    assert want.groupBy("candidate_id", "cost_drag").count().where("count > 1").count() > 10
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in plan[:plan.index("MapInArrow")]
+
+
+def test_chunks_without_pairs(spark):
+    from tidemark.operators import verticals
+
+    asked, chain = lotted_chain(spark, 13, 1)
+    for kept in (chain.limit(0), chain.where("delta = 0.5"), chain.where("delta = 0.3")):
+        assert verticals.placed_plans(settle_counted(st.candidate_legs(asked, kept), "test-legs")[0]).isEmpty()

@@ -212,6 +212,20 @@ def max_loss() -> Column:
     return _money(F.col("net_debit") * F.col("multiplier"))
 
 
+def _max_profit() -> Column:
+    return _money((F.col("width") - F.col("net_debit")) * F.col("multiplier"))
+
+
+def payoffs() -> list[Column]:
+    """Bound, extremes and breakeven of a pair of ``kind``, ``long_strike``, ``net_debit``, ``width`` and ``multiplier``."""
+    c = F.col
+    ends = F.when(c("kind") == CALL_SPREAD, c("long_strike") + c("net_debit")).otherwise(c("long_strike") - c("net_debit"))
+    return [
+        c("net_debit").cast("decimal(28,4)").alias("entry_limit_bound"), max_loss().alias("exact_max_loss"),
+        _max_profit().alias("exact_max_profit"), _money(ends).alias("expiry_breakeven"),
+    ]
+
+
 def _plan_id() -> Column:
     return F.concat_ws("/", "candidate_id", "long_symbol", "short_symbol")
 
@@ -225,9 +239,6 @@ def ranked_plans(pairs: DataFrame) -> DataFrame:
     order = ["cost_drag", "expiry", "long_strike", "long_symbol", "short_strike", "short_symbol"]
     [heavy] = spread.is_heavy(good, ["candidate_id"])
     placed = spread.numbered(good, ["candidate_id"], order, heavy, name="rank")
-    up = c("kind") == CALL_SPREAD
-    loss = max_loss()
-    profit = _money((c("width") - c("net_debit")) * c("multiplier"))
     leg = lambda tag, side: F.struct(
         c(f"{tag}_symbol").alias("symbol"), F.lit(1).alias("ratio_qty"), F.lit(side).alias("side"),
         F.lit(f"{side}_to_open").alias("position_intent"),
@@ -237,12 +248,7 @@ def ranked_plans(pairs: DataFrame) -> DataFrame:
         _plan_id().alias("plan_id"),
         "kind", "underlying_symbol", "as_of", "expiry", "quantity", "multiplier",
         F.array(leg("long", "buy"), leg("short", "sell")).alias("legs"),
-        c("net_debit").cast("decimal(28,4)").alias("entry_limit_bound"),
-        loss.alias("exact_max_loss"), profit.alias("exact_max_profit"),
-        _money(F.when(up, c("long_strike") + c("net_debit")).otherwise(c("long_strike") - c("net_debit"))).alias(
-            "expiry_breakeven"
-        ),
-        (-loss).alias("stress_max_loss"), profit.alias("stress_max_profit"),
+        *payoffs(), (-max_loss()).alias("stress_max_loss"), _max_profit().alias("stress_max_profit"),
         c("long_quote_time"), c("short_quote_time"), "cost_drag",
     )
 
