@@ -218,6 +218,30 @@ def test_alignment(docs, rows, none, slice_bytes, link_rows):
     assert (whole.pairs_from == stepped.pairs_from).all()
 
 
+def test_rows_of_a_slice_are_bounded(rows, monkeypatch):
+    """However much text a slice holds, no row that leaves its task exceeds the size of a part, and nothing is lost."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(alignment, "PART_BYTES", 2000, raising=False)
+    monkeypatch.setattr(alignment, "PART_PAIRS", 100, raising=False)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    [parts] = alignment._slices(*PATHS)(iter([batch]))
+    most = alignment.PART_BYTES + 16 * alignment.PART_PAIRS + 64
+    assert len(parts) > 9 and all(parts.slice(i, 1).nbytes <= most for i in range(len(parts)))
+    pairs = [x for part in parts.column("pair").to_pylist() for x in part]
+    assert pairs == sorted(set(pairs)) and len(pairs) > alignment.PART_PAIRS
+    counts = [x for part in parts.column("docs").to_pylist() for x in part]
+    told = pa.table({"pair": pairs, "count": counts, "best": [True] * len(pairs)})
+    mixed = pa.table(parts).take(list(reversed(range(len(parts)))))
+    got = alignment._with_counts(mixed, told.take(list(reversed(range(len(pairs))))))
+    want = {r[:5] + r[6:] for r in plain_alignment(rows)}
+    assert {(str(r["doc_id"]), r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["count_sum"], r["groups_sha256"]) for r in got.to_pylist()} == want
+    assert got["n_best"] == got["n_links"]
+
+
 def test_chunks_encode_as_whole_texts():
     """Cutting texts before single spaces changes no token of either tokenizer."""
     import pyarrow as pa

@@ -9,6 +9,9 @@ ASCII character, where both tokenizers always cut; equal chunks of a slice of do
 by dictionary encoding and aligned once.  Token lists are flattened and keep parent indices; byte
 ends are segmented cumulative sums; an Acero hash join on (chunk, end) finds the common ends, one
 on the group links tokens; ``Table.group_by`` counts a slice's pairs, and Spark merges the counts.
+
+A slice leaves its task compressed and cut into parts, so what Spark reads, sorts and shuffles are rows
+of bounded size that unpack only in the function that wants the slice.
 """
 
 from __future__ import annotations
@@ -31,12 +34,12 @@ from tidemark.settings import settle
 SLICE_BYTES = 2 << 20
 ENCODED_CHUNKS = 8192
 LINK_ROWS = 1 << 20
+PART_BYTES, PART_PAIRS = 1 << 16, 1 << 12
+# Readers and writers hold a row group at a time.
+ROW_GROUP_BYTES = 16 << 20
 SPACE_SIGN = "▁"
 
-SLICE = (
-    "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-    "sha array<string>, bounds array<long>, at array<int>, times array<long>, pair array<long>, docs array<long>"
-)
+SLICE = "block long, part int, body binary, pair array<long>, docs array<long>"
 ALIGNED = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 )
@@ -199,7 +202,7 @@ def _chunked(texts: pa.Array, cuts: bool) -> tuple[pa.BinaryArray, np.ndarray]:
 
 
 def _slice(doc_ids: pa.Array, texts: pa.Array, tokenizers: Pair, block: int) -> pa.RecordBatch:
-    """One row: the documents of a slice, and their links as places in the slice's list of pairs."""
+    """The parts of a slice: its documents with their links as places in its ordered list of pairs, and that list."""
     n = len(texts)
     empty = pc.equal(pc.binary_length(texts.fill_null("")), 0).to_numpy(zero_copy_only=False)
     full = np.flatnonzero(~empty)
@@ -240,13 +243,32 @@ def _slice(doc_ids: pa.Array, texts: pa.Array, tokenizers: Pair, block: int) ->
 
     long = pa.int64()
     fields = {
-        "block": pa.array([block], long), "doc_id": one(doc_ids, long), "n_a": one(per_doc(known.n_a), long),
+        "doc_id": one(doc_ids, long), "n_a": one(per_doc(known.n_a), long),
         "n_b": one(per_doc(known.n_b), long), "n_groups": one(per_doc(known.n_groups), long),
         "n_links": one(per_doc(known.n_links), long), "sha": one(sha, pa.string()),
         "bounds": one(np.r_[0, np.cumsum(owner)], long),
         "at": one(np.searchsorted(pairs, held["pair"].to_numpy()).astype(np.int32), pa.int32()),
-        "times": one(held["times_sum"].to_numpy(), long), "pair": one(pairs, long),
-        "docs": one(counts["count_all"].to_numpy(), long),
+        "times": one(held["times_sum"].to_numpy(), long),
+    }
+    body = _packed(pa.RecordBatch.from_arrays(list(fields.values()), names=list(fields)))
+    return _parts(block, body, pairs, counts["count_all"].to_numpy())
+
+
+def _packed(row: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def _parts(block: int, body: bytes, pairs: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    """The bytes and the pairs of a slice, dealt to rows of bounded size."""
+    n = max(-(-len(body) // PART_BYTES), -(-len(pairs) // PART_PAIRS))
+    upto = np.minimum(np.arange(n + 1) * PART_PAIRS, len(pairs))
+    fields = {
+        "block": pa.array(np.full(n, block)), "part": pa.array(np.arange(n, dtype=np.int32)),
+        "body": pa.array([body[i * PART_BYTES : (i + 1) * PART_BYTES] for i in range(n)], pa.binary()),
+        "pair": _lists(pa.array(pairs, pa.int64()), upto), "docs": _lists(pa.array(docs, pa.int64()), upto),
     }
     return pa.RecordBatch.from_arrays(list(fields.values()), names=list(fields))
 
@@ -267,20 +289,20 @@ def _slices(path_a: str, path_b: str):
     return body
 
 
-def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Back from slices to documents: sums over each one's links of what its slice's pairs count."""
-    for batch in batches:
-        for i in range(len(batch)):
-            values = lambda name: batch.column(name).slice(i, 1).flatten()
-            count, best = np.zeros(len(values("pair")), np.int64), np.zeros(len(values("pair")), bool)
-            place = values("pos").to_numpy()
-            count[place], best[place] = values("count").to_numpy(), values("best").to_numpy(zero_copy_only=False)
-            at, times, bounds = (values(name).to_numpy() for name in ("at", "times", "bounds"))
-            yield pa.RecordBatch.from_arrays(
-                [values(name) for name in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
-                + [pa.array(_sums(times * best[at], bounds)), pa.array(_sums(times * count[at], bounds)), values("sha")],
-                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
-            )
+def _with_counts(parts: pa.Table, told: pa.Table) -> pa.Table:
+    """Back from a slice to documents: sums over each one's links of what the slice's pairs count."""
+    body = b"".join(parts.sort_by("part")["body"].to_pylist())
+    row = pa.ipc.open_stream(body).read_next_batch()
+    values = {name: row.column(name).flatten() for name in row.schema.names}
+    # Every pair of the slice is told once, so in order they stand at their places in its list.
+    told = told.sort_by("pair")
+    count, best = told["count"].to_numpy(), told["best"].to_numpy()
+    at, times, bounds = (values[name].to_numpy() for name in ("at", "times", "bounds"))
+    return pa.table(
+        [values[name] for name in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
+        + [pa.array(_sums(times * best[at], bounds)), pa.array(_sums(times * count[at], bounds)), values["sha"]],
+        names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    )
 
 
 def pair_counts(slices: DataFrame, size_b: int) -> DataFrame:
@@ -307,17 +329,14 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     An empty table gives an empty result; other columns are ignored.
 
     A slice of documents carries its links as places in its own list of pairs.  Corpus counts go
-    back to the slices per distinct pair, not per document, so a frequent pair costs a row per slice.
+    back to the slices per distinct pair, not per document, so a frequent pair costs a row per slice;
+    slices and counts meet one slice at a time.
     """
     narrow = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    slices = settle(narrow.mapInArrow(_slices(path_a, path_b), SLICE), "token_links")
-    totals = pair_counts(slices, pair_of(path_a, path_b).size_b)
-    listed = slices.select("block", F.posexplode("pair").alias("pos", "pair"))
-    told = (
-        listed.join(totals, "pair").groupBy("block")
-        .agg(F.collect_list(F.struct("pos", "count", "best")).alias("told"))
-        .select("block", *[F.col(f"told.{c}").alias(c) for c in ("pos", "count", "best")])
+    slices = settle(
+        narrow.mapInArrow(_slices(path_a, path_b), SLICE), "token_links", **{"parquet.block.size": str(ROW_GROUP_BYTES)}
     )
-    empty = [F.coalesce(c, F.array()).alias(c) for c in ("pos", "count", "best")]
-    whole = slices.drop("docs").join(told, "block", "left").select(*slices.drop("docs", "block").columns, *empty)
-    return whole.mapInArrow(_with_counts, ALIGNED)
+    totals = pair_counts(slices, pair_of(path_a, path_b).size_b)
+    told = slices.select(F.col("block").alias("of"), F.explode("pair").alias("pair")).join(totals, "pair")
+    bodies = slices.select("block", "part", "body").groupBy("block")
+    return bodies.cogroup(told.groupBy("of")).applyInArrow(_with_counts, ALIGNED)
