@@ -179,6 +179,23 @@ def owned(df):
     })
 
 
+def test_lot_rungs_equal_those_of_their_pairs(spark):
+    """Pairs of legs with equal quotes are priced once, and every plan has the reason and the prices of its pair."""
+    rows = [contract(f"L{n}", "100", D(290 + n // 3) / 100, D(300 + n // 3) / 100, "0.52", bid_size=2 + n % 2) for n in range(9)]
+    rows += [contract(f"S{n}", str(103 + n // 3), D(120 - 9 * (n // 3)) / 100, D(130 - 9 * (n // 3)) / 100, "0.30",
+                      quote_time=NOW - timedelta(seconds=8 * (n % 3))) for n in range(9)]
+    rows += [contract(None, "100", "2.90", "3.00", "0.52"), contract(" ", "104", "1.11", "1.21", "0.30", ask_size=None)]
+    asked = spark.createDataFrame([("cand", st.CALL_SPREAD, "U", NOW, 2)], "candidate_id string, kind string, underlying_symbol string, as_of timestamp, quantity int")
+    chain = spark.createDataFrame(rows, CHAIN)
+    legs, pairs = st.candidate_legs(asked, chain), st.candidate_pairs(asked, chain)
+    key = lambda df: sorted(((r.plan_id, r.reason, r.prices) for r in df.collect()), key=str)
+    for rungs, age in ((4, 900), (1, 900), (4, 15)):
+        lots = st.lot_rung_prices(legs, rungs, age)
+        want = key(st.pair_rung_prices(pairs, rungs, age))
+        assert key(st.plans_of_lots(lots)) == want and 2 * lots.count() < len(want)
+        assert len({reason for _, reason, _ in want}) > 1
+
+
 def test_lots_break_the_limits_that_their_plans_break(spark, small_groups):
     """Limits told by lots are those of a walk over all plans, and no plan is shuffled."""
     from tidemark.functions import spread

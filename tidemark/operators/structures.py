@@ -20,6 +20,7 @@ CALL_SPREAD = "bull_call_debit_vertical"
 PUT_SPREAD = "bear_put_debit_vertical"
 _WIDE = "decimal(28,8)"
 QUOTE = ("bid", "ask", "bid_size", "ask_size", "quote_time")
+SIDES = {"long": "buy", "short": "sell"}
 
 
 @dataclass(frozen=True)
@@ -122,39 +123,44 @@ def candidate_legs(
     return screened_contracts(candidates, _clear(contracts), rules).where("rejection is null")
 
 
-def lots(legs: DataFrame) -> DataFrame:
+def lots(legs: DataFrame, shared: tuple[str, ...] = ()) -> DataFrame:
     """Admissible pairs in lots: long legs of one strike and ask with short legs of one strike and bid.
 
     ``count`` is the number of pairs, which share ``net_debit``, ``width`` and with them every
     payoff.  Prices lie on a grid, so lots stay far fewer than pairs; they hold the symbols of their
-    legs, and :func:`plans_of_lots` makes the pairs where a lot is.
+    legs, and :func:`plans_of_lots` makes the pairs where a lot is.  Legs of a lot agree in the columns
+    ``shared``, too, which it has as ``long_`` and ``short_`` columns.
     """
     c = F.col
     key, parts = ["candidate_id", "expiry", "multiplier"], int(legs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = legs.withColumn("side", F.when(c("kind") == CALL_SPREAD, c("strike")).otherwise(-c("strike"))).repartition(parts, *key)
     # A structure around each symbol: a list of plain values would lose a missing one.
     held = lambda tag: [F.count("*").alias(f"{tag}_count"), F.collect_list(F.struct("symbol")).alias(f"{tag}_legs")]
-    longs = dealt.where("fits_long").groupBy(
-        *key, "kind", "quantity", "underlying_symbol", c("strike").alias("long_strike"), c("side").alias("long_side"), "ask"
-    ).agg(*held("long"))
-    shorts = dealt.where("fits_short").groupBy(
-        *key, c("strike").alias("short_strike"), c("side").alias("short_side"), "bid"
-    ).agg(*held("short"))
+    by = lambda tag, price: [c(n).alias(f"{tag}_{n}") for n in dict.fromkeys(("strike", "side", price, *shared))]
+    longs = dealt.where("fits_long").groupBy(*key, "kind", "quantity", "underlying_symbol", *by("long", "ask")).agg(*held("long"))
+    shorts = dealt.where("fits_short").groupBy(*key, *by("short", "bid")).agg(*held("short"))
     both = longs.join(shorts, key).where("long_side < short_side").withColumns({
-        "net_debit": (c("ask") - c("bid")).cast("decimal(19,4)"),
+        "net_debit": (c("long_ask") - c("short_bid")).cast("decimal(19,4)"),
         "width": F.abs(c("short_strike") - c("long_strike")).cast("decimal(19,4)"),
         "count": c("long_count") * c("short_count"),
     })
+    spent = {"long_ask", "short_bid"} - {f"{tag}_{n}" for tag in ("long", "short") for n in shared}
     return both.where((c("net_debit") > 0) & (c("net_debit") < c("width"))).drop(
-        "ask", "bid", "long_side", "short_side", "long_count", "short_count"
+        *spent, "long_side", "short_side", "long_count", "short_count"
     )
 
 
 def plans_of_lots(found: DataFrame) -> DataFrame:
-    """Every plan of the lots with its ``plan_id``."""
-    pairs = found.withColumn("_long", F.explode("long_legs")).withColumn("_short", F.explode("short_legs"))
-    name = F.concat_ws("/", "candidate_id", "_long.symbol", "_short.symbol")
-    return pairs.withColumn("plan_id", name).drop("long_legs", "short_legs", "_long", "_short")
+    """Every plan of the lots with its ``plan_id``.
+
+    Both ends of the names are made before they meet, so a plan costs one concatenation.
+    """
+    tails = F.transform("short_legs", lambda leg: F.coalesce(F.concat(F.lit("/"), leg["symbol"]), F.lit("")))
+    heads = found.withColumn("_tails", tails).withColumn("_long", F.explode("long_legs")).withColumn(
+        "_head", F.concat_ws("/", "candidate_id", "_long.symbol")
+    )
+    pairs = heads.withColumn("_tail", F.explode("_tails")).withColumn("plan_id", F.concat("_head", "_tail"))
+    return pairs.drop("long_legs", "short_legs", "_long", "_tails", "_head", "_tail")
 
 
 def pair_outcomes(passed: DataFrame) -> DataFrame:
@@ -380,7 +386,7 @@ def rung_prices(
         F.min(F.when(c("problem").isNotNull(), F.struct("leg_no", "problem"))).alias("_first"),
     ).withColumn("problem", c("_first.problem"))
     rows = plans.select("plan_id", ticks(c("entry_limit_bound")).alias("bound")).join(summed, "plan_id")
-    return _rungs(rows, rungs, max_quote_age_seconds)
+    return _rungs(rows, rungs, max_quote_age_seconds, "plan_id")
 
 
 def pair_rung_prices(pairs: DataFrame, rungs: int, max_quote_age_seconds: int = 900) -> DataFrame:
@@ -388,19 +394,43 @@ def pair_rung_prices(pairs: DataFrame, rungs: int, max_quote_age_seconds: int =
 
     A pair carries both quotes, so it is priced where the join makes it and never moves.
     """
-    fixed_legs = {"long": {"side": F.lit("buy"), "ratio_qty": F.lit(1)}, "short": {"side": F.lit("sell"), "ratio_qty": F.lit(1)}}
-    of = lambda tag: lambda n: fixed_legs[tag].get(n, F.col(f"{tag}_{n}" if n in ("symbol", *QUOTE) else n))
-    mids, naturals = zip(*[_leg_prices(of(tag)) for tag in fixed_legs])
+    of = lambda tag: _one(tag, lambda n: F.col(f"{tag}_{n}" if n in ("symbol", *QUOTE) else n))
     rows = pairs.where("admissible").select(
-        _plan_id().alias("plan_id"), ticks(F.col("net_debit")).alias("bound"),
-        (mids[0] + mids[1]).alias("mid2"), (naturals[0] + naturals[1]).alias("nat"),
-        F.coalesce(*[_leg_problem(of(tag), max_quote_age_seconds) for tag in fixed_legs]).alias("problem"),
+        _plan_id().alias("plan_id"), *_vertical_terms(of),
+        F.coalesce(*[_leg_problem(of(tag), max_quote_age_seconds) for tag in SIDES]).alias("problem"),
     )
-    return _rungs(rows, rungs, max_quote_age_seconds)
+    return _rungs(rows, rungs, max_quote_age_seconds, "plan_id")
+
+
+def lot_rung_prices(legs: DataFrame, rungs: int, max_quote_age_seconds: int = 900) -> DataFrame:
+    """:func:`pair_rung_prices` of all admissible pairs of the legs, in lots that share a reason or prices.
+
+    What a leg brings to its pairs are strike, bid, ask and the first problem of its own, so pairs of
+    legs equal in these are priced once.  Returns candidate_id, long_legs, short_legs, reason and
+    prices; :func:`plans_of_lots` names the plans.
+    """
+    problem = _leg_problem(_one("long", F.col), max_quote_age_seconds)
+    found = lots(legs.withColumn("problem", problem), ("bid", "ask", "problem"))
+    of = lambda tag: _one(tag, lambda n: F.col(f"{tag}_{n}"))
+    held = ("candidate_id", "long_legs", "short_legs")
+    rows = found.select(*held, *_vertical_terms(of), F.coalesce("long_problem", "short_problem").alias("problem"))
+    return _rungs(rows, rungs, max_quote_age_seconds, *held)
+
+
+def _one(tag: str, named: Callable[[str], Column]) -> Callable[[str], Column]:
+    """A leg of a vertical: one contract on its side, everything else as ``named`` finds it."""
+    fixed = {"side": F.lit(SIDES[tag]), "ratio_qty": F.lit(1)}
+    return lambda n: fixed[n] if n in fixed else named(n)
+
+
+def _vertical_terms(of: Callable[[str], Callable[[str], Column]]) -> list[Column]:
+    """Bound, twice the midpoint and natural debit of a long and a short leg, in ticks."""
+    mids, naturals = zip(*[_leg_prices(of(tag)) for tag in SIDES])
+    return [ticks(F.col("net_debit")).alias("bound"), (mids[0] + mids[1]).alias("mid2"), (naturals[0] + naturals[1]).alias("nat")]
 
 
-def _rungs(rows: DataFrame, rungs: int, max_quote_age_seconds: int) -> DataFrame:
-    """Rung prices of plan_id, bound, mid2, nat and the first problem of a leg."""
+def _rungs(rows: DataFrame, rungs: int, max_quote_age_seconds: int, *kept: str) -> DataFrame:
+    """Rung prices of bound, mid2, nat and the first problem of a leg, beside the columns ``kept``."""
     if rungs <= 0 or max_quote_age_seconds <= 0:
         raise ValueError("rungs and the quote age must be positive")
     c = F.col
@@ -430,4 +460,4 @@ def _rungs(rows: DataFrame, rungs: int, max_quote_age_seconds: int) -> DataFrame
     )
     money = lambda t: (t.cast("decimal(20,0)") / F.lit(10000).cast("decimal(5,0)")).cast("decimal(18,4)")
     as_money = F.array(*[money(c(f"_p{i}")) for i in range(rungs)])
-    return rows.withColumn("reason", reason).select("plan_id", "reason", F.when(c("reason").isNull(), as_money).alias("prices"))
+    return rows.withColumn("reason", reason).select(*kept, "reason", F.when(c("reason").isNull(), as_money).alias("prices"))
